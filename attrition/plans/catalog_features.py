@@ -1 +1,107 @@
-"""Feature, user-table and model queries of the catalog."""
+"""Feature-table queries of the catalog (user-day grain)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from attrition.config import CORE_COLUMNS, LABEL, PAGES, Params
+from attrition.functions.expr import gender_code, safe_div
+from attrition.operators import daily as D
+from attrition.operators.churn import first_row_values
+from attrition.plans.catalog import ev_keep, register
+from attrition.plans.features import dense_daily, derive_features, feature_matrix
+
+P = Params()
+S, L = P.recent_window, P.long_window
+KEYS = ["userId", "date"]
+
+
+def _q(c: str):
+    return F.col(f"`{c}`")
+
+
+def _train_dense(s, d) -> DataFrame:
+    return dense_daily(ev_keep(s, d), "train")
+
+
+def _train_feat(s, d) -> DataFrame:
+    return derive_features(_train_dense(s, d), P)
+
+
+register("daily_events")(lambda s, d: D.daily_aggregates(ev_keep(s, d)).select(*KEYS, "events"))
+register("daily_listen")(lambda s, d: D.daily_aggregates(ev_keep(s, d)).select(*KEYS, "listen_sec"))
+register("daily_pages")(lambda s, d: D.daily_aggregates(ev_keep(s, d)).select(*KEYS, *[_q(p) for p in PAGES]))
+register("daily_assemble")(lambda s, d: D.daily_aggregates(ev_keep(s, d)))
+register("user_activity_bounds")(lambda s, d: D.user_activity_bounds(ev_keep(s, d)))
+register("artist_entropy")(lambda s, d: D.artist_entropy(ev_keep(s, d)))
+register("share_of_day")(lambda s, d: D.share_of_day(ev_keep(s, d)))
+register("daily_spine")(lambda s, d: _train_dense(s, d).select(*KEYS, *[_q(c) for c in CORE_COLUMNS]))
+register("attach_entropy")(lambda s, d: _train_dense(s, d).select(*KEYS, "artist_entropy_day"))
+
+
+@register("attach_user_dims")
+def _dims(s, d):
+    x = _train_dense(s, d)
+    return x.select(*KEYS, "churn_ts", "churn_date", F.col("_reg").alias("registration_datetime"),
+                    gender_code("_gender").cast("long").alias("gender_code"))
+
+
+register("gender_code")(lambda s, d: first_row_values(ev_keep(s, d), ["gender"]).select(
+    "userId", gender_code("gender").cast("long").alias("gender_code")))
+
+
+@register("safe_div")
+def _safe_div(s, d):
+    x = D.daily_aggregates(ev_keep(s, d))
+    return x.select(*KEYS, safe_div(_q("Thumbs Up"), _q("NextSong")).alias("thumbs_up_per_song"))
+
+
+def _sel(cols):
+    def run(s, d):
+        x = _train_feat(s, d)
+        return x.select(*KEYS, *[_q(c).cast("double").alias(c) for c in cols])
+
+    return run
+
+
+register("cumulative_features")(_sel([f"cum_{c}" for c in CORE_COLUMNS]))
+register("rolling_features")(_sel([f"win{S}_{c}" for c in CORE_COLUMNS] + [f"win{L}_{c}" for c in CORE_COLUMNS]))
+register("days_since_join")(_sel(["days_since_join"]))
+register("cyclical_encode")(_sel(["day_of_week", "day_of_month", "dow_sin", "dow_cos", "dom_sin", "dom_cos"]))
+register("ratio_features")(_sel(["ratio_thumbs_up", "ratio_playlist", "ratio_friend",
+                                 f"ratio{S}_thumbs_up", f"ratio{S}_playlist", f"ratio{S}_friend",
+                                 f"ratio{L}_thumbs_up", f"ratio{L}_playlist", f"ratio{L}_friend"]))
+register("change_features")(_sel(["chg_thumbs_up", "chg_playlist", "chg_friend",
+                                  f"delta{S}_{L}_thumbs", f"delta{S}_{L}_playlist"]))
+register("intensity_features")(_sel([f"win{S}_error_rate", f"win{S}_help_rate"]))
+register("downgrade_wo_submit")(_sel(["downgrade_wo_submit"]))
+register("prop_nextsong")(_sel(["prop_nextsong"]))
+
+
+@register("label_horizon")
+def _label(s, d):
+    x = _train_feat(s, d)
+    return x.select(*KEYS, "churn_date", F.col(LABEL).cast("long").alias(LABEL))
+
+
+register("user_day_features")(lambda s, d: feature_matrix(_train_feat(s, d), P))
+register("clean_matrix")(lambda s, d: feature_matrix(_train_feat(s, d), P, keys=False))
+
+
+@register("reindex_columns")
+def _reindex(s, d):
+    """The dense daily table projected onto a requested column list; a
+    requested column the table lacks is filled with 0."""
+    from attrition.plans.scoring import reindex_columns
+
+    x = _train_dense(s, d)
+    wanted = ["events", "NextSong", "Thumbs Up", "Submit Upgrade", "listen_sec"]
+    return reindex_columns(x, KEYS + wanted)
+
+
+@register("class_balance")
+def _balance(s, d):
+    from attrition.operators.evaluate import class_balance
+
+    return class_balance(feature_matrix(_train_feat(s, d), P), LABEL)

@@ -6,6 +6,7 @@ steps are named CTEs; ``build(name)`` returns ``WITH <needed CTEs> <final
 SELECT>``.
 """
 
+from oracle import features_sql  # noqa: F401  (registers feature queries)
 from oracle.sql import build, oracle_queries
 
 __all__ = ["build", "oracle_queries"]

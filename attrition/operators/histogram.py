@@ -2,9 +2,9 @@
 
 Edges are ``lo + i * (hi - lo) / n`` (the last edge is ``hi`` itself); the
 last bin is closed on the right; a constant column spans ``lo - 0.5 ..
-hi + 0.5``. The bounds come from scalar subqueries (two numbers), the counts
-from one aggregate keyed by bin, and empty bins from a join with
-``range(n)`` - nothing is collected to the driver.
+hi + 0.5``. The bounds are one two-number aggregate (the only values that
+reach the driver), the counts one aggregate keyed by bin, and empty bins
+come from a join with ``range(n)``.
 """
 
 from __future__ import annotations
@@ -22,16 +22,20 @@ def histogram(df: DataFrame, column: str, n: int) -> DataFrame:
     """``bin, lo, hi, count`` for ``n`` equal-width bins over the non-null
     values of ``column``."""
     vals = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    mn = vals.select(F.min("x")).scalar()
-    mx = vals.select(F.max("x")).scalar()
-    lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
-    hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
+    bounds = vals.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+    spark = df.sparkSession
+    if bounds is None or bounds["mn"] is None:
+        return spark.createDataFrame([], "bin bigint, lo double, hi double, count bigint")
+    mn, mx = float(bounds["mn"]), float(bounds["mx"])
+    if mn == mx:
+        mn, mx = mn - 0.5, mx + 0.5
+    lo, hi = F.lit(mn), F.lit(mx)
     x = F.col("x")
     i0 = F.least(F.floor((x - lo) * (F.lit(float(n)) / (hi - lo))), F.lit(n - 1))
     i1 = F.when(x < _edge(i0, lo, hi, n), i0 - 1).otherwise(i0)
     i2 = F.when((x >= _edge(i1 + 1, lo, hi, n)) & (i1 != n - 1), i1 + 1).otherwise(i1)
     counts = vals.groupBy(i2.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    bins = df.sparkSession.range(n).withColumnRenamed("id", "bin")
+    bins = spark.range(n).withColumnRenamed("id", "bin")
     i = F.col("bin")
     return (
         bins.join(counts, "bin", "left")
@@ -41,5 +45,4 @@ def histogram(df: DataFrame, column: str, n: int) -> DataFrame:
             _edge(i + 1, lo, hi, n).alias("hi"),
             F.coalesce(F.col("count"), F.lit(0)).alias("count"),
         )
-        .filter(mn.isNotNull())
     )

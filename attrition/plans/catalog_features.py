@@ -105,3 +105,62 @@ def _balance(s, d):
     from attrition.operators.evaluate import class_balance
 
     return class_balance(feature_matrix(_train_feat(s, d), P), LABEL)
+
+
+# --- user table, correlations, histograms -----------------------------------
+from attrition.operators import churn as C  # noqa: E402
+from attrition.operators import explore as X  # noqa: E402
+from attrition.operators import users as U  # noqa: E402
+from attrition.operators.histogram import histogram  # noqa: E402
+from attrition.plans.catalog import ev_null  # noqa: E402
+
+
+def _user_table(s, d):
+    return U.user_features(ev_null(s, d))
+
+
+register("user_features")(_user_table)
+register("position_thirds")(lambda s, d: U.position_thirds(ev_null(s, d).filter(F.col("userId").isNotNull())))
+register("position_halves")(lambda s, d: U.position_halves(ev_null(s, d).filter(F.col("userId").isNotNull())))
+register("first_row_per_user")(lambda s, d: C.first_row_values(ev_null(s, d), ["gender", "registration_datetime"]))
+register("correlation_with_churn")(lambda s, d: U.correlation_with(_user_table(s, d)))
+register("correlation_matrix")(lambda s, d: U.correlation_matrix(_user_table(s, d)))
+register("top_abs_correlations")(lambda s, d: U.top_abs_correlations(U.correlation_with(_user_table(s, d))))
+
+
+@register("missing_users_check")
+def _missing(s, d):
+    """Base users with no churn time (the series that does not cover every
+    user), by anti-join."""
+    ev = ev_null(s, d)
+    base = ev.filter(F.col("userId").isNotNull()).select("userId").distinct()
+    return U.missing_users(base, C.churn_timestamps(ev))
+
+
+@register("align_to_users")
+def _align(s, d):
+    """A partial per-user series (time to churn) aligned to the full sorted
+    user list: null where the series has no value."""
+    ev = ev_null(s, d)
+    base = ev.filter(F.col("userId").isNotNull()).select("userId").distinct()
+    return base.join(C.time_to_churn(ev), "userId", "left")
+
+
+@register("assert_user_table")
+def _assert_users(s, d):
+    ev = ev_null(s, d)
+    return U.assert_user_table(_user_table(s, d), ev.filter(F.col("userId").isNotNull()))
+
+
+def _hist(values, column, n):
+    def run(s, d):
+        return histogram(values(ev_null(s, d)), column, n)
+
+    return run
+
+
+register("histogram_session_length")(_hist(X.session_duration_join, "session_duration_min", 50))
+register("histogram_sessions_per_user")(_hist(X.sessions_per_user, "sessions", 50))
+register("histogram_devices_per_user")(_hist(X.devices_per_user, "devices", 20))
+register("histogram_avg_session_hours")(_hist(X.avg_session_hours_per_user, "avg_session_hours", 10))
+register("histogram_time_to_churn")(_hist(C.time_to_churn, "time_to_churn_days", 30))

@@ -46,22 +46,24 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     inside = Window.partitionBy("_b").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_tp_in", F.sum("pos").over(inside)).withColumn("_fp_in", F.sum("neg").over(inside))
     buckets = counts.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # bucket table only
+    # windows over the bucket table only (one row per bucket)
+    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     buckets = buckets.select(
         "_b",
         F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_tp_off"),
         F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_fp_off"),
+        F.sum("_bp").over(every).alias("_p"),
     )
-    total_pos = df.select(F.count_if(y == 1)).scalar()
     curve = counts.join(buckets, "_b", "inner").select(
-        "threshold", "pos", "neg",
+        "threshold", "pos", "neg", "_p",
         (F.col("_tp_off") + F.col("_tp_in")).alias("tp"),
         (F.col("_fp_off") + F.col("_fp_in")).alias("fp"),
     )
     return curve.select(
-        "*",
+        "threshold", "pos", "neg", "tp", "fp",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.when(total_pos == 0, F.lit(1.0)).otherwise(F.col("tp") / total_pos).alias("recall"),
+        F.when(F.col("_p") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("_p")).alias("recall"),
     )
 
 
@@ -76,25 +78,27 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 def roc_auc(curve: DataFrame) -> DataFrame:
     """Area under the ROC curve (rank statistic, ties count 1/2); null when
-    only one class is present."""
-    n_neg = curve.select(F.sum("neg")).scalar()
-    n_pos = curve.select(F.sum("pos")).scalar()
-    below = n_neg - F.col("fp")  # negatives scored strictly below the threshold
-    num = F.sum(F.col("pos") * (below + F.col("neg") * 0.5))
-    den = (n_pos * n_neg).cast("double")
-    return curve.agg(F.when(den > 0, num / den).alias("roc_auc"))
+    only one class is present. With P positives, N negatives and ``fp`` the
+    negatives scored >= t: AUC = (N*P - sum(pos*fp) + sum(pos*neg)/2) / (N*P),
+    one aggregate over the curve."""
+    pos, neg, fp = (F.col(c).cast("double") for c in ("pos", "neg", "fp"))
+    agg = curve.agg(
+        F.sum(pos).alias("_p"), F.sum(neg).alias("_n"),
+        F.sum(pos * fp).alias("_a"), F.sum(pos * neg).alias("_b"),
+    )
+    pn = F.col("_p") * F.col("_n")
+    return agg.select(F.when(pn > 0, (pn - F.col("_a") + F.col("_b") * 0.5) / pn).alias("roc_auc"))
 
 
 def pick_threshold(curve: DataFrame, precision_floor: float) -> DataFrame:
     """Highest recall whose precision reaches the floor. Recall never rises
     with the threshold, so that is the lowest threshold meeting the floor.
-    Without one: the lowest threshold of maximal precision; 0.5 on an empty
-    curve."""
-    max_p = curve.select(F.max("precision")).scalar()
-    t = F.col("threshold")
+    Without one: the lowest threshold of maximal precision (the minimum of
+    ``(-precision, threshold)``); 0.5 on an empty curve."""
+    t, p = F.col("threshold"), F.col("precision")
     agg = curve.agg(
-        F.min(F.when(F.col("precision") >= precision_floor, t)).alias("_ok"),
-        F.min(F.when(F.col("precision") == max_p, t)).alias("_best"),
+        F.min(F.when(p >= precision_floor, t)).alias("_ok"),
+        F.min(F.struct((-p).alias("np"), t.alias("t"))).getField("t").alias("_best"),
     )
     rule = F.when(F.col("_ok").isNotNull(), F.lit("precision_floor")).when(
         F.col("_best").isNotNull(), F.lit("max_precision")
@@ -107,11 +111,12 @@ def pick_threshold_sweep(curve: DataFrame, min_precision: float, maximize: str =
     maximising recall or F1 (``2pr / (p + r + 1e-9)``); 0.5 if none."""
     p, r = F.col("precision"), F.col("recall")
     value = r if maximize == "recall" else (2 * p * r) / (p + r + F.lit(1e-9))
-    valid = curve.filter(p >= min_precision).withColumn("_v", value)
-    best = valid.select(F.max("_v")).scalar()
-    agg = valid.agg(F.min(F.when(F.col("_v") == best, F.col("threshold"))).alias("_t"), F.max("_v").alias("_best"))
+    best = F.min(F.when(p >= min_precision, F.struct((-value).alias("nv"), F.col("threshold").alias("t"))))
+    agg = curve.agg(best.alias("_b"))
     return agg.select(
-        F.coalesce("_t", F.lit(0.5)).alias("threshold"), F.lit(maximize).alias("maximize"), F.col("_best").alias("value")
+        F.coalesce(F.col("_b.t"), F.lit(0.5)).alias("threshold"),
+        F.lit(maximize).alias("maximize"),
+        (-F.col("_b.nv")).alias("value"),
     )
 
 
@@ -155,12 +160,17 @@ def classification_report(cm: DataFrame) -> DataFrame:
         return _frac(a * s0 + b * s1, n)
 
     null = F.lit(None).cast("double")
+
+    def row(name: str, p: Column, r: Column, f: Column, sup: Column) -> Column:
+        return F.struct(F.lit(name).alias("label"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1_score"), sup.cast("long").alias("support"))
+
     rows = F.array(
-        F.struct(F.lit("0").alias("label"), p0.alias("precision"), r0.alias("recall"), f0.alias("f1_score"), s0.alias("support")),
-        F.struct(F.lit("1"), p1, r1, f1, s1),
-        F.struct(F.lit("accuracy"), null, null, acc, n),
-        F.struct(F.lit("macro avg"), (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
-        F.struct(F.lit("weighted avg"), wavg(p0, p1), wavg(r0, r1), wavg(f0, f1), n),
+        row("0", p0, r0, f0, s0),
+        row("1", p1, r1, f1, s1),
+        row("accuracy", null, null, acc, n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n),
+        row("weighted avg", wavg(p0, p1), wavg(r0, r1), wavg(f0, f1), n),
     )
     return cm.select(F.inline(rows)).select(
         "label", "precision", "recall", "f1_score", F.col("support").cast("long").alias("support")

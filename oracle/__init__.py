@@ -6,7 +6,7 @@ steps are named CTEs; ``build(name)`` returns ``WITH <needed CTEs> <final
 SELECT>``.
 """
 
-from oracle import features_sql, users_sql  # noqa: F401  (register more queries)
+from oracle import features_sql, model_sql, users_sql  # noqa: F401  (register more queries)
 from oracle.sql import build, oracle_queries
 
 __all__ = ["build", "oracle_queries"]

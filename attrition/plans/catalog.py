@@ -113,6 +113,6 @@ register("session_timeline")(lambda s, d: C.session_timeline(ev_null(s, d)))
 
 def queries() -> dict[str, Query]:
     # import side effects register the remaining groups
-    from attrition.plans import catalog_features, catalog_model  # noqa: F401
+    from attrition.plans import catalog_features, catalog_model, catalog_train  # noqa: F401
 
     return dict(REGISTRY)

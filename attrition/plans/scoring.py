@@ -13,3 +13,43 @@ def reindex_columns(df: DataFrame, columns: list[str], fill: float = 0.0) -> Dat
     return df.select(
         *[F.col(f"`{c}`") if c in have else F.lit(fill).cast("double").alias(c) for c in columns]
     )
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """One scoring request per user, derived from the log: the middle day of
+    the user's active span, at 12:00 (``user_id, date``)."""
+    b = ev.filter(F.col("userId").isNotNull() & F.col("date").isNotNull()).groupBy("userId").agg(
+        F.min("date").alias("_f"), F.max("date").alias("_l")
+    )
+    mid = F.date_add(F.col("_f"), F.floor(F.datediff("_l", "_f") / 2).cast("int"))
+    return b.select(
+        F.col("userId").alias("user_id"),
+        (mid.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))).alias("date"),
+    )
+
+
+def score_requests(ev: DataFrame, requests: DataFrame, bundle, params=None) -> DataFrame:
+    """Score many ``(user_id, date)`` requests at once: as-of features of the
+    end of the request day, aligned to the bundle's feature order (missing
+    columns 0), P(churn) from the model and ``label = probability >=
+    threshold``. Requests for unknown users or days before any activity get
+    a ``status`` and null probability instead of an error."""
+    from attrition.config import Params
+    from attrition.plans.features import asof_features
+    from attrition.plans.training import predict_proba
+
+    params = params or Params()
+    feat = asof_features(ev, requests, params)
+    x = reindex_columns(feat, ["user_id", "date", "status"] + bundle.features, fill=0.0)
+    x = x.fillna(0.0, subset=bundle.features)
+    ok = F.col("status") == "ok"
+    scored = predict_proba(bundle.model, x)
+    p = F.when(ok, F.col("probability"))
+    return scored.select(
+        "user_id",
+        "date",
+        p.alias("probability"),
+        F.when(ok, (F.col("probability") >= F.lit(bundle.threshold)).cast("int")).alias("label"),
+        F.lit(float(bundle.threshold)).alias("threshold"),
+        "status",
+    )

@@ -91,29 +91,26 @@ cte(
   LEFT JOIN churn_tsk c ON s.userId = c.userId""",
     ["spine", "daily", "ent", "udims", "first_row_k", "churn_tsk"],
 )
-_sums = []
-for c in CORE:
-    _sums.append(f"CAST(sum({q(c)}) OVER wc AS DOUBLE) AS {q('cum_' + c)}")
-    _sums.append(f"CAST(sum({q(c)}) OVER ws AS DOUBLE) AS {q(f'win{S}_' + c)}")
-    _sums.append(f"CAST(sum({q(c)}) OVER wl AS DOUBLE) AS {q(f'win{L}_' + c)}")
-cte(
-    "wsums",
-    "  SELECT *, " + ",\n    ".join(_sums) + f"""
-  FROM dense
+def feature_ctes(prefix: str, dense: str) -> str:
+    """Register ``<prefix>wsums`` / ``<prefix>feat1`` / ``<prefix>feat`` on a
+    dense user-day CTE; returns the name of the final one."""
+    sums = []
+    for c in CORE:
+        sums.append(f"CAST(sum({q(c)}) OVER wc AS DOUBLE) AS {q('cum_' + c)}")
+        sums.append(f"CAST(sum({q(c)}) OVER ws AS DOUBLE) AS {q(f'win{S}_' + c)}")
+        sums.append(f"CAST(sum({q(c)}) OVER wl AS DOUBLE) AS {q(f'win{L}_' + c)}")
+    cte(
+        f"{prefix}wsums",
+        "  SELECT *, " + ",\n    ".join(sums) + f"""
+  FROM {dense}
   WINDOW wc AS (PARTITION BY userId ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          ws AS (PARTITION BY userId ORDER BY date ROWS BETWEEN {S - 1} PRECEDING AND CURRENT ROW),
          wl AS (PARTITION BY userId ORDER BY date ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW)""",
-    ["dense"],
-)
-
-
-def ratio(a: str, b: str) -> str:
-    return safe_div(q(a), q(b))
-
-
-cte(
-    "feat1",
-    f"""  SELECT *, day(date) AS day_of_month, isodow(date) AS day_of_week,
+        [dense],
+    )
+    cte(
+        f"{prefix}feat1",
+        f"""  SELECT *, day(date) AS day_of_month, isodow(date) AS day_of_week,
     coalesce(date_diff('day', CAST(reg AS DATE), date), 0) AS days_since_join,
     CASE gender WHEN 'F' THEN 0 WHEN 'M' THEN 1 ELSE -1 END AS gender_code,
     sin(2 * pi() * CAST(isodow(date) AS DOUBLE) / CAST(7 AS DOUBLE)) AS dow_sin,
@@ -133,21 +130,29 @@ cte(
     {ratio(f'win{S}_Help', f'win{S}_events')} AS win{S}_help_rate,
     CAST("cum_Downgrade" > 0 AND "cum_Submit Downgrade" = 0 AS INTEGER) AS downgrade_wo_submit,
     {ratio('cum_NextSong', 'cum_events')} AS prop_nextsong
-  FROM wsums""",
-    ["wsums"],
-)
-cte(
-    "feat",
-    f"""  SELECT *,
+  FROM {prefix}wsums""",
+        [f"{prefix}wsums"],
+    )
+    cte(
+        f"{prefix}feat",
+        f"""  SELECT *,
     ratio{S}_thumbs_up - ratio_thumbs_up AS chg_thumbs_up,
     ratio{S}_playlist - ratio_playlist AS chg_playlist,
     ratio{S}_friend - ratio_friend AS chg_friend,
     ratio{S}_thumbs_up - ratio{L}_thumbs_up AS delta{S}_{L}_thumbs,
     ratio{S}_playlist - ratio{L}_playlist AS delta{S}_{L}_playlist,
     CASE WHEN churn_date IS NOT NULL AND churn_date > date AND churn_date <= date + {H} THEN 1 ELSE 0 END AS {LABEL}
-  FROM feat1 WHERE churn_date IS NULL OR date <= churn_date""",
-    ["feat1"],
-)
+  FROM {prefix}feat1 WHERE churn_date IS NULL OR date <= churn_date""",
+        [f"{prefix}feat1"],
+    )
+    return f"{prefix}feat"
+
+
+def ratio(a: str, b: str) -> str:
+    return safe_div(q(a), q(b))
+
+
+feature_ctes("", "dense")
 
 K = "userId, date"
 query("daily_events", f"SELECT {K}, events FROM daily", ["daily"])
@@ -217,3 +222,53 @@ query(
 FROM matrix""",
     ["matrix"],
 )
+
+# --- as-of features for requests derived from the log ------------------------
+cte(
+    "req",
+    """  SELECT userId AS user_id,
+         CAST(first_date + CAST(floor(date_diff('day', first_date, last_date) / 2) AS INTEGER) AS TIMESTAMP) + INTERVAL 12 HOUR AS date
+  FROM (SELECT userId, min(date) AS first_date, max(date) AS last_date FROM ev
+        WHERE userId IS NOT NULL AND date IS NOT NULL GROUP BY userId) b""",
+    ["ev"],
+)
+cte("req_end", "  SELECT user_id AS userId, max(CAST(date AS DATE)) AS end_date FROM req GROUP BY user_id", ["req"])
+cte(
+    "aday",
+    """  SELECT userId, date, min(registration_datetime) AS reg_day,
+         min({'s': event_seq, 'g': gender}) AS first_day
+  FROM ev WHERE userId IS NOT NULL AND date IS NOT NULL GROUP BY userId, date""",
+    ["ev"],
+)
+cte(
+    "aspine",
+    """  SELECT userId, CAST(unnest(generate_series(CAST(first_date AS TIMESTAMP), CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT d.userId, min(d.date) AS first_date, e.end_date FROM daily d JOIN req_end e ON d.userId = e.userId
+        WHERE d.date <= e.end_date GROUP BY d.userId, e.end_date) x""",
+    ["daily", "req_end"],
+)
+cte(
+    "adense",
+    "  SELECT s.userId, s.date, "
+    + ", ".join(f"coalesce(d.{q(c)}, 0) AS {q(c)}" for c in CORE)
+    + """, coalesce(e.artist_entropy_day, 0.0) AS artist_entropy_day,
+         min(a.reg_day) OVER run AS reg, (min(a.first_day) OVER run).g AS gender,
+         CAST(NULL AS TIMESTAMP) AS churn_ts, CAST(NULL AS DATE) AS churn_date
+  FROM aspine s
+  LEFT JOIN daily d ON s.userId = d.userId AND s.date = d.date
+  LEFT JOIN ent e ON s.userId = e.userId AND s.date = e.date
+  LEFT JOIN aday a ON s.userId = a.userId AND s.date = a.date
+  WINDOW run AS (PARTITION BY s.userId ORDER BY s.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    ["aspine", "daily", "ent", "aday"],
+)
+feature_ctes("a", "adense")
+query(
+    "asof_features",
+    f"""SELECT r.user_id, r.date,
+       CASE WHEN k.userId IS NULL THEN 'unknown_user' WHEN f.userId IS NULL THEN 'no_activity' ELSE 'ok' END AS status,
+       {dbl(FEATURES, 'f')}
+FROM req r
+LEFT JOIN afeat f ON f.userId = r.user_id AND f.date = CAST(r.date AS DATE)
+LEFT JOIN (SELECT DISTINCT userId FROM ev WHERE userId IS NOT NULL) k ON k.userId = r.user_id""",
+    ["req", "afeat", "ev"],
+)

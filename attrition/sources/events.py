@@ -82,8 +82,14 @@ def load_events(spark: SparkSession, path: str, blank_user: str = "keep") -> Dat
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
     )
+    return canonicalize(raw, F.monotonically_increasing_id(), blank_user)
+
+
+def canonicalize(raw: DataFrame, seq, blank_user: str = "keep") -> DataFrame:
+    """Raw JSON fields (``EVENT_SCHEMA``) -> canonical columns; ``seq`` is
+    the log-order tiebreak column."""
     ev = raw.select(
-        F.monotonically_increasing_id().alias("event_seq"),
+        seq.alias("event_seq"),
         "userId",
         "sessionId",
         epoch_millis_to_ntz("ts").alias("datetime"),
@@ -182,5 +188,8 @@ def events_from_tables(spark: SparkSession, sf_dir: str, blank_user: str = "keep
 
 
 def corrupt_lines(ev: DataFrame) -> DataFrame:
-    """Lines of a JSON-Lines log that failed to parse."""
-    return ev.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    """Lines of a JSON-Lines log that failed to parse, with the fields that
+    did parse. Spark refuses a scan that needs the corrupt-record column
+    alone, so consume the rows (write / collect) rather than ``count()``
+    them, or persist the parsed log first."""
+    return ev.filter(F.col("_corrupt_record").isNotNull()).select("event_seq", "userId", "_corrupt_record")

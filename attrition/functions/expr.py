@@ -89,7 +89,7 @@ def round_doubles(df: DataFrame, scale: int = 6) -> DataFrame:
     exprs = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            exprs.append((F.round(F.col(f"`{f.name}`"), scale) + F.lit(0.0)).alias(f.name))
+            exprs.append(f"round(`{f.name}`, {scale}) + 0.0D AS `{f.name}`")
         else:
-            exprs.append(F.col(f"`{f.name}`"))
-    return df.select(*exprs)
+            exprs.append(f"`{f.name}`")
+    return df.selectExpr(*exprs)

@@ -47,25 +47,33 @@ def sequence_view(
     time_col: str = "datetime",
     seq_col: str = "event_seq",
     bucket: Column | None = None,
+    counters: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Adds ``rn`` (1-based position of the row in its ``part`` timeline),
     ``n_part`` (rows in the timeline) and, for every column in
     ``neighbour_cols``, ``prev_<c>`` / ``next_<c>`` (the value one row
-    before / after within the timeline; null at the ends).
+    before / after within the timeline; null at the ends). For every
+    ``counters`` entry ``name -> condition``: ``<name>_rn`` (rows so far,
+    this one included, that meet the condition) and ``<name>_total``.
 
     Rows whose ``part`` is null are dropped: they belong to no timeline.
     """
+    counters = counters or {}
     bucket = hour_bucket(time_col) if bucket is None else bucket
     keys = [part, "_bucket"]
     ordering = order_cols(time_col, seq_col)
     local = Window.partitionBy(*keys).orderBy(*ordering)
     x = df.filter(F.col(part).isNotNull()).withColumn("_bucket", bucket)
     x = x.withColumn("_lrn", F.row_number().over(local))
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, cond in counters.items():
+        x = x.withColumn(f"_c_{name}", F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+        x = x.withColumn(f"_lc_{name}", F.sum(f"_c_{name}").over(running))
     for c in neighbour_cols:
         x = x.withColumn(f"_lprev_{c}", F.lag(c).over(local)).withColumn(f"_lnext_{c}", F.lead(c).over(local))
 
     okey = order_key(time_col, seq_col)
-    aggs = [F.count(F.lit(1)).alias("_bn")]
+    aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in counters]
     for c in neighbour_cols:
         aggs += [F.min_by(c, okey).alias(f"_first_{c}"), F.max_by(c, okey).alias(f"_last_{c}")]
     summary = x.groupBy(*keys).agg(*aggs)
@@ -77,6 +85,11 @@ def sequence_view(
         F.coalesce(F.sum("_bn").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_bn").over(Window.partitionBy(part)).alias("n_part"),
     ]
+    for n in counters:
+        cols += [
+            F.coalesce(F.sum(f"_bc_{n}").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_coff_{n}"),
+            F.sum(f"_bc_{n}").over(Window.partitionBy(part)).alias(f"{n}_total"),
+        ]
     for c in neighbour_cols:
         cols += [
             F.lag(f"_last_{c}").over(across).alias(f"_bprev_{c}"),
@@ -85,6 +98,8 @@ def sequence_view(
     summary = summary.select(*cols)
 
     out = x.join(summary, keys, "inner").withColumn("rn", F.col("_off") + F.col("_lrn"))
+    for n in counters:
+        out = out.withColumn(f"{n}_rn", F.col(f"_coff_{n}") + F.col(f"_lc_{n}"))
     for c in neighbour_cols:
         out = out.withColumn(
             f"prev_{c}", F.when(F.col("_lrn") == 1, F.col(f"_bprev_{c}")).otherwise(F.col(f"_lprev_{c}"))
@@ -92,6 +107,8 @@ def sequence_view(
             f"next_{c}", F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_bnext_{c}")).otherwise(F.col(f"_lnext_{c}"))
         )
     drop = ["_bucket", "_lrn", "_bn", "_off"]
+    for n in counters:
+        drop += [f"_c_{n}", f"_lc_{n}", f"_coff_{n}"]
     for c in neighbour_cols:
         drop += [f"_lprev_{c}", f"_lnext_{c}", f"_bprev_{c}", f"_bnext_{c}"]
     return out.drop(*drop)

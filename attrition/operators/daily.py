@@ -104,20 +104,16 @@ def densify(days: DataFrame, end_col: str, fill_cols: list[str], fill_zero: dict
 def window_sums(dense: DataFrame, cols: list[str], recent: int, long: int) -> DataFrame:
     """``cum_<c>``, ``win<recent>_<c>``, ``win<long>_<c>``: running and
     trailing-row sums per user over the dense daily rows (rows are days, so
-    a row frame is a day frame). All share one window operator."""
-    w = Window.partitionBy("userId").orderBy("date")
-    cum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ws = w.rowsBetween(-(recent - 1), Window.currentRow)
-    wl = w.rowsBetween(-(long - 1), Window.currentRow)
-    exprs = []
-    for c in cols:
-        x = F.col(f"`{c}`")
-        exprs += [
-            F.sum(x).over(cum).alias(f"cum_{c}"),
-            F.sum(x).over(ws).alias(f"win{recent}_{c}"),
-            F.sum(x).over(wl).alias(f"win{long}_{c}"),
-        ]
-    return dense.select("*", *exprs)
+    a row frame is a day frame). All share one window operator; the 3 x 13
+    expressions are handed to Spark as one SQL projection."""
+    spec = "PARTITION BY userId ORDER BY date ROWS BETWEEN {} AND CURRENT ROW"
+    frames = {
+        "cum_": spec.format("UNBOUNDED PRECEDING"),
+        f"win{recent}_": spec.format(f"{recent - 1} PRECEDING"),
+        f"win{long}_": spec.format(f"{long - 1} PRECEDING"),
+    }
+    exprs = [f"sum(`{c}`) OVER ({frame}) AS `{prefix}{c}`" for c in cols for prefix, frame in frames.items()]
+    return dense.selectExpr("*", *exprs)
 
 
 CORE = CORE_COLUMNS

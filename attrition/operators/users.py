@@ -9,14 +9,11 @@ the final joins are co-partitioned.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.functions.expr import browser, floor_days, gender_code, operating_system
 from attrition.functions.sequence import order_key, sequence_view
-from attrition.operators.churn import churn_timestamps
 
 USER_COLUMNS = [
     "gender_code",
@@ -76,13 +73,25 @@ def position_halves(ev: DataFrame) -> DataFrame:
     return agg.select("userId", F.when(ok, (F.col("_r2") - F.col("_r1")) / F.col("_r1")).alias("activity_change_rate"))
 
 
-def user_features(ev: DataFrame, churn_ts: DataFrame | None = None) -> DataFrame:
-    """22 columns per non-null user (all doubles), ``userId`` first."""
-    churn_ts = churn_timestamps(ev) if churn_ts is None else churn_ts
+def user_features(ev: DataFrame) -> DataFrame:
+    """22 columns per non-null user (all doubles), ``userId`` first.
+
+    One skew-safe sequence view of the user's events (positions, previous /
+    next level and date, running count of non-null lengths) feeds one
+    ``groupBy(userId)`` that computes every column, the first churn time
+    included."""
+    from attrition.operators.churn import is_churn
+
     users = ev.filter(F.col("userId").isNotNull())
     okey = order_key()
     dataset_end = ev.select(F.max("datetime")).scalar()
-    base = users.groupBy("userId").agg(
+    seq = sequence_view(users, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()})
+    d, rn = F.col("date"), F.col("rn")
+    mid = F.floor(F.col("n_part") / 2)
+    k = F.floor(F.col("len_total") / 3)
+    has_len = F.col("length").isNotNull()
+    new_day = d.isNotNull() & (F.col("prev_date").isNull() | (F.col("prev_date") != d))
+    base = seq.groupBy("userId").agg(
         F.min_by("gender", okey).alias("_g"),
         F.min_by("registration_datetime", okey).alias("_reg"),
         F.min("datetime").alias("_first"),
@@ -90,7 +99,7 @@ def user_features(ev: DataFrame, churn_ts: DataFrame | None = None) -> DataFrame
         F.count(F.lit(1)).alias("total_events"),
         F.count_distinct("sessionId").alias("total_sessions"),
         F.count_distinct("page").alias("unique_pages"),
-        F.count_distinct("date").alias("unique_days_active"),
+        F.count_if(new_day).alias("unique_days_active"),
         F.sum("length").alias("total_hearing_time"),
         F.avg("length").alias("mean_hearing_time"),
         F.var_samp("length").alias("hearing_time_variance"),
@@ -101,13 +110,23 @@ def user_features(ev: DataFrame, churn_ts: DataFrame | None = None) -> DataFrame
         F.mode(F.weekday("datetime"), deterministic=True).alias("most_common_day"),
         F.avg(F.dayofmonth("datetime")).alias("avg_day_of_month"),
         F.avg(F.coalesce(F.col("level") == "paid", F.lit(False)).cast("double")).alias("paid_event_share"),
+        # position statistics (thirds of non-null lengths, halves of events)
+        F.max("n_part").alias("_n"),
+        F.max("len_total").alias("_nl"),
+        F.avg(F.when(has_len & (F.col("len_rn") <= k), F.col("length"))).alias("_start"),
+        F.avg(F.when(has_len & (F.col("len_rn") > F.col("len_total") - k), F.col("length"))).alias("_end"),
+        F.count(F.when(rn <= mid, d)).alias("_c1"),
+        F.count_if((rn <= mid) & new_day).alias("_d1"),
+        F.count(F.when(rn > mid, d)).alias("_c2"),
+        F.count_if((rn > mid) & d.isNotNull() & ((rn == mid + 1) | new_day)).alias("_d2"),
+        F.min(F.when(is_churn(), F.col("datetime"))).alias("churn_ts"),
+        F.max(is_churn().cast("int")).alias("_churned"),
     )
-    base = base.withColumn("_end", dataset_end)
-    x = (
-        base.join(position_thirds(users), "userId", "left")
-        .join(position_halves(users), "userId", "left")
-        .join(churn_ts.select("userId", "churn_ts"), "userId", "left")
-    )
+    r1 = F.try_divide(F.col("_c1").cast("double"), F.col("_d1"))
+    r2 = F.try_divide(F.col("_c2").cast("double"), F.col("_d2"))
+    thirds_ok = (F.col("_nl") >= 3) & (F.col("_start") != 0)
+    halves_ok = (F.col("_n") >= 4) & (r1 != 0)
+    x = base.withColumn("_end_ts", dataset_end)
     cols: dict[str, Column] = {
         "gender_code": gender_code("_g"),
         "account_age_days": floor_days("_last", "_reg"),
@@ -119,18 +138,18 @@ def user_features(ev: DataFrame, churn_ts: DataFrame | None = None) -> DataFrame
         "total_hearing_time": F.col("total_hearing_time"),
         "mean_hearing_time": F.col("mean_hearing_time"),
         "hearing_time_variance": F.col("hearing_time_variance"),
-        "hearing_time_change_rate": F.col("length_thirds_change"),
+        "hearing_time_change_rate": F.when(thirds_ok, (F.col("_end") - F.col("_start")) / F.col("_start")),
         "unique_user_agents": F.col("unique_user_agents"),
         "unique_browsers": F.col("unique_browsers"),
         "unique_os": F.col("unique_os"),
         "avg_hour_active": F.col("avg_hour_active"),
         "most_common_day": F.col("most_common_day"),
         "avg_day_of_month": F.col("avg_day_of_month"),
-        "days_since_last_activity": floor_days("_end", "_last"),
-        "activity_change_rate": F.col("activity_change_rate"),
+        "days_since_last_activity": floor_days("_end_ts", "_last"),
+        "activity_change_rate": F.when(halves_ok, (r2 - r1) / r1),
         "paid_event_share": F.col("paid_event_share"),
         "time_to_churn_days": floor_days("churn_ts", "_first"),
-        "is_churned_user": F.col("churn_ts").isNotNull().cast("int"),
+        "is_churned_user": F.coalesce(F.col("_churned"), F.lit(0)),
     }
     return x.select("userId", *[c.cast("double").alias(n) for n, c in cols.items()])
 
@@ -144,18 +163,62 @@ def _pair_corr(a: str, b: str) -> Column:
     return F.try_divide(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys))
 
 
+def pair_moments(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairwise-complete moment sums for every ordered column pair:
+    ``i, j, n, sx, sxx, sxy`` where, over rows with both columns non-null,
+    ``n`` counts rows, ``sx``/``sxx`` sum column i (shifted) and its square,
+    ``sxy`` sums the product.
+
+    Each partition reduces its rows to four k x k matrices with numpy (masked
+    Gram products) and emits k*k rows; one small aggregate adds the
+    partitions up. Columns are shifted by one of their own values (the
+    minimum, from a k-number aggregate) - this keeps the raw-moment formula
+    stable and makes a constant column's variance exactly zero."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(columns)
+    mins = table.agg(*[F.min(F.col(c)).alias(c) for c in columns]).first()
+    shift = np.array([0.0 if mins[c] is None else float(mins[c]) for c in columns])
+
+    def partials(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf[columns].to_numpy(dtype=float)
+            m = ~np.isnan(x)
+            xs = np.where(m, x - shift, 0.0)
+            mf = m.astype(float)
+            part = (mf.T @ mf, xs.T @ mf, (xs * xs).T @ mf, xs.T @ xs)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is not None:
+            ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+            yield pd.DataFrame({"i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
+                                "n": acc[0].ravel(), "sx": acc[1].ravel(), "sxx": acc[2].ravel(), "sxy": acc[3].ravel()})
+
+    parts = table.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(
+        partials, "i int, j int, n double, sx double, sxx double, sxy double"
+    )
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
+
+
 def correlation_matrix(table: DataFrame, columns: list[str] = USER_COLUMNS) -> DataFrame:
-    """``feature_a, feature_b, corr`` for every ordered pair, from one
-    aggregate over the table (each unordered pair computed once)."""
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    agg = table.agg(*[_pair_corr(columns[i], columns[j]).alias(f"_c{i}_{j}") for i, j in pairs])
-    entries = []
-    for i, j in pairs:
-        v = F.col(f"_c{i}_{j}")
-        entries.append(F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), v.alias("corr")))
-        if i != j:
-            entries.append(F.struct(F.lit(columns[j]).alias("feature_a"), F.lit(columns[i]).alias("feature_b"), v.alias("corr")))
-    return agg.select(F.inline(F.array(*entries)))
+    """``feature_a, feature_b, corr`` for every ordered pair (Pearson over
+    rows where both are non-null; null for zero variance or n < 2), from
+    pairwise moment sums (``pair_moments``) - a single pass over the table."""
+    mom = pair_moments(table, columns)
+    other = mom.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    x = mom.join(other, ["i", "j"])  # k*k rows
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    cov = n * sxy - sx * sy
+    den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    r = F.try_divide(cov, den)
+    corr = F.when((n >= 2) & ~F.isnan(r), r)
+    names = F.array(*[F.lit(c) for c in columns])
+    return x.select(
+        F.element_at(names, F.col("i") + 1).alias("feature_a"),
+        F.element_at(names, F.col("j") + 1).alias("feature_b"),
+        corr.alias("corr"),
+    )
 
 
 def correlation_with(table: DataFrame, target: str = TARGET, columns: list[str] = USER_COLUMNS) -> DataFrame:

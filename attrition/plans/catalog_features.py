@@ -119,12 +119,21 @@ def _user_table(s, d):
     return U.user_features(ev_null(s, d))
 
 
+def _user_table_saved(s, d):
+    """The user table written once to the shared checkpoint folder (one row
+    per user), so the correlation passes read it instead of the event log."""
+    from attrition.session import checkpoint_dir
+
+    checkpoint_dir(s)
+    return _user_table(s, d).checkpoint(eager=True)
+
+
 register("user_features")(_user_table)
 register("position_thirds")(lambda s, d: U.position_thirds(ev_null(s, d).filter(F.col("userId").isNotNull())))
 register("position_halves")(lambda s, d: U.position_halves(ev_null(s, d).filter(F.col("userId").isNotNull())))
 register("first_row_per_user")(lambda s, d: C.first_row_values(ev_null(s, d), ["gender", "registration_datetime"]))
 register("correlation_with_churn")(lambda s, d: U.correlation_with(_user_table(s, d)))
-register("correlation_matrix")(lambda s, d: U.correlation_matrix(_user_table(s, d)))
+register("correlation_matrix")(lambda s, d: U.correlation_matrix(_user_table_saved(s, d)))
 register("top_abs_correlations")(lambda s, d: U.top_abs_correlations(U.correlation_with(_user_table(s, d))))
 
 

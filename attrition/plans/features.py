@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.config import CORE_COLUMNS, LABEL, Params, feature_names
-from attrition.functions.expr import cyclical, day_of_week, finite_or_zero, gender_code, safe_div
+from attrition.functions.expr import cyclical, day_of_week, gender_code, safe_div
 from attrition.functions.sequence import order_key
 from attrition.operators.churn import churn_timestamps
 from attrition.operators.daily import artist_entropy, daily_aggregates, densify, window_sums
@@ -139,9 +139,13 @@ def feature_matrix(feat: DataFrame, params: Params = Params(), keys: bool = True
     """The model matrix: ordered feature columns as finite doubles (+-Inf,
     NaN and null -> 0) and the label."""
     names = feature_names(params)
-    cols = [finite_or_zero(_c(n)).alias(n) for n in names]
-    key_cols = [F.col("userId"), F.col("date")] if keys else []
-    return feat.select(*key_cols, *cols, F.col(LABEL).cast("long").alias(LABEL))
+    key_cols = ["userId", "date"] if keys else []
+    return feat.selectExpr(*key_cols, *[finite_or_zero_sql(n) for n in names], f"CAST({LABEL} AS BIGINT) AS {LABEL}")
+
+
+def finite_or_zero_sql(name: str) -> str:
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('inf') THEN 0.0D ELSE {x} END AS `{name}`"
 
 
 def user_day_features(ev: DataFrame, params: Params = Params(), churn_ts: DataFrame | None = None) -> DataFrame:

@@ -21,27 +21,18 @@ from pyspark.sql import functions as F
 
 from attrition.config import CORE_COLUMNS, LABEL, Params, feature_names
 from attrition.functions.expr import cyclical, day_of_week, gender_code, safe_div
-from attrition.functions.sequence import order_key
 from attrition.operators.churn import churn_timestamps
-from attrition.operators.daily import artist_entropy, daily_aggregates, densify, window_sums
+from attrition.operators.daily import artist_entropy, daily_aggregates_with_dims, densify, window_sums
 
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _user_dims_train(ev: DataFrame) -> DataFrame:
-    okey = order_key()
-    return ev.filter(F.col("userId").isNotNull()).groupBy("userId").agg(
-        F.min("registration_datetime").alias("_reg"),
-        F.min_by("gender", okey).alias("_gender"),
-        F.max("date").alias("_last_date"),
-    )
-
-
 def daily_table(ev: DataFrame) -> DataFrame:
-    """Active user-days with the 13 core counts and the day's artist entropy."""
-    daily = daily_aggregates(ev)
+    """Active user-days with the 13 core counts, the day's artist entropy and
+    per-day dimension pieces (co-partitioned join on ``(userId, date)``)."""
+    daily = daily_aggregates_with_dims(ev)
     ent = artist_entropy(ev)
     return daily.join(ent, ["userId", "date"], "left").withColumn(
         "artist_entropy_day", F.coalesce(F.col("artist_entropy_day"), F.lit(0.0))
@@ -51,35 +42,37 @@ def daily_table(ev: DataFrame) -> DataFrame:
 def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = None, churn_ts: DataFrame | None = None) -> DataFrame:
     """Dense user-day rows with core counts, entropy, churn and static dims.
 
-    ``ends`` (policy ``asof``): ``userId, end_date``."""
+    ``ends`` (policy ``asof``): ``userId, end_date``. User-level values are
+    window aggregates over the user's active days (already partitioned by
+    user for the gap filling), not a separate aggregate + join."""
     days = daily_table(ev)
     fill = CORE_COLUMNS + ["artist_entropy_day"]
+    user = Window.partitionBy("userId")
     if policy == "train":
         churn_ts = churn_timestamps(ev) if churn_ts is None else churn_ts
-        dims = _user_dims_train(ev).join(churn_ts.select("userId", "churn_ts", "churn_date"), "userId", "left")
-        dims = dims.withColumn("_end", F.coalesce(F.least("churn_date", "_last_date"), F.col("_last_date")))
-        x = days.join(dims, "userId", "inner")
-        return densify(x, "_end", fill, {"artist_entropy_day": F.lit(0.0)}).drop("_end", "_last_date")
+        x = days.join(churn_ts.select("userId", "churn_ts", "churn_date"), "userId", "left")
+        x = x.withColumns(
+            {
+                "_reg": F.min("_reg_day").over(user),
+                "_gender": F.min("_first_by_time").over(user).getField("g"),
+                "_last_date": F.max("date").over(user),
+            }
+        ).withColumn("_end", F.coalesce(F.least("churn_date", "_last_date"), F.col("_last_date")))
+        dense = densify(x, "_end", fill, {"artist_entropy_day": F.lit(0.0)})
+        return dense.drop("_end", "_last_date", "_reg_day", "_first_by_time", "_first_by_seq")
     if policy == "asof":
-        # per active day: earliest registration, first event in log order
-        seq_first = (
-            ev.filter(F.col("userId").isNotNull() & F.col("date").isNotNull())
-            .groupBy("userId", "date")
-            .agg(
-                F.min("registration_datetime").alias("_reg_day"),
-                F.min(F.struct(F.col("event_seq").alias("s"), F.col("gender").alias("g"))).alias("_first_day"),
-            )
-        )
-        x = days.join(seq_first, ["userId", "date"], "inner").join(ends.select("userId", F.col("end_date").alias("_end")), "userId", "inner")
+        x = days.join(ends.select("userId", F.col("end_date").alias("_end")), "userId", "inner")
         dense = densify(x, "_end", fill, {"artist_entropy_day": F.lit(0.0)}).drop("_end")
         run = Window.partitionBy("userId").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return (
-            dense.withColumn("_reg", F.min("_reg_day").over(run))
-            .withColumn("_gender", F.min("_first_day").over(run).getField("g"))
-            .withColumn("churn_ts", F.lit(None).cast("timestamp_ntz"))
-            .withColumn("churn_date", F.lit(None).cast("date"))
-            .drop("_reg_day", "_first_day")
-        )
+        return dense.withColumns(
+            {
+                # values of events up to the row's day only
+                "_reg": F.min("_reg_day").over(run),
+                "_gender": F.min("_first_by_seq").over(run).getField("g"),
+                "churn_ts": F.lit(None).cast("timestamp_ntz"),
+                "churn_date": F.lit(None).cast("date"),
+            }
+        ).drop("_reg_day", "_first_by_time", "_first_by_seq")
     raise ValueError("policy must be 'train' or 'asof'")
 
 

@@ -18,18 +18,20 @@ from attrition.sources.events import EVENT_SCHEMA, canonicalize
 
 def read_event_stream(spark: SparkSession, log_dir: str, blank_user: str = "keep",
                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of canonical events. ``event_seq`` is built from
-    the source file and the line's byte offset order within it
-    (``input_file_name`` + ``monotonically_increasing_id``), stable per file."""
+    """Streaming DataFrame of canonical events.
+
+    Streams cannot number rows in file order, so ``event_seq`` is a 64-bit
+    hash of the source file and the line's fields: a stable tiebreak, which
+    orders two events of one user at the same millisecond by hash rather
+    than by line position (the batch loader keeps line order)."""
     reader = spark.readStream.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.json(log_dir)
-    return canonicalize(raw, F.monotonically_increasing_id(), blank_user).withColumn(
-        "source_file", F.input_file_name()
-    )
+    seq = F.xxhash64(F.input_file_name(), *[F.col(f.name) for f in EVENT_SCHEMA.fields])
+    return canonicalize(raw, seq, blank_user).withColumn("source_file", F.input_file_name())
 
 
 def ingest_events(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = True):

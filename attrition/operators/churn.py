@@ -34,19 +34,22 @@ def level_neighbours(ev: DataFrame) -> DataFrame:
     return seq.select("event_seq", "userId", "datetime", "level", "prev_level", "next_level")
 
 
+CHURN_EVENT_COLUMNS = ["event_seq", "datetime", "userId", "sessionId", "page", "level", "prev_level", "next_level",
+                       "auth", "status", "location", "gender"]
+
+
 def churn_events(ev: DataFrame) -> DataFrame:
-    return (
-        with_level_neighbours(ev)
-        .filter(is_churn())
-        .select("event_seq", "datetime", "userId", "sessionId", "page", "level", "prev_level", "next_level",
-                "auth", "status", "location", "gender")
-    )
+    """The churn events with their display columns (``location`` only when
+    the event frame carries it)."""
+    cols = [c for c in CHURN_EVENT_COLUMNS if c in ev.columns or c in ("prev_level", "next_level")]
+    return with_level_neighbours(ev).filter(is_churn()).select(*cols)
 
 
 def churn_timestamps(ev: DataFrame) -> DataFrame:
     """First churn time per user: ``userId, churn_ts, churn_date``."""
     return (
-        churn_events(ev)
+        with_level_neighbours(ev)
+        .filter(is_churn())
         .groupBy("userId")
         .agg(F.min("datetime").alias("churn_ts"))
         .withColumn("churn_date", F.to_date("churn_ts"))

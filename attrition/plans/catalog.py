@@ -36,24 +36,25 @@ def register(name: str, rounded: bool = True):
     return deco
 
 
-def ev_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production view: the blank user id is an ordinary user."""
-    return events_from_tables(spark, sf_dir, blank_user="keep")
+def ev_keep(spark: SparkSession, sf_dir: str, location: bool = False) -> DataFrame:
+    """Production view: the blank user id is an ordinary user. ``location``
+    (a lookup join) is added only for the queries that read it."""
+    return events_from_tables(spark, sf_dir, blank_user="keep", with_location=location)
 
 
-def ev_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ev_null(spark: SparkSession, sf_dir: str, location: bool = False) -> DataFrame:
     """Exploration view: the blank user id is null."""
-    return events_from_tables(spark, sf_dir, blank_user="null")
+    return events_from_tables(spark, sf_dir, blank_user="null", with_location=location)
 
 
 # --- sources / scalars ------------------------------------------------------
-register("load_events")(lambda s, d: canonical(ev_keep(s, d)))
+register("load_events")(lambda s, d: canonical(ev_keep(s, d, location=True)))
 register("events_profile")(lambda s, d: X.events_profile(ev_keep(s, d)))
 register("enrich_calendar")(lambda s, d: X.enrich_calendar(ev_null(s, d)))
 register("days_since_registration")(lambda s, d: X.days_since_registration(ev_null(s, d)))
 register("parse_user_agent")(lambda s, d: X.parse_user_agent(ev_null(s, d)))
 register("normalize_blank")(lambda s, d: ev_null(s, d).select("event_seq", "userId"))
-register("filter_pages")(lambda s, d: canonical(X.filter_pages(ev_keep(s, d))))
+register("filter_pages")(lambda s, d: canonical(X.filter_pages(ev_keep(s, d, location=True))))
 
 # --- exploration ------------------------------------------------------------
 register("total_unique_users")(lambda s, d: X.total_unique_users(ev_null(s, d)))
@@ -71,12 +72,12 @@ register("page_by_level_pct")(lambda s, d: X.page_by_level_pct(ev_null(s, d)))
 register("sessions_per_user")(lambda s, d: X.sessions_per_user(ev_null(s, d)))
 register("devices_per_user")(lambda s, d: X.devices_per_user(ev_null(s, d)))
 register("avg_session_hours_per_user")(lambda s, d: X.avg_session_hours_per_user(ev_null(s, d)))
-register("top_locations")(lambda s, d: X.top_locations(ev_null(s, d)))
+register("top_locations")(lambda s, d: X.top_locations(ev_null(s, d, location=True)))
 register("top_users")(lambda s, d: C.top_users(ev_null(s, d)))
 
 # --- churn ------------------------------------------------------------------
 register("level_neighbours")(lambda s, d: C.level_neighbours(ev_keep(s, d)))
-register("churn_events")(lambda s, d: C.churn_events(ev_keep(s, d)))
+register("churn_events")(lambda s, d: C.churn_events(ev_keep(s, d, location=True)))
 register("churn_timestamps")(lambda s, d: C.churn_timestamps(ev_keep(s, d)))
 register("churn_summary")(lambda s, d: C.churn_summary(ev_null(s, d)))
 register("assert_churn_meaning")(lambda s, d: C.assert_churn_meaning(ev_null(s, d)))
@@ -107,7 +108,7 @@ register("daily_churn_rate_churn_days")(_with_churn(lambda ev, ct: C.daily_churn
 register("churn_rate_by_dom")(_with_churn(C.churn_rate_by_dom))
 register("churn_rate_by_dow")(_with_churn(C.churn_rate_by_dow))
 register("churn_by_gender")(_with_churn(C.churn_by_gender))
-register("churn_context")(lambda s, d: C.churn_context(ev_null(s, d), n_events=3, radius=5))
+register("churn_context")(lambda s, d: C.churn_context(ev_null(s, d, location=True), n_events=3, radius=5))
 register("session_timeline")(lambda s, d: C.session_timeline(ev_null(s, d)))
 
 

@@ -17,6 +17,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # AQE merges shuffle partitions up to max(total / cores, this floor);
+        # the 1 MB default folds a small test shuffle into one task. Large
+        # shuffles are sized by the advisory partition size as usual.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("ATTRITION_DRIVER_MEMORY", "8g"))

@@ -43,19 +43,21 @@ def daily_aggregates(ev: DataFrame) -> DataFrame:
 def daily_aggregates_with_dims(ev: DataFrame) -> DataFrame:
     """``daily_aggregates`` plus per-day pieces of the user dimensions, from
     the same aggregate: earliest registration of the day, and the day's
-    first event (by time, and by log order) with its gender. Rolled up to
-    the user with windows later, so no separate user aggregate or join is
-    needed."""
-    from attrition.functions.sequence import order_key
+    first event (by time, and by log order) as a decimal key tagged with
+    the event's gender code + 1 (``key_tag``). Rolled up to the user with
+    windows later, so no separate user aggregate or join is needed."""
+    from attrition.functions.expr import gender_code
+    from attrition.functions.sequence import tagged_order_key, tagged_seq_key
 
+    tag = gender_code("gender") + F.lit(1)
     page = F.col("page")
     return _keyed(ev).groupBy("userId", "date").agg(
         _count().alias("events"),
         F.coalesce(F.sum("length"), F.lit(0.0)).alias("listen_sec"),
         *[F.count_if(page == p).alias(p) for p in PAGES],
         F.min("registration_datetime").alias("_reg_day"),
-        F.min(F.struct(order_key().alias("k"), F.col("gender").alias("g"))).alias("_first_by_time"),
-        F.min(F.struct(F.col("event_seq").alias("k"), F.col("gender").alias("g"))).alias("_first_by_seq"),
+        F.min(tagged_order_key(tag)).alias("_first_by_time"),
+        F.min(tagged_seq_key(tag)).alias("_first_by_seq"),
     )
 
 

@@ -44,7 +44,7 @@ register("attach_entropy")(lambda s, d: _train_dense(s, d).select(*KEYS, "artist
 def _dims(s, d):
     x = _train_dense(s, d)
     return x.select(*KEYS, "churn_ts", "churn_date", F.col("_reg").alias("registration_datetime"),
-                    gender_code("_gender").cast("long").alias("gender_code"))
+                    F.col("_gcode").cast("long").alias("gender_code"))
 
 
 register("gender_code")(lambda s, d: first_row_values(ev_keep(s, d), ["gender"]).select(

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.config import CORE_COLUMNS, LABEL, Params, feature_names
-from attrition.functions.expr import cyclical, day_of_week, gender_code, safe_div
+from attrition.functions.expr import cyclical, day_of_week, safe_div
+from attrition.functions.sequence import key_tag
 from attrition.operators.churn import churn_timestamps
 from attrition.operators.daily import artist_entropy, daily_aggregates_with_dims, densify, window_sums
 
@@ -54,7 +55,7 @@ def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = N
         x = x.withColumns(
             {
                 "_reg": F.min("_reg_day").over(user),
-                "_gender": F.min("_first_by_time").over(user).getField("g"),
+                "_gcode": key_tag(F.min("_first_by_time").over(user)) - F.lit(1),
                 "_last_date": F.max("date").over(user),
             }
         ).withColumn("_end", F.coalesce(F.least("churn_date", "_last_date"), F.col("_last_date")))
@@ -68,7 +69,7 @@ def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = N
             {
                 # values of events up to the row's day only
                 "_reg": F.min("_reg_day").over(run),
-                "_gender": F.min("_first_by_seq").over(run).getField("g"),
+                "_gcode": key_tag(F.min("_first_by_seq").over(run)) - F.lit(1),
                 "churn_ts": F.lit(None).cast("timestamp_ntz"),
                 "churn_date": F.lit(None).cast("date"),
             }
@@ -88,7 +89,7 @@ def derive_features(dense: DataFrame, params: Params = Params()) -> DataFrame:
             "day_of_month": F.dayofmonth("date"),
             "day_of_week": day_of_week("date"),
             "days_since_join": F.coalesce(F.datediff(F.col("date"), F.to_date("_reg")), F.lit(0)),
-            "gender_code": gender_code("_gender"),
+            "gender_code": F.col("_gcode"),
         }
     )
     x = x.withColumns({"dow_sin": dow_sin, "dow_cos": dow_cos, "dom_sin": dom_sin, "dom_cos": dom_cos})

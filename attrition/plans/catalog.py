@@ -63,7 +63,7 @@ register("sessions_per_day")(lambda s, d: X.sessions_per_day(ev_null(s, d)))
 register("series_pair_join")(lambda s, d: X.users_and_sessions_per_day(ev_null(s, d)))
 register("sessions_by_hour")(lambda s, d: X.sessions_by_hour(ev_null(s, d)))
 register("session_durations")(lambda s, d: X.session_durations(ev_null(s, d)))
-register("session_duration_join")(lambda s, d: X.session_duration_join(ev_null(s, d)))
+register("session_duration_join")(lambda s, d: X.session_duration_join(ev_null(s, d, location=True)))
 register("events_by_gender")(lambda s, d: X.events_by_gender(ev_null(s, d)))
 register("users_by_gender")(lambda s, d: X.users_by_gender(ev_null(s, d)))
 register("page_counts")(lambda s, d: X.page_counts(ev_null(s, d)))

@@ -9,11 +9,11 @@ the final joins are co-partitioned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.functions.expr import browser, floor_days, gender_code, operating_system
-from attrition.functions.sequence import order_key, sequence_view
+from attrition.functions.sequence import key_tag, sequence_view, tagged_order_key
 
 USER_COLUMNS = [
     "gender_code",
@@ -83,7 +83,9 @@ def user_features(ev: DataFrame) -> DataFrame:
     from attrition.operators.churn import is_churn
 
     users = ev.filter(F.col("userId").isNotNull())
-    okey = order_key()
+    # first row by time: a decimal order key (hash aggregate, not a struct);
+    # its tag carries the gender code + 1
+    okey = tagged_order_key(gender_code("gender") + F.lit(1))
     dataset_end = ev.select(F.max("datetime")).scalar()
     seq = sequence_view(users, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()})
     d, rn = F.col("date"), F.col("rn")
@@ -91,8 +93,9 @@ def user_features(ev: DataFrame) -> DataFrame:
     k = F.floor(F.col("len_total") / 3)
     has_len = F.col("length").isNotNull()
     new_day = d.isNotNull() & (F.col("prev_date").isNull() | (F.col("prev_date") != d))
+    wd = F.weekday("datetime")
     base = seq.groupBy("userId").agg(
-        F.min_by("gender", okey).alias("_g"),
+        F.min(okey).alias("_first_key"),
         F.min_by("registration_datetime", okey).alias("_reg"),
         F.min("datetime").alias("_first"),
         F.max("datetime").alias("_last"),
@@ -107,7 +110,8 @@ def user_features(ev: DataFrame) -> DataFrame:
         F.count_distinct(browser("userAgent")).alias("unique_browsers"),
         F.count_distinct(operating_system("userAgent")).alias("unique_os"),
         F.avg(F.hour("datetime")).alias("avg_hour_active"),
-        F.mode(F.weekday("datetime"), deterministic=True).alias("most_common_day"),
+        # the weekday mode as seven counts (ties -> lowest day, nulls ignored)
+        *[F.count_if(wd == d).alias(f"_wd{d}") for d in range(7)],
         F.avg(F.dayofmonth("datetime")).alias("avg_day_of_month"),
         F.avg(F.coalesce(F.col("level") == "paid", F.lit(False)).cast("double")).alias("paid_event_share"),
         # position statistics (thirds of non-null lengths, halves of events)
@@ -127,8 +131,11 @@ def user_features(ev: DataFrame) -> DataFrame:
     thirds_ok = (F.col("_nl") >= 3) & (F.col("_start") != 0)
     halves_ok = (F.col("_n") >= 4) & (r1 != 0)
     x = base.withColumn("_end_ts", dataset_end)
+    # most frequent weekday, lowest on ties: the greatest of count * 8 + (7 - day)
+    wd_key = F.greatest(*[F.col(f"_wd{d}") * F.lit(8) + F.lit(7 - d) for d in range(7)])
+    most_common_day = F.when(wd_key >= F.lit(8), F.lit(7) - F.pmod(wd_key, F.lit(8)))
     cols: dict[str, Column] = {
-        "gender_code": gender_code("_g"),
+        "gender_code": key_tag("_first_key") - F.lit(1),
         "account_age_days": floor_days("_last", "_reg"),
         "total_events": F.col("total_events"),
         "total_sessions": F.col("total_sessions"),
@@ -143,7 +150,7 @@ def user_features(ev: DataFrame) -> DataFrame:
         "unique_browsers": F.col("unique_browsers"),
         "unique_os": F.col("unique_os"),
         "avg_hour_active": F.col("avg_hour_active"),
-        "most_common_day": F.col("most_common_day"),
+        "most_common_day": most_common_day,
         "avg_day_of_month": F.col("avg_day_of_month"),
         "days_since_last_activity": floor_days("_end_ts", "_last"),
         "activity_change_rate": F.when(halves_ok, (r2 - r1) / r1),
@@ -164,57 +171,88 @@ def _pair_corr(a: str, b: str) -> Column:
 
 
 def pair_moments(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise-complete moment sums for every ordered column pair:
-    ``i, j, n, sx, sxx, sxy`` where, over rows with both columns non-null,
-    ``n`` counts rows, ``sx``/``sxx`` sum column i (shifted) and its square,
-    ``sxy`` sums the product.
-
-    Each partition reduces its rows to four k x k matrices with numpy (masked
-    Gram products) and emits k*k rows; one small aggregate adds the
-    partitions up. Columns are shifted by one of their own values (the
-    minimum, from a k-number aggregate) - this keeps the raw-moment formula
-    stable and makes a constant column's variance exactly zero."""
+    """Pairwise-complete centred moments for every ordered column pair, in
+    one pass over the table: ``i, j, n, mi, mj, cii, cjj, cij`` where, over
+    the rows with both columns non-null, ``n`` counts rows, ``mi``/``mj``
+    are the means and ``cii``/``cjj``/``cij`` the sums of squared / crossed
+    deviations from them.
+
+    Each partition streams its Arrow batches into k x k matrices with numpy
+    (masked Gram products of the values shifted by a value of the column
+    itself, so a constant column has exactly zero deviation) and emits one
+    row per pair. Partitions are merged with the parallel-variance formula
+    ``C = sum(c_p) + sum(n_p (m_p - M)(m'_p - M'))`` over a window on the
+    pair (k*k*partitions rows); ``M`` is taken exactly when all partition
+    means agree, so a constant column's variance stays exactly zero."""
     import numpy as np
     import pandas as pd
 
     k = len(columns)
-    mins = table.agg(*[F.min(F.col(c)).alias(c) for c in columns]).first()
-    shift = np.array([0.0 if mins[c] is None else float(mins[c]) for c in columns])
 
     def partials(batches):
+        # batches stream through; the shift of a column is its first value
+        # seen in the partition (columns unseen so far have no deviations yet)
+        shift = np.full(k, np.nan)
         acc = None
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float)
             m = ~np.isnan(x)
-            xs = np.where(m, x - shift, 0.0)
+            fresh = np.isnan(shift) & m.any(axis=0)
+            if fresh.any():
+                cols_new = np.flatnonzero(fresh)
+                shift[cols_new] = x[m[:, cols_new].argmax(axis=0), cols_new]
+            xs = np.where(m, x - np.nan_to_num(shift), 0.0)
             mf = m.astype(float)
+            # n[i, j]: rows with both present; sx[i, j]: sum of shifted x_i over them
             part = (mf.T @ mf, xs.T @ mf, (xs * xs).T @ mf, xs.T @ xs)
             acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is not None:
-            ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-            yield pd.DataFrame({"i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"),
-                                "n": acc[0].ravel(), "sx": acc[1].ravel(), "sxx": acc[2].ravel(), "sxy": acc[3].ravel()})
+        if acc is None:
+            return
+        n, sx, sxx, sxy = acc
+        with np.errstate(all="ignore"):
+            mean_i = np.nan_to_num(shift)[:, None] + sx / n
+            cii = sxx - sx * sx / n
+            cij = sxy - sx * sx.T / n
+        ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+        keep = (n > 0).ravel()
+        yield pd.DataFrame({
+            "i": ii.ravel()[keep].astype("int32"), "j": jj.ravel()[keep].astype("int32"), "n": n.ravel()[keep],
+            "mi": mean_i.ravel()[keep], "mj": mean_i.T.ravel()[keep],
+            "cii": cii.ravel()[keep], "cjj": cii.T.ravel()[keep], "cij": cij.ravel()[keep],
+        })
 
     parts = table.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(
-        partials, "i int, j int, n double, sx double, sxx double, sxy double"
+        partials, "i int, j int, n double, mi double, mj double, cii double, cjj double, cij double"
+    )
+    pair = Window.partitionBy("i", "j")
+
+    def grand_mean(c: str) -> Column:
+        lo, hi = F.min(c).over(pair), F.max(c).over(pair)
+        return F.when(lo == hi, lo).otherwise(F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair))
+
+    x = parts.withColumns({"_Mi": grand_mean("mi"), "_Mj": grand_mean("mj")})
+    di, dj = F.col("mi") - F.col("_Mi"), F.col("mj") - F.col("_Mj")
+    return x.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.first("_Mi").alias("mi"),
+        F.first("_Mj").alias("mj"),
+        F.sum(F.col("cii") + F.col("n") * di * di).alias("cii"),
+        F.sum(F.col("cjj") + F.col("n") * dj * dj).alias("cjj"),
+        F.sum(F.col("cij") + F.col("n") * di * dj).alias("cij"),
     )
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")])
 
 
 def correlation_matrix(table: DataFrame, columns: list[str] = USER_COLUMNS) -> DataFrame:
     """``feature_a, feature_b, corr`` for every ordered pair (Pearson over
     rows where both are non-null; null for zero variance or n < 2), from
-    pairwise moment sums (``pair_moments``) - a single pass over the table."""
+    the pairwise centred moments of ``pair_moments`` - one pass over the
+    table, k*k small rows after it."""
     mom = pair_moments(table, columns)
-    other = mom.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
-    x = mom.join(other, ["i", "j"])  # k*k rows
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    cov = n * sxy - sx * sy
-    den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    r = F.try_divide(cov, den)
-    corr = F.when((n >= 2) & ~F.isnan(r), r)
+    n, cii, cjj, cij = (F.col(c) for c in ("n", "cii", "cjj", "cij"))
+    r = F.try_divide(cij, F.sqrt(cii * cjj))
+    corr = F.when((n >= 2) & (cii > 0) & (cjj > 0) & ~F.isnan(r), r)
     names = F.array(*[F.lit(c) for c in columns])
-    return x.select(
+    return mom.select(
         F.element_at(names, F.col("i") + 1).alias("feature_a"),
         F.element_at(names, F.col("j") + 1).alias("feature_b"),
         corr.alias("corr"),

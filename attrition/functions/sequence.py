@@ -44,8 +44,9 @@ def tagged_order_key(tag: Column, time_col: str = "datetime", seq_col: str = "ev
 
     ``min`` / ``max`` of a decimal run in Spark's hash aggregate with
     generated code, where a struct key needs a sort-based aggregate;
-    ``key_tag`` reads the tag of the extreme row back. Sequence numbers
-    must be non-negative (row ids and event ids are)."""
+    ``key_tag`` reads the tag of the extreme row back. Any 64-bit sequence
+    number works: ``|seq * 4 + tag| < 10^20 / 2`` keeps distinct times
+    apart, and ``micros * 10^20`` and ``seq * 4`` are multiples of 4."""
     micros = F.coalesce(
         F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{time_col}` AS TIMESTAMP_NTZ))"),
         F.lit(NULL_TIME_MICROS),

@@ -23,6 +23,8 @@ def test_tagged_order_key_orders_like_time_then_sequence(spark):
         (None, 1, 0),
         (t(9999, 12, 31, 23, 59, 59), 7, 1),
         (t(2024, 1, 1, 0, 0, 0, 1), 0, 0),  # one microsecond later
+        (t(2024, 1, 1), -9_223_372_036_854_775_808, 3),  # hashed sequence numbers may be negative
+        (t(2024, 1, 1, 0, 0, 0, 1), -1, 1),
     ]
     df = spark.createDataFrame(data, "datetime timestamp_ntz, event_seq long, tag int")
     got = df.select(

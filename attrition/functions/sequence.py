@@ -96,13 +96,17 @@ def sequence_view(
     ordering = order_cols(time_col, seq_col)
     local = Window.partitionBy(*keys).orderBy(*ordering)
     x = df.filter(F.col(part).isNotNull()).withColumn("_bucket", bucket)
-    x = x.withColumn("_lrn", F.row_number().over(local))
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one projection for all local window columns (fewer analysis passes)
+    local_cols: dict[str, Column] = {"_lrn": F.row_number().over(local)}
     for name, cond in counters.items():
-        x = x.withColumn(f"_c_{name}", F.when(cond, F.lit(1)).otherwise(F.lit(0)))
-        x = x.withColumn(f"_lc_{name}", F.sum(f"_c_{name}").over(running))
+        flag = F.when(cond, F.lit(1)).otherwise(F.lit(0))
+        local_cols[f"_c_{name}"] = flag
+        local_cols[f"_lc_{name}"] = F.sum(flag).over(running)
     for c in neighbour_cols:
-        x = x.withColumn(f"_lprev_{c}", F.lag(c).over(local)).withColumn(f"_lnext_{c}", F.lead(c).over(local))
+        local_cols[f"_lprev_{c}"] = F.lag(c).over(local)
+        local_cols[f"_lnext_{c}"] = F.lead(c).over(local)
+    x = x.withColumns(local_cols)
 
     okey = order_key(time_col, seq_col)
     aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in counters]
@@ -129,15 +133,13 @@ def sequence_view(
         ]
     summary = summary.select(*cols)
 
-    out = x.join(summary, keys, "inner").withColumn("rn", F.col("_off") + F.col("_lrn"))
+    out_cols: dict[str, Column] = {"rn": F.col("_off") + F.col("_lrn")}
     for n in counters:
-        out = out.withColumn(f"{n}_rn", F.col(f"_coff_{n}") + F.col(f"_lc_{n}"))
+        out_cols[f"{n}_rn"] = F.col(f"_coff_{n}") + F.col(f"_lc_{n}")
     for c in neighbour_cols:
-        out = out.withColumn(
-            f"prev_{c}", F.when(F.col("_lrn") == 1, F.col(f"_bprev_{c}")).otherwise(F.col(f"_lprev_{c}"))
-        ).withColumn(
-            f"next_{c}", F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_bnext_{c}")).otherwise(F.col(f"_lnext_{c}"))
-        )
+        out_cols[f"prev_{c}"] = F.when(F.col("_lrn") == 1, F.col(f"_bprev_{c}")).otherwise(F.col(f"_lprev_{c}"))
+        out_cols[f"next_{c}"] = F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_bnext_{c}")).otherwise(F.col(f"_lnext_{c}"))
+    out = x.join(summary, keys, "inner").withColumns(out_cols)
     drop = ["_bucket", "_lrn", "_bn", "_off"]
     for n in counters:
         drop += [f"_c_{n}", f"_lc_{n}", f"_coff_{n}"]

@@ -52,15 +52,16 @@ def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = N
     if policy == "train":
         churn_ts = churn_timestamps(ev) if churn_ts is None else churn_ts
         x = days.join(churn_ts.select("userId", "churn_ts", "churn_date"), "userId", "left")
+        last_date = F.max("date").over(user)
         x = x.withColumns(
             {
                 "_reg": F.min("_reg_day").over(user),
                 "_gcode": key_tag(F.min("_first_by_time").over(user)) - F.lit(1),
-                "_last_date": F.max("date").over(user),
+                "_end": F.coalesce(F.least(F.col("churn_date"), last_date), last_date),
             }
-        ).withColumn("_end", F.coalesce(F.least("churn_date", "_last_date"), F.col("_last_date")))
+        )
         dense = densify(x, "_end", fill, {"artist_entropy_day": F.lit(0.0)})
-        return dense.drop("_end", "_last_date", "_reg_day", "_first_by_time", "_first_by_seq")
+        return dense.drop("_end", "_reg_day", "_first_by_time", "_first_by_seq")
     if policy == "asof":
         x = days.join(ends.select("userId", F.col("end_date").alias("_end")), "userId", "inner")
         dense = densify(x, "_end", fill, {"artist_entropy_day": F.lit(0.0)}).drop("_end")
@@ -82,23 +83,24 @@ def derive_features(dense: DataFrame, params: Params = Params()) -> DataFrame:
     ``churn_date`` and the label."""
     s, l, h = params.recent_window, params.long_window, params.horizon_days
     x = window_sums(dense, CORE_COLUMNS, s, l)
-    dow_sin, dow_cos = cyclical("day_of_week", 7)
-    dom_sin, dom_cos = cyclical("day_of_month", 31)
-    x = x.withColumns(
-        {
-            "day_of_month": F.dayofmonth("date"),
-            "day_of_week": day_of_week("date"),
-            "days_since_join": F.coalesce(F.datediff(F.col("date"), F.to_date("_reg")), F.lit(0)),
-            "gender_code": F.col("_gcode"),
-        }
-    )
-    x = x.withColumns({"dow_sin": dow_sin, "dow_cos": dow_cos, "dom_sin": dom_sin, "dom_cos": dom_cos})
+    dow, dom = day_of_week("date"), F.dayofmonth("date")
+    dow_sin, dow_cos = cyclical(dow, 7)
+    dom_sin, dom_cos = cyclical(dom, 31)
 
     def ratio(num: str, den: str) -> Column:
         return safe_div(_c(num), _c(den))
 
+    # calendar, static and ratio columns in one projection
     x = x.withColumns(
         {
+            "day_of_month": dom,
+            "day_of_week": dow,
+            "days_since_join": F.coalesce(F.datediff(F.col("date"), F.to_date("_reg")), F.lit(0)),
+            "gender_code": F.col("_gcode"),
+            "dow_sin": dow_sin,
+            "dow_cos": dow_cos,
+            "dom_sin": dom_sin,
+            "dom_cos": dom_cos,
             "ratio_thumbs_up": ratio("cum_Thumbs Up", "cum_NextSong"),
             "ratio_playlist": ratio("cum_Add to Playlist", "cum_NextSong"),
             "ratio_friend": ratio("cum_Add Friend", "cum_NextSong"),
@@ -114,6 +116,7 @@ def derive_features(dense: DataFrame, params: Params = Params()) -> DataFrame:
             "prop_nextsong": ratio("cum_NextSong", "cum_events"),
         }
     )
+    cd, d = F.col("churn_date"), F.col("date")
     x = x.withColumns(
         {
             "chg_thumbs_up": _c(f"ratio{s}_thumbs_up") - _c("ratio_thumbs_up"),
@@ -121,11 +124,9 @@ def derive_features(dense: DataFrame, params: Params = Params()) -> DataFrame:
             "chg_friend": _c(f"ratio{s}_friend") - _c("ratio_friend"),
             f"delta{s}_{l}_thumbs": _c(f"ratio{s}_thumbs_up") - _c(f"ratio{l}_thumbs_up"),
             f"delta{s}_{l}_playlist": _c(f"ratio{s}_playlist") - _c(f"ratio{l}_playlist"),
+            LABEL: (cd.isNotNull() & (cd > d) & (cd <= F.date_add(d, h))).cast("int"),
         }
     )
-    cd, d = F.col("churn_date"), F.col("date")
-    label = (cd.isNotNull() & (cd > d) & (cd <= F.date_add(d, h))).cast("int")
-    x = x.withColumn(LABEL, label)
     return x.filter(cd.isNull() | (d <= cd))
 
 

@@ -4,7 +4,7 @@ The original program sorts each user's events by time and takes positions,
 previous/next values and row numbers. A plain ``Window.partitionBy(user)``
 sends every event of a user to one task, and one user (the blank ``''`` id,
 say) may own a third of the log. Here each user's timeline is cut into
-time buckets (hours by default):
+time buckets (hours; seconds for users with very many events):
 
 1. a window over ``(user, bucket)`` gives local positions and neighbours;
 2. a small per-bucket summary (count, first and last value) is windowed over
@@ -72,6 +72,29 @@ def hour_bucket(time_col: str = "datetime") -> Column:
     return F.coalesce(b, F.lit(NULL_BUCKET).cast("long"))
 
 
+def _epoch_seconds(time_col: str) -> Column:
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{time_col}` AS TIMESTAMP_NTZ))")
+
+
+HOT_USER_EVENTS = 1 << 24  # users above this many events are bucketed by second
+
+
+def adaptive_bucket(df: DataFrame, part: str, time_col: str, hot_threshold: int) -> tuple[DataFrame, Column]:
+    """Order-preserving time buckets (in epoch seconds): the hour for most
+    users, the second for users with more than ``hot_threshold`` events, so
+    one heavy user's hour is not one task. Adds ``_hot``.
+
+    The heavy users come from a per-user count (partial aggregation, one
+    row per user); there are at most ``rows / hot_threshold`` of them, which
+    bounds the broadcast."""
+    counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > F.lit(hot_threshold)).select(part, F.lit(True).alias("_hot"))
+    x = df.join(F.broadcast(hot), part, "left")
+    secs = _epoch_seconds(time_col)
+    b = F.when(F.col("_hot"), secs).otherwise(F.floor(secs / F.lit(3600)) * F.lit(3600)).cast("long")
+    return x, F.coalesce(b, F.lit(NULL_BUCKET).cast("long"))
+
+
 def sequence_view(
     df: DataFrame,
     part: str = "userId",
@@ -80,6 +103,7 @@ def sequence_view(
     seq_col: str = "event_seq",
     bucket: Column | None = None,
     counters: dict[str, Column] | None = None,
+    hot_threshold: int = HOT_USER_EVENTS,
 ) -> DataFrame:
     """Adds ``rn`` (1-based position of the row in its ``part`` timeline),
     ``n_part`` (rows in the timeline) and, for every column in
@@ -89,13 +113,18 @@ def sequence_view(
     this one included, that meet the condition) and ``<name>_total``.
 
     Rows whose ``part`` is null are dropped: they belong to no timeline.
+    Buckets are hours, or seconds for timelines longer than
+    ``hot_threshold`` rows (``adaptive_bucket``); any order-preserving
+    bucket gives the same result.
     """
     counters = counters or {}
-    bucket = hour_bucket(time_col) if bucket is None else bucket
+    base = df.filter(F.col(part).isNotNull())
+    if bucket is None:
+        base, bucket = adaptive_bucket(base, part, time_col, hot_threshold)
     keys = [part, "_bucket"]
     ordering = order_cols(time_col, seq_col)
     local = Window.partitionBy(*keys).orderBy(*ordering)
-    x = df.filter(F.col(part).isNotNull()).withColumn("_bucket", bucket)
+    x = base.withColumn("_bucket", bucket)
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one projection for all local window columns (fewer analysis passes)
     local_cols: dict[str, Column] = {"_lrn": F.row_number().over(local)}
@@ -140,7 +169,7 @@ def sequence_view(
         out_cols[f"prev_{c}"] = F.when(F.col("_lrn") == 1, F.col(f"_bprev_{c}")).otherwise(F.col(f"_lprev_{c}"))
         out_cols[f"next_{c}"] = F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_bnext_{c}")).otherwise(F.col(f"_lnext_{c}"))
     out = x.join(summary, keys, "inner").withColumns(out_cols)
-    drop = ["_bucket", "_lrn", "_bn", "_off"]
+    drop = ["_bucket", "_lrn", "_bn", "_off", "_hot"]
     for n in counters:
         drop += [f"_c_{n}", f"_lc_{n}", f"_coff_{n}"]
     for c in neighbour_cols:

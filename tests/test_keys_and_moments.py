@@ -87,3 +87,22 @@ def test_correlation_matrix_merges_partitions_and_nulls_constant_columns(spark):
             assert v is None, (x, y, v)
         else:
             assert v is not None and abs(v - want) < 1e-9, (x, y, v, want)
+
+
+def test_sequence_view_same_result_with_second_buckets_for_heavy_users(spark):
+    # every user over the threshold (0): second buckets; default: hour buckets
+    from attrition.functions.sequence import sequence_view
+    from attrition.sources.events import events_from_tables
+    from tests.conftest import SF_SMALL
+
+    ev = events_from_tables(spark, SF_SMALL, "keep")
+    cols = ["event_seq", "rn", "n_part", "prev_level", "next_level", "prev_date", "next_date", "len_rn", "len_total"]
+
+    def view(threshold):
+        v = sequence_view(ev, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()},
+                          hot_threshold=threshold)
+        return sorted(tuple(r) for r in v.select(*cols).collect())
+
+    hourly, secondly = view(1 << 24), view(0)
+    assert len(hourly) == ev.filter(F.col("userId").isNotNull()).count()
+    assert hourly == secondly

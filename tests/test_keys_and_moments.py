@@ -106,3 +106,35 @@ def test_sequence_view_same_result_with_second_buckets_for_heavy_users(spark):
     hourly, secondly = view(1 << 24), view(0)
     assert len(hourly) == ev.filter(F.col("userId").isNotNull()).count()
     assert hourly == secondly
+
+
+def test_second_buckets_keep_ties_and_null_times_in_order(spark, jsonl):
+    from attrition.functions.sequence import sequence_view
+
+    t0 = BASE_MS + 5 * HOUR - 1000  # one second before an hour boundary
+    lines = [
+        event("1", t0 + 1500, level="free"),
+        event("1", t0, level="paid"),
+        event("1", t0, level="free"),  # same instant: file order decides
+        event("1", t0 + 200, level="paid"),  # same second
+        event("1", None, level="free"),  # null time: last
+        event("1", t0 + 1000, level="paid"),  # exactly on the hour
+        event("2", t0, level="paid"),
+    ]
+    ev = load_events(spark, jsonl(lines))
+    cols = ["event_seq", "rn", "n_part", "prev_level", "next_level"]
+    got = {t: sorted(tuple(r) for r in sequence_view(ev, "userId", ("level",), hot_threshold=t).select(*cols).collect())
+           for t in (0, 1 << 24)}
+    assert got[0] == got[1 << 24]
+    # expected: user 1 by (time nulls last, file position)
+    u1 = sorted(
+        [(r["ts"], i, r["level"]) for i, r in enumerate(lines) if r["userId"] == "1"],
+        key=lambda x: (x[0] is None, x[0] or 0, x[1]),
+    )
+    seqs = {r["event_seq"]: r for r in ev.select("event_seq", "userId", "datetime").collect()}
+    by_rn = [row for row in got[0] if seqs[row[0]]["userId"] == "1"]
+    by_rn.sort(key=lambda r: r[1])
+    levels = [lv for _, _, lv in u1]
+    assert [r[1] for r in by_rn] == list(range(1, 7)) and all(r[2] == 6 for r in by_rn)
+    assert [r[3] for r in by_rn] == [None] + levels[:-1]
+    assert [r[4] for r in by_rn] == levels[1:] + [None]

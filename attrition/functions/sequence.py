@@ -137,7 +137,9 @@ def sequence_view(
         local_cols[f"_lnext_{c}"] = F.lead(c).over(local)
     x = x.withColumns(local_cols)
 
-    okey = order_key(time_col, seq_col)
+    # decimal order key: with numeric neighbour columns the summary is a
+    # hash aggregate (a text column makes Spark fall back to sorting)
+    okey = tagged_order_key(F.lit(0), time_col, seq_col)
     aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in counters]
     for c in neighbour_cols:
         aggs += [F.min_by(c, okey).alias(f"_first_{c}"), F.max_by(c, okey).alias(f"_last_{c}")]

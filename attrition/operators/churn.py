@@ -29,6 +29,30 @@ def is_churn() -> Column:
     )
 
 
+def level_code() -> Column:
+    """What churn detection needs of a level, as a number: paid -> 1,
+    free -> 0, any other level -> 2, null -> null. Numbers keep the
+    per-bucket summary of the sequence view a hash aggregate."""
+    lv = F.col("level")
+    return F.when(lv == "paid", F.lit(1)).when(lv == "free", F.lit(0)).when(lv.isNotNull(), F.lit(2))
+
+
+def with_level_code_neighbours(ev: DataFrame, extra: tuple[str, ...] = (), counters: dict | None = None) -> DataFrame:
+    """``with_level_neighbours`` carrying ``prev_level_code`` /
+    ``next_level_code`` instead of the level text (plus ``extra``
+    neighbour columns and ``counters``)."""
+    return sequence_view(ev.withColumn("level_code", level_code()), "userId", ("level_code", *extra), counters=counters)
+
+
+def is_churn_coded() -> Column:
+    """``is_churn`` on the level codes."""
+    return (
+        (F.col("page") == CHURN_PAGE)
+        & F.coalesce(F.col("prev_level_code") == 1, F.lit(False))
+        & F.coalesce(F.col("next_level_code") == 0, F.lit(False))
+    )
+
+
 def level_neighbours(ev: DataFrame) -> DataFrame:
     seq = with_level_neighbours(ev)
     return seq.select("event_seq", "userId", "datetime", "level", "prev_level", "next_level")
@@ -48,8 +72,8 @@ def churn_events(ev: DataFrame) -> DataFrame:
 def churn_timestamps(ev: DataFrame) -> DataFrame:
     """First churn time per user: ``userId, churn_ts, churn_date``."""
     return (
-        with_level_neighbours(ev)
-        .filter(is_churn())
+        with_level_code_neighbours(ev)
+        .filter(is_churn_coded())
         .groupBy("userId")
         .agg(F.min("datetime").alias("churn_ts"))
         .withColumn("churn_date", F.to_date("churn_ts"))

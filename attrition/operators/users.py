@@ -80,14 +80,15 @@ def user_features(ev: DataFrame) -> DataFrame:
     next level and date, running count of non-null lengths) feeds one
     ``groupBy(userId)`` that computes every column, the first churn time
     included."""
-    from attrition.operators.churn import is_churn
+    from attrition.operators.churn import is_churn_coded as is_churn
+    from attrition.operators.churn import with_level_code_neighbours
 
     users = ev.filter(F.col("userId").isNotNull())
     # first row by time: a decimal order key (hash aggregate, not a struct);
     # its tag carries the gender code + 1
     okey = tagged_order_key(gender_code("gender") + F.lit(1))
     dataset_end = ev.select(F.max("datetime")).scalar()
-    seq = sequence_view(users, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()})
+    seq = with_level_code_neighbours(users, ("date",), counters={"len": F.col("length").isNotNull()})
     d, rn = F.col("date"), F.col("rn")
     mid = F.floor(F.col("n_part") / 2)
     k = F.floor(F.col("len_total") / 3)

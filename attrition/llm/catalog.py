@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from attrition.llm import line_dedup
+import public_tokenizers
+
+from attrition.llm import line_dedup, pieces
 from attrition.llm.common import table
 
 
@@ -10,8 +12,12 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries():
-    return {f.__name__: f for f in (op9_line_dedup,)}
+    return {f.__name__: f for f in (op8_sentencepiece, op9_line_dedup)}
 
 
 def oracle_queries():

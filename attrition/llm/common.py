@@ -3,6 +3,7 @@ hash split between learning and held-out rows, hashed words."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from attrition.session import checkpoint_dir
 
 #: Text bytes that one numpy step handles at a time; bounds a task's memory.
 SLICE_BYTES = 1 << 20
+#: Largest Arrow batch between Spark and Python.
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` whose batches hold at most ``BATCH_BYTES``: Spark's default of
+    10,000 rows or 64 MB is a lot for a Python worker when texts are long. Lowers
+    the session's setting and never raises it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m").lower()
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Makes ``DataFrame.checkpoint`` write to the shared folder of the session."""
     checkpoint_dir(spark)

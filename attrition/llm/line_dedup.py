@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import slices, use_checkpoints
+from attrition.llm.common import map_arrow, slices, use_checkpoints
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_DOC = -(1 << 63)
@@ -130,15 +130,15 @@ def keep_bitmaps(docs: DataFrame, min_points: int = 40, min_docs: int = 5) -> Da
     spark = docs.sparkSession
     use_checkpoints(spark)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    occ = _keyed(docs).mapInArrow(_occurrences(min_points), _OCC)
+    occ = map_arrow(_keyed(docs), _occurrences(min_points), _OCC)
     order = ["h1", "h2", F.col("doc").desc()]
-    runs = occ.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _RUN).checkpoint()
+    runs = map_arrow(occ.repartitionByRange(parts, *order).sortWithinPartitions(*order), _stream(min_docs), _RUN).checkpoint()
     totals = runs.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= min_docs)
     undecided = runs.where("kind = 1").join(totals, ["h1", "h2"]).where("doc <> top")
     cols = ["doc", "row_key", "n_lines", "lines"]
     gone = runs.where("kind = 0").select(*cols).unionByName(undecided.select(*cols))
     per_doc = gone.groupBy("doc", "row_key").agg(F.first("n_lines").alias("n_lines"), F.flatten(F.collect_list("lines")).alias("lines"))
-    return per_doc.mapInArrow(_bitmap, "doc long, row_key long, n_lines int, n_dropped int, keep binary")
+    return map_arrow(per_doc, _bitmap, "doc long, row_key long, n_lines int, n_dropped int, keep binary")
 
 
 def kept_text(text: str | None, n_lines: int | None, keep: bytes | None) -> tuple[str, int, int]:
@@ -168,7 +168,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
                 digests = [hashlib.sha256(t.encode()).hexdigest() for t, _, _ in kept]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([n for _, n, _ in kept], pa.int64()), pa.array([n for _, _, n in kept], pa.int64()), pa.array(digests, pa.string())], schema=schema)
 
-    return with_bitmaps(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_arrow(with_bitmaps(docs.select("doc_id", "text")), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_shared_lines(docs: DataFrame, **params) -> DataFrame:
@@ -182,7 +182,7 @@ def drop_shared_lines(docs: DataFrame, **params) -> DataFrame:
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type)).select(schema.names)
 
-    out = with_bitmaps(docs, **params).mapInArrow(run, schema)
+    out = map_arrow(with_bitmaps(docs, **params), run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 

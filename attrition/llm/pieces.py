@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attrition.llm.common import slices
+from attrition.llm.common import map_arrow, slices
 
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 bounds = pa.array(np.append(0, np.cumsum(size)), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, model: Model) -> DataFrame:
@@ -227,7 +227,7 @@ def decode(tokens: DataFrame, model: Model) -> DataFrame:
             texts = [decode_ids(shared.value, x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(tokens.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,4 +249,4 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, schema.types[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from attrition.llm import line_dedup, pieces
+from attrition.llm import language, line_dedup, pieces, toxicity
 from attrition.llm.common import table
 
 
@@ -12,12 +12,22 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.predict(docs, language.learn(docs))
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.predict(docs, toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def queries():
-    return {f.__name__: f for f in (op8_sentencepiece, op9_line_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op8_sentencepiece, op9_line_dedup)}
 
 
 def oracle_queries():

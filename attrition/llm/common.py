@@ -47,12 +47,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``max_bytes`` of text each (one row at least)."""
+def hash_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """doc_id of at most n documents of ``rows``, by the order of a hash of the
+    id; n bounds what a model is fitted on, so the result may be broadcast."""
+    return rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``max_bytes`` of text and ``max_rows`` rows each (one row at least)."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size, dtype=np.int64) // max_bytes
+    group = np.cumsum(size, dtype=np.int64) // max_bytes + np.arange(len(size)) // max_rows
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)

@@ -134,7 +134,8 @@ def keep_bitmaps(docs: DataFrame, min_points: int = 40, min_docs: int = 5) -> Da
     order = ["h1", "h2", F.col("doc").desc()]
     runs = map_arrow(occ.repartitionByRange(parts, *order).sortWithinPartitions(*order), _stream(min_docs), _RUN).checkpoint()
     totals = runs.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= min_docs)
-    undecided = runs.where("kind = 1").join(totals, ["h1", "h2"]).where("doc <> top")
+    # at most two rows for each partition of the sort: small by construction
+    undecided = runs.where("kind = 1").join(F.broadcast(totals), ["h1", "h2"]).where("doc <> top")
     cols = ["doc", "row_key", "n_lines", "lines"]
     gone = runs.where("kind = 0").select(*cols).unionByName(undecided.select(*cols))
     per_doc = gone.groupBy("doc", "row_key").agg(F.first("n_lines").alias("n_lines"), F.flatten(F.collect_list("lines")).alias("lines"))

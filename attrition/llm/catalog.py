@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from attrition.llm import language, line_dedup, pieces, toxicity
+from attrition.llm import language, line_dedup, pieces, quality, toxicity
 from attrition.llm.common import table
 
 
@@ -22,12 +22,17 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.predict(docs, toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.predict(docs, quality.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op8_sentencepiece, op9_line_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup)}
 
 
 def oracle_queries():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from attrition.llm import language, line_dedup, pieces, quality, toxicity
+from attrition.llm import language, line_dedup, packing, pieces, quality, toxicity
 from attrition.llm.common import table
 
 
@@ -31,8 +31,12 @@ def op8_sentencepiece(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.load(public_tokenizers.path("byte_bpe_50k.json")), digest=True)
+
+
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup)}
+    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup, op10_packing)}
 
 
 def oracle_queries():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from attrition.llm import language, line_dedup, packing, pieces, quality, toxicity
+from attrition.llm import language, licenses, line_dedup, packing, pieces, quality, toxicity
 from attrition.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language.predict(docs, language.learn(docs))
@@ -36,8 +40,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup, op10_packing)}
 
 
 def oracle_queries():
-    return {"op9_line_dedup": line_dedup.LINES_SQL}
+    return {"op2_license_scan": licenses.SCAN_SQL, "op9_line_dedup": line_dedup.LINES_SQL}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from attrition.llm import language, licenses, line_dedup, packing, pieces, quality, toxicity
+from attrition.llm import language, licenses, line_dedup, packing, pieces, pigeonhole, quality, toxicity, vantage
 from attrition.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return pigeonhole.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,6 +36,10 @@ def op5_quality(spark, sf_dir):
     return quality.predict(docs, quality.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op6_vantage_point_search(spark, sf_dir):
+    return vantage.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -40,8 +49,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op8_sentencepiece, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op6_vantage_point_search, op8_sentencepiece, op9_line_dedup, op10_packing)}
 
 
 def oracle_queries():
-    return {"op2_license_scan": licenses.SCAN_SQL, "op9_line_dedup": line_dedup.LINES_SQL}
+    return {"op1_embedding_near_dedup": pigeonhole.DUPLICATES_SQL, "op6_vantage_point_search": vantage.SEARCH_SQL, "op2_license_scan": licenses.SCAN_SQL, "op9_line_dedup": line_dedup.LINES_SQL}

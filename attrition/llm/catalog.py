@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from attrition.llm import language, licenses, line_dedup, packing, pieces, pigeonhole, quality, toxicity, vantage
+from attrition.llm import jaccard, language, licenses, line_dedup, packing, pieces, pigeonhole, quality, toxicity, vantage
 from attrition.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_vantage_point_search(spark, sf_dir):
     return vantage.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -49,8 +53,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op6_vantage_point_search, op8_sentencepiece, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op6_vantage_point_search, op7_ngram_jaccard, op8_sentencepiece, op9_line_dedup, op10_packing)}
 
 
 def oracle_queries():
-    return {"op1_embedding_near_dedup": pigeonhole.DUPLICATES_SQL, "op6_vantage_point_search": vantage.SEARCH_SQL, "op2_license_scan": licenses.SCAN_SQL, "op9_line_dedup": line_dedup.LINES_SQL}
+    return {"op1_embedding_near_dedup": pigeonhole.DUPLICATES_SQL, "op6_vantage_point_search": vantage.SEARCH_SQL, "op2_license_scan": licenses.SCAN_SQL, "op7_ngram_jaccard": jaccard.GROUPS_SQL, "op9_line_dedup": line_dedup.LINES_SQL}

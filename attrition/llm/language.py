@@ -113,22 +113,41 @@ def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: in
     return fit([r.text.encode() for r in rows], [r.lang for r in rows], min_gap)
 
 
+def identify(m: Codes, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and ambiguity of each text."""
+    spoken = [bool(m.languages) and any(map(str.isalpha, t.decode())) for t in texts]
+    if not m.languages:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    best, share, flag = decode(m, texts)
+    return (
+        [m.languages[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)],
+        [float(p) if s else 0.0 for p, s in zip(share, spoken, strict=True)],
+        [bool(a) and s for a, s in zip(flag, spoken, strict=True)],
+    )
+
+
 def predict(docs: DataFrame, model: Codes) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for whole in batches:
             for batch in slices(whole, max_rows=256):
-                raw = raw_texts(batch.column("text"))
-                spoken = [bool(m.languages) and any(map(str.isalpha, t.decode())) for t in raw]
-                best, share, flag = decode(m, raw) if m.languages else ([0] * len(raw), [0.0] * len(raw), [False] * len(raw))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
-                     pa.array([m.languages[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)], pa.string()),
-                     pa.array([float(p) if s else 0.0 for p, s in zip(share, spoken, strict=True)], pa.float64()),
-                     pa.array([bool(a) and s for a, s in zip(flag, spoken, strict=True)], pa.bool_())], schema=schema)
+                found = identify(shared.value, raw_texts(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(found, schema.types[2:], strict=True))], schema=schema)
 
     return map_arrow(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Codes) -> DataFrame:
+    """The documents, in their own columns, whose language is known and not ambiguous."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, max_rows=256):
+                lang, _, unsure = identify(shared.value, raw_texts(batch.column("text")))
+                yield batch.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure, strict=True)], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

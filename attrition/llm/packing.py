@@ -152,20 +152,24 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, size: int = 1024, digest: bool
     tokens = spark.read.parquet(folder)
     placed = tokens.select("row", "doc_id", "ids").join(stream_offsets(tokens.select("key", "doc_id", "row", "n_tokens")), "row")
     width = id_type(vocabulary)
-    payload = pa.field("ids_crc32", pa.int64()) if digest else pa.field("ids", pa.list_(pa.int32()))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), payload, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    field = pa.field("ids_crc32", pa.int64()) if digest else pa.field("ids", pa.list_(pa.int32()))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), field, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            if not batch.num_rows:
+                continue
+            rows, all_ids = [], []
             for doc, raw, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "first")), strict=True):
                 ids = np.frombuffer(raw, width).astype("<u4")
+                all_ids.append(ids)
                 cuts = [0, *range(size - first % size, len(ids), size), len(ids)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    part = ids[a:b]
-                    rows.append((doc, a, b - a, zlib.crc32(part.tobytes()) if digest else part.tolist(), len(ids), (first + a) // size, (first + a) % size))
-            cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+                    rows.append((doc, a, b - a, zlib.crc32(ids[a:b].tobytes()) if digest else None, len(ids), (first + a) // size, (first + a) % size))
+            doc, start, length, crc, *rest = zip(*rows, strict=True)
+            ends = np.append(0, np.cumsum(length)).astype(np.int32)
+            payload = pa.array(crc, pa.int64()) if digest else pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (doc, start, length)), payload, *(pa.array(c, pa.int64()) for c in rest)], schema=schema)
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
     return map_arrow(placed, run, f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")

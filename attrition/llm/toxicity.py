@@ -194,3 +194,15 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(p, pa.float64()), pa.array(p >= threshold, pa.bool_()).cast(pa.int32())], schema=schema)
 
     return map_arrow(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, in their own columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                yield batch.filter(pa.array(scores(shared.value, raw_texts(batch.column("text"))) < threshold, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

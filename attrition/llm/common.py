@@ -41,6 +41,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as it takes to differ from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows that no model may learn from: crc32 of the id's text mod 4 is 2.
     A null id counts as held out."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrition.llm.common import map_arrow, slices, use_checkpoints
+from attrition.llm.common import fresh, map_arrow, slices, use_checkpoints
 
 WHITE = " \t\n\x0b\x0c\r"
 NO_DOC = -(1 << 63)
@@ -151,39 +151,45 @@ def kept_text(text: str | None, n_lines: int | None, keep: bytes | None) -> tupl
     return "\n".join([x for x, k in zip(lines, bits.tolist(), strict=True) if k]), len(lines), int(n_lines - bits.sum())
 
 
-def with_bitmaps(docs: DataFrame, **params) -> DataFrame:
-    """The documents' columns with ``keep`` and ``keep_lines`` (null: all lines stay)."""
-    maps = keep_bitmaps(docs, **params).select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row_key"), F.col("n_lines").alias("keep_lines"), "keep")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), "_k": F.xxhash64("text")})
-    return keyed.join(maps, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_row_key")), "left").drop("_d", "_k", "_doc", "_row_key")
+def with_bitmaps(docs: DataFrame, **params) -> tuple[DataFrame, str, str]:
+    """The documents' columns and two more, whose names come back too: the number
+    of lines and the keep bitmap (null: all lines stay)."""
+    names = [fresh(n, docs.columns) for n in ("keep_lines", "keep", "doc_key", "text_key", "map_doc", "map_key")]
+    lines, keep, doc, key, map_doc, map_key = names
+    maps = keep_bitmaps(docs, **params).select(F.col("doc").alias(map_doc), F.col("row_key").alias(map_key), F.col("n_lines").alias(lines), F.col("keep").alias(keep))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), key: F.xxhash64("text")})
+    joined = keyed.join(maps, (F.col(doc) == F.col(map_doc)) & (F.col(key) == F.col(map_key)), "left")
+    return joined.drop(doc, key, map_doc, map_key), lines, keep
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
+def line_digest(docs: DataFrame, **params) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
+    joined, lines, keep = with_bitmaps(docs.select("doc_id", "text"), **params)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                kept = [kept_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "keep_lines", "keep")), strict=True)]
+                kept = [kept_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", lines, keep)), strict=True)]
                 digests = [hashlib.sha256(t.encode()).hexdigest() for t, _, _ in kept]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([n for _, n, _ in kept], pa.int64()), pa.array([n for _, _, n in kept], pa.int64()), pa.array(digests, pa.string())], schema=schema)
 
-    return map_arrow(with_bitmaps(docs.select("doc_id", "text")), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_arrow(joined, run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_shared_lines(docs: DataFrame, **params) -> DataFrame:
     """The documents, in their own columns, without the lines that go; n_chars follows the text."""
     schema = docs.schema
+    joined, lines, keep = with_bitmaps(docs, **params)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole):
-                new = [None if t is None else kept_text(t, n, k)[0] for t, n, k in zip(*(batch.column(c).to_pylist() for c in ("text", "keep_lines", "keep")), strict=True)]
+                new = [None if t is None else kept_text(t, n, k)[0] for t, n, k in zip(*(batch.column(c).to_pylist() for c in ("text", lines, keep)), strict=True)]
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, batch.schema.field("text"), pa.array(new, batch.schema.field("text").type)).select(schema.names)
 
-    out = map_arrow(with_bitmaps(docs, **params), run, schema)
+    out = map_arrow(joined, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 

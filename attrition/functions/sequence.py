@@ -3,18 +3,24 @@
 The original program sorts each user's events by time and takes positions,
 previous/next values and row numbers. A plain ``Window.partitionBy(user)``
 sends every event of a user to one task, and one user (the blank ``''`` id,
-say) may own a third of the log. Here each user's timeline is cut into
-time buckets (hours; seconds for users with very many events):
+say) may own a third of the log. Here every user's timeline goes through the
+same three levels, whatever its length:
 
-1. a window over ``(user, bucket)`` gives local positions and neighbours;
-2. a small per-bucket summary (count, first and last value) is windowed over
-   ``user`` - at most one row per user-hour, so a hot user costs
-   ``hours`` rows, not ``events`` rows;
-3. the summary is joined back on ``(user, bucket)``; the event side is
-   already partitioned on those keys, so only the summary moves.
+1. events are shuffled to ``(user, second)``; a window there gives local
+   positions and neighbours;
+2. each second becomes one summary row (count, first and last value), from
+   the same exchange; a window over ``(user, hour)`` places the seconds in
+   their hour (at most 3,600 rows);
+3. each hour becomes one row, and a window over ``user`` places the hours
+   (one row per hour of activity).
+
+The offsets come back by joins on those keys. Only summaries move after the
+first shuffle: the summary branch is made to need the same columns as the
+event branch, so Spark reuses the event exchange and reads the log once.
 
 Order is ``(datetime, event_seq)`` with null times last, matching a stable
-sort by time in file order.
+sort by time in file order. Events without a time have ranges of the sequence
+number for seconds and hours.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NULL_BUCKET = 2**62  # null timestamps sort after every real bucket
+NULL_BUCKET = 2**61  # null timestamps sort after every real bucket
 
 
 def order_cols(time_col: str = "datetime", seq_col: str = "event_seq") -> list[Column]:
@@ -66,33 +72,34 @@ def key_tag(key: str | Column) -> Column:
     return F.pmod(k, F.lit(4).cast(KEY_TYPE)).cast("int")
 
 
-def hour_bucket(time_col: str = "datetime") -> Column:
-    t = F.col(time_col)
-    b = F.unix_date(F.to_date(t)).cast("long") * 24 + F.hour(t).cast("long")
-    return F.coalesce(b, F.lit(NULL_BUCKET).cast("long"))
-
-
 def _epoch_seconds(time_col: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{time_col}` AS TIMESTAMP_NTZ))")
 
 
-HOT_USER_EVENTS = 1 << 24  # users above this many events are bucketed by second
+def time_levels(time_col: str, seq_col: str) -> tuple[Column, Column]:
+    """Order-preserving (second, hour) of an event. Without a time: ranges of
+    2^12 and 2^24 sequence numbers after every real one."""
+    secs = F.floor(_epoch_seconds(time_col)).cast("long")
+    seq = F.col(seq_col).cast("long")
+    second = F.coalesce(secs, F.lit(NULL_BUCKET) + F.shiftright(seq, 12))
+    hour = F.coalesce(F.floor(secs / F.lit(3600)).cast("long"), F.lit(NULL_BUCKET) + F.shiftright(seq, 24))
+    return second, hour
 
 
-def adaptive_bucket(df: DataFrame, part: str, time_col: str, hot_threshold: int) -> tuple[DataFrame, Column]:
-    """Order-preserving time buckets (in epoch seconds): the hour for most
-    users, the second for users with more than ``hot_threshold`` events, so
-    one heavy user's hour is not one task. Adds ``_hot``.
-
-    The heavy users come from a per-user count (partial aggregation, one
-    row per user); there are at most ``rows / hot_threshold`` of them, which
-    bounds the broadcast."""
-    counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > F.lit(hot_threshold)).select(part, F.lit(True).alias("_hot"))
-    x = df.join(F.broadcast(hot), part, "left")
-    secs = _epoch_seconds(time_col)
-    b = F.when(F.col("_hot"), secs).otherwise(F.floor(secs / F.lit(3600)) * F.lit(3600)).cast("long")
-    return x, F.coalesce(b, F.lit(NULL_BUCKET).cast("long"))
+def _placed(summary: DataFrame, within: list[str], by: str, counters: list[str], neighbours: tuple[str, ...]) -> DataFrame:
+    """Adds, per summary row, what lies before and after it within its group:
+    ``_off`` / ``_coff_*`` (sums of the rows before), ``_bprev_*`` / ``_bnext_*``."""
+    w = Window.partitionBy(*within).orderBy(by)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    cols = {"_off": F.coalesce(F.sum("_bn").over(before), F.lit(0))}
+    for n in counters:
+        cols[f"_coff_{n}"] = F.coalesce(F.sum(f"_bc_{n}").over(before), F.lit(0))
+    for c in neighbours:
+        cols[f"_bprev_{c}"] = F.lag(f"_last_{c}").over(w)
+        cols[f"_bnext_{c}"] = F.lead(f"_first_{c}").over(w)
+    cols["_at"] = F.row_number().over(w)
+    cols["_of"] = F.count(F.lit(1)).over(Window.partitionBy(*within))
+    return summary.withColumns(cols)
 
 
 def sequence_view(
@@ -101,9 +108,8 @@ def sequence_view(
     neighbour_cols: tuple[str, ...] = (),
     time_col: str = "datetime",
     seq_col: str = "event_seq",
-    bucket: Column | None = None,
+    levels: tuple[Column, Column] | None = None,
     counters: dict[str, Column] | None = None,
-    hot_threshold: int = HOT_USER_EVENTS,
 ) -> DataFrame:
     """Adds ``rn`` (1-based position of the row in its ``part`` timeline),
     ``n_part`` (rows in the timeline) and, for every column in
@@ -113,69 +119,70 @@ def sequence_view(
     this one included, that meet the condition) and ``<name>_total``.
 
     Rows whose ``part`` is null are dropped: they belong to no timeline.
-    Buckets are hours, or seconds for timelines longer than
-    ``hot_threshold`` rows (``adaptive_bucket``); any order-preserving
-    bucket gives the same result.
+    ``levels`` are order-preserving images of the order, fine and coarse
+    (default ``time_levels``); any such pair gives the same result. Pass only
+    the columns that are used: both branches read all of ``df``.
     """
     counters = counters or {}
-    base = df.filter(F.col(part).isNotNull())
-    if bucket is None:
-        base, bucket = adaptive_bucket(base, part, time_col, hot_threshold)
-    keys = [part, "_bucket"]
-    ordering = order_cols(time_col, seq_col)
-    local = Window.partitionBy(*keys).orderBy(*ordering)
-    x = base.withColumn("_bucket", bucket)
+    names = list(counters)
+    fine, coarse = levels or time_levels(time_col, seq_col)
+    keys, hours = [part, "_coarse", "_fine"], [part, "_coarse"]
+    flags = {f"_c_{n}": F.when(cond, F.lit(1)).otherwise(F.lit(0)) for n, cond in counters.items()}
+    base = df.filter(F.col(part).isNotNull()).withColumns({"_fine": fine, "_coarse": coarse, **flags})
+    # true of every row; written out, since the joins would add it to one branch only
+    base = base.filter(F.col("_fine").isNotNull() & F.col("_coarse").isNotNull()).repartition(*keys)
+
+    local = Window.partitionBy(*keys).orderBy(*order_cols(time_col, seq_col))
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one projection for all local window columns (fewer analysis passes)
     local_cols: dict[str, Column] = {"_lrn": F.row_number().over(local)}
-    for name, cond in counters.items():
-        flag = F.when(cond, F.lit(1)).otherwise(F.lit(0))
-        local_cols[f"_c_{name}"] = flag
-        local_cols[f"_lc_{name}"] = F.sum(flag).over(running)
+    for n in names:
+        local_cols[f"_lc_{n}"] = F.sum(f"_c_{n}").over(running)
     for c in neighbour_cols:
         local_cols[f"_lprev_{c}"] = F.lag(c).over(local)
         local_cols[f"_lnext_{c}"] = F.lead(c).over(local)
-    x = x.withColumns(local_cols)
+    x = base.withColumns(local_cols)
 
     # decimal order key: with numeric neighbour columns the summary is a
-    # hash aggregate (a text column makes Spark fall back to sorting)
+    # hash aggregate (a text column makes Spark fall back to sorting). The
+    # checksum makes this branch need every column of the other one.
     okey = tagged_order_key(F.lit(0), time_col, seq_col)
-    aggs = [F.count(F.lit(1)).alias("_bn")] + [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in counters]
+    aggs = [F.count(F.lit(1)).alias("_bn"), F.bit_xor(F.xxhash64(*base.columns)).alias("_sum")]
+    aggs += [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in names]
     for c in neighbour_cols:
         aggs += [F.min_by(c, okey).alias(f"_first_{c}"), F.max_by(c, okey).alias(f"_last_{c}")]
-    summary = x.groupBy(*keys).agg(*aggs)
-    across = Window.partitionBy(part).orderBy("_bucket")
-    cols = [
-        part,
-        "_bucket",
-        "_bn",
-        F.coalesce(F.sum("_bn").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_bn").over(Window.partitionBy(part)).alias("n_part"),
-    ]
-    for n in counters:
-        cols += [
-            F.coalesce(F.sum(f"_bc_{n}").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_coff_{n}"),
-            F.sum(f"_bc_{n}").over(Window.partitionBy(part)).alias(f"{n}_total"),
-        ]
-    for c in neighbour_cols:
-        cols += [
-            F.lag(f"_last_{c}").over(across).alias(f"_bprev_{c}"),
-            F.lead(f"_first_{c}").over(across).alias(f"_bnext_{c}"),
-        ]
-    summary = summary.select(*cols)
+    seconds = _placed(base.groupBy(*keys).agg(*aggs).filter(F.col("_sum").isNotNull()), hours, "_fine", names, neighbour_cols)
+
+    hour_aggs = [F.sum("_bn").alias("_bn")] + [F.sum(f"_bc_{n}").alias(f"_bc_{n}") for n in names]
+    for c in neighbour_cols:  # of the first and the last second of the hour
+        hour_aggs += [F.min_by(f"_first_{c}", "_at").alias(f"_first_{c}"), F.max_by(f"_last_{c}", "_at").alias(f"_last_{c}")]
+    per_hour = _placed(seconds.groupBy(*hours).agg(*hour_aggs), [part], "_coarse", names, neighbour_cols)
+    whole = Window.partitionBy(part)
+    per_hour = per_hour.select(
+        *hours, F.col("_off").alias("_hoff"), F.sum("_bn").over(whole).alias("n_part"),
+        *[F.col(f"_coff_{n}").alias(f"_hcoff_{n}") for n in names],
+        *[F.sum(f"_bc_{n}").over(whole).alias(f"{n}_total") for n in names],
+        *[F.col(f"_b{side}_{c}").alias(f"_h{side}_{c}") for c in neighbour_cols for side in ("prev", "next")],
+    )
+    seconds = seconds.join(per_hour, hours).select(
+        *keys, "_bn", "n_part", (F.col("_hoff") + F.col("_off")).alias("_start"),
+        *[(F.col(f"_hcoff_{n}") + F.col(f"_coff_{n}")).alias(f"_cstart_{n}") for n in names],
+        *[f"{n}_total" for n in names],
+        *[F.when(F.col("_at") == 1, F.col(f"_hprev_{c}")).otherwise(F.col(f"_bprev_{c}")).alias(f"_prev_{c}") for c in neighbour_cols],
+        *[F.when(F.col("_at") == F.col("_of"), F.col(f"_hnext_{c}")).otherwise(F.col(f"_bnext_{c}")).alias(f"_next_{c}") for c in neighbour_cols],
+    )
 
-    out_cols: dict[str, Column] = {"rn": F.col("_off") + F.col("_lrn")}
-    for n in counters:
-        out_cols[f"{n}_rn"] = F.col(f"_coff_{n}") + F.col(f"_lc_{n}")
+    out_cols: dict[str, Column] = {"rn": F.col("_start") + F.col("_lrn")}
+    for n in names:
+        out_cols[f"{n}_rn"] = F.col(f"_cstart_{n}") + F.col(f"_lc_{n}")
     for c in neighbour_cols:
-        out_cols[f"prev_{c}"] = F.when(F.col("_lrn") == 1, F.col(f"_bprev_{c}")).otherwise(F.col(f"_lprev_{c}"))
-        out_cols[f"next_{c}"] = F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_bnext_{c}")).otherwise(F.col(f"_lnext_{c}"))
-    out = x.join(summary, keys, "inner").withColumns(out_cols)
-    drop = ["_bucket", "_lrn", "_bn", "_off", "_hot"]
-    for n in counters:
-        drop += [f"_c_{n}", f"_lc_{n}", f"_coff_{n}"]
+        out_cols[f"prev_{c}"] = F.when(F.col("_lrn") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_lprev_{c}"))
+        out_cols[f"next_{c}"] = F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_next_{c}")).otherwise(F.col(f"_lnext_{c}"))
+    out = x.join(seconds, keys, "inner").withColumns(out_cols)
+    drop = ["_fine", "_coarse", "_lrn", "_bn", "_start"]
+    for n in names:
+        drop += [f"_c_{n}", f"_lc_{n}", f"_cstart_{n}"]
     for c in neighbour_cols:
-        drop += [f"_lprev_{c}", f"_lnext_{c}", f"_bprev_{c}", f"_bnext_{c}"]
+        drop += [f"_lprev_{c}", f"_lnext_{c}", f"_prev_{c}", f"_next_{c}"]
     return out.drop(*drop)
 
 

@@ -15,10 +15,14 @@ from attrition.functions.expr import floor_days
 from attrition.functions.sequence import global_rank, order_cols, order_key, sequence_view
 
 
+ORDER_INPUT = ("event_seq", "userId", "datetime")
+NEIGHBOUR_INPUT = (*ORDER_INPUT, "sessionId", "page", "level", "auth", "status", "location", "gender")
+
+
 def with_level_neighbours(ev: DataFrame) -> DataFrame:
     """Events of non-null users with ``rn``, ``n_part``, ``prev_level``,
     ``next_level`` (skew-safe, see ``functions.sequence``)."""
-    return sequence_view(ev, "userId", ("level",))
+    return sequence_view(ev.select([c for c in ev.columns if c in NEIGHBOUR_INPUT]), "userId", ("level",))
 
 
 def is_churn() -> Column:
@@ -37,11 +41,12 @@ def level_code() -> Column:
     return F.when(lv == "paid", F.lit(1)).when(lv == "free", F.lit(0)).when(lv.isNotNull(), F.lit(2))
 
 
-def with_level_code_neighbours(ev: DataFrame, extra: tuple[str, ...] = (), counters: dict | None = None) -> DataFrame:
+def with_level_code_neighbours(ev: DataFrame, extra: tuple[str, ...] = (), counters: dict | None = None, keep_level: bool = False) -> DataFrame:
     """``with_level_neighbours`` carrying ``prev_level_code`` /
     ``next_level_code`` instead of the level text (plus ``extra``
     neighbour columns and ``counters``)."""
-    return sequence_view(ev.withColumn("level_code", level_code()), "userId", ("level_code", *extra), counters=counters)
+    coded = ev.withColumn("level_code", level_code())
+    return sequence_view(coded if keep_level else coded.drop("level"), "userId", ("level_code", *extra), counters=counters)
 
 
 def is_churn_coded() -> Column:
@@ -54,7 +59,7 @@ def is_churn_coded() -> Column:
 
 
 def level_neighbours(ev: DataFrame) -> DataFrame:
-    seq = with_level_neighbours(ev)
+    seq = sequence_view(ev.select(*ORDER_INPUT, "level"), "userId", ("level",))
     return seq.select("event_seq", "userId", "datetime", "level", "prev_level", "next_level")
 
 
@@ -72,7 +77,7 @@ def churn_events(ev: DataFrame) -> DataFrame:
 def churn_timestamps(ev: DataFrame) -> DataFrame:
     """First churn time per user: ``userId, churn_ts, churn_date``."""
     return (
-        with_level_code_neighbours(ev)
+        with_level_code_neighbours(ev.select(*ORDER_INPUT, "page", "level"))
         .filter(is_churn_coded())
         .groupBy("userId")
         .agg(F.min("datetime").alias("churn_ts"))

@@ -46,7 +46,7 @@ def position_thirds(ev: DataFrame, value: str = "length") -> DataFrame:
     """Relative change between the mean of the first and the last
     ``n // 3`` non-null values of a user (time order); null if ``n < 3`` or
     the first mean is 0."""
-    seq = sequence_view(ev.filter(F.col(value).isNotNull()), "userId")
+    seq = sequence_view(ev.filter(F.col(value).isNotNull()).select("event_seq", "userId", "datetime", value), "userId")
     k = F.floor(F.col("n_part") / 3)
     agg = seq.groupBy("userId").agg(
         F.max("n_part").alias("_n"),
@@ -60,7 +60,7 @@ def position_thirds(ev: DataFrame, value: str = "length") -> DataFrame:
 def position_halves(ev: DataFrame) -> DataFrame:
     """Relative change of events per active date between the first and the
     second half of a user's events (time order); null if fewer than 4."""
-    seq = sequence_view(ev, "userId")
+    seq = sequence_view(ev.select("event_seq", "userId", "datetime", "date"), "userId")
     mid = F.floor(F.col("n_part") / 2)
     first, second = F.col("rn") <= mid, F.col("rn") > mid
     d = F.col("date")
@@ -83,12 +83,14 @@ def user_features(ev: DataFrame) -> DataFrame:
     from attrition.operators.churn import is_churn_coded as is_churn
     from attrition.operators.churn import with_level_code_neighbours
 
-    users = ev.filter(F.col("userId").isNotNull())
+    users = ev.select(
+        "event_seq", "userId", "sessionId", "datetime", "date", "registration_datetime", "page", "level", "gender", "length", "userAgent"
+    )
     # first row by time: a decimal order key (hash aggregate, not a struct);
     # its tag carries the gender code + 1
     okey = tagged_order_key(gender_code("gender") + F.lit(1))
     dataset_end = ev.select(F.max("datetime")).scalar()
-    seq = with_level_code_neighbours(users, ("date",), counters={"len": F.col("length").isNotNull()})
+    seq = with_level_code_neighbours(users, ("date",), counters={"len": F.col("length").isNotNull()}, keep_level=True)
     d, rn = F.col("date"), F.col("rn")
     mid = F.floor(F.col("n_part") / 2)
     k = F.floor(F.col("len_total") / 3)
@@ -179,9 +181,9 @@ def pair_moments(table: DataFrame, columns: list[str]) -> DataFrame:
     deviations from them.
 
     Each partition streams its Arrow batches into k x k matrices with numpy
-    (masked Gram products of the values shifted by a value of the column
-    itself, so a constant column has exactly zero deviation) and emits one
-    row per pair. Partitions are merged with the parallel-variance formula
+    (deviations over the rows that have both columns, so rows whose partner
+    is null can't disturb a pair) and emits one row per pair.
+    Batches and partitions are merged with the parallel-variance formula
     ``C = sum(c_p) + sum(n_p (m_p - M)(m'_p - M'))`` over a window on the
     pair (k*k*partitions rows); ``M`` is taken exactly when all partition
     means agree, so a constant column's variance stays exactly zero."""
@@ -191,29 +193,42 @@ def pair_moments(table: DataFrame, columns: list[str]) -> DataFrame:
     k = len(columns)
 
     def partials(batches):
-        # batches stream through; the shift of a column is its first value
-        # seen in the partition (columns unseen so far have no deviations yet)
-        shift = np.full(k, np.nan)
+        # per batch: the means of each pair over the rows that have both, then
+        # sums of deviations from them; batches merge by the parallel-variance formula
         acc = None
         for pdf in batches:
             x = pdf[columns].to_numpy(dtype=float)
             m = ~np.isnan(x)
-            fresh = np.isnan(shift) & m.any(axis=0)
-            if fresh.any():
-                cols_new = np.flatnonzero(fresh)
-                shift[cols_new] = x[m[:, cols_new].argmax(axis=0), cols_new]
-            xs = np.where(m, x - np.nan_to_num(shift), 0.0)
-            mf = m.astype(float)
-            # n[i, j]: rows with both present; sx[i, j]: sum of shifted x_i over them
-            part = (mf.T @ mf, xs.T @ mf, (xs * xs).T @ mf, xs.T @ xs)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+            mf, xz = m.astype(float), np.where(m, x, 0.0)
+            n = mf.T @ mf
+            mean, cii, cij = (np.zeros((k, k)) for _ in range(3))
+            for i in range(k):  # rows that have column i
+                rows, y = xz[m[:, i]], mf[m[:, i]]
+                count = np.maximum(n[i], 1)
+                xi = rows[:, [i]]
+                # shifted by the pair's own first row: a constant column deviates by exactly 0
+                first = y.argmax(0) if len(y) else np.zeros(k, int)
+                di, dj = ((xi - xi[first, 0]) * y, (rows - rows[first, np.arange(k)]) * y) if len(y) else (y, y)
+                si, sj = di.sum(0), dj.sum(0)
+                mean[i] = (xi[first, 0] if len(y) else 0.0) + si / count
+                cii[i], cij[i] = (di * di).sum(0) - si * si / count, (di * dj).sum(0) - si * sj / count
+            part = (n, mean, cii, cij)
+            if acc is None:
+                acc = part
+                continue
+            n0, m0, c0, x0 = acc
+            both = n0 + n
+            share = np.divide(n, both, out=np.zeros_like(n), where=both > 0)
+            gap = np.where((n0 > 0) & (n > 0), mean - m0, 0.0)
+            acc = (
+                both,
+                np.where(n0 > 0, m0 + gap * share, mean),
+                c0 + cii + gap * gap * n0 * share,
+                x0 + cij + gap * gap.T * n0 * share,
+            )
         if acc is None:
             return
-        n, sx, sxx, sxy = acc
-        with np.errstate(all="ignore"):
-            mean_i = np.nan_to_num(shift)[:, None] + sx / n
-            cii = sxx - sx * sx / n
-            cij = sxy - sx * sx.T / n
+        n, mean_i, cii, cij = acc
         ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
         keep = (n > 0).ravel()
         yield pd.DataFrame({

@@ -89,23 +89,66 @@ def test_correlation_matrix_merges_partitions_and_nulls_constant_columns(spark):
             assert v is not None and abs(v - want) < 1e-9, (x, y, v, want)
 
 
-def test_sequence_view_same_result_with_second_buckets_for_heavy_users(spark):
-    # every user over the threshold (0): second buckets; default: hour buckets
+def test_sequence_view_same_result_for_any_levels(spark):
     from attrition.functions.sequence import sequence_view
     from attrition.sources.events import events_from_tables
     from tests.conftest import SF_SMALL
 
     ev = events_from_tables(spark, SF_SMALL, "keep")
     cols = ["event_seq", "rn", "n_part", "prev_level", "next_level", "prev_date", "next_date", "len_rn", "len_total"]
+    day, hour = F.unix_date("date").cast("long"), F.hour("datetime").cast("long")
 
-    def view(threshold):
-        v = sequence_view(ev, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()},
-                          hot_threshold=threshold)
+    def view(levels):
+        v = sequence_view(ev, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()}, levels=levels)
         return sorted(tuple(r) for r in v.select(*cols).collect())
 
-    hourly, secondly = view(1 << 24), view(0)
-    assert len(hourly) == ev.filter(F.col("userId").isNotNull()).count()
-    assert hourly == secondly
+    usual, coarse, single = view(None), view((day * 24 + hour, day)), view((F.lit(1).cast("long"), F.lit(1).cast("long")))
+    assert len(usual) == ev.filter(F.col("userId").isNotNull()).count()
+    assert usual == coarse == single
+
+
+def test_a_user_with_half_the_log_and_many_null_times_is_ordered(spark):
+    from attrition.functions.sequence import sequence_view
+
+    n = 4000
+    ev = spark.range(n).select(
+        (F.col("id") * 5000 - 3 * 10**6).alias("event_seq"),
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("userId"),
+        F.when(F.col("id") % 4 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+            F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") * 7919 % 20000).cast("decimal(18,6)"))
+        ).alias("datetime"),
+        (F.col("id") % 7).alias("v"),
+    )
+    got = sequence_view(ev, "userId", ("v",)).where("userId = 'hot'").orderBy("rn").collect()
+    want = sorted((r for r in ev.where("userId = 'hot'").collect()), key=lambda r: (r.datetime is None, r.datetime or dt.datetime.min, r.event_seq))
+    assert [r.rn for r in got] == list(range(1, n // 2 + 1)) and {r.n_part for r in got} == {n // 2}
+    assert [(r.event_seq, r.v) for r in got] == [(r.event_seq, r.v) for r in want]
+    assert [r.prev_v for r in got] == [None] + [r.v for r in want][:-1]
+    assert [r.next_v for r in got] == [r.v for r in want][1:] + [None]
+
+
+def test_churn_reads_the_log_once(spark):
+    from attrition.operators.churn import churn_timestamps
+    from attrition.sources.events import events_from_tables
+    from tests.conftest import SF_SMALL
+
+    frame = churn_timestamps(events_from_tables(spark, SF_SMALL, "keep", with_location=False))
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_a_partnerless_outlier_does_not_hide_a_correlation(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0.0, 1.0, 500)
+    y = 2 * x + rng.normal(0.0, 1.0, 500)
+    rows = [(1e9, None)] + [(float(a), float(b)) for a, b in zip(x, y)]
+    table = spark.createDataFrame(rows, "x double, y double").coalesce(1)
+    matrix = {(r.feature_a, r.feature_b): r["corr"] for r in U.correlation_matrix(table, ["x", "y"]).collect()}
+    single = {r.feature: r["corr"] for r in U.correlation_with(table, "y", ["x"]).collect()}
+    assert abs(matrix["x", "y"] - np.corrcoef(x, y)[0, 1]) < 1e-9
+    assert abs(matrix["x", "y"] - single["x"]) < 1e-9 and matrix["x", "y"] == matrix["y", "x"]
 
 
 def test_second_buckets_keep_ties_and_null_times_in_order(spark, jsonl):
@@ -123,9 +166,7 @@ def test_second_buckets_keep_ties_and_null_times_in_order(spark, jsonl):
     ]
     ev = load_events(spark, jsonl(lines))
     cols = ["event_seq", "rn", "n_part", "prev_level", "next_level"]
-    got = {t: sorted(tuple(r) for r in sequence_view(ev, "userId", ("level",), hot_threshold=t).select(*cols).collect())
-           for t in (0, 1 << 24)}
-    assert got[0] == got[1 << 24]
+    got = [sorted(tuple(r) for r in sequence_view(ev, "userId", ("level",)).select(*cols).collect())]
     # expected: user 1 by (time nulls last, file position)
     u1 = sorted(
         [(r["ts"], i, r["level"]) for i, r in enumerate(lines) if r["userId"] == "1"],

@@ -79,10 +79,12 @@ def fit(texts: list[bytes], labels: list[str], min_gap: float = 0.02) -> Codes:
     languages = sorted(set(labels))
     if not languages:
         return Codes([], np.zeros((0, 1), np.float32), np.zeros((1, 1), np.float32), np.ones(1), min_gap)
-    x, code = vectors(texts), codewords(len(languages))
+    x, code = np.empty((len(texts), (1 << BITS) + 1), np.float32), codewords(len(languages))
+    for at in range(0, len(texts), 128):
+        x[at : at + 128] = vectors(texts[at : at + 128])
     y = code[np.searchsorted(languages, labels)]
     back = np.arange(len(x)) % 5 == 0
-    inner = train_bits(x[~back], y[~back]) if (~back).any() else np.zeros((x.shape[1], y.shape[1]))
+    inner = train_bits(x[~back], y[~back], steps=30) if (~back).any() else np.zeros((x.shape[1], y.shape[1]))
     right = (x[back] @ inner * y[back] > 0).mean(0)
     trust = np.maximum(2 * right - 1, 0.05)
     return Codes(languages, code, train_bits(x, y), trust / trust.sum(), min_gap)
@@ -110,7 +112,9 @@ def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: in
         chosen = chosen.unionByName(more)
     rows = teach.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").limit(2 * max_rows).collect()
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.text, r.lang))
-    return fit([r.text.encode() for r in rows], [r.lang for r in rows], min_gap)
+    texts, labels = [r.text.encode() for r in rows], [r.lang for r in rows]
+    del rows
+    return fit(texts, labels, min_gap)
 
 
 def identify(m: Codes, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:

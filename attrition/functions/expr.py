@@ -35,11 +35,17 @@ def minutes_between(later: str, earlier: str) -> Column:
     return micros_between(later, earlier) / F.lit(60_000_000.0)
 
 
+#: Milliseconds of 0001-01-01 and of the last one of 9999-12-31.
+FIRST_MILLIS, LAST_MILLIS = -62_135_596_800_000, 253_402_300_799_999
+
+
 def epoch_millis_to_ntz(ms: str | Column) -> Column:
-    """Epoch milliseconds to a naive timestamp (UTC wall clock), TZ-independent."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        secs=(col(ms) / F.lit(1000)).cast("decimal(18,6)")
-    )
+    """Epoch milliseconds to a naive timestamp (UTC wall clock), TZ-independent;
+    null where the number is no time between the years 1 and 9999."""
+    whole = col(ms).cast("long")
+    exact = (whole.cast("decimal(20,0)") / F.lit(1000).cast("decimal(5,0)")).cast("decimal(18,6)")
+    time = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=exact)
+    return F.when(whole.between(FIRST_MILLIS, LAST_MILLIS), time)
 
 
 def safe_div(a: str | Column, b: str | Column) -> Column:
@@ -71,13 +77,6 @@ def normalize_blank(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-def finite_or_zero(c: str | Column) -> Column:
-    """NaN, +-Inf and null -> 0.0."""
-    x = col(c).cast("double")
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(x)
-
-
 def day_of_week(d: str | Column) -> Column:
     """1 = Monday .. 7 = Sunday."""
     return F.weekday(col(d)) + 1

@@ -210,4 +210,4 @@ def global_rank(
     sizes = sizes.select(
         *keys, F.coalesce(F.sum("_gbn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_goff")
     )
-    return x.join(sizes, keys, "inner").withColumn("grank", F.col("_goff") + F.col("_glrn")).drop("_gb", "_glrn", "_goff")
+    return x.join(sizes, keys, "inner").withColumn("grank", F.col("_goff") + F.col("_glrn")).drop("_gb", "_glrn", "_goff", "_gbn")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.config import CORE_COLUMNS, PAGES
+from attrition.config import PAGES
 
 
 def _count() -> Column:
@@ -45,13 +45,15 @@ def daily_aggregates_with_dims(ev: DataFrame) -> DataFrame:
     the same aggregate: earliest registration of the day, and the day's
     first event (by time, and by log order) as a decimal key tagged with
     the event's gender code + 1 (``key_tag``). Rolled up to the user with
-    windows later, so no separate user aggregate or join is needed."""
+    windows later, so no separate user aggregate or join is needed.
+    Events without a time make one row per user with a null date: it counts
+    for the user's registration, and ``densify`` drops it."""
     from attrition.functions.expr import gender_code
     from attrition.functions.sequence import tagged_order_key, tagged_seq_key
 
     tag = gender_code("gender") + F.lit(1)
     page = F.col("page")
-    return _keyed(ev).groupBy("userId", "date").agg(
+    return ev.filter(F.col("userId").isNotNull()).groupBy("userId", "date").agg(
         _count().alias("events"),
         F.coalesce(F.sum("length"), F.lit(0.0)).alias("listen_sec"),
         *[F.count_if(page == p).alias(p) for p in PAGES],
@@ -75,10 +77,11 @@ def artist_counts(ev: DataFrame) -> DataFrame:
 
 
 def share_of_day(ev: DataFrame) -> DataFrame:
-    """Each artist's share of the user's plays that day (count / day total)."""
+    """Each artist's share of the user's plays that day (count / day total).
+    The total is an aggregate joined back, so a busy user-day is no single task."""
     ac = artist_counts(ev)
-    day = Window.partitionBy("userId", "date")
-    return ac.withColumn("p", F.col("cnt") / F.sum("cnt").over(day))
+    total = ac.groupBy("userId", "date").agg(F.sum("cnt").alias("_total"))
+    return ac.join(total, ["userId", "date"]).withColumn("p", F.col("cnt") / F.col("_total")).drop("_total")
 
 
 def artist_entropy(ev: DataFrame) -> DataFrame:
@@ -136,5 +139,3 @@ def window_sums(dense: DataFrame, cols: list[str], recent: int, long: int) -> Da
     exprs = [f"sum(`{c}`) OVER ({frame}) AS `{prefix}{c}`" for c in cols for prefix, frame in frames.items()]
     return dense.selectExpr("*", *exprs)
 
-
-CORE = CORE_COLUMNS

@@ -81,24 +81,28 @@ def page_counts(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("page").isNotNull()).groupBy("page").agg(_count().alias("events"))
 
 
-def page_by_level(ev: DataFrame, levels: tuple[str, ...] = ("free", "paid")) -> DataFrame:
-    """Pivot page x level with zero fill, plus the row total. Conditional
-    counts in one aggregate (``pivot`` would plan an extra distinct job)."""
+def levels_of(ev: DataFrame) -> list[str]:
+    """The levels that occur, in order: they name the columns of the pivot."""
+    return [r.level for r in ev.select("level").where(F.col("level").isNotNull()).distinct().orderBy("level").collect()]
+
+
+def page_by_level(ev: DataFrame, levels: list[str] | None = None) -> DataFrame:
+    """Pivot page x level with zero fill, plus the row total over the levels
+    (default: all that occur in the data). Conditional counts in one aggregate."""
+    levels = levels_of(ev) if levels is None else levels
     lv = F.col("level")
-    counts = [F.count_if(lv == l).alias(l) for l in levels]
     return (
         ev.filter(F.col("page").isNotNull() & lv.isin(*levels))
         .groupBy("page")
-        .agg(*counts)
-        .withColumn("total", sum((F.col(l) for l in levels), F.lit(0)))
+        .agg(*[F.count_if(lv == x).alias(x) for x in levels])
+        .withColumn("total", sum((F.col(f"`{x}`") for x in levels), F.lit(0)))
     )
 
 
-def page_by_level_pct(ev: DataFrame, levels: tuple[str, ...] = ("free", "paid")) -> DataFrame:
+def page_by_level_pct(ev: DataFrame, levels: list[str] | None = None) -> DataFrame:
+    levels = levels_of(ev) if levels is None else levels
     pv = page_by_level(ev, levels)
-    return pv.select(
-        "page", *[(F.col(l) / F.col("total") * 100.0).alias(f"{l}_pct") for l in levels]
-    )
+    return pv.select("page", *[(F.col(f"`{x}`") / F.col("total") * 100.0).alias(f"{x}_pct") for x in levels])
 
 
 def sessions_per_user(ev: DataFrame) -> DataFrame:
@@ -110,14 +114,14 @@ def devices_per_user(ev: DataFrame) -> DataFrame:
 
 
 def avg_session_hours_per_user(ev: DataFrame) -> DataFrame:
-    """Event-weighted mean session duration of the user, floor-divided by 60."""
-    with_d = session_duration_join(ev)
-    return (
-        with_d.filter(F.col("userId").isNotNull())
-        .groupBy("userId")
-        .agg(F.avg("session_duration_min").alias("_m"))
-        .select("userId", F.floor(F.col("_m") / 60.0).cast("double").alias("avg_session_hours"))
+    """Event-weighted mean session duration of the user, floor-divided by 60.
+    Events are counted per user and session first; durations join that table."""
+    per = ev.filter(F.col("userId").isNotNull()).groupBy("userId", "sessionId").agg(_count().alias("_n"))
+    d = F.col("session_duration_min")
+    sums = per.join(session_durations(ev), "sessionId", "left").groupBy("userId").agg(
+        F.sum(F.col("_n") * d).alias("_s"), F.sum(F.when(d.isNotNull(), F.col("_n"))).alias("_c")
     )
+    return sums.select("userId", F.floor(F.try_divide(F.col("_s"), F.col("_c").cast("double")) / 60.0).cast("double").alias("avg_session_hours"))
 
 
 def top_values(ev: DataFrame, column: str, k: int = 10, alias: str = "events") -> DataFrame:

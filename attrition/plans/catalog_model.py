@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from attrition.config import LABEL, Params
 from attrition.operators import evaluate as E
-from attrition.operators.split import stratified_split, time_split
+from attrition.operators.split import THREE_WAY, stratified_split, time_split
 from attrition.plans.catalog import register
 from attrition.plans.catalog_features import _train_feat
 
@@ -31,12 +31,13 @@ def _curve(s, d) -> DataFrame:
     return E.pr_curve(_scored(s, d), "label", "score")
 
 
-def _picked(s, d) -> float:
-    """The chosen threshold (one number) for the metric queries."""
-    return float(E.pick_threshold(_curve(s, d), P.precision_floor).first()["threshold"])
+def _picked(s, d):
+    """The chosen threshold for the metric queries, as a scalar subquery."""
+    return E.pick_threshold(_curve(s, d), P.precision_floor).select("threshold").scalar()
 
 
-register("stratified_split")(lambda s, d: stratified_split(_scored(s, d)).select("userId", "date", "label", "split"))
+register("stratified_split")(lambda s, d: stratified_split(_scored(s, d), "label").select("userId", "date", "label", "split"))
+register("stratified_split_three_way")(lambda s, d: stratified_split(_scored(s, d), "label", THREE_WAY).select("userId", "date", "label", "split"))
 register("time_split")(lambda s, d: time_split(_scored(s, d), test_days=1).select("userId", "date", "label", "split"))
 register("pr_curve")(_curve)
 register("average_precision")(lambda s, d: E.average_precision(_curve(s, d)))

@@ -18,7 +18,7 @@ from attrition.operators import evaluate as E
 from attrition.operators.split import stratified_split
 from attrition.plans.catalog import ev_keep, register
 from attrition.plans.features import asof_features, user_day_features
-from attrition.plans.scoring import requests_from_events, score_requests
+from attrition.plans.scoring import filter_user_asof, requests_from_events, score_requests
 from attrition.plans.training import assemble_vector, predict_proba, training_job
 from attrition.session import checkpoint_dir
 from attrition.sources import bundle as B
@@ -43,7 +43,7 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 
 
 def _validation(s, d) -> DataFrame:
-    return stratified_split(user_day_features(ev_keep(s, d), P), 0.7, seed=42).filter(F.col("split") == "validation")
+    return stratified_split(user_day_features(ev_keep(s, d), P), LABEL, seed=42).filter(F.col("split") == "validation")
 
 
 register("training_job")(lambda s, d: trained(s, d)[1])
@@ -98,3 +98,9 @@ def _reload(s, d):
 def _asof(s, d):
     ev = ev_keep(s, d)
     return asof_features(ev, requests_from_events(ev), P)
+
+
+@register("filter_user_asof")
+def _visible(s, d):
+    ev = ev_keep(s, d)
+    return filter_user_asof(ev, requests_from_events(ev))

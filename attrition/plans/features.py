@@ -152,7 +152,8 @@ def asof_features(ev: DataFrame, requests: DataFrame, params: Params = Params())
     """Feature row of each request ``(user_id, date)`` as of the end of the
     request's day, for all requests at once.
 
-    Only events of requested users are read (semi-join). Returns
+    Only events of requested users up to their last requested day are
+    aggregated. Returns
     ``user_id, date, status, <48 features>``; ``status`` is ``ok``,
     ``unknown_user`` or ``no_activity`` (no event on or before the day), with
     null features for the last two."""
@@ -161,10 +162,12 @@ def asof_features(ev: DataFrame, requests: DataFrame, params: Params = Params())
         F.to_date(F.col("date").cast("timestamp_ntz")).alias("_day"),
     )
     ends = req.groupBy(F.col("user_id").alias("userId")).agg(F.max("_day").alias("end_date"))
-    evr = ev.join(ends.select("userId"), "userId", "left_semi")
+    asked = ev.join(ends, "userId")
+    # later events can't be seen by any request: they go before anything is aggregated
+    evr = asked.filter(F.col("date") <= F.col("end_date")).drop("end_date")
     feat = feature_matrix(derive_features(dense_daily(evr, "asof", ends=ends), params), params)
     feat = feat.withColumnRenamed("userId", "_u").withColumnRenamed("date", "_day").drop(LABEL)
-    known = evr.select(F.col("userId").alias("_k")).distinct()
+    known = asked.select(F.col("userId").alias("_k")).distinct()
     out = req.join(feat, (req["user_id"] == feat["_u"]) & (req["_day"] == feat["_day"]), "left").drop(feat["_day"])
     out = out.join(known, out["user_id"] == known["_k"], "left")
     status = (

@@ -16,16 +16,36 @@ def reindex_columns(df: DataFrame, columns: list[str], fill: float = 0.0) -> Dat
 
 
 def requests_from_events(ev: DataFrame) -> DataFrame:
-    """One scoring request per user, derived from the log: the middle day of
-    the user's active span, at 12:00 (``user_id, date``)."""
+    """Scoring requests derived from the log (``user_id, date``), three per
+    user: the middle day of the user's active span at 12:00; the day before
+    the first activity; and that middle day for a user id that doesn't occur."""
     b = ev.filter(F.col("userId").isNotNull() & F.col("date").isNotNull()).groupBy("userId").agg(
         F.min("date").alias("_f"), F.max("date").alias("_l")
     )
+    noon = lambda d: d.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
     mid = F.date_add(F.col("_f"), F.floor(F.datediff("_l", "_f") / 2).cast("int"))
-    return b.select(
-        F.col("userId").alias("user_id"),
-        (mid.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))).alias("date"),
+    ask = lambda who, day: F.struct(who.alias("user_id"), noon(day).alias("date"))
+    asked = F.array(
+        ask(F.col("userId"), mid),
+        ask(F.col("userId"), F.date_sub("_f", 1)),
+        ask(F.concat(F.lit("no such user "), "userId"), mid),
     )
+    return b.select(F.inline(asked))
+
+
+def filter_user_asof(ev: DataFrame, requests: DataFrame) -> DataFrame:
+    """The events each request ``(user_id, date)`` may see: those of the user
+    up to the end of the request's day. Columns ``user_id, date, status,
+    event_seq, datetime``; a request without such an event has one row with
+    status ``unknown_user`` or ``no_activity`` and null event columns."""
+    req = requests.select("user_id", F.col("date").cast("timestamp_ntz").alias("date")).distinct()
+    e = ev.filter(F.col("userId").isNotNull()).select("userId", "event_seq", "datetime", F.col("date").alias("_day"))
+    seen = req.join(e.filter(F.col("_day").isNotNull()), (F.col("user_id") == F.col("userId")) & (F.col("_day") <= F.to_date("date")), "left")
+    known = e.select(F.col("userId").alias("_known")).distinct()
+    missing = seen.filter(F.col("userId").isNull()).join(known, F.col("user_id") == F.col("_known"), "left")
+    missing = missing.select("user_id", "date", F.when(F.col("_known").isNull(), "unknown_user").otherwise("no_activity").alias("status"), "event_seq", "datetime")
+    found = seen.filter(F.col("userId").isNotNull()).select("user_id", "date", F.lit("ok").alias("status"), "event_seq", "datetime")
+    return found.unionByName(missing)
 
 
 def score_requests(ev: DataFrame, requests: DataFrame, bundle, params=None) -> DataFrame:

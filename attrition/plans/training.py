@@ -89,7 +89,8 @@ def training_job(
     the checkpoint. Returns a one-row report."""
     checkpoint_dir(spark)
     feats = feature_names(params)
-    table = stratified_split(user_day_features(ev, params), train_fraction, seed=42).checkpoint(eager=True)
+    parts = (("train", train_fraction), ("validation", 1 - train_fraction))
+    table = stratified_split(user_day_features(ev, params), LABEL, parts, seed=42).checkpoint(eager=True)
     train = table.filter(F.col("split") == "train")
     val = table.filter(F.col("split") == "validation")
 

@@ -226,12 +226,20 @@ FROM matrix""",
 # --- as-of features for requests derived from the log ------------------------
 cte(
     "req",
-    """  SELECT userId AS user_id,
-         CAST(first_date + CAST(floor(date_diff('day', first_date, last_date) / 2) AS INTEGER) AS TIMESTAMP) + INTERVAL 12 HOUR AS date
+    """  SELECT CASE k WHEN 2 THEN 'no such user ' || userId ELSE userId END AS user_id,
+         CAST(CASE k WHEN 1 THEN first_date - 1 ELSE first_date + CAST(floor(date_diff('day', first_date, last_date) / 2) AS INTEGER) END AS TIMESTAMP)
+           + INTERVAL 12 HOUR AS date
   FROM (SELECT userId, min(date) AS first_date, max(date) AS last_date FROM ev
-        WHERE userId IS NOT NULL AND date IS NOT NULL GROUP BY userId) b""",
+        WHERE userId IS NOT NULL AND date IS NOT NULL GROUP BY userId) b, (SELECT unnest([0, 1, 2]) AS k) ks""",
     ["ev"],
 )
+query(
+    "filter_user_asof",
+    """SELECT r.user_id, r.date, CASE WHEN e.userId IS NOT NULL THEN 'ok' WHEN r.user_id IN (SELECT userId FROM ev WHERE userId IS NOT NULL) THEN 'no_activity'
+       ELSE 'unknown_user' END AS status, e.event_seq, e.datetime
+FROM req r LEFT JOIN ev e ON e.userId = r.user_id AND e.date <= CAST(r.date AS DATE)""",
+    ["req", "ev"],
+)
 cte("req_end", "  SELECT user_id AS userId, max(CAST(date AS DATE)) AS end_date FROM req GROUP BY user_id", ["req"])
 cte(
     "aday",

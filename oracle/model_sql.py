@@ -18,7 +18,11 @@ cte("curve2", """  SELECT threshold, pos, neg, tp, fp, CAST(tp AS DOUBLE) / (tp
          CASE WHEN p_total = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / p_total END AS recall FROM curve""", ["curve"])
 
 U = "('0x' || substr(md5(userId || '|' || CAST(date AS VARCHAR) || '|' || '42'), 1, 8))::BIGINT / 4294967296.0"
-query("stratified_split", f"SELECT userId, date, label, CASE WHEN {U} < 0.7 THEN 'train' ELSE 'validation' END AS split FROM scored", ["scored"])
+cte("ranked", f"""  SELECT userId, date, label, row_number() OVER (PARTITION BY label ORDER BY {U}, userId, date) AS r,
+         count(*) OVER (PARTITION BY label) AS n FROM scored""", ["scored"])
+query("stratified_split", "SELECT userId, date, label, CASE WHEN r <= floor(n * 0.7 + 0.5) THEN 'train' ELSE 'validation' END AS split FROM ranked", ["ranked"])
+query("stratified_split_three_way", """SELECT userId, date, label, CASE WHEN r <= floor(n * 0.6::DOUBLE + 0.5) THEN 'train'
+       WHEN r <= floor(n * (0.6::DOUBLE + 0.2::DOUBLE) + 0.5) THEN 'validation' ELSE 'test' END AS split FROM ranked""", ["ranked"])
 query("time_split", """SELECT userId, date, label,
        CASE WHEN date <= (SELECT max(date) FROM scored) - 1 THEN 'train' ELSE 'test' END AS split FROM scored""", ["scored"])
 query("pr_curve", f"""SELECT {r6('threshold')} AS threshold, pos, neg, tp, fp, {r6('precision')} AS precision,

@@ -30,7 +30,7 @@ def test_train_save_reload_rescore(spark):
     assert bundle.features == FEATURES
     assert abs(bundle.threshold - report["threshold"]) < 1e-12
     # rescoring the validation rows with the reloaded bundle gives the same confusion counts
-    val = stratified_split(user_day_features(ev), 0.7, seed=42).filter(F.col("split") == "validation")
+    val = stratified_split(user_day_features(ev), LABEL, seed=42).filter(F.col("split") == "validation")
     scored = predict_proba(bundle.model, val).select(F.col(LABEL).alias("label"), "probability")
     cm = E.confusion(scored, "label", "probability", bundle.threshold).first()
     assert (cm["tp"], cm["fp"], cm["tn"], cm["fn"]) == (report["val_tp"], report["val_fp"], report["val_tn"], report["val_fn"])

@@ -36,9 +36,9 @@ from attrition.llm.components import components
 from attrition.llm.vectors import matrix, number_type, one_per_id, usable
 
 BLOCK_DIMENSIONS, GRID_DIMENSIONS = 8, 2
-#: Rotated coordinates travel as 32-bit floats; this is more than what that can change in a squared distance.
-ROUNDING = 1e-5
-_CELLS = "length int, part int, cell long, home boolean, rep long, n long, vector binary, turned binary"
+#: More than what rounding can change in a squared distance, of doubles and of the 32-bit floats of the first test.
+ROUNDING, ROUGH = 1e-9, 1e-5
+_CELLS = "length int, part int, cell long, home boolean, rep long, n long, vector binary"
 
 
 @lru_cache
@@ -46,6 +46,19 @@ def rotation(length: int, seed: int = 17) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((length, length)))[0]
 
 
+def unit_and_turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length 1, and those rotated. Column by column, so that a vector
+    gets the same bits in every task, whatever other vectors are there."""
+    norm2 = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        norm2 += x[:, j] ** 2
+    unit = x / np.sqrt(norm2)[:, None]
+    turned, r = np.zeros_like(unit), rotation(x.shape[1])
+    for j in range(x.shape[1]):
+        turned += unit[:, j : j + 1] * r[j]
+    return unit, turned
+
+
 def parts(length: int) -> list[slice]:
     cuts = np.linspace(0, length, max(1, length // BLOCK_DIMENSIONS) + 1).astype(int).tolist()
     return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -56,17 +69,16 @@ def budgets(length: int, cosine: float) -> np.ndarray:
 
 
 def _cells(kind: str, cosine: float):
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
     schema = pa.schema([(n.split()[0], t) for n, t in zip(_CELLS.split(", "), types, strict=True)])
 
     def place(rep: np.ndarray, n: np.ndarray, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
         x = matrix(raw, kind)
         length = x.shape[1]
-        turned = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(length)).astype(np.float32)
-        sent = np.array([r.tobytes() for r in turned], object)
+        _, turned = unit_and_turned(x)
         raw = np.array(raw, object)
         for k, (s, budget) in enumerate(zip(parts(length), budgets(length, cosine), strict=True)):
-            y = turned[:, s][:, :GRID_DIMENSIONS].astype(np.float64)
+            y = turned[:, s][:, :GRID_DIMENSIONS]
             radius = float(np.sqrt(budget))
             width = 2 * radius
             at = np.floor(y / width).astype(np.int64)
@@ -80,7 +92,7 @@ def _cells(kind: str, cosine: float):
                 who.append(np.flatnonzero(reached))
                 home.append(np.zeros(reached.sum(), bool))
             cell, i, is_home = (np.concatenate(a) for a in (cells, who, home))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), v), t) for v, t in ((length, pa.int32()), (k, pa.int32()))] + [pa.array(cell), pa.array(is_home), pa.array(rep[i]), pa.array(n[i]), pa.array(raw[i], pa.binary()), pa.array(sent[i], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), v), t) for v, t in ((length, pa.int32()), (k, pa.int32()))] + [pa.array(cell), pa.array(is_home), pa.array(rep[i]), pa.array(n[i]), pa.array(raw[i], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,29 +124,28 @@ def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (home, candidate) that link and for which this part is the first within its budget.
-    h and c hold (rep, x, turned)."""
-    rep_h, x_h, t_h = h
-    rep_c, x_c, t_c = c
+    h and c hold (rep, vectors)."""
+    (rep_h, x_h), (rep_c, x_c) = h, c
+    (unit_h, t_h), (unit_c, t_c) = unit_and_turned(x_h), unit_and_turned(x_c)
     all_parts, limit = parts(t_h.shape[1]), budgets(t_h.shape[1], cosine)
     s = all_parts[part]
-    unit_h, unit_c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (x_h, x_c))
     y_h, y_c = t_h[:, s], t_c[:, s]
     lead = min(GRID_DIMENSIONS, y_h.shape[1] - 1)
     order_h, order_c = np.argsort(y_h[:, lead]), np.argsort(y_c[:, lead])
     line = y_c[order_c, lead]
-    wide_h = np.hstack([-2 * y_h, (y_h.astype(np.float64) ** 2).sum(1, keepdims=True), np.ones((len(y_h), 1))]).astype(np.float32)
-    wide_c = np.hstack([y_c, np.ones((len(y_c), 1)), (y_c.astype(np.float64) ** 2).sum(1, keepdims=True)]).astype(np.float32)
+    wide_h = np.hstack([-2 * y_h, (y_h**2).sum(1, keepdims=True), np.ones((len(y_h), 1))]).astype(np.float32)
+    wide_c = np.hstack([y_c, np.ones((len(y_c), 1)), (y_c**2).sum(1, keepdims=True)]).astype(np.float32)
     radius, found = float(np.sqrt(limit[part])) + 1e-6, []
     for at in range(0, len(order_h), step):
         rows = order_h[at : at + step]
         a, b = np.searchsorted(line, [y_h[rows[0], lead] - radius, y_h[rows[-1], lead] + radius + 1e-6])
         cols = order_c[a:b]
-        i, j = np.nonzero(wide_h[rows] @ wide_c[cols].T <= limit[part] + ROUNDING)
+        i, j = np.nonzero(wide_h[rows] @ wide_c[cols].T <= limit[part] + ROUGH)
         i, j = rows[i], cols[j]
         apart = rep_h[i] != rep_c[j]
         for lo in range(0, len(i), 1 << 16):
             p, q = i[lo : lo + (1 << 16)][apart[lo : lo + (1 << 16)]], j[lo : lo + (1 << 16)][apart[lo : lo + (1 << 16)]]
-            gap = (t_h[p].astype(np.float64) - t_c[q]) ** 2
+            gap = (t_h[p] - t_c[q]) ** 2
             within = np.add.reduceat(gap, [x.start for x in all_parts], axis=1) <= limit
             mine = within[:, part] & ~within[:, :part].any(1)
             p, q = p[mine], q[mine]
@@ -151,8 +162,8 @@ def _tiles(kind: str, cosine: float):
         reps, n = group.rep.to_numpy(), group.n.to_numpy()
         out = {"rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)}
         if home.any() and not home.all():
-            x, t = matrix(group.vector, kind), matrix(group.turned, "<f4").astype(np.float32)
-            i, j = join_tile(int(key[1]), cosine, (reps[home], x[home], t[home]), (reps[~home], x[~home], t[~home]))
+            x = matrix(group.vector, kind)
+            i, j = join_tile(int(key[1]), cosine, (reps[home], x[home]), (reps[~home], x[~home]))
             names, at = np.unique(np.concatenate([reps[home], reps[~home]]), return_inverse=True)
             a, b = at[: home.sum()][i], at[home.sum() :][j]
             links = np.bincount(a, n[~home][j], minlength=len(names)).astype(np.int64)
@@ -164,7 +175,7 @@ def _tiles(kind: str, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tile: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tile: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vec_id."""
     use_checkpoints(vectors.sparkSession)
     kind = number_type(vectors)
@@ -176,7 +187,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tile: int = 4096) -
     dealt = size.select(*key, F.ceil(F.col("homes") / tile).cast("int").alias("rows"), F.ceil(F.col("others") / tile).cast("int").alias("cols")).where("rows > 0")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    sides = cells.join(dealt, key)
+    # coordinates lie between -1 and 1, so cells are bounded by the vectors' length, not by their number
+    sides = cells.join(F.broadcast(dealt), key)
     sides = sides.withColumn("row", F.explode(F.when(F.col("home"), F.array(own("rows"))).otherwise(span("rows"))))
     sides = sides.withColumn("col", F.explode(F.when(F.col("home"), span("cols")).otherwise(F.array(own("cols")))))
     found = sides.drop("rows", "cols").groupBy(*key, "row", "col").applyInPandas(_tiles(kind, cosine), "rep long, other long, n_links long").checkpoint()

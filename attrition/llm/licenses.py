@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
     ``lower`` also touches other letters, which no phrase or template holds; the two
     that it would turn into ASCII letters are replaced first."""
     plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
-    return F.regexp_extract_all(F.lower(plain), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(plain), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def _places(w: Column, phrase: str) -> Column:

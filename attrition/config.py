@@ -99,6 +99,12 @@ class Params:
     long_window: int = 14
     precision_floor: float = 0.7
     scale_pos_weight: float | None = None  # None: derive from the data
+    rounds: int = 1000  # boosted trees
+    max_depth: int = 6
+    learning_rate: float = 0.05
+    row_share: float = 0.8  # rows and features that each tree sees
+    min_rows_per_leaf: int = 2
+    seed: int = 42
 
 
 def feature_names(params: Params = Params()) -> list[str]:

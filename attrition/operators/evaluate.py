@@ -2,10 +2,10 @@
 
 The precision/recall curve needs, for every distinct score t, the positives
 and negatives scored >= t. A global ``Window.orderBy(score)`` would run in a
-single task; instead distinct scores are grouped into fine buckets
-(``floor(score * 2^20)``), cumulated inside each bucket in parallel, and
-offset by prefix sums over the bucket table (at most one row per bucket, so
-bounded by 2^20 rows for scores in [0, 1]). Exact, tie-aware.
+single task; instead distinct scores are grouped into buckets between
+quantiles of the scores themselves, cumulated inside each bucket in parallel,
+and offset by prefix sums over the bucket table (``BUCKETS`` rows). Exact and
+tie-aware for scores of any range, since the quantiles only deal out the work.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = float(2**20)
+BUCKETS = 256
 
 
 def _frac(num: Column, den: Column) -> Column:
@@ -21,14 +21,14 @@ def _frac(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def class_balance(df: DataFrame, label: str) -> DataFrame:
+def class_balance(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Rows, positives, positive rate and the derived positive-class weight
-    ``(1 - p) / max(p, 1e-9)``."""
+    ``(1 - p) / max(p, 1e-9)``, for each value of the columns ``by``."""
     y = F.col(label)
-    agg = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(y == 1).alias("positives"))
+    agg = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(y == 1).alias("positives"))
     p = F.try_divide(F.col("positives").cast("double"), F.col("rows"))
     return agg.select(
-        "rows", "positives", p.alias("pos_rate"),
+        *by, "rows", "positives", p.alias("pos_rate"),
         ((F.lit(1.0) - p) / F.greatest(p, F.lit(1e-9))).alias("scale_pos_weight"),
     )
 
@@ -41,8 +41,10 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
         df.filter(F.col(score).isNotNull())
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
-        .withColumn("_b", F.floor(F.col("threshold") * BUCKETS))
     )
+    # quantiles of the distinct scores, whatever their range and clusters
+    cuts = counts.select(F.percentile_approx("threshold", [i / BUCKETS for i in range(1, BUCKETS)], 20 * BUCKETS)).scalar()
+    counts = counts.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("threshold")))).drop("_cuts")
     inside = Window.partitionBy("_b").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_tp_in", F.sum("pos").over(inside)).withColumn("_fp_in", F.sum("neg").over(inside))
     buckets = counts.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))

@@ -1,15 +1,18 @@
 """Model queries of the catalog (rows-only checks: model scores are not
 SQL-reproducible).
 
-Training runs once per process and data directory; the bundle is written
-under the session's shared checkpoint folder. ``MAX_ITER`` keeps the
-registered queries quick; ``training_job`` takes it as a parameter.
+Training runs once per Spark application, data directory and parameters, with
+the full number of rounds; each run writes to a folder of its own under the
+session's shared checkpoint folder. Every query reads the tables and returns
+rows computed from them with what the run saved.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,72 +27,126 @@ from attrition.session import checkpoint_dir
 from attrition.sources import bundle as B
 
 P = Params()
-MAX_ITER = 20
-_RUNS: dict[str, tuple[str, DataFrame]] = {}
 
 
-def _out_dir(spark: SparkSession, sf_dir: str) -> str:
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    return f"{checkpoint_dir(spark)}/attrition-models/{tag}"
+@dataclass
+class Run:
+    folder: str
+    run_id: str
+    report: dict
 
 
-def trained(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """(output folder, report) of the training job on ``sf_dir``."""
-    if sf_dir not in _RUNS:
-        out = _out_dir(spark, sf_dir)
-        report = training_job(spark, ev_keep(spark, sf_dir), out, P, max_iter=MAX_ITER)
-        _RUNS[sf_dir] = (out, report)
-    return _RUNS[sf_dir]
+_RUNS: dict[tuple, Run] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str, params: Params = P) -> Run:
+    """The training job's run on ``sf_dir`` in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, params)
+    if key not in _RUNS:
+        run_id = uuid.uuid4().hex
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/attrition-models/{run_id}"
+        report = training_job(spark, ev_keep(spark, sf_dir), folder, params, run_id=run_id).first().asDict()
+        _RUNS[key] = Run(folder, run_id, report)
+    return _RUNS[key]
+
+
+def _matrix(s, d) -> DataFrame:
+    return user_day_features(ev_keep(s, d), P)
+
+
+def _bundle(s, d) -> B.Bundle:
+    return B.load_model_bundle(s, f"{trained(s, d).folder}/bundle")
+
+
+def _feature_sums(s, d) -> DataFrame:
+    """``feature, nonzero``: rows of the feature table where it isn't zero."""
+    feats = feature_names(P)
+    counts = _matrix(s, d).agg(*[F.count_if(F.col(f"`{f}`") != 0).alias(f"c{i}") for i, f in enumerate(feats)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("nonzero")) for i, f in enumerate(feats)])))
+
+
+def _recounted(s, d) -> DataFrame:
+    """``key, recounted``: the run's counts, taken from the tables again."""
+    split = stratified_split(_matrix(s, d), LABEL, seed=P.seed)
+    n = split.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("split") == "train").alias("n_train_rows"), F.count_if(F.col("split") == "validation").alias("n_validation_rows"))
+    return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("recounted")) for c in n.columns])))
 
 
 def _validation(s, d) -> DataFrame:
-    return stratified_split(user_day_features(ev_keep(s, d), P), LABEL, seed=42).filter(F.col("split") == "validation")
+    return stratified_split(_matrix(s, d), LABEL, seed=P.seed).filter(F.col("split") == "validation")
 
 
-register("training_job")(lambda s, d: trained(s, d)[1])
+@register("training_job")
+def _training(s, d):
+    """The run's report beside the row counts taken from the tables again."""
+    run = trained(s, d)
+    counts = _recounted(s, d).groupBy().pivot("key", ["n_rows", "n_train_rows", "n_validation_rows"]).agg(F.first("recounted"))
+    counts = counts.select(*[F.col(c).alias(f"recounted_{c}") for c in counts.columns])
+    return counts.select(*[F.lit(v).alias(k) for k, v in run.report.items()], *counts.columns)
 
 
 @register("assemble_vector", rounded=False)
 def _assemble(s, d):
-    return assemble_vector(user_day_features(ev_keep(s, d), P), feature_names(P)).select("userId", "date", "features", LABEL)
+    """The model's input vector, as an array of doubles."""
+    x = assemble_vector(_matrix(s, d), feature_names(P))
+    return x.select("userId", "date", F.transform(vector_to_array("features"), lambda v: F.round(v, 6) + F.lit(0.0)).alias("features"), LABEL)
 
 
 @register("train_gbt")
 def _train_gbt(s, d):
-    """Feature importances of the fitted boosted trees."""
-    out, _ = trained(s, d)
-    model = B.load_model_bundle(s, f"{out}/bundle").model
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    feats = feature_names(P)
-    return s.createDataFrame([(f, float(v)) for f, v in zip(feats, imp)], "feature string, importance double")
+    """Feature importances of the fitted boosted trees, with the feature's non-zero rows."""
+    model = _bundle(s, d).model
+    rows = zip(feature_names(P), model.stages[-1].featureImportances.toArray().tolist(), strict=True)
+    return s.createDataFrame(list(rows), "feature string, importance double").join(_feature_sums(s, d), "feature")
 
 
 @register("predict_proba")
 def _predict(s, d):
-    out, _ = trained(s, d)
-    bundle = B.load_model_bundle(s, f"{out}/bundle")
-    return predict_proba(bundle.model, _validation(s, d)).select("userId", "date", LABEL, "probability")
+    return predict_proba(_bundle(s, d).model, _validation(s, d)).select("userId", "date", LABEL, "probability")
+
+
+@register("save_model_bundle")
+def _save_bundle(s, d):
+    """Saves the run's bundle to a new folder, reloads it, and scores the
+    validation rows with both: the probabilities and whether they agree."""
+    old, copy = _bundle(s, d), f"{trained(s, d).folder}/copy-{uuid.uuid4().hex}"
+    B.save_model_bundle(s, copy, old.model, old.threshold, old.features)
+    new, rows = B.load_model_bundle(s, copy), _validation(s, d)
+    scored = predict_proba(new.model, predict_proba(old.model, rows).withColumnRenamed("probability", "saved"))
+    return scored.select("userId", "date", "saved", F.col("probability").alias("reloaded"), (F.col("saved") == F.col("probability")).alias("same"))
+
+
+@register("load_model_bundle")
+def _load_bundle(s, d):
+    """The bundle's ordered features and threshold, with each feature's non-zero rows."""
+    return B.bundle_table(s, _bundle(s, d)).join(_feature_sums(s, d), "feature")
+
+
+@register("save_run_metadata")
+def _metadata(s, d):
+    """The saved metadata as key and value, beside the counts taken from the tables again."""
+    text = s.read.json(f"{trained(s, d).folder}/metadata").select(F.explode(F.from_json("metadata", "map<string,string>")).alias("key", "value"))
+    return text.join(_recounted(s, d), "key", "left")
 
 
-register("save_model_bundle")(lambda s, d: B.bundle_table(s, B.load_model_bundle(s, f"{trained(s, d)[0]}/bundle")))
-register("load_model_bundle")(lambda s, d: B.bundle_table(s, B.load_model_bundle(s, f"{trained(s, d)[0]}/bundle")))
-register("save_run_metadata")(lambda s, d: s.read.json(f"{trained(s, d)[0]}/metadata"))
-register("log_run")(lambda s, d: B.read_run_log(s, f"{trained(s, d)[0]}/runs"))
+@register("log_run")
+def _log(s, d):
+    """What the run logged, beside the counts taken from the tables again."""
+    run = trained(s, d)
+    return B.read_run_log(s, f"{run.folder}/runs", run.run_id).drop("run_id", "logged_at").join(_recounted(s, d), "key", "left")
 
 
 @register("score_requests")
 def _score(s, d):
-    out, _ = trained(s, d)
     ev = ev_keep(s, d)
-    return score_requests(ev, requests_from_events(ev), B.load_model_bundle(s, f"{out}/bundle"), P)
+    return score_requests(ev, requests_from_events(ev), _bundle(s, d), P)
 
 
 @register("reload_check")
 def _reload(s, d):
     """Reload the saved bundle, rescore the validation rows at the saved
     threshold and report (the same report as right after training)."""
-    out, _ = trained(s, d)
-    bundle = B.load_model_bundle(s, f"{out}/bundle")
+    bundle = _bundle(s, d)
     scored = predict_proba(bundle.model, _validation(s, d)).select(F.col(LABEL).alias("label"), "probability")
     return E.classification_report(E.confusion(scored, "label", "probability", bundle.threshold))
 

@@ -8,6 +8,7 @@ splits, thresholds and metrics follow the same definitions.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -33,21 +34,20 @@ def assemble_vector(df: DataFrame, features: list[str]) -> DataFrame:
     return assembler(features).transform(df)
 
 
-def gbt(max_iter: int = 50, seed: int = 42) -> GBTClassifier:
-    """XGBoost-like settings: depth 6, learning rate 0.05, row and feature
-    subsampling 0.8, at least 2 rows per leaf, class weights in ``weight``."""
+def gbt(params: Params = Params()) -> GBTClassifier:
+    """Boosted trees with class weights in ``weight``; row and feature subsampling."""
     return GBTClassifier(
         featuresCol="features",
         labelCol="label",
         weightCol="weight",
-        maxIter=max_iter,
-        maxDepth=6,
-        stepSize=0.05,
-        subsamplingRate=0.8,
-        featureSubsetStrategy="0.8",
-        minInstancesPerNode=2,
+        maxIter=params.rounds,
+        maxDepth=params.max_depth,
+        stepSize=params.learning_rate,
+        subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.row_share),
+        minInstancesPerNode=params.min_rows_per_leaf,
         minInfoGain=0.0,
-        seed=seed,
+        seed=params.seed,
     )
 
 
@@ -58,8 +58,8 @@ def with_weight(df: DataFrame, label: str, spw: float) -> DataFrame:
     )
 
 
-def train_gbt(train: DataFrame, features: list[str], label: str, spw: float, max_iter: int = 50) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), gbt(max_iter)]).fit(with_weight(train, label, spw))
+def train_gbt(train: DataFrame, features: list[str], label: str, spw: float, params: Params = Params()) -> PipelineModel:
+    return Pipeline(stages=[assembler(features), gbt(params)]).fit(with_weight(train, label, spw))
 
 
 def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -73,58 +73,75 @@ def _row(df: DataFrame) -> dict:
     return r.asDict() if r is not None else {}
 
 
+#: Rows of the feature table for each task of the iterative fit.
+ROWS_PER_TASK = 50_000
+
+
 def training_job(
     spark: SparkSession,
     ev: DataFrame,
     out_dir: str,
     params: Params = Params(),
-    max_iter: int = 50,
     train_fraction: float = 0.7,
+    run_id: str | None = None,
 ) -> DataFrame:
     """features -> split -> fit -> threshold -> metrics -> persist.
 
     The feature table is checkpointed (reliable checkpoint in the shared
     ``spark.checkpoint.dir``) so the iterative fit and the evaluations do
     not replay the event-level lineage, and an executor loss recomputes from
-    the checkpoint. Returns a one-row report."""
+    the checkpoint. Each part is scored once, into a checkpoint too. All that
+    a run writes lies under ``out_dir``, which must be a folder of its own.
+    Returns a one-row report."""
     checkpoint_dir(spark)
+    run_id = run_id or uuid.uuid4().hex
     feats = feature_names(params)
     parts = (("train", train_fraction), ("validation", 1 - train_fraction))
-    table = stratified_split(user_day_features(ev, params), LABEL, parts, seed=42).checkpoint(eager=True)
-    train = table.filter(F.col("split") == "train")
-    val = table.filter(F.col("split") == "validation")
-
-    bal = _row(E.class_balance(train, LABEL))
+    table = stratified_split(user_day_features(ev, params), LABEL, parts, seed=params.seed).checkpoint(eager=True)
+    balance = {r["split"]: r.asDict() for r in E.class_balance(table, LABEL, "split").collect()}
+    bal = balance["train"]
     spw = params.scale_pos_weight if params.scale_pos_weight is not None else bal["scale_pos_weight"]
-    model = train_gbt(train, feats, LABEL, spw, max_iter)
+    # many short jobs follow: a few full tasks each, not one per shuffle partition
+    tasks = max(1, -(-int(bal["rows"]) // ROWS_PER_TASK))
+    model = train_gbt(table.filter(F.col("split") == "train").coalesce(tasks), feats, LABEL, spw, params)
 
-    tr_p = predict_proba(model, train).select(F.col(LABEL).alias("label"), F.col("probability"))
-    va_p = predict_proba(model, val).select(F.col(LABEL).alias("label"), F.col("probability"))
-    curve = E.pr_curve(va_p, "label", "probability")
+    scored = predict_proba(model, table).select("split", F.col(LABEL).alias("label"), "probability").checkpoint(eager=True)
+    tr_p, va_p = (scored.filter(F.col("split") == x) for x in ("train", "validation"))
+    curve = E.pr_curve(va_p, "label", "probability").checkpoint(eager=True)
     ap = _row(E.average_precision(curve))["average_precision"]
     thr = float(_row(E.pick_threshold(curve, params.precision_floor))["threshold"])
     m_tr = _row(E.metrics_at_threshold(tr_p, "label", "probability", thr))
     m_va = _row(E.metrics_at_threshold(va_p, "label", "probability", thr))
+    reports = {
+        name: [r.asDict() for r in E.classification_report(E.confusion(p, "label", "probability", thr)).collect()]
+        for name, p in (("train", tr_p), ("validation", va_p))
+    }
 
-    B.save_model_bundle(spark, f"{out_dir}/bundle", model, thr, feats)
+    n_val = int(balance.get("validation", {"rows": 0})["rows"])
     report = {
         "threshold": thr,
         "scale_pos_weight": float(spw),
         "pos_rate_train": bal["pos_rate"],
+        "pos_rate_validation": balance.get("validation", {"pos_rate": None})["pos_rate"],
         "val_pr_auc": ap,
+        "val_roc_auc": _row(E.roc_auc(curve))["roc_auc"],
         **{f"val_{k}": v for k, v in m_va.items()},
         **{f"train_{k}": v for k, v in m_tr.items()},
-        "n_rows": int(bal["rows"] + _row(val.agg(F.count(F.lit(1)).alias("n")))["n"]),
+        "n_rows": int(bal["rows"]) + n_val,
+        "n_train_rows": int(bal["rows"]),
+        "n_validation_rows": n_val,
         "n_features": len(feats),
+        "rounds": params.rounds,
     }
-    B.save_run_metadata(spark, f"{out_dir}/metadata", report)
-    B.log_run(spark, f"{out_dir}/runs", {**asdict(params), "max_iter": max_iter, "train_fraction": train_fraction}, report)
+    B.save_model_bundle(spark, f"{out_dir}/bundle", model, thr, feats)
+    B.save_run_metadata(spark, f"{out_dir}/metadata", {**report, **asdict(params), "classification_report": reports})
+    B.log_run(spark, f"{out_dir}/runs", {**asdict(params), "train_fraction": train_fraction, "scale_pos_weight": float(spw)}, report, run_id)
     return report_frame(spark, report)
 
 
 def report_frame(spark: SparkSession, report: dict) -> DataFrame:
     """One-row DataFrame of a metrics dict (counts as long, the rest double)."""
-    counts = {"n_rows", "n_features"} | {f"{p}_{c}" for p in ("val", "train") for c in ("tp", "fp", "tn", "fn")}
+    counts = {"n_rows", "n_train_rows", "n_validation_rows", "n_features", "rounds"} | {f"{p}_{c}" for p in ("val", "train") for c in ("tp", "fp", "tn", "fn")}
     fields = ", ".join(f"{k} {'long' if k in counts else 'double'}" for k in report)
     row = tuple(None if v is None else (int(v) if k in counts else float(v)) for k, v in report.items())
     return spark.createDataFrame([row], fields)

@@ -1,8 +1,8 @@
 """Model bundle, run metadata and run log on shared storage.
 
 A bundle directory holds ``model/`` (Spark ML ``PipelineModel``),
-``threshold/`` and ``features/`` (one-row JSON tables). Every part must
-exist on load. Paths should name shared storage on a cluster (for example a
+``threshold/`` and ``features/`` (one-row JSON tables) and ``whole/``, written
+last. Every part must exist on load. Paths should name shared storage on a cluster (for example a
 folder under ``spark.checkpoint.dir``).
 """
 
@@ -34,15 +34,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_model_bundle(spark: SparkSession, path: str, model: PipelineModel, threshold: float, features: list[str]) -> None:
+    """Writes the parts, then the marker that makes the bundle whole."""
     model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(float(threshold),)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/threshold")
     spark.createDataFrame([(json.dumps(list(features)),)], "features string").coalesce(1).write.mode("overwrite").json(
         f"{path}/features"
     )
+    spark.createDataFrame([(len(features),)], "n_features int").coalesce(1).write.mode("overwrite").json(f"{path}/whole")
 
 
 def load_model_bundle(spark: SparkSession, path: str) -> Bundle:
-    for part in ("model", "threshold", "features"):
+    for part in ("model", "threshold", "features", "whole"):
         if not _exists(spark, f"{path}/{part}"):
             raise FileNotFoundError(f"{path}/{part}")
     model = PipelineModel.load(f"{path}/model")
@@ -90,5 +92,6 @@ def log_run(spark: SparkSession, path: str, params: dict, metrics: dict, run_id:
     return run_id
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
+def read_run_log(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    log = spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
+    return log if run_id is None else log.filter(F.col("run_id") == run_id)

@@ -7,16 +7,19 @@ cross-engine comparison (``round_doubles``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.functions.expr import round_doubles
+from attrition.functions.sequence import global_rank
 from attrition.operators import churn as C
 from attrition.operators import explore as X
 from attrition.operators.histogram import histogram
-from attrition.sources.events import canonical, events_from_tables
+from attrition.session import checkpoint_dir
+from attrition.sources.events import canonical, events_from_tables, load_events, write_event_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -48,7 +51,27 @@ def ev_null(spark: SparkSession, sf_dir: str, location: bool = False) -> DataFra
 
 
 # --- sources / scalars ------------------------------------------------------
-register("load_events")(lambda s, d: canonical(ev_keep(s, d, location=True)))
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _event_log(s: SparkSession, d: str) -> str:
+    """The tables' events as a JSON-Lines log on shared storage, written once per application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _LOGS:
+        path = f"{checkpoint_dir(s).rstrip('/')}/event-log-{uuid.uuid4().hex}"
+        write_event_log(ev_keep(s, d, location=True), path)
+        _LOGS[key] = path
+    return _LOGS[key]
+
+
+@register("load_events")
+def _load(s, d):
+    """The log read back by the loader; ``event_seq`` as the place in log order."""
+    ev = canonical(load_events(s, _event_log(s, d)))
+    ranked = global_rank(ev, F.shiftright("event_seq", 20), [F.col("event_seq")])
+    return ranked.withColumn("event_seq", F.col("grank").cast("long")).drop("grank")
+
+
 register("events_profile")(lambda s, d: X.events_profile(ev_keep(s, d)))
 register("enrich_calendar")(lambda s, d: X.enrich_calendar(ev_null(s, d)))
 register("days_since_registration")(lambda s, d: X.days_since_registration(ev_null(s, d)))

@@ -69,20 +69,44 @@ def apply_blank_policy(ev: DataFrame, blank_user: str) -> DataFrame:
     return ev
 
 
-def load_events(spark: SparkSession, path: str, blank_user: str = "keep") -> DataFrame:
+#: Bits of an event's place within its file; the file's number stands above them.
+PLACE_BITS, ROW_BITS = 43, 33
+
+
+def load_events(spark: SparkSession, path: str | list[str], blank_user: str = "keep") -> DataFrame:
     """Read a JSON-Lines event log into the canonical form.
 
-    Epoch-millisecond ``ts``/``registration`` become naive timestamps; a
-    missing path is an error (raised by the reader at analysis time).
-    Malformed lines are kept with null fields and their text in
-    ``_corrupt_record`` (PERMISSIVE mode), see ``corrupt_lines``."""
+    Epoch-millisecond ``ts``/``registration`` become naive timestamps (null
+    where out of range); a missing path is an error (raised by the reader at
+    analysis time). Malformed lines are kept with null fields and their text
+    in ``_corrupt_record`` (PERMISSIVE mode), see ``corrupt_lines``.
+
+    ``event_seq`` is log order: files by path, lines by place. A line's place
+    is the start of its split plus its row number in the task: a task reads
+    at most one split's worth of bytes and a line has at least two, so places
+    of one split stay below the start of the next. How Spark packs files into
+    tasks changes the numbers but never their order within a file."""
     raw = (
         spark.read.schema(EVENT_SCHEMA)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
     )
-    return canonicalize(raw, F.monotonically_increasing_id(), blank_user)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    placed = raw.select("*", F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/")).alias("_file"), (F.col("_metadata.file_block_start") + row).alias("_place"))
+    # one row per file of the listing that the driver holds anyway
+    files = spark.createDataFrame([(f.replace(":///", ":/"), i) for i, f in enumerate(sorted(raw.inputFiles()))], "_file string, _file_no long")
+    placed = placed.join(F.broadcast(files), "_file", "left")
+    seq = F.shiftleft(F.coalesce(F.col("_file_no"), F.lit(0)), PLACE_BITS) + F.col("_place")
+    return canonicalize(placed, seq, blank_user)
+
+
+def write_event_log(ev: DataFrame, path: str, files: int = 4) -> None:
+    """Canonical events as JSON Lines, in log order over several files."""
+    millis = lambda c: F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    same = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("ts", "registration", "_corrupt_record")]
+    lines = ev.repartitionByRange(files, "event_seq").sortWithinPartitions("event_seq")
+    lines.select(*same, millis("datetime").alias("ts"), millis("registration_datetime").alias("registration")).write.json(path)
 
 
 def canonicalize(raw: DataFrame, seq, blank_user: str = "keep") -> DataFrame:

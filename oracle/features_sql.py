@@ -51,10 +51,9 @@ cte(
 )
 cte(
     "ent",
-    """  SELECT userId, date,
-         log2(sum(CAST(cnt AS DOUBLE))) - sum(CAST(cnt AS DOUBLE) * log2(CAST(cnt AS DOUBLE))) / sum(CAST(cnt AS DOUBLE))
-           AS artist_entropy_day
-  FROM art GROUP BY userId, date""",
+    """  SELECT userId, date, -sum(p * log2(p)) AS artist_entropy_day
+  FROM (SELECT userId, date, CAST(cnt AS DOUBLE) / sum(cnt) OVER (PARTITION BY userId, date) AS p FROM art) shares
+  GROUP BY userId, date""",
     ["art"],
 )
 cte(

@@ -144,7 +144,9 @@ _churn_ctes("n", "evn")
 # --- sources / scalar projections -------------------------------------------
 CANON = ("event_seq, userId, sessionId, datetime, date, registration_datetime, page, level, gender, "
          "length, artist, userAgent, location, auth, status")
-query("load_events", f"SELECT {CANON} FROM ev", ["ev"])
+# the log holds milliseconds
+LOGGED = CANON.replace(" datetime,", " date_trunc('milliseconds', datetime) AS datetime,")
+query("load_events", f"SELECT row_number() OVER (ORDER BY event_seq) AS {LOGGED} FROM ev", ["ev"])
 query(
     "events_profile",
     """SELECT count(*) AS rows, count(DISTINCT userId) AS unique_users,

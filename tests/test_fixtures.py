@@ -181,3 +181,60 @@ def test_digit_users_stay_strings_and_bad_requests(spark, jsonl):
     assert out[("99", 2)] == ("unknown_user", None)
     assert out[("20", 2)] == ("no_activity", None)
     assert out[("10", 5)] == ("ok", 2.0)  # spine runs past the last activity
+
+
+def test_event_order_over_several_files_and_splits(spark, tmp_path):
+    """Files by path, lines by place, however Spark packs and splits them."""
+    import json
+
+    from attrition.sources.events import load_events
+    from tests.conftest import BASE_MS, event
+
+    log = tmp_path / "log of events"
+    log.mkdir()
+    sizes = {"part-0.json": 1, "part-1.json": 400, "part-2.json": 3, "part-10.json": 250}
+    for name, n in sizes.items():
+        (log / name).write_text("".join(json.dumps(event(f"{name}/{i}", BASE_MS)) + "\n" for i in range(n)))
+    want = [f"{name}/{i}" for name in sorted(sizes) for i in range(sizes[name])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for most in ("128m", "20000b", "3000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = load_events(spark, str(log)).select("event_seq", "userId").collect()
+            assert [r.userId for r in sorted(rows, key=lambda r: r.event_seq)] == want
+            assert len({r.event_seq for r in rows}) == len(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_times_out_of_range_are_null(spark, jsonl):
+    from attrition.sources.events import load_events
+    from tests.conftest import BASE_MS, event
+
+    path = jsonl([event("1", 9 * 10**18), event("2", -(9 * 10**18)), event("3", BASE_MS + 1, registration=253_402_300_800_000), event("4", None)])
+    got = {r.userId: (r.datetime, r.registration_datetime) for r in load_events(spark, path).collect()}
+    assert got["1"][0] is None and got["2"][0] is None and got["4"][0] is None
+    assert got["3"][0].microsecond == 1000 and got["3"][1] is None
+
+
+def test_registration_of_an_event_without_a_time_counts(spark, jsonl):
+    from attrition.plans.features import user_day_features
+    from attrition.sources.events import load_events
+    from tests.conftest import BASE_MS, DAY, event
+
+    path = jsonl([event("1", BASE_MS, registration=BASE_MS - 2 * DAY), event("1", None, registration=BASE_MS - 9 * DAY)])
+    rows = user_day_features(load_events(spark, path)).select("days_since_join").collect()
+    assert [r.days_since_join for r in rows] == [9.0]
+
+
+def test_other_levels_have_columns_of_their_own(spark, jsonl):
+    from attrition.operators.explore import page_by_level, page_by_level_pct
+    from attrition.sources.events import load_events
+    from tests.conftest import BASE_MS, event
+
+    ev = load_events(spark, jsonl([event("1", BASE_MS, "Home", level=x) for x in ("free", "paid", "trial", "trial", None)] + [event("2", BASE_MS, "Error", level="trial")]))
+    got = {r.page: r.asDict() for r in page_by_level(ev).collect()}
+    assert got["Home"] == {"page": "Home", "free": 1, "paid": 1, "trial": 2, "total": 4}
+    assert got["Error"]["trial"] == 1 and {r.page: r.trial_pct for r in page_by_level_pct(ev).collect()} == {"Home": 50.0, "Error": 100.0}

@@ -232,29 +232,22 @@ def churn_context(ev: DataFrame, n_events: int = 3, radius: int = 5) -> DataFram
     """The ``radius`` events before and after each of the first ``n_events``
     churn events (ordered by user, then time), with a marker on the churn row.
 
-    The picked churn rows are a top-k (``n_events`` rows), so broadcasting
-    them is bounded by the parameter."""
-    seq = with_level_neighbours(ev)
+    The churn rows are found on the narrow coded view; they are a top-k
+    (``n_events`` rows), so broadcasting them is bounded by the parameter, and
+    only their users' events are numbered with all columns."""
+    coded = with_level_code_neighbours(ev.select(*ORDER_INPUT, "page", "level"))
     picked = (
-        seq.filter(is_churn())
+        coded.filter(is_churn_coded())
         .orderBy(F.col("userId").asc(), *order_cols())
         .limit(n_events)
-        .select(
-            F.col("userId").alias("_u"),
-            F.col("rn").alias("_crn"),
-            F.col("datetime").alias("churn_at"),
-            F.col("event_seq").alias("_cseq"),
-        )
+        .select(F.col("userId").alias("_u"), F.col("rn").alias("_crn"), F.col("datetime").alias("churn_at"), F.col("event_seq").alias("_cseq"))
     )
-    picked = picked.withColumn(
-        "churn_no", F.row_number().over(Window.orderBy(F.col("_u"), F.col("_crn")))
-    )  # at most n_events rows
-    joined = seq.join(
-        F.broadcast(picked),
-        (seq["userId"] == picked["_u"]) & seq["rn"].between(picked["_crn"] - radius, picked["_crn"] + radius),
-        "inner",
-    )
-    return joined.select(
+    picked = picked.withColumn("churn_no", F.row_number().over(Window.orderBy(F.col("_u"), F.col("_crn"))))  # at most n_events rows
+    shown = ev.select(*ORDER_INPUT, "page", "level", "sessionId", "status", "auth")
+    theirs = shown.join(F.broadcast(picked.select(F.col("_u").alias("userId")).distinct()), "userId", "left_semi")
+    seq = sequence_view(theirs, "userId")
+    near = (seq["userId"] == picked["_u"]) & seq["rn"].between(picked["_crn"] - radius, picked["_crn"] + radius)
+    return seq.join(F.broadcast(picked), near, "inner").select(
         F.col("churn_no").cast("long").alias("churn_no"),
         "userId",
         "churn_at",

@@ -3,10 +3,9 @@ cumulative and rolling windows.
 
 Shuffle plan (training spine):
 
-* events -> ``groupBy(userId, date)`` with partial aggregation (one row per
-  active user-day leaves each map task; a hot user is spread over its days);
-* events -> ``groupBy(userId, date, artist)`` -> ``groupBy(userId, date)``
-  for the entropy, joined to the daily table on the same keys (co-partitioned);
+* events -> ``groupBy(userId, date, artist)`` with partial aggregation ->
+  ``groupBy(userId, date)``: counts, entropy and dimensions from one scan (a
+  hot user is spread over its days and artists);
 * the user-day table moves once more, to ``userId``: gap filling and every
   per-user window run on that partitioning. A user holds one row per
   calendar day there, however many events it has.
@@ -41,26 +40,37 @@ def daily_aggregates(ev: DataFrame) -> DataFrame:
 
 
 def daily_aggregates_with_dims(ev: DataFrame) -> DataFrame:
-    """``daily_aggregates`` plus per-day pieces of the user dimensions, from
-    the same aggregate: earliest registration of the day, and the day's
-    first event (by time, and by log order) as a decimal key tagged with
-    the event's gender code + 1 (``key_tag``). Rolled up to the user with
-    windows later, so no separate user aggregate or join is needed.
-    Events without a time make one row per user with a null date: it counts
-    for the user's registration, and ``densify`` drops it."""
+    """``daily_aggregates`` with ``artist_entropy_day`` and per-day pieces of the
+    user dimensions, from one scan: events are aggregated by user, day and
+    artist, and those rows rolled up to the day. The pieces are the earliest
+    registration of the day, and the day's first event (by time, and by log
+    order) as a decimal key tagged with the event's gender code + 1
+    (``key_tag``). Rolled up to the user with windows later, so no separate
+    user aggregate or join is needed. Events without a time make one row per
+    user with a null date: it counts for the user's registration, and
+    ``densify`` drops it."""
     from attrition.functions.expr import gender_code
     from attrition.functions.sequence import tagged_order_key, tagged_seq_key
 
     tag = gender_code("gender") + F.lit(1)
     page = F.col("page")
-    return ev.filter(F.col("userId").isNotNull()).groupBy("userId", "date").agg(
+    first = {"_reg_day": F.col("registration_datetime"), "_first_by_time": tagged_order_key(tag), "_first_by_seq": tagged_seq_key(tag)}
+    by_artist = ev.filter(F.col("userId").isNotNull()).groupBy("userId", "date", "artist").agg(
         _count().alias("events"),
-        F.coalesce(F.sum("length"), F.lit(0.0)).alias("listen_sec"),
+        F.sum("length").alias("listen_sec"),
         *[F.count_if(page == p).alias(p) for p in PAGES],
-        F.min("registration_datetime").alias("_reg_day"),
-        F.min(tagged_order_key(tag)).alias("_first_by_time"),
-        F.min(tagged_seq_key(tag)).alias("_first_by_seq"),
+        *[F.min(c).alias(name) for name, c in first.items()],
+    )
+    plays = F.when(F.col("artist").isNotNull(), F.col("events").cast("double"))
+    days = by_artist.groupBy("userId", "date").agg(
+        F.sum("events").alias("events"),
+        F.coalesce(F.sum("listen_sec"), F.lit(0.0)).alias("listen_sec"),
+        *[F.sum(f"`{p}`").alias(p) for p in PAGES],
+        *[F.min(name).alias(name) for name in first],
+        F.sum(plays).alias("_n"),
+        F.sum(plays * F.log2(plays)).alias("_s"),
     )
+    return days.withColumn("artist_entropy_day", F.coalesce(F.log2("_n") - F.col("_s") / F.col("_n"), F.lit(0.0))).drop("_n", "_s")
 
 
 def user_activity_bounds(ev: DataFrame) -> DataFrame:

@@ -61,6 +61,14 @@ def session_durations(ev: DataFrame) -> DataFrame:
     return agg.select("sessionId", minutes_between("_last", "_first").alias("session_duration_min"))
 
 
+def session_sizes(ev: DataFrame) -> DataFrame:
+    """Duration in minutes and number of events of each session."""
+    agg = ev.filter(F.col("sessionId").isNotNull()).groupBy("sessionId").agg(
+        F.min("datetime").alias("_first"), F.max("datetime").alias("_last"), _count().alias("events")
+    )
+    return agg.select("sessionId", minutes_between("_last", "_first").alias("session_duration_min"), "events")
+
+
 def session_duration_join(ev: DataFrame) -> DataFrame:
     """Every event with its session's duration. The per-session aggregate is
     joined back (not a window over the session) so a hot session is split by

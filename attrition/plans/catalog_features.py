@@ -152,14 +152,14 @@ def _assert_users(s, d):
     return U.assert_user_table(_user_table(s, d), ev.filter(F.col("userId").isNotNull()))
 
 
-def _hist(values, column, n):
+def _hist(values, column, n, weight=None):
     def run(s, d):
-        return histogram(values(ev_null(s, d)), column, n)
+        return histogram(values(ev_null(s, d)), column, n, weight)
 
     return run
 
 
-register("histogram_session_length")(_hist(X.session_duration_join, "session_duration_min", 50))
+register("histogram_session_length")(_hist(X.session_sizes, "session_duration_min", 50, "events"))
 register("histogram_sessions_per_user")(_hist(X.sessions_per_user, "sessions", 50))
 register("histogram_devices_per_user")(_hist(X.devices_per_user, "devices", 20))
 register("histogram_avg_session_hours")(_hist(X.avg_session_hours_per_user, "avg_session_hours", 10))

@@ -23,7 +23,7 @@ from attrition.config import CORE_COLUMNS, LABEL, Params, feature_names
 from attrition.functions.expr import cyclical, day_of_week, safe_div
 from attrition.functions.sequence import key_tag
 from attrition.operators.churn import churn_timestamps
-from attrition.operators.daily import artist_entropy, daily_aggregates_with_dims, densify, window_sums
+from attrition.operators.daily import daily_aggregates_with_dims, densify, window_sums
 
 
 def _c(name: str) -> Column:
@@ -32,12 +32,8 @@ def _c(name: str) -> Column:
 
 def daily_table(ev: DataFrame) -> DataFrame:
     """Active user-days with the 13 core counts, the day's artist entropy and
-    per-day dimension pieces (co-partitioned join on ``(userId, date)``)."""
-    daily = daily_aggregates_with_dims(ev)
-    ent = artist_entropy(ev)
-    return daily.join(ent, ["userId", "date"], "left").withColumn(
-        "artist_entropy_day", F.coalesce(F.col("artist_entropy_day"), F.lit(0.0))
-    )
+    per-day dimension pieces."""
+    return daily_aggregates_with_dims(ev)
 
 
 def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = None, churn_ts: DataFrame | None = None) -> DataFrame:

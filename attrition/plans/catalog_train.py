@@ -85,11 +85,21 @@ def _training(s, d):
     return counts.select(*[F.lit(v).alias(k) for k, v in run.report.items()], *counts.columns)
 
 
-@register("assemble_vector", rounded=False)
+@register("training_job_counts")
+def _training_counts(s, d):
+    """What of the run's report doesn't depend on the model."""
+    run = trained(s, d)
+    one = _recounted(s, d).agg(F.count(F.lit(1)).alias("_n"))
+    keys = ("n_rows", "n_train_rows", "n_validation_rows", "n_features", "rounds", "scale_pos_weight", "pos_rate_train", "pos_rate_validation")
+    scored = sum(run.report[f"{p}_{c}"] for p in ("train", "val") for c in ("tp", "fp", "tn", "fn"))
+    return one.select(*[F.lit(run.report[k]).alias(k) for k in keys], F.lit(scored).cast("long").alias("scored_rows"))
+
+
+@register("assemble_vector")
 def _assemble(s, d):
-    """The model's input vector, as an array of doubles."""
+    """The model's input vector, a row for each place in it."""
     x = assemble_vector(_matrix(s, d), feature_names(P))
-    return x.select("userId", "date", F.transform(vector_to_array("features"), lambda v: F.round(v, 6) + F.lit(0.0)).alias("features"), LABEL)
+    return x.select("userId", "date", LABEL, F.posexplode(vector_to_array("features")).alias("place", "value"))
 
 
 @register("train_gbt")
@@ -105,6 +115,13 @@ def _predict(s, d):
     return predict_proba(_bundle(s, d).model, _validation(s, d)).select("userId", "date", LABEL, "probability")
 
 
+@register("predict_proba_range")
+def _predict_range(s, d):
+    """Each validation row with whether its probability lies between 0 and 1."""
+    p = F.col("probability")
+    return predict_proba(_bundle(s, d).model, _validation(s, d)).select("userId", "date", LABEL, ((p >= 0) & (p <= 1)).alias("in_range"))
+
+
 @register("save_model_bundle")
 def _save_bundle(s, d):
     """Saves the run's bundle to a new folder, reloads it, and scores the
@@ -142,13 +159,26 @@ def _score(s, d):
     return score_requests(ev, requests_from_events(ev), _bundle(s, d), P)
 
 
+@register("score_requests_status")
+def _score_status(s, d):
+    """Each request with its status, and whether it has a label exactly if it is ok."""
+    ev = ev_keep(s, d)
+    scored = score_requests(ev, requests_from_events(ev), _bundle(s, d), P)
+    return scored.select("user_id", "date", "status", (F.col("label").isNotNull() == (F.col("status") == "ok")).alias("consistent"))
+
+
 @register("reload_check")
 def _reload(s, d):
-    """Reload the saved bundle, rescore the validation rows at the saved
-    threshold and report (the same report as right after training)."""
-    bundle = _bundle(s, d)
+    """Reloads the saved bundle and rescores the validation rows at the saved
+    threshold: the report's supports, and whether the counts are those that the
+    training run reported."""
+    bundle, run = _bundle(s, d), trained(s, d)
     scored = predict_proba(bundle.model, _validation(s, d)).select(F.col(LABEL).alias("label"), "probability")
-    return E.classification_report(E.confusion(scored, "label", "probability", bundle.threshold))
+    cm = E.confusion(scored, "label", "probability", bundle.threshold)
+    same = F.lit(True)
+    for c in ("tp", "fp", "tn", "fn"):
+        same = same & (cm.select(c).scalar() == F.lit(run.report[f"val_{c}"]))
+    return E.classification_report(cm).select("label", "support").withColumn("same_counts", same)
 
 
 @register("asof_features")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle.features_sql import FEATURES
 from oracle.sql import cte, query, r6
 
 LABEL = "label_churn_horizon"
@@ -23,6 +24,24 @@ cte("ranked", f"""  SELECT userId, date, label, row_number() OVER (PARTITION BY
 query("stratified_split", "SELECT userId, date, label, CASE WHEN r <= floor(n * 0.7 + 0.5) THEN 'train' ELSE 'validation' END AS split FROM ranked", ["ranked"])
 query("stratified_split_three_way", """SELECT userId, date, label, CASE WHEN r <= floor(n * 0.6::DOUBLE + 0.5) THEN 'train'
        WHEN r <= floor(n * (0.6::DOUBLE + 0.2::DOUBLE) + 0.5) THEN 'validation' ELSE 'test' END AS split FROM ranked""", ["ranked"])
+F48 = ", ".join(f'"{f}"' for f in FEATURES)
+cte("split2", f"""  SELECT m.*, CASE WHEN row_number() OVER (PARTITION BY {LABEL} ORDER BY {U}, userId, date)
+         <= floor(count(*) OVER (PARTITION BY {LABEL}) * 0.7 + 0.5) THEN 'train' ELSE 'validation' END AS split FROM matrix m""", ["matrix"])
+query("training_job_counts", f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE split = 'train') AS n_train_rows,
+       count(*) FILTER (WHERE split = 'validation') AS n_validation_rows, 48::BIGINT AS n_features, 1000::BIGINT AS rounds,
+       {r6(f"(1.0 - avg({LABEL}) FILTER (WHERE split = 'train')) / greatest(avg({LABEL}) FILTER (WHERE split = 'train'), 1e-9)")} AS scale_pos_weight,
+       {r6(f"avg({LABEL}) FILTER (WHERE split = 'train')")} AS pos_rate_train,
+       {r6(f"avg({LABEL}) FILTER (WHERE split = 'validation')")} AS pos_rate_validation, count(*) AS scored_rows FROM split2""", ["split2"])
+query("assemble_vector", f"""SELECT userId, date, {LABEL}, (unnest(range(48)))::INT AS place,
+       unnest([{", ".join(r6(f'"{f}"') for f in FEATURES)}]) AS value FROM matrix""", ["matrix"])
+query("predict_proba_range", f"SELECT userId, date, {LABEL}, true AS in_range FROM split2 WHERE split = 'validation'", ["split2"])
+query("reload_check", f"""SELECT label, support, true AS same_counts FROM (SELECT count(*) FILTER (WHERE {LABEL} = 0) AS n0,
+       count(*) FILTER (WHERE {LABEL} = 1) AS n1, count(*) AS n FROM split2 WHERE split = 'validation') t,
+       LATERAL (SELECT unnest(['0', '1', 'accuracy', 'macro avg', 'weighted avg']) AS label, unnest([n0, n1, n, n, n]) AS support) r""", ["split2"])
+query("score_requests_status", """SELECT r.user_id, r.date, CASE WHEN k.userId IS NULL THEN 'unknown_user' WHEN f.userId IS NULL THEN 'no_activity' ELSE 'ok' END AS status,
+       true AS consistent
+FROM req r LEFT JOIN afeat f ON f.userId = r.user_id AND f.date = CAST(r.date AS DATE)
+LEFT JOIN (SELECT DISTINCT userId FROM ev WHERE userId IS NOT NULL) k ON k.userId = r.user_id""", ["req", "afeat", "ev"])
 query("time_split", """SELECT userId, date, label,
        CASE WHEN date <= (SELECT max(date) FROM scored) - 1 THEN 'train' ELSE 'test' END AS split FROM scored""", ["scored"])
 query("pr_curve", f"""SELECT {r6('threshold')} AS threshold, pos, neg, tp, fp, {r6('precision')} AS precision,

@@ -39,8 +39,9 @@ class Run:
 _RUNS: dict[tuple, Run] = {}
 
 
-def trained(spark: SparkSession, sf_dir: str, params: Params = P) -> Run:
+def trained(spark: SparkSession, sf_dir: str, params: Params | None = None) -> Run:
     """The training job's run on ``sf_dir`` in this application."""
+    params = params or P
     key = (spark.sparkContext.applicationId, sf_dir, params)
     if key not in _RUNS:
         run_id = uuid.uuid4().hex
@@ -90,7 +91,7 @@ def _training_counts(s, d):
     """What of the run's report doesn't depend on the model."""
     run = trained(s, d)
     one = _recounted(s, d).agg(F.count(F.lit(1)).alias("_n"))
-    keys = ("n_rows", "n_train_rows", "n_validation_rows", "n_features", "rounds", "scale_pos_weight", "pos_rate_train", "pos_rate_validation")
+    keys = ("n_rows", "n_train_rows", "n_validation_rows", "n_features", "scale_pos_weight", "pos_rate_train", "pos_rate_validation")
     scored = sum(run.report[f"{p}_{c}"] for p in ("train", "val") for c in ("tp", "fp", "tn", "fn"))
     return one.select(*[F.lit(run.report[k]).alias(k) for k in keys], F.lit(scored).cast("long").alias("scored_rows"))
 

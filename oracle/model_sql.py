@@ -28,7 +28,7 @@ F48 = ", ".join(f'"{f}"' for f in FEATURES)
 cte("split2", f"""  SELECT m.*, CASE WHEN row_number() OVER (PARTITION BY {LABEL} ORDER BY {U}, userId, date)
          <= floor(count(*) OVER (PARTITION BY {LABEL}) * 0.7 + 0.5) THEN 'train' ELSE 'validation' END AS split FROM matrix m""", ["matrix"])
 query("training_job_counts", f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE split = 'train') AS n_train_rows,
-       count(*) FILTER (WHERE split = 'validation') AS n_validation_rows, 48::BIGINT AS n_features, 1000::BIGINT AS rounds,
+       count(*) FILTER (WHERE split = 'validation') AS n_validation_rows, 48::BIGINT AS n_features,
        {r6(f"(1.0 - avg({LABEL}) FILTER (WHERE split = 'train')) / greatest(avg({LABEL}) FILTER (WHERE split = 'train'), 1e-9)")} AS scale_pos_weight,
        {r6(f"avg({LABEL}) FILTER (WHERE split = 'train')")} AS pos_rate_train,
        {r6(f"avg({LABEL}) FILTER (WHERE split = 'validation')")} AS pos_rate_validation, count(*) AS scored_rows FROM split2""", ["split2"])

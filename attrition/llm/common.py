@@ -3,8 +3,10 @@ hash split between learning and held-out rows, hashed words."""
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import attrition
 from attrition.session import checkpoint_dir
 
 #: Text bytes that one numpy step handles at a time; bounds a task's memory.
@@ -25,10 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if
+    they see that folder (else it is installed on them, or sent with --py-files)."""
+    root, env = str(Path(attrition.__file__).parent.parent), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` whose batches hold at most ``BATCH_BYTES``: Spark's default of
     10,000 rows or 64 MB is a lot for a Python worker when texts are long. Lowers
     the session's setting and never raises it."""
+    reach_workers(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key, "64m").lower()
     if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:

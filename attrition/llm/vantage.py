@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attrition.llm.common import reach_workers
 from attrition.llm.vectors import matrix, number_type, one_per_id, usable
 
 LEAF = 96
@@ -142,6 +143,7 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product with each query row but itself."""
+    reach_workers(vectors.sparkSession)
     kind = number_type(vectors)
     rows = usable(one_per_id(vectors))
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()

@@ -14,13 +14,15 @@ under *every* total order of the tokens, so several orders are intersected:
 * orders 2 and on (seeded permutations) must each show a shared prefix token
   before a pair is verified exactly.
 
-Only components are wanted, so a token's classes are first linked to one of
-them (a star, not all pairs), verified, and merged. What remains are pairs of
-different components that share a token; these are tested where their token's
-group lies, in tiles of bounded size, with an exact lower bound on the
-symmetric difference (xor of parity bitmaps), and only pairs that pass leave
-the tile to be verified. No link between different sets is lost and no group
-is expanded into all its pairs.
+Only components are wanted, so the classes of a token are gathered about one of
+them, its hub: whoever shares a prefix token shares a hub. Each hub's classes
+are dealt out in tiles of bounded size; a tile links the classes to the hub
+first and merges them, and then looks only at pairs that are not yet in one
+component, by length, by an exact lower bound on the symmetric difference (xor
+of parity bitmaps) and by the further orders, before it verifies them. What
+leaves a tile is a spanning forest of its links, so no link between components
+is lost and no group is expanded into all its pairs. Heavy tokens are salted
+over the tasks that count them.
 
 Defined results: null text and text without words has no set (n_shingles 0,
 its own component); rows that repeat a doc_id are separate documents; a null
@@ -44,7 +46,10 @@ WIDTH = 5
 #: At most this many tokens can each make up the 2**-20th part of all tokens.
 HEAVY_PART = 1 << 20
 ORDERS = 2
-TILE = 1024
+#: Rows of 16 bytes that a join may broadcast.
+BROADCAST_ROWS = 1 << 20
+#: Classes of a hub that meet those of another tile, and tasks over which a heavy token is spread.
+TILE, SALTS = 512, 64
 _MULTIPLIERS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -91,8 +96,8 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, sig, sig2, n) per document, and rows (token, count) of tokens that are frequent nearby."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+    """A row (doc_id, row_key, sig, sig2, n) per document, and rows (token, count) of tokens that are frequent nearby."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
     held: list[np.ndarray] = []
     size = 0
 
@@ -100,13 +105,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         often = count >= (2 if size < 1 << 20 else 4)
         none = pa.nulls(int(often.sum()), pa.int64())
-        return _batch(schema, none, none, none, count[often], token[often].astype(np.int64))
+        return _batch(schema, none, none, none, none, count[often], token[often].astype(np.int64))
 
     for whole in batches:
         for batch in slices(whole):
             sets = shingle_sets(raw_texts(batch.column("text")))
             sig, sig2 = zip(*map(signature, sets), strict=True)
-            yield _batch(schema, batch.column("doc_id").cast(pa.int64()), sig, sig2, [len(s) for s in sets], pa.nulls(len(sets), pa.int64()))
+            yield _batch(schema, batch.column("doc_id"), batch.column("row_key"), sig, sig2, [len(s) for s in sets], pa.nulls(len(sets), pa.int64()))
             held += sets
             size += sum(map(len, sets))
             if size > 1 << 22:
@@ -117,27 +122,29 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(percent: int, extra: float, heavy):
-    """(token, sig) of the prefix under order 0, once per class and task."""
-    schema = pa.schema([("token", pa.int64()), ("sig", pa.int64())])
+    """(token, salt, sig) of the prefix under order 0, once per class and task; salt is 0 but for heavy tokens."""
+    schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("sig", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = heavy.value, set()
         for whole in batches:
             for batch in slices(whole):
-                token, sig, size = [], [], []
+                token, salt, sig, size = [], [], [], []
                 for s in shingle_sets(raw_texts(batch.column("text"))):
                     name = signature(s)[0]
                     if not len(s) or name in seen:
                         continue
                     seen.add(name)
+                    p, light = prefix_length(len(s), percent, least_shared(len(s), extra)), len(s)
                     if len(last):
                         is_heavy = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        s = np.concatenate([s[~is_heavy], s[is_heavy]])
-                    token.append(s[: prefix_length(len(s), percent, least_shared(len(s), extra))])
+                        s, light = np.concatenate([s[~is_heavy], s[is_heavy]]), int((~is_heavy).sum())
+                    token.append(s[:p])
+                    salt.append(np.where(np.arange(p) < light, 0, 1 + name % SALTS))
                     sig.append(name)
-                    size.append(len(token[-1]))
+                    size.append(p)
                 if token:
-                    yield _batch(schema, np.concatenate(token).astype(np.int64), np.repeat(np.array(sig, np.int64), size))
+                    yield _batch(schema, np.concatenate(token).astype(np.int64), np.concatenate(salt).astype(np.int32), np.repeat(np.array(sig, np.int64), size))
 
     return run
 
@@ -150,8 +157,8 @@ def parity_bits(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, n, tokens, parity) of the wanted classes, once per class and task."""
-    schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("parity", pa.binary())])
+    """(sig, tokens) of the wanted classes, once per class and task."""
+    schema = pa.schema([("sig", pa.int64()), ("tokens", pa.binary())])
     seen = set()
     for whole in batches:
         for batch in slices(whole):
@@ -159,7 +166,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for sig, s in zip(batch.column("sig").to_pylist(), shingle_sets(raw_texts(batch.column("text"))), strict=True):
                 if sig not in seen and signature(s)[0] == sig:
                     seen.add(sig)
-                    rows.append((sig, len(s), s.tobytes(), parity_bits(s).tobytes()))
+                    rows.append((sig, s.tobytes()))
             if rows:
                 yield _batch(schema, *zip(*rows, strict=True))
 
@@ -179,22 +186,6 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(a, b) for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True) if _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-            yield _batch(schema, *(zip(*kept, strict=True) if kept else ([], [])))
-
-    side = lambda name, tokens, size: sets.select(F.col("sig").alias(name), F.col("tokens").alias(tokens), F.col("n").alias(size))
-    sized = pairs.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    fit = sized.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b")
-    rows = fit.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").select("a", "b", "x", "y")
-    return map_arrow(rows, run, "a long, b long")
-
-
 def _close(parity: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """False where the parity bits prove that the sets differ in too many tokens."""
     ok = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
@@ -212,87 +203,124 @@ def _close(parity: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray
     return ok
 
 
-def _tile_pairs(percent: int):
-    """Walks rows sorted by tile; pairs of different components that may be similar."""
+def links_of_tile(sets: list[np.ndarray], hub: int, pairs: tuple[np.ndarray, np.ndarray], percent: int, step: int = 1 << 18) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs: those with the hub first, then the given ones."""
+    label, links = np.arange(len(sets)), []
+    n = np.array([len(s) for s in sets])
+
+    def visit(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if label[i] != label[j] and _linked(sets[i], sets[j], percent):
+                links.append((i, j))
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+
+    near = np.flatnonzero((100 * n >= percent * n[hub]) & (100 * n[hub] >= percent * n))
+    visit(np.full(len(near), hub), near)
+    parity: list[np.ndarray] = []
+    for at in range(0, len(pairs[0]), step):
+        a, b = (x[at : at + step] for x in pairs)
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if len(a):
+            parity = parity or [parity_bits(s) for s in sets]
+            close = _close(parity, n, a, b, percent)
+            visit(a[close], b[close])
+    return links
+
+
+def _tiles(percent: int):
+    """Walks rows sorted by tile and links what each holds."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs_of(rows: dict) -> pa.RecordBatch:
-        first = np.flatnonzero(np.append(True, (rows["tile"][1:] != rows["tile"][:-1]).any(1)))
-        size = np.diff(np.append(first, len(rows["tile"])))
-        parity = [np.frombuffer(p, "<u8") for p in rows["parity"]]
-        found: set[tuple[int, int]] = set()
-        for at, g in zip(first.tolist(), size.tolist(), strict=True):
-            i, j = np.triu_indices(g, 1)
-            a, b = at + i, at + j
-            across = rows["tile"][at, 1] == rows["tile"][at, 2]
-            keep = (rows["comp"][a] != rows["comp"][b]) & (rows["sig"][a] != rows["sig"][b]) & (across | (rows["own"][a] != rows["own"][b]))
-            a, b = a[keep], b[keep]
-            if len(a):
-                close = _close(parity, rows["n"], a, b, percent)
-                sa, sb = rows["sig"][a[close]], rows["sig"][b[close]]
-                found.update(zip(np.minimum(sa, sb).tolist(), np.maximum(sa, sb).tolist(), strict=True))
+    key = ("hub", "row", "col")
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        tile = np.stack([rows.column(c).to_numpy() for c in key], 1)
+        sig, own = rows.column("sig").to_numpy(), rows.column("own").to_numpy()
+        tokens = rows.column("tokens").to_pylist()
+        first = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(1))).tolist()
+        found = []
+        for a, b in zip(first, [*first[1:], len(sig)], strict=True):
+            hub, row, col = tile[a]
+            there, at = np.unique(sig[a:b], return_index=True)  # a class may have come from several tasks
+            sets = [np.frombuffer(tokens[a + k], np.uint64) for k in at]
+            hubs = np.flatnonzero(there == hub)
+            if len(sets) < 2 or not len(hubs):
+                continue
+            i, j = np.triu_indices(len(sets), 1)
+            if row != col:
+                across = own[a + at[i]] != own[a + at[j]]
+                i, j = i[across], j[across]
+            found += [(there[x], there[y]) for x, y in links_of_tile(sets, int(hubs[0]), (i, j), percent)]
         return _batch(schema, *(zip(*found, strict=True) if found else ([], [])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # rows of the tile that isn't over
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            if left is not None:
-                now = pa.concat_tables([left, now])
-            tile = np.stack([now.column(c).to_numpy() for c in ("token", "row", "col")], 1)
-            cut = int(np.flatnonzero((tile != tile[-1]).any(1))[-1]) + 1 if len(tile) and (tile != tile[-1]).any() else 0
-            if cut:
-                yield pairs_of(_columns(now.slice(0, cut), tile[:cut]))
-            left = now.slice(cut)
-        if left is not None and left.num_rows:
-            yield pairs_of(_columns(left, np.stack([left.column(c).to_numpy() for c in ("token", "row", "col")], 1)))
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(c).to_numpy() for c in key], 1)
+            old = [held[0].column(c)[0].as_py() for c in key] if held else tile[0].tolist()
+            if tile[-1].tolist() == old:
+                held.append(batch)
+                continue
+            cut = int(np.flatnonzero((tile != tile[-1]).any(1))[-1]) + 1 if (tile != tile[-1]).any() else 0
+            yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
 
-def _columns(t: pa.Table, tile: np.ndarray) -> dict:
-    return {"tile": tile, "parity": t.column("parity").to_pylist()} | {c: t.column(c).to_numpy() for c in ("sig", "comp", "n", "own")}
-
-
-def _remaining(posts: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix token and may be similar."""
-    named = posts.join(comp.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", F.coalesce("component", "sig").alias("comp"))
-    mixed = named.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = named.join(mixed.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "token")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("token", "sig", "comp", "own", F.least("own", "with").alias("row"), F.greatest("own", "with").alias("col"))
-    rows = rows.join(sets.select("sig", "n", "parity"), "sig")
+def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of each hub, from rows (hub, sig)."""
+    size = members.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = members.join(size, "hub").withColumn("own", F.when(F.col("sig") == F.col("hub"), -1).otherwise(F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")))
+    chunks = F.sequence(F.lit(0), F.col("tiles") - 1)
+    # the hub goes to every tile, another class to those of its chunk
+    cells = F.flatten(F.transform(chunks, lambda i: F.transform(F.sequence(i, F.col("tiles") - 1), lambda j: F.struct(i.alias("row"), j.alias("col")))))
+    mine = F.transform(chunks, lambda k: F.struct(F.least("own", k).alias("row"), F.greatest("own", k).alias("col")))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("own") < 0, cells).otherwise(mine)))
+    rows = rows.select("hub", "sig", "own", "tile.row", "tile.col").join(sets, "sig")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "token", "row", "col").sortWithinPartitions("token", "row", "col")
-    return map_arrow(dealt, _tile_pairs(percent), "a long, b long").distinct()
+    dealt = rows.repartition(parts, "hub", "row", "col").sortWithinPartitions("hub", "row", "col")
+    return map_arrow(dealt, _tiles(percent), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     spark = docs.sparkSession
     use_checkpoints(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = map_arrow(docs, _summaries, "doc_id long, sig long, sig2 long, n long, token long").checkpoint()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    seen = map_arrow(docs, _summaries, "doc_id long, row_key long, sig long, sig2 long, n long, token long").checkpoint()
     summary = seen.where("sig is not null").drop("token")
-    classes = summary.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = summary.where("n > 0").groupBy("sig", "sig2", "n").agg(
+        F.min("doc_id").alias("rep"), F.coalesce(F.min_by("row_key", "doc_id"), F.min("row_key")).alias("rep_key")
+    )
     total = summary.agg(F.sum("n")).first()[0] or 0
     frequent = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") * HEAVY_PART > total)
     heavy = np.sort(np.array([r.token for r in frequent.select("token").collect()], np.int64).astype(np.uint64))  # at most HEAVY_PART
 
-    postings = map_arrow(docs, _postings(percent, extra, spark.sparkContext.broadcast(heavy)), "token long, sig long")
-    common = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
-    shared = postings.join(common.select("token", "df"), "token").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    postings = map_arrow(docs, _postings(percent, extra, spark.sparkContext.broadcast(heavy)), "token long, salt int, sig long")
+    # one exchange for the counts and for the rows; written-out filters keep both branches equal
+    postings = postings.where("token is not null and salt is not null").repartition("token", "salt")
+    common = postings.groupBy("token", "salt").agg(F.count("*").alias("df"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("salt > 0 or lo <> hi")
+    common = common.select("token", "salt", F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.col("df")).alias("df"))
+    shared = postings.join(common, ["token", "salt"]).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
     partner = F.ceil(F.col("n") * percent / 100)  # size of the smallest possible partner
     shared = shared.join(classes.select("sig", "n").distinct(), "sig").withColumn("least", (1 + F.floor(partner * extra)).cast("int"))
     alive = shared.where(F.size("tokens") >= F.col("least"))
     posts = alive.select("sig", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.size("tokens") - F.col("least") + 1)).alias("token")).checkpoint()
 
-    wanted = classes.where("rep is not null").join(posts.select("sig").distinct(), "sig").select(F.col("rep").alias("doc_id"), "sig")
-    sets = map_arrow(docs.join(wanted, "doc_id").select("sig", "text"), _sets, "sig long, n long, tokens binary, parity binary").checkpoint()
-    star = posts.join(posts.groupBy("token").agg(F.min("sig").alias("hub")), "token").where("hub <> sig").select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
-    links = _verified(star, sets, percent).checkpoint()
-    more = _verified(_remaining(posts, components(links), sets, percent), sets, percent).checkpoint()
-    groups = components(links.unionByName(more)).withColumnRenamed("node", "sig")
+    hubs = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last")
+    members = posts.join(hubs, "token").select("hub", "sig").distinct().checkpoint()
+    wanted = classes.join(members.select("sig").distinct(), "sig").select("rep", "rep_key", "sig").checkpoint()
+    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled to the rows wanted
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("sig", "text")
+    sets = map_arrow(texts, _sets, "sig long, tokens binary")
+    groups = components(hub_links(members, sets, percent)).withColumnRenamed("node", "sig")
 
     named = classes.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -63,6 +63,15 @@ def test_null_ids_repeated_rows_empty_table_and_representatives(make_docs):
     assert jaccard.similar_groups(docs.limit(0)).collect() == []
 
 
+def test_classes_of_null_ids_link_others(make_docs):
+    """The middle text, which links the two others, has no id."""
+    w = WORDS[:60]
+    a, b, c = (" ".join(x) for x in (w, w[7:] + ["x1"], w[13:] + ["x1", "x2"]))
+    docs, _, _ = make_docs([(5, a), (None, b), (8, c)])
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()}
+    assert got == {5: 5, None: 5, 8: 5}
+
+
 def test_prefix_filters_keep_every_similar_pair():
     rng = np.random.default_rng(2)
     for _ in range(300):

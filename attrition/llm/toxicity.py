@@ -88,45 +88,56 @@ def calibrate(zu: np.ndarray, prior: float, at_share: float = 0.3, at_middle: fl
     return scale, logit(at_share) - scale * float(edge)
 
 
+def compact(pos: Rows, unl: Rows, min_rows: int = 5) -> tuple[Rows, Rows, np.ndarray, np.ndarray]:
+    """Only columns that ``min_rows`` rows have, renumbered and scaled by rarity (a
+    feature that all rows have says little); the columns and their scales."""
+    in_rows = np.bincount(pos.column, minlength=1 << BITS) + np.bincount(unl.column, minlength=1 << BITS)
+    used = np.flatnonzero(in_rows >= min_rows)
+    scale = np.log((pos.n + unl.n + 1) / in_rows[used]).astype(np.float32)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    out = []
+    for r in (pos, unl):
+        column = number[r.column]
+        keep = column >= 0
+        out.append(Rows(r.row[keep], column[keep], r.value[keep].astype(np.float32) * scale[column[keep]], r.n))
+    return *out, used, scale
+
+
 def fit(pos: Rows, unl: Rows, prior: float, folds: int = 5, **params) -> Model:
     """The mean of models that each leave out a fold and are calibrated on the U rows of that fold."""
-    if min(pos.n, unl.n) < 2 * folds:
-        return train(pos, unl, prior, **params)
-    starts = [np.searchsorted(r.row, np.arange(r.n + 1)) for r in (pos, unl)]
-    total = Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
-    for k in range(folds):
-        kept = [r.pick(s, np.flatnonzero(np.arange(r.n) % folds != k)) for r, s in zip((pos, unl), starts, strict=True)]
-        inner = train(*kept, prior, **params)
-        left = unl.pick(starts[1], np.flatnonzero(np.arange(unl.n) % folds == k))
-        scale, shift = calibrate(left.times(inner.weight) + inner.bias, prior)
-        total.weight += inner.weight * np.float32(scale / folds)
-        total.bias += (inner.bias * scale + shift) / folds
-    return total
-
-
-def train(pos: Rows, unl: Rows, prior: float, epochs: int = 20, batches: int = 8, rate: float = 0.03, decay: float = 2e-3, min_rows: int = 5, seed: int = 5) -> Model:
-    """Adam on the non-negative risk with logistic loss."""
     if not pos.n or not unl.n:
-        return Model(np.zeros(1 << BITS, np.float32), -30.0, prior)
-    in_rows = np.bincount(np.concatenate([pos.column, unl.column]), minlength=1 << BITS)
-    used = np.flatnonzero(in_rows >= min_rows)
-    scale = np.log((pos.n + unl.n + 1) / in_rows[used]).astype(np.float32)  # a feature that all rows have says little
-    packed = []
-    for r in (pos, unl):
-        keep = in_rows[r.column] >= min_rows
-        column = np.searchsorted(used, r.column[keep])
-        packed.append(Rows(r.row[keep], column, r.value[keep] * scale[column], r.n))
-    starts = [np.searchsorted(r.row, np.arange(r.n + 1)) for r in packed]
+        return Model(np.zeros(1 << BITS, np.float32), -np.inf, prior)
+    pos, unl, used, scale = compact(pos, unl)
+    starts = [np.searchsorted(r.row, np.arange(r.n + 1)) for r in (pos, unl)]
+    if min(pos.n, unl.n) < 2 * folds:
+        w, bias = train(pos, unl, starts, [np.arange(pos.n), np.arange(unl.n)], len(used), prior, **params)
+    else:
+        w, bias = np.zeros(len(used), np.float32), 0.0
+        for k in range(folds):
+            kept = [np.flatnonzero(np.arange(r.n) % folds != k) for r in (pos, unl)]
+            inner, shift = train(pos, unl, starts, kept, len(used), prior, **params)
+            left = unl.pick(starts[1], np.flatnonzero(np.arange(unl.n) % folds == k))
+            a, b = calibrate(left.times(inner) + shift, prior)
+            w += inner * np.float32(a / folds)
+            bias += (shift * a + b) / folds
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[used] = w * scale
+    return Model(weight, bias, prior)
+
+
+def train(pos: Rows, unl: Rows, starts: list[np.ndarray], kept: list[np.ndarray], width: int, prior: float, epochs: int = 20, batches: int = 8, rate: float = 0.03, decay: float = 2e-3, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk of the kept rows, with logistic loss."""
     rng = np.random.default_rng(seed)
-    w, bias = np.zeros(len(used) + 1), len(used)
+    w, bias = np.zeros(width + 1), width
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     w[bias] = np.log(prior / (1 - prior))
     for epoch in range(epochs):
-        orders = [np.array_split(rng.permutation(r.n), batches) for r in packed]
+        orders = [np.array_split(rng.permutation(rows), batches) for rows in kept]
         for picks in zip(*orders, strict=True):
             if not all(map(len, picks)):
                 continue
-            p, u = (r.pick(s, np.sort(k)) for r, s, k in zip(packed, starts, picks, strict=True))
+            p, u = (r.pick(s, np.sort(k)) for r, s, k in zip((pos, unl), starts, picks, strict=True))
             zp, zu = (r.times(w) + w[bias] for r in (p, u))
             up, un = nn_slopes(zp, zu, prior)
             g = decay * w
@@ -136,9 +147,7 @@ def train(pos: Rows, unl: Rows, prior: float, epochs: int = 20, batches: int = 8
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weight = np.zeros(1 << BITS, np.float32)
-    weight[used] = w[:bias] * scale
-    return Model(weight, float(w[bias]), prior)
+    return w[:bias].astype(np.float32), float(w[bias])
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -150,7 +159,7 @@ def _packed(texts: DataFrame) -> DataFrame:
             for batch in slices(whole):
                 rows = Rows.of(raw_texts(batch.column("text")))
                 cut = np.searchsorted(rows.row, np.arange(rows.n + 1))
-                parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (rows.column, rows.value)]
+                parts = [[x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)] for x in (rows.column, rows.value.astype(np.float16))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in parts)], schema=schema)
 
     return map_arrow(texts.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, columns binary, values binary")
@@ -158,11 +167,13 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 def _stacked(rows: list) -> Rows:
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, r["columns"]))
-    column, value = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in (("columns", np.int32), ("values", np.float32)))
-    return Rows(np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["columns"]) // 4 for r in rows]), column, value, len(rows))
+    column, value = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in (("columns", np.int32), ("values", np.float16)))
+    size = [len(r["columns"]) // 4 for r in rows]
+    rows.clear()
+    return Rows(np.repeat(np.arange(len(size), dtype=np.int32), size), column, value, len(size))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 6000, prior: float | None = None, seed: int = 3) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 4000, prior: float | None = None, seed: int = 3) -> Model:
     """Fits on at most ``max_positive`` confirmed toxic texts and ``max_unlabelled`` others of rows that may teach."""
     toxic = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
@@ -179,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 def scores(m: Model, texts: list[bytes]) -> np.ndarray:
     owner, column, n_words = word_features(texts, BITS)
     z = np.bincount(owner, m.weight[column], minlength=len(texts)) / np.sqrt(np.maximum(n_words, 1))
-    return sigmoid(z + m.bias) if m.bias > -30 else np.zeros(len(texts))
+    return sigmoid(z + m.bias) if np.isfinite(m.bias) else np.zeros(len(texts))
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

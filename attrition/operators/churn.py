@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.config import CHURN_PAGE, SUBSCRIBE_PAGE, WEEKDAY_NAMES
-from attrition.functions.expr import floor_days
-from attrition.functions.sequence import global_rank, order_cols, order_key, sequence_view
+from attrition.functions.expr import DAY_MICROS, floor_days
+from attrition.functions.sequence import global_rank, order_cols, order_key, sequence_view, tagged_order_key
 
 
 ORDER_INPUT = ("event_seq", "userId", "datetime")
@@ -281,13 +281,10 @@ def session_timeline(ev: DataFrame, k: int = 10, palette: int = 20) -> DataFrame
         "userId", (F.row_number().over(Window.orderBy(F.col("events").desc(), F.col("userId").asc())) - 1).alias("user_rank")
     )  # k rows
     subset = ev.join(F.broadcast(top), "userId", "inner")
-    okey = order_key()
-    sessions = subset.groupBy("sessionId").agg(F.min(okey).alias("_first"))
-    sessions = sessions.select("sessionId", F.col("_first._t").alias("_ft"), F.col("_first._s").alias("_fs"))
+    # a decimal key keeps this a hash aggregate; its days are the buckets of the ranking
+    sessions = subset.groupBy("sessionId").agg(F.min(tagged_order_key(F.lit(0))).alias("_first"))
     ranked = global_rank(
-        sessions,
-        bucket=F.coalesce(F.unix_date(F.to_date("_ft")).cast("long"), F.lit(2**62)),
-        ordering=[F.col("_ft").asc_nulls_last(), F.col("_fs").asc()],
+        sessions, bucket=F.floor(F.col("_first").cast("double") / (DAY_MICROS * 1e20)).cast("long"), ordering=[F.col("_first")]
     ).select("sessionId", ((F.col("grank") - 1) % palette).alias("session_color"))
     return subset.join(ranked, "sessionId", "inner").select(
         "userId", F.col("user_rank").cast("long").alias("user_rank"), "event_seq", "datetime", "sessionId",

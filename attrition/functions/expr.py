@@ -72,6 +72,14 @@ def operating_system(ua: str | Column) -> Column:
     return F.nullif(F.regexp_extract(col(ua), OS_PATTERN, 1), F.lit(""))
 
 
+def token_bit(ua: str | Column, pattern: str) -> Column:
+    """The place of the first token of a ``(a|b|c)`` pattern as a bit, 0 without
+    one: ``bit_count(bit_or(...))`` counts distinct tokens in a hash aggregate."""
+    tokens = pattern.strip("()").split("|")
+    place = F.array_position(F.array(*[F.lit(t) for t in tokens]), F.regexp_extract(col(ua), pattern, 1))
+    return F.coalesce(F.when(place > 0, F.pow(F.lit(2.0), place - 1).cast("long")), F.lit(0).cast("long"))
+
+
 def normalize_blank(c: str | Column) -> Column:
     """'' -> null."""
     return F.nullif(col(c), F.lit(""))

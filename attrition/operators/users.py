@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.functions.expr import browser, floor_days, gender_code, operating_system
+from attrition.config import BROWSER_PATTERN, OS_PATTERN
+from attrition.functions.expr import floor_days, gender_code, token_bit
 from attrition.functions.sequence import key_tag, sequence_view, tagged_order_key
 
 USER_COLUMNS = [
@@ -110,8 +111,9 @@ def user_features(ev: DataFrame) -> DataFrame:
         F.avg("length").alias("mean_hearing_time"),
         F.var_samp("length").alias("hearing_time_variance"),
         F.count_distinct("userAgent").alias("unique_user_agents"),
-        F.count_distinct(browser("userAgent")).alias("unique_browsers"),
-        F.count_distinct(operating_system("userAgent")).alias("unique_os"),
+        # a handful of tokens each: bits instead of two more distinct counts
+        F.bit_count(F.bit_or(token_bit("userAgent", BROWSER_PATTERN))).alias("unique_browsers"),
+        F.bit_count(F.bit_or(token_bit("userAgent", OS_PATTERN))).alias("unique_os"),
         F.avg(F.hour("datetime")).alias("avg_hour_active"),
         # the weekday mode as seven counts (ties -> lowest day, nulls ignored)
         *[F.count_if(wd == d).alias(f"_wd{d}") for d in range(7)],

@@ -21,8 +21,8 @@ first and merges them, and then looks only at pairs that are not yet in one
 component, by length, by an exact lower bound on the symmetric difference (xor
 of parity bitmaps) and by the further orders, before it verifies them. What
 leaves a tile is a spanning forest of its links, so no link between components
-is lost and no group is expanded into all its pairs. Heavy tokens are salted
-over the tasks that count them.
+is lost and no group is expanded into all its pairs. Heavy tokens need no
+count, so they are split into grains.
 
 Defined results: null text and text without words has no set (n_shingles 0,
 its own component); rows that repeat a doc_id are separate documents; a null
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attrition.llm.common import map_arrow, mix, raw_texts, slices, span_hashes, use_checkpoints, words
@@ -48,8 +49,8 @@ HEAVY_PART = 1 << 20
 ORDERS = 2
 #: Rows of 16 bytes that a join may broadcast.
 BROADCAST_ROWS = 1 << 20
-#: Classes of a hub that meet those of another tile, and tasks over which a heavy token is spread.
-TILE, SALTS = 512, 64
+#: Classes of a hub that meet those of another tile, and grains into which a heavy token is split.
+TILE, SALTS = 512, 1 << 20
 _MULTIPLIERS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -303,12 +304,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> Da
     heavy = np.sort(np.array([r.token for r in frequent.select("token").collect()], np.int64).astype(np.uint64))  # at most HEAVY_PART
 
     postings = map_arrow(docs, _postings(percent, extra, spark.sparkContext.broadcast(heavy)), "token long, salt int, sig long")
-    # one exchange for the counts and for the rows; written-out filters keep both branches equal
-    postings = postings.where("token is not null and salt is not null").repartition("token", "salt")
-    common = postings.groupBy("token", "salt").agg(F.count("*").alias("df"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("salt > 0 or lo <> hi")
-    common = common.select("token", "salt", F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.col("df")).alias("df"))
-    shared = postings.join(common, ["token", "salt"]).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
-    partner = F.ceil(F.col("n") * percent / 100)  # size of the smallest possible partner
+    # a window's group is a token that isn't heavy, or a grain of a heavy one, so about the 2**-20th part of all at most
+    group = W.partitionBy("token", "salt")
+    counted = postings.select("token", "salt", "sig", F.count("*").over(group).alias("df"), F.min("sig").over(group).alias("lo"), F.max("sig").over(group).alias("hi"))
+    counted = counted.where("salt > 0 or lo <> hi").select("sig", F.struct(F.when(F.col("salt") > 0, F.lit(1 << 40)).otherwise(F.col("df")).alias("df"), "token").alias("token"))
+    shared = counted.groupBy("sig").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    partner = F.floor((F.col("n") * percent + 99) / 100)  # size of the smallest possible partner
     shared = shared.join(classes.select("sig", "n").distinct(), "sig").withColumn("least", (1 + F.floor(partner * extra)).cast("int"))
     alive = shared.where(F.size("tokens") >= F.col("least"))
     posts = alive.select("sig", F.explode(F.slice(F.col("tokens.token"), F.lit(1), F.size("tokens") - F.col("least") + 1)).alias("token")).checkpoint()

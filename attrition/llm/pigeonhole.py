@@ -157,7 +157,7 @@ def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) ->
 
 
 def _tiles(kind: str, cosine: float):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         home = group.home.to_numpy(bool)
         reps, n = group.rep.to_numpy(), group.n.to_numpy()
         out = {"rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)}

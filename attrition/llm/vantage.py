@@ -154,7 +154,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.
     candidates = as_bytes.select("vec_id", "length", "embedding", F.lit(False).alias("asks"), deal(shards, 1).alias("shard"), every(blocks).alias("block"))
     queries = as_bytes.where("is_query").select("vec_id", "length", "embedding", F.lit(True).alias("asks"), deal(blocks, 2).alias("block"), every(shards).alias("shard"))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         asks = group.asks.to_numpy(bool)
         ids = group.vec_id.to_numpy()
         if asks.all() or not asks.any():

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from attrition.config import LABEL, Params, feature_names
 from attrition.operators import evaluate as E
-from attrition.operators.split import stratified_split
+from attrition.operators.split import stratified_split, time_split
 from attrition.plans.features import user_day_features
 from attrition.session import checkpoint_dir
 from attrition.sources import bundle as B
@@ -84,6 +84,7 @@ def training_job(
     params: Params = Params(),
     train_fraction: float = 0.7,
     run_id: str | None = None,
+    test_days: int | None = None,
 ) -> DataFrame:
     """features -> split -> fit -> threshold -> metrics -> persist.
 
@@ -92,12 +93,19 @@ def training_job(
     not replay the event-level lineage, and an executor loss recomputes from
     the checkpoint. Each part is scored once, into a checkpoint too. All that
     a run writes lies under ``out_dir``, which must be a folder of its own.
-    Returns a one-row report."""
+    With ``test_days`` the last days of the calendar are the validation part
+    instead of a random share (the report is then not flattered by rows of the
+    same user on both sides). Returns a one-row report."""
     checkpoint_dir(spark)
     run_id = run_id or uuid.uuid4().hex
     feats = feature_names(params)
     parts = (("train", train_fraction), ("validation", 1 - train_fraction))
-    table = stratified_split(user_day_features(ev, params), LABEL, parts, seed=params.seed).checkpoint(eager=True)
+    rows = user_day_features(ev, params)
+    if test_days is None:
+        rows = stratified_split(rows, LABEL, parts, seed=params.seed)
+    else:
+        rows = time_split(rows, test_days).replace("test", "validation", "split")
+    table = rows.checkpoint(eager=True)
     balance = {r["split"]: r.asDict() for r in E.class_balance(table, LABEL, "split").collect()}
     bal = balance["train"]
     spw = params.scale_pos_weight if params.scale_pos_weight is not None else bal["scale_pos_weight"]

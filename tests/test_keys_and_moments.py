@@ -179,3 +179,16 @@ def test_second_buckets_keep_ties_and_null_times_in_order(spark, jsonl):
     assert [r[1] for r in by_rn] == list(range(1, 7)) and all(r[2] == 6 for r in by_rn)
     assert [r[3] for r in by_rn] == [None] + levels[:-1]
     assert [r[4] for r in by_rn] == levels[1:] + [None]
+
+
+def test_pr_curve_of_clustered_and_unbounded_scores(spark):
+    """Scores that crowd near 0, and some far outside [0, 1], against plain cumulative sums."""
+    from attrition.operators.evaluate import pr_curve
+
+    rng = np.random.default_rng(5)
+    score = np.concatenate([1.0 / (1.0 + 1000.0 * np.arange(3000)), rng.choice([-7.0, 0.0, 12.5, 1e9], 200)])
+    label = (rng.random(len(score)) < 0.3).astype(int)
+    table = spark.createDataFrame(pd.DataFrame({"score": score, "label": label})).repartition(4)
+    got = {r["threshold"]: (r["tp"], r["fp"]) for r in pr_curve(table, "label", "score").collect()}
+    want = {t: (int(((score >= t) & (label == 1)).sum()), int(((score >= t) & (label == 0)).sum())) for t in np.unique(score).tolist()}
+    assert got == want

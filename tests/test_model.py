@@ -39,6 +39,16 @@ def test_train_save_reload_rescore(spark):
     assert runs.filter(F.col("key") == "val_pr_auc").count() == 1
 
 
+def test_training_on_earlier_days(spark):
+    out = tempfile.mkdtemp(prefix="model-", dir=checkpoint_dir(spark).replace("file:", ""))
+    ev = events_from_tables(spark, SF_SMALL, "keep")
+    report = training_job(spark, ev, out, Params(rounds=2), test_days=5).first().asDict()
+    days = user_day_features(ev).groupBy("date").count().collect()
+    last = max(r["date"] for r in days)
+    late = sum(r["count"] for r in days if (last - r["date"]).days < 5)
+    assert report["n_validation_rows"] == late == sum(report[f"val_{c}"] for c in ("tp", "fp", "tn", "fn"))
+
+
 def test_missing_bundle_part_is_error(spark, tmp_path):
     import pytest
 

@@ -30,10 +30,9 @@ def byte_ngrams(texts: list[bytes], sizes: tuple[int, ...], bits: int) -> np.nda
     return out.reshape(len(texts), -1).astype(np.float32)
 
 
-def word_features(texts: list[bytes], bits: int, gram: int = 5, head: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (letters and digits, A-Z lower-cased), the first ``head`` bytes of
-    longer ones and the byte n-grams inside them, hashed: the text and the
-    column of each feature, and words per text."""
+def word_features(texts: list[bytes], bits: int, head: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (letters and digits, A-Z lower-cased) and the first ``head`` bytes of
+    longer ones, hashed: the text and the column of each feature, and words per text."""
     parts = [t.translate(LETTERS).split() for t in texts]
     n_words = np.array([len(p) for p in parts], np.int64)
     data = np.frombuffer(b" ".join([w for p in parts for w in p]) + b" ", np.uint8)
@@ -42,12 +41,7 @@ def word_features(texts: list[bytes], bits: int, gram: int = 5, head: int = 4) -
     end = np.flatnonzero(data == 32)
     start = np.append(0, end[:-1] + 1)
     owner = np.repeat(np.arange(len(texts)), n_words)
-    n_grams = np.maximum(0, end - start - gram + 1)
-    at = np.repeat(start - np.cumsum(n_grams) + n_grams, n_grams) + np.arange(n_grams.sum())
-    shift, long = np.uint64(64 - bits), end - start > head
-    code = np.zeros(len(at), np.uint64)
-    for k in range(gram):
-        code = (code << np.uint64(8)) | data[at + k].astype(np.uint64)
+    long = end - start > head
     heads = mix(span_hashes(data, start[long], start[long] + head) + np.uint64(2))
-    columns = np.concatenate([span_hashes(data, start, end), heads, mix(code + np.uint64(1))]) >> shift
-    return np.concatenate([owner, owner[long], np.repeat(owner, n_grams)]), columns.astype(np.int64), n_words
+    columns = np.concatenate([span_hashes(data, start, end), heads]) >> np.uint64(64 - bits)
+    return np.concatenate([owner, owner[long]]), columns.astype(np.int64), n_words

@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear model over hashed words and the byte 5-grams inside them is trained
+A linear model over hashed words and the first bytes of longer ones is trained
 with numpy from confirmed toxic texts (P) and texts whatever their label (U).
 The risk is corrected by the class prior pi: pi * R_P(+) plus the negative risk
 R_U(-) - pi * R_P(-), which is kept from falling below zero (when a batch makes

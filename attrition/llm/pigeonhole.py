@@ -10,8 +10,9 @@ reach. A pair found in several blocks is handled in the first of them only, and
 verified exactly, in double precision, where it is found.
 
 Equal vectors are one class throughout and are never paired. Links are counted
-where they are found, and only a spanning forest of each task's links leaves
-it, so nothing grows with the square of a group. Cells with many vectors are
+where they are found and folded into counts and labels slice by slice; only
+these and a spanning forest of a task's links leave it, so neither its memory
+nor its output grows with the square of a group. Cells with many vectors are
 dealt out over tiles of at most ``tile`` home and ``tile`` candidate vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
@@ -122,9 +123,9 @@ def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (home, candidate) that link and for which this part is the first within its budget.
-    h and c hold (rep, vectors)."""
+def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (home, candidate) that link and for which this part is the first within its budget,
+    in slices of bounded size. h and c hold (rep, vectors)."""
     (rep_h, x_h), (rep_c, x_c) = h, c
     (unit_h, t_h), (unit_c, t_c) = unit_and_turned(x_h), unit_and_turned(x_c)
     all_parts, limit = parts(t_h.shape[1]), budgets(t_h.shape[1], cosine)
@@ -135,25 +136,23 @@ def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) ->
     line = y_c[order_c, lead]
     wide_h = np.hstack([-2 * y_h, (y_h**2).sum(1, keepdims=True), np.ones((len(y_h), 1))]).astype(np.float32)
     wide_c = np.hstack([y_c, np.ones((len(y_c), 1)), (y_c**2).sum(1, keepdims=True)]).astype(np.float32)
-    radius, found = float(np.sqrt(limit[part])) + 1e-6, []
+    radius = float(np.sqrt(limit[part])) + 1e-6
     for at in range(0, len(order_h), step):
         rows = order_h[at : at + step]
         a, b = np.searchsorted(line, [y_h[rows[0], lead] - radius, y_h[rows[-1], lead] + radius + 1e-6])
         cols = order_c[a:b]
-        i, j = np.nonzero(wide_h[rows] @ wide_c[cols].T <= limit[part] + ROUGH)
-        i, j = rows[i], cols[j]
-        apart = rep_h[i] != rep_c[j]
-        for lo in range(0, len(i), 1 << 16):
-            p, q = i[lo : lo + (1 << 16)][apart[lo : lo + (1 << 16)]], j[lo : lo + (1 << 16)][apart[lo : lo + (1 << 16)]]
+        near = np.flatnonzero(wide_h[rows] @ wide_c[cols].T <= limit[part] + ROUGH)
+        for lo in range(0, len(near), 1 << 16):
+            i, j = np.divmod(near[lo : lo + (1 << 16)], len(cols))
+            i, j = rows[i], cols[j]
+            apart = rep_h[i] != rep_c[j]
+            p, q = i[apart], j[apart]
             gap = (t_h[p] - t_c[q]) ** 2
             within = np.add.reduceat(gap, [x.start for x in all_parts], axis=1) <= limit
             mine = within[:, part] & ~within[:, :part].any(1)
             p, q = p[mine], q[mine]
             link = np.einsum("ij,ij->i", unit_h[p], unit_c[q]) >= cosine
-            found.append((p[link], q[link]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            yield p[link], q[link]
 
 
 def _tiles(kind: str, cosine: float):
@@ -163,11 +162,14 @@ def _tiles(kind: str, cosine: float):
         out = {"rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n_links": np.zeros(0, np.int64)}
         if home.any() and not home.all():
             x = matrix(group.vector, kind)
-            i, j = join_tile(int(key[1]), cosine, (reps[home], x[home]), (reps[~home], x[~home]))
             names, at = np.unique(np.concatenate([reps[home], reps[~home]]), return_inverse=True)
-            a, b = at[: home.sum()][i], at[home.sum() :][j]
-            links = np.bincount(a, n[~home][j], minlength=len(names)).astype(np.int64)
-            label = smallest_labels(a, b, len(names))
+            at_h, at_c, n_c = at[: home.sum()], at[home.sum() :], n[~home]
+            links, label = np.zeros(len(names), np.int64), np.arange(len(names))
+            for i, j in join_tile(int(key[1]), cosine, (reps[home], x[home]), (reps[~home], x[~home])):
+                links += np.bincount(at_h[i], n_c[j], minlength=len(names)).astype(np.int64)
+                a, b = label[at_h[i]], label[at_c[j]]
+                if (a != b).any():
+                    label = smallest_labels(a[a != b], b[a != b], len(names))[label]
             used = np.flatnonzero((links > 0) | (label != np.arange(len(names))))
             out = {"rep": names[used], "other": names[label[used]], "n_links": links[used]}
         return pd.DataFrame(out)

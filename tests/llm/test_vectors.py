@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,23 @@ def test_pigeonhole_with_doubles_repeated_ids_and_other_lengths(make_vectors):
     assert pigeonhole.near_duplicates(vectors.limit(0)).collect() == []
 
 
+def test_memory_of_a_tile_does_not_grow_with_the_pairs_of_a_group():
+    """Two groups of distinct near copies, with 4.5 million pairs of 16 bytes each way, and a few that stand alone."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(np.eye(8)[:2], 1500, axis=0) + rng.standard_normal((3000, 8)) * 1e-3
+    x = np.concatenate([x, np.eye(8)[2:]])
+    rep, n = rng.permutation(len(x)) + 100, rng.integers(1, 4, len(x))
+    both = pd.DataFrame({"home": np.repeat([True, False], len(x)), "rep": np.tile(rep, 2), "n": np.tile(n, 2), "vector": [v.tobytes() for v in x] * 2})
+    tracemalloc.start()
+    out = pigeonhole._tiles("<f8", 0.9)((8, 0, 0, 0, 0), both)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    group = [slice(0, 1500), slice(1500, 3000)]
+    want = {int(r): (int(rep[g].min()), int(n[g].sum() - k)) for g in group for r, k in zip(rep[g], n[g], strict=True)}
+    assert {r: (o, k) for r, o, k in zip(out.rep.tolist(), out.other.tolist(), out.n_links.tolist(), strict=True)} == want
+    assert peak < 64 << 20, peak
+
+
 def test_every_near_pair_is_within_the_budget_of_some_part():
     rng = np.random.default_rng(0)
     for length in (3, 8, 20, 64, 100):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attrition.llm.common import map_arrow, mix, raw_texts, slices, span_hashes, use_checkpoints, words
+from attrition.llm.common import fresh, map_arrow, mix, raw_texts, slices, span_hashes, use_checkpoints, words
 from attrition.llm.components import components
 
 WIDTH = 5
@@ -289,8 +289,8 @@ def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(dealt, _tiles(percent), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document."""
+def _grouped(docs: DataFrame, percent: int, extra: float) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, row_key, sig, sig2, n) per document, and classes (sig, sig2, rep, component) of those with a set."""
     spark = docs.sparkSession
     use_checkpoints(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
@@ -324,6 +324,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> Da
     groups = components(hub_links(members, sets, percent)).withColumnRenamed("node", "sig")
 
     named = classes.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    return summary, named
+
+
+def similar_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per document."""
+    summary, named = _grouped(docs, percent, extra)
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_class = named.join(lowest, "component").select("sig", "sig2", "component_id")
     return summary.join(per_class, ["sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -337,6 +343,25 @@ def first_of_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti")
 
 
+def one_of_groups(docs: DataFrame, percent: int = 75, extra: float = 0.1) -> DataFrame:
+    """One document of each group, in its own columns: the one of the smallest doc_id (null last),
+    then of the smallest hash of the text; of rows equal in both, one. Rows are told apart by doc_id
+    and text, so a text never goes for another one's sake; documents without words all stay."""
+    summary, named = _grouped(docs, percent, extra)
+    named = named.select("sig", "sig2", "component")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    first = summary.where("n > 0").groupBy("sig", "sig2").agg(F.min(key).alias("first"))
+    first = first.join(named, ["sig", "sig2"]).groupBy("component").agg(F.min("first").alias("first"))
+    rows = summary.join(named.join(first, "component"), ["sig", "sig2"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    name, text_key, chosen = (fresh(c, docs.columns) for c in ("group_doc_id", "group_row_key", "group_chosen"))
+    keys = rows.groupBy(F.col("doc_id").alias(name), F.col("row_key").alias(text_key)).agg(F.bool_or(stays).alias(chosen), F.count("*").alias("times"))
+    settled = keys.where(~F.col(chosen) | (F.col("times") > 1)).drop("times").checkpoint()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(text_key))
+    repeated = docs.join(settled.where(chosen), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(settled, same, "left_anti").unionByName(repeated)
+
+
 GROUPS_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

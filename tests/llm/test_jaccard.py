@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from attrition.llm import jaccard
 from oracle.compare import compare
 from tests.llm.conftest import ODD_TEXTS
@@ -63,6 +64,17 @@ def test_null_ids_repeated_rows_empty_table_and_representatives(make_docs):
     assert jaccard.similar_groups(docs.limit(0)).collect() == []
 
 
+def test_the_pipeline_keeps_one_document_of_each_group_and_every_other_text(make_docs, spark):
+    text, other = " ".join(WORDS[:50]), "quite another text with more than five words"
+    nameless = " ".join(WORDS[100:150])
+    rows = [(3, text), (3, text), (None, text), (9, text + " tail"), (9, other), (4, None), (4, ""), (None, nameless), (None, nameless), (None, "alone here"), (7, text)]
+    docs, _, _ = make_docs(rows)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(3, text), (9, other), (4, None), (4, ""), (None, nameless), (None, "alone here")]))
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").collect() == []
+
+
 def test_classes_of_null_ids_link_others(make_docs):
     """The middle text, which links the two others, has no id."""
     w = WORDS[:60]

@@ -117,11 +117,15 @@ def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: in
     return fit(texts, labels, min_gap)
 
 
+def has_letter(texts: list[bytes]) -> list[bool]:
+    return [any(map(str.isalpha, t.decode())) for t in texts]
+
+
 def identify(m: Codes, texts: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
     """Language, score and ambiguity of each text."""
-    spoken = [bool(m.languages) and any(map(str.isalpha, t.decode())) for t in texts]
     if not m.languages:
         return [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    spoken = has_letter(texts)
     best, share, flag = decode(m, texts)
     return (
         [m.languages[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)],
@@ -145,13 +149,16 @@ def predict(docs: DataFrame, model: Codes) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Codes) -> DataFrame:
-    """The documents, in their own columns, whose language is known and not ambiguous."""
+    """The documents, in their own columns, whose language is known and not ambiguous;
+    where no language could be learned, those that have a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, max_rows=256):
-                lang, _, unsure = identify(shared.value, raw_texts(batch.column("text")))
-                yield batch.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure, strict=True)], pa.bool_()))
+                texts = raw_texts(batch.column("text"))
+                lang, _, unsure = identify(shared.value, texts)
+                stay = [x != UNKNOWN and not u for x, u in zip(lang, unsure, strict=True)] if shared.value.languages else has_letter(texts)
+                yield batch.filter(pa.array(stay, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

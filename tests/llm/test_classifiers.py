@@ -122,3 +122,8 @@ def test_nnpu_steps_back_where_the_negative_risk_is_below_zero():
     assert (up > 0).all() and (un < 0).all()
     up, un = toxicity.nn_slopes(np.full(4, -1.0), np.full(4, 1.0), 0.1)
     assert (up < 0).all() and (un > 0).all()
+
+
+def test_texts_stay_where_no_language_can_be_learned(make_docs):
+    docs, _, _ = make_docs([(1, "a clean text"), (2, "123 ..."), (3, None), (4, "\u7684 \u6587 \u5b57"), (5, "")])
+    assert sorted(r.doc_id for r in language.keep_identified(docs, language.learn(docs)).collect()) == [1, 4]

@@ -31,6 +31,8 @@ from attrition.llm.common import reach_workers
 from attrition.llm.vectors import matrix, number_type, one_per_id, usable
 
 LEAF = 96
+#: Queries whose ties are scored before the next ones, and numbers of their vectors that are copied at a time.
+TIED_ROWS, PAIR_NUMBERS = 128, 1 << 22
 
 
 @dataclass
@@ -129,16 +131,22 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
     raised = np.hstack([x, np.sqrt(np.maximum(norm2.max() - norm2, 0))[:, None]])
     root = build(raised, np.arange(len(x)), np.random.default_rng(seed))
     s = Search(raised, ids, np.hstack([q, np.zeros((len(q), 1))]), q_ids, k, factor)
-    rows, pairs = np.arange(len(q)), []
+    rows, found = np.arange(len(q)), []
     s.descend(root, rows)
     s.narrow(root, rows)
-    s.gather(root, rows, pairs)
-    r, p = (np.concatenate(c) for c in zip(*pairs, strict=True))
-    score = np.einsum("ij,ij->i", q[r], x[p])
-    order = np.lexsort((ids[p], -score, r))
-    r, p, score = r[order], p[order], score[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[place < k], p[place < k], score[place < k]
+    step = max(1, PAIR_NUMBERS // x.shape[1])
+    for at in range(0, len(q), TIED_ROWS):
+        pairs = [(rows[:0], rows[:0])]
+        s.gather(root, rows[at : at + TIED_ROWS], pairs)
+        r, p = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        score = np.empty(len(r))
+        for lo in range(0, len(r), step):
+            score[lo : lo + step] = np.einsum("ij,ij->i", q[r[lo : lo + step]], x[p[lo : lo + step]])
+        order = np.lexsort((ids[p], -score, r))
+        r, p, score = r[order], p[order], score[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((r[best], p[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:

@@ -132,6 +132,19 @@ def test_a_smaller_factor_looks_at_fewer_points(monkeypatch):
     assert looked[0] > looked[1] > looked[2] and looked[0] < 3000 * 150
 
 
+def test_memory_of_a_search_does_not_hold_the_vectors_of_all_ties():
+    """450,000 ties of 64 dimensions, 230 MB a side."""
+    x = np.ones((1500, 64))
+    q_ids = np.arange(0, 1500, 5)
+    tracemalloc.start()
+    r, p, score = vantage.nearest(x, np.arange(1500), x[q_ids], q_ids, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [[v for v in range(21) if v != i][:20] for i in q_ids]
+    assert r.tolist() == np.repeat(np.arange(300), 20).tolist() and p.reshape(300, 20).tolist() == want and (score == 64).all()
+    assert peak < 128 << 20, peak
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 40)] + [(3, 3), (None, 4), (5, None), (-9, 500), (500, 501), (501, -9)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())

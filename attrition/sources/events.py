@@ -102,10 +102,12 @@ def load_events(spark: SparkSession, path: str | list[str], blank_user: str = "k
 
 
 def write_event_log(ev: DataFrame, path: str, files: int = 4) -> None:
-    """Canonical events as JSON Lines, in log order over several files."""
+    """Canonical events as JSON Lines, in log order over at least so many files (as far as there are events),
+    and as many range partitions as a shuffle has."""
     millis = lambda c: F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
     same = [f.name for f in EVENT_SCHEMA.fields if f.name not in ("ts", "registration", "_corrupt_record")]
-    lines = ev.repartitionByRange(files, "event_seq").sortWithinPartitions("event_seq")
+    parts = max(files, int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lines = ev.repartitionByRange(parts, "event_seq").sortWithinPartitions("event_seq")
     lines.select(*same, millis("datetime").alias("ts"), millis("registration_datetime").alias("registration")).write.json(path)
 
 

@@ -238,3 +238,14 @@ def test_other_levels_have_columns_of_their_own(spark, jsonl):
     got = {r.page: r.asDict() for r in page_by_level(ev).collect()}
     assert got["Home"] == {"page": "Home", "free": 1, "paid": 1, "trial": 2, "total": 4}
     assert got["Error"]["trial"] == 1 and {r.page: r.trial_pct for r in page_by_level_pct(ev).collect()} == {"Home": 50.0, "Error": 100.0}
+
+
+def test_event_log_is_written_by_as_many_tasks_as_a_shuffle_has(spark, jsonl, tmp_path):
+    from attrition.sources.events import load_events, write_event_log
+
+    ev = load_events(spark, jsonl([event("1", BASE_MS + 1000 * i) for i in range(400)]))
+    path = str(tmp_path / "log")
+    write_event_log(ev, path)
+    back = load_events(spark, path)
+    assert len(back.inputFiles()) > 4
+    assert [r.datetime for r in back.orderBy("event_seq").collect()] == [r.datetime for r in ev.orderBy("event_seq").collect()]

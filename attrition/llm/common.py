@@ -90,6 +90,32 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def folding(kept: bytes) -> bytes:
+    """A table for ``bytes.translate`` that lower-cases A-Z and turns every ASCII
+    byte outside ``kept`` into a space; bytes beyond ASCII stay."""
+    fold = bytearray(range(256))
+    for b in range(128):
+        low = bytes([b]).lower()
+        fold[b] = low[0] if low in kept else 32
+    return bytes(fold)
+
+
+#: Terms of letters, and of letters and digits; all beyond ASCII counts as a letter.
+LETTERS = folding(b"abcdefghijklmnopqrstuvwxyz")
+ALNUM = folding(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def folded_terms(text: bytes, table: bytes, run: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The terms of a text in lists of about ``run`` bytes, so that a very long
+    text never lies in memory as one list of words."""
+    text, at = text.translate(table), 0
+    while at < len(text):
+        end = text.find(b" ", at + run)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 #: Odd multipliers of the word hash and of the places of a shingle.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -9,8 +9,8 @@ are sorted; ids move once, to the join with their place in the stream.
 
 Token ids are those of a byte-level BPE vocabulary file of the ``tokenizers``
 library, computed with ``tiktoken`` from the ranks in that file (the same ids,
-four times faster; tests compare the two). Strings of special tokens in a text
-are ordinary text.
+four times faster; tests compare the two). As in that library, a text is split at
+the file's added tokens (``<|endoftext|>``), which become their own ids.
 
 Defined results: null and empty texts have the end id alone; repeated rows and
 null doc_ids are documents of their own; ties on the curve go by doc_id; an
@@ -41,29 +41,45 @@ END_ID = 0
 
 @dataclass
 class Vocabulary:
-    """Bytes of each mergeable id; ids follow merge order."""
+    """Bytes of each mergeable id, which follow merge order, and ids of the added tokens."""
 
     ranks: dict[bytes, int]
+    added: dict[str, int]
+
+    @property
+    def size(self) -> int:
+        """The smallest id above all others."""
+        return max([*self.ranks.values(), *self.added.values()], default=-1) + 1
 
     def encoding(self):
         import tiktoken
 
-        return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
+        return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens=self.added)
+
+
+def token_ids(coder, text: str) -> list[int]:
+    """Ids of the text, added tokens in it included."""
+    return coder.encode(text, allowed_special="all", disallowed_special=())
 
 
 def load(path: str) -> Vocabulary:
-    """Reads a byte-level BPE file; refuses one whose ids don't follow its merges."""
+    """Reads a byte-level BPE file; refuses one whose ids don't follow its merges, that
+    normalizes texts, or whose added tokens have flags or contain one another."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if spec["normalizer"] or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("normalizers and added tokens with flags are not supported")
+    if any(a != b and a in b for a in added for b in added):
+        raise ValueError("added tokens that contain one another are not supported")
     merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
     vocab = spec["model"]["vocab"]
     made = [vocab["".join(m)] for m in merges]
     if made != sorted(made) or spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel":
         raise ValueError("only byte-level BPE files whose ids follow the merges are supported")
-    return Vocabulary({bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special})
+    return Vocabulary({bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}, added)
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -111,14 +127,14 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         coder = shared.value.encoding()
         for whole in batches:
             for batch in slices(whole, max_rows=2048):
-                ids = [np.array([*coder.encode_ordinary(t or ""), END_ID], width) for t in batch.column("text").to_pylist()]
+                ids = [np.array([*token_ids(coder, t or ""), END_ID], width) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(curve_keys(ids)), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], schema=schema)
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, key long, n_tokens long, ids binary")
 
 
 def id_type(vocabulary: Vocabulary) -> str:
-    return "<u2" if max(vocabulary.ranks.values(), default=0) < 1 << 16 else "<u4"
+    return "<u2" if vocabulary.size <= 1 << 16 else "<u4"
 
 
 def stream_offsets(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -21,9 +22,7 @@ def vocabulary():
 
 @pytest.fixture(scope="module")
 def library():
-    t = tokenizers.Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_library(vocabulary, library):
@@ -33,7 +32,22 @@ def test_ids_are_those_of_the_library(vocabulary, library):
     texts += ["".join(chr(rng.choice([rng.randint(1, 0x2FFF), rng.randint(0x4E00, 0x9FFF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(20)) for _ in range(1500)]
     texts += [t or "" for t in ODD_TEXTS]
     coder = vocabulary.encoding()
-    assert [coder.encode_ordinary(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    end = "<|endoftext|>"
+    texts += [end, f"{end}x", f"x {end}", f"x {end} y", end * 2, f"in{end}side", f"  {end}  ", f"a\n{end}\nb", end[:-1], f"<|{end}|>", end.upper()]
+    assert [packing.token_ids(coder, t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens_with_flags_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"lstrip": True}, {"single_word": True}):
+        odd = spec | {"added_tokens": [spec["added_tokens"][0] | change]}
+        (tmp_path / "odd.json").write_text(json.dumps(odd))
+        with pytest.raises(ValueError):
+            packing.load(str(tmp_path / "odd.json"))
+    odd = spec | {"added_tokens": [*spec["added_tokens"], spec["added_tokens"][0] | {"content": "<|end", "id": 50257}]}
+    (tmp_path / "odd.json").write_text(json.dumps(odd))
+    with pytest.raises(ValueError):
+        packing.load(str(tmp_path / "odd.json"))
 
 
 @pytest.mark.parametrize("dimensions,bits", [(1, 5), (2, 4), (3, 3), (4, 2)])
@@ -73,7 +87,7 @@ def check_pieces(rows, texts, library, size):
 def test_pieces_cover_every_id_once(make_docs, vocabulary, library):
     rng = random.Random(2)
     texts = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "é"]) for _ in range(rng.choice([0, 1, 9, 200, 3000])))) for i in range(60)]
-    texts += [(100 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(7000, "copy"), (7000, "copy"), (None, "no id")]
+    texts += [(100 + i, t) for i, t in enumerate([*ODD_TEXTS, "x <|endoftext|> y<|endoftext|>"])] + [(7000, "copy"), (7000, "copy"), (None, "no id")]
     docs, _, _ = make_docs(texts)
     for size, digest in ((1024, False), (64, True)):
         check_pieces(packing.pack(docs, vocabulary, size, digest).collect(), texts, library, size)

@@ -70,7 +70,6 @@ def test_stages_one_by_one(spark, tmp_path):
     import tokenizers
 
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     check_pieces(seen[-1], [(r.doc_id, r.text) for r in seen[-2]], library, 1024)
     assert packing.END_ID == 0
 

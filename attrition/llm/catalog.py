@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from attrition.llm import jaccard, language, licenses, line_dedup, packing, pieces, pigeonhole, quality, toxicity, vantage
+from attrition.llm import chat, divergence, jaccard, language, licenses, line_dedup, packing, pieces, pigeonhole, quality, ranked, toxicity, vantage
 from attrition.llm.common import table
 
 
@@ -52,9 +52,24 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.load(public_tokenizers.path("byte_bpe_50k.json")), digest=True)
 
 
+def op11_chat_format(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    case = spark.createDataFrame(chat.CASE, "conv_id long, turn long, role string, text string")
+    vocabulary = packing.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(chat.format_chat(conversations.unionByName(case), vocabulary), vocabulary)
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op6_vantage_point_search, op7_ngram_jaccard, op8_sentencepiece, op9_line_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_license_scan, op3_language_id, op4_toxicity, op5_quality, op6_vantage_point_search, op7_ngram_jaccard, op8_sentencepiece, op9_line_dedup, op10_packing, op11_chat_format, op12_source_divergence, op13_ranked_search)}
 
 
 def oracle_queries():
-    return {"op1_embedding_near_dedup": pigeonhole.DUPLICATES_SQL, "op6_vantage_point_search": vantage.SEARCH_SQL, "op2_license_scan": licenses.SCAN_SQL, "op7_ngram_jaccard": jaccard.GROUPS_SQL, "op9_line_dedup": line_dedup.LINES_SQL}
+    return {"op1_embedding_near_dedup": pigeonhole.DUPLICATES_SQL, "op6_vantage_point_search": vantage.SEARCH_SQL, "op2_license_scan": licenses.SCAN_SQL, "op7_ngram_jaccard": jaccard.GROUPS_SQL, "op9_line_dedup": line_dedup.LINES_SQL, "op11_chat_format": chat.READ_BACK_SQL, "op12_source_divergence": divergence.AUDIT_SQL, "op13_ranked_search": ranked.SEARCH_SQL}

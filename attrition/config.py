@@ -102,8 +102,12 @@ class Params:
     rounds: int = 1000  # boosted trees
     max_depth: int = 6
     learning_rate: float = 0.05
-    row_share: float = 0.8  # rows and features that each tree sees
-    min_rows_per_leaf: int = 2
+    row_share: float = 0.8  # rows that each tree sees
+    column_share: float = 0.8  # features that each tree may use
+    min_child_weight: float = 2.0  # Hessian of a leaf, at least
+    reg_lambda: float = 1.0
+    gamma: float = 0.0  # gain of a split, more than this
+    max_bins: int = 256
     seed: int = 42
 
 

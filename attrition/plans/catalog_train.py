@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from attrition.config import LABEL, Params, feature_names
 from attrition.operators import evaluate as E
 from attrition.operators.split import stratified_split
+from attrition.plans.boost import predict_proba
 from attrition.plans.catalog import ev_keep, register
 from attrition.plans.features import asof_features, user_day_features
 from attrition.plans.scoring import filter_user_asof, requests_from_events, score_requests
-from attrition.plans.training import assemble_vector, predict_proba, training_job
-from attrition.session import checkpoint_dir
+from attrition.plans.training import assemble_vector, training_job
+from attrition.session import run_dir
 from attrition.sources import bundle as B
 
 P = Params()
@@ -45,7 +46,7 @@ def trained(spark: SparkSession, sf_dir: str, params: Params | None = None) -> R
     key = (spark.sparkContext.applicationId, sf_dir, params)
     if key not in _RUNS:
         run_id = uuid.uuid4().hex
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/attrition-models/{run_id}"
+        folder = run_dir(spark, "attrition-model")
         report = training_job(spark, ev_keep(spark, sf_dir), folder, params, run_id=run_id).first().asDict()
         _RUNS[key] = Run(folder, run_id, report)
     return _RUNS[key]
@@ -107,8 +108,7 @@ def _assemble(s, d):
 def _train_gbt(s, d):
     """Feature importances of the fitted boosted trees, with the feature's non-zero rows."""
     model = _bundle(s, d).model
-    rows = zip(feature_names(P), model.stages[-1].featureImportances.toArray().tolist(), strict=True)
-    return s.createDataFrame(list(rows), "feature string, importance double").join(_feature_sums(s, d), "feature")
+    return s.createDataFrame(model.importances(), "feature string, importance double").join(_feature_sums(s, d), "feature")
 
 
 @register("predict_proba")

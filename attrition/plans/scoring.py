@@ -56,7 +56,7 @@ def score_requests(ev: DataFrame, requests: DataFrame, bundle, params=None) -> D
     a ``status`` and null probability instead of an error."""
     from attrition.config import Params
     from attrition.plans.features import asof_features
-    from attrition.plans.training import predict_proba
+    from attrition.plans.boost import predict_proba
 
     params = params or Params()
     feat = asof_features(ev, requests, params)

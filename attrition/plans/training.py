@@ -1,71 +1,26 @@
-"""Train, evaluate and persist the churn classifier (Spark ML).
-
-Boosted trees with a positive-class weight stand in for the original
-gradient-boosting library (see README for the parameter mapping); scores
-therefore differ numerically from the original, while features, labels,
-splits, thresholds and metrics follow the same definitions.
-"""
+"""Train, evaluate and persist the churn classifier: second-order boosted trees
+(``plans/boost.py``) with a positive-class weight."""
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import asdict
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrition.config import LABEL, Params, feature_names
 from attrition.operators import evaluate as E
 from attrition.operators.split import stratified_split, time_split
+from attrition.plans.boost import predict_proba, train_gbt
 from attrition.plans.features import user_day_features
 from attrition.session import checkpoint_dir
 from attrition.sources import bundle as B
 
 
-def assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-
-
 def assemble_vector(df: DataFrame, features: list[str]) -> DataFrame:
-    return assembler(features).transform(df)
-
-
-def gbt(params: Params = Params()) -> GBTClassifier:
-    """Boosted trees with class weights in ``weight``; row and feature subsampling."""
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="weight",
-        maxIter=params.rounds,
-        maxDepth=params.max_depth,
-        stepSize=params.learning_rate,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.row_share),
-        minInstancesPerNode=params.min_rows_per_leaf,
-        minInfoGain=0.0,
-        seed=params.seed,
-    )
-
-
-def with_weight(df: DataFrame, label: str, spw: float) -> DataFrame:
-    y = F.col(label)
-    return df.withColumn("label", y.cast("double")).withColumn(
-        "weight", F.when(y == 1, F.lit(float(spw))).otherwise(F.lit(1.0))
-    )
-
-
-def train_gbt(train: DataFrame, features: list[str], label: str, spw: float, params: Params = Params()) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), gbt(params)]).fit(with_weight(train, label, spw))
-
-
-def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds ``probability`` = P(class 1)."""
-    out = model.transform(df)
-    return out.withColumn("probability", vector_to_array("probability").getItem(1)).drop("features", "rawPrediction", "prediction")
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
 def _row(df: DataFrame) -> dict:
@@ -73,10 +28,6 @@ def _row(df: DataFrame) -> dict:
     return r.asDict() if r is not None else {}
 
 
-#: Rows of the feature table for each task of the iterative fit.
-ROWS_PER_TASK = 50_000
-
-
 def training_job(
     spark: SparkSession,
     ev: DataFrame,
@@ -92,7 +43,8 @@ def training_job(
     ``spark.checkpoint.dir``) so the iterative fit and the evaluations do
     not replay the event-level lineage, and an executor loss recomputes from
     the checkpoint. Each part is scored once, into a checkpoint too. All that
-    a run writes lies under ``out_dir``, which must be a folder of its own.
+    a run writes lies under ``out_dir``, which must be a folder of its own; called
+    again with the same folder, an interrupted fit goes on where it stopped.
     With ``test_days`` the last days of the calendar are the validation part
     instead of a random share (the report is then not flattered by rows of the
     same user on both sides). Returns a one-row report."""
@@ -109,9 +61,7 @@ def training_job(
     balance = {r["split"]: r.asDict() for r in E.class_balance(table, LABEL, "split").collect()}
     bal = balance["train"]
     spw = params.scale_pos_weight if params.scale_pos_weight is not None else bal["scale_pos_weight"]
-    # many short jobs follow: a few full tasks each, not one per shuffle partition
-    tasks = max(1, -(-int(bal["rows"]) // ROWS_PER_TASK))
-    model = train_gbt(table.filter(F.col("split") == "train").coalesce(tasks), feats, LABEL, spw, params)
+    model = train_gbt(table, feats, LABEL, spw, params, f"{out_dir}/fit")
 
     scored = predict_proba(model, table).select("split", F.col(LABEL).alias("label"), "probability").checkpoint(eager=True)
     tr_p, va_p = (scored.filter(F.col("split") == x) for x in ("train", "validation"))
@@ -139,10 +89,12 @@ def training_job(
         "n_train_rows": int(bal["rows"]),
         "n_validation_rows": n_val,
         "n_features": len(feats),
-        "rounds": params.rounds,
+        "rounds": len(model.trees),
+        "train_logloss": model.losses[-1][0] if model.losses else None,
+        "val_logloss": model.losses[-1][1] if model.losses else None,
     }
     B.save_model_bundle(spark, f"{out_dir}/bundle", model, thr, feats)
-    B.save_run_metadata(spark, f"{out_dir}/metadata", {**report, **asdict(params), "classification_report": reports})
+    B.save_run_metadata(spark, f"{out_dir}/metadata", {**report, **asdict(params), "classification_report": reports, "logloss_by_round": model.losses})
     B.log_run(spark, f"{out_dir}/runs", {**asdict(params), "train_fraction": train_fraction, "scale_pos_weight": float(spw)}, report, run_id)
     return report_frame(spark, report)
 

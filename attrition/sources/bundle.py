@@ -1,9 +1,11 @@
 """Model bundle, run metadata and run log on shared storage.
 
-A bundle directory holds ``model/`` (Spark ML ``PipelineModel``),
-``threshold/`` and ``features/`` (one-row JSON tables) and ``whole/``, written
-last. Every part must exist on load. Paths should name shared storage on a cluster (for example a
-folder under ``spark.checkpoint.dir``).
+A bundle directory holds ``nodes/`` (the trees as one Parquet node table),
+``threshold/`` and ``features/`` (one-row JSON tables) and ``manifest/``: for every
+data file of the parts its length and SHA-256, written under another name and
+renamed when all else is there. A bundle without a manifest, or one whose files
+differ from it, is refused with the name of the part. Paths should name shared
+storage on a cluster (for example a folder under ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -13,43 +15,56 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attrition.plans.boost import Model, read_nodes
+from attrition.session import Storage
+
 
 @dataclass
 class Bundle:
-    model: PipelineModel
+    model: Model
     threshold: float
     features: list[str]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+PARTS = ("nodes", "threshold", "features")
+
 
+def _checksums(spark: SparkSession, path: str, part: str) -> dict[str, list]:
+    """Length and SHA-256 of each data file of a part."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{part}")
+    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).collect()
+    return {r["name"]: [r["length"], r["sha256"]] for r in rows}
 
-def save_model_bundle(spark: SparkSession, path: str, model: PipelineModel, threshold: float, features: list[str]) -> None:
-    """Writes the parts, then the marker that makes the bundle whole."""
-    model.write().overwrite().save(f"{path}/model")
+
+def save_model_bundle(spark: SparkSession, path: str, model: Model, threshold: float, features: list[str]) -> None:
+    """Writes the parts, then the manifest that makes the bundle whole."""
+    storage = Storage(spark, path)
+    storage.delete(f"{path}/manifest")
+    model.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     spark.createDataFrame([(float(threshold),)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/threshold")
-    spark.createDataFrame([(json.dumps(list(features)),)], "features string").coalesce(1).write.mode("overwrite").json(
-        f"{path}/features"
-    )
-    spark.createDataFrame([(len(features),)], "n_features int").coalesce(1).write.mode("overwrite").json(f"{path}/whole")
+    spark.createDataFrame([(json.dumps(list(features)),)], "features string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+    manifest = {"n_features": len(features), "rounds": len(model.trees), "max_depth": model.max_depth, "files": {p: _checksums(spark, path, p) for p in PARTS}}
+    draft = f"{path}/manifest-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(draft)
+    storage.rename(draft, f"{path}/manifest")
 
 
 def load_model_bundle(spark: SparkSession, path: str) -> Bundle:
-    for part in ("model", "threshold", "features", "whole"):
-        if not _exists(spark, f"{path}/{part}"):
+    storage = Storage(spark, path)
+    for part in (*PARTS, "manifest"):
+        if not storage.exists(f"{path}/{part}"):
             raise FileNotFoundError(f"{path}/{part}")
-    model = PipelineModel.load(f"{path}/model")
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    for part in PARTS:
+        if _checksums(spark, path, part) != manifest["files"][part]:
+            raise ValueError(f"{path}/{part} isn't what the manifest says")
     thr = spark.read.schema("threshold double").json(f"{path}/threshold").first()["threshold"]
     feats = json.loads(spark.read.schema("features string").json(f"{path}/features").first()["features"])
+    model = Model(feats, read_nodes(spark, f"{path}/nodes"), manifest["max_depth"])
     return Bundle(model, float(thr), feats)
 
 

@@ -49,6 +49,20 @@ def test_training_on_earlier_days(spark):
     assert report["n_validation_rows"] == late == sum(report[f"val_{c}"] for c in ("tp", "fp", "tn", "fn"))
 
 
+def test_a_registered_model_query_as_registered(spark):
+    """With the full number of rounds, as the catalog has it."""
+    from attrition.plans import catalog_train
+    from attrition.plans.catalog import queries
+    from oracle.compare import compare, duck
+    from oracle.sql import oracle_queries
+
+    assert catalog_train.P == Params() and Params().rounds == 1000
+    r = compare(queries()["training_job_counts"](spark, SF_SMALL), duck(SF_SMALL), oracle_queries()["training_job_counts"])
+    assert r["values_match"] and r["spark_rows"] == r["oracle_rows"] == 1, r
+    run = catalog_train.trained(spark, SF_SMALL)
+    assert run.report["rounds"] == 1000 == len(B.load_model_bundle(spark, f"{run.folder}/bundle").model.trees)
+
+
 def test_missing_bundle_part_is_error(spark, tmp_path):
     import pytest
 

@@ -3,24 +3,23 @@
 The original program sorts each user's events by time and takes positions,
 previous/next values and row numbers. A plain ``Window.partitionBy(user)``
 sends every event of a user to one task, and one user (the blank ``''`` id,
-say) may own a third of the log. Here every user's timeline goes through the
-same three levels, whatever its length:
+say) may own a third of the log. Here every user's timeline is cut into hours,
+whatever its length:
 
-1. events are shuffled to ``(user, second)``; a window there gives local
+1. events are shuffled once, to ``(user, hour)``; a window there gives local
    positions and neighbours;
-2. each second becomes one summary row (count, first and last value), from
-   the same exchange; a window over ``(user, hour)`` places the seconds in
-   their hour (at most 3,600 rows);
-3. each hour becomes one row, and a window over ``user`` places the hours
-   (one row per hour of activity).
+2. each (user, hour) becomes one summary row (count, first and last value),
+   from the same exchange, and a window over ``user`` places the hours.
 
-The offsets come back by joins on those keys. Only summaries move after the
-first shuffle: the summary branch is made to need the same columns as the
-event branch, so Spark reuses the event exchange and reads the log once.
+The offsets come back by a join on ``(user, hour)``. So an event crosses the
+network once, and a (user, hour) twice more as one row. The summary branch is
+made to need the same columns as the event branch, so Spark reuses the event
+exchange and reads the log once. What one task sorts (and spills) is one user's
+hour.
 
 Order is ``(datetime, event_seq)`` with null times last, matching a stable
 sort by time in file order. Events without a time have ranges of the sequence
-number for seconds and hours.
+number for hours.
 """
 
 from __future__ import annotations
@@ -76,30 +75,11 @@ def _epoch_seconds(time_col: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{time_col}` AS TIMESTAMP_NTZ))")
 
 
-def time_levels(time_col: str, seq_col: str) -> tuple[Column, Column]:
-    """Order-preserving (second, hour) of an event. Without a time: ranges of
-    2^12 and 2^24 sequence numbers after every real one."""
-    secs = F.floor(_epoch_seconds(time_col)).cast("long")
-    seq = F.col(seq_col).cast("long")
-    second = F.coalesce(secs, F.lit(NULL_BUCKET) + F.shiftright(seq, 12))
-    hour = F.coalesce(F.floor(secs / F.lit(3600)).cast("long"), F.lit(NULL_BUCKET) + F.shiftright(seq, 24))
-    return second, hour
-
-
-def _placed(summary: DataFrame, within: list[str], by: str, counters: list[str], neighbours: tuple[str, ...]) -> DataFrame:
-    """Adds, per summary row, what lies before and after it within its group:
-    ``_off`` / ``_coff_*`` (sums of the rows before), ``_bprev_*`` / ``_bnext_*``."""
-    w = Window.partitionBy(*within).orderBy(by)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    cols = {"_off": F.coalesce(F.sum("_bn").over(before), F.lit(0))}
-    for n in counters:
-        cols[f"_coff_{n}"] = F.coalesce(F.sum(f"_bc_{n}").over(before), F.lit(0))
-    for c in neighbours:
-        cols[f"_bprev_{c}"] = F.lag(f"_last_{c}").over(w)
-        cols[f"_bnext_{c}"] = F.lead(f"_first_{c}").over(w)
-    cols["_at"] = F.row_number().over(w)
-    cols["_of"] = F.count(F.lit(1)).over(Window.partitionBy(*within))
-    return summary.withColumns(cols)
+def hour_of(time_col: str, seq_col: str) -> Column:
+    """Order-preserving bucket of an event: its hour. Without a time: ranges of
+    2^16 sequence numbers after every real hour."""
+    hour = F.floor(F.floor(_epoch_seconds(time_col)).cast("long") / F.lit(3600)).cast("long")
+    return F.coalesce(hour, F.lit(NULL_BUCKET) + F.shiftright(F.col(seq_col).cast("long"), 16))
 
 
 def sequence_view(
@@ -108,7 +88,7 @@ def sequence_view(
     neighbour_cols: tuple[str, ...] = (),
     time_col: str = "datetime",
     seq_col: str = "event_seq",
-    levels: tuple[Column, Column] | None = None,
+    bucket: Column | None = None,
     counters: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Adds ``rn`` (1-based position of the row in its ``part`` timeline),
@@ -119,18 +99,17 @@ def sequence_view(
     this one included, that meet the condition) and ``<name>_total``.
 
     Rows whose ``part`` is null are dropped: they belong to no timeline.
-    ``levels`` are order-preserving images of the order, fine and coarse
-    (default ``time_levels``); any such pair gives the same result. Pass only
-    the columns that are used: both branches read all of ``df``.
+    ``bucket`` is an order-preserving image of the order (default
+    ``hour_of``); any such image gives the same result. Pass only the columns
+    that are used: both branches read all of ``df``.
     """
     counters = counters or {}
     names = list(counters)
-    fine, coarse = levels or time_levels(time_col, seq_col)
-    keys, hours = [part, "_coarse", "_fine"], [part, "_coarse"]
+    keys = [part, "_bucket"]
     flags = {f"_c_{n}": F.when(cond, F.lit(1)).otherwise(F.lit(0)) for n, cond in counters.items()}
-    base = df.filter(F.col(part).isNotNull()).withColumns({"_fine": fine, "_coarse": coarse, **flags})
-    # true of every row; written out, since the joins would add it to one branch only
-    base = base.filter(F.col("_fine").isNotNull() & F.col("_coarse").isNotNull()).repartition(*keys)
+    base = df.filter(F.col(part).isNotNull()).withColumns({"_bucket": hour_of(time_col, seq_col) if bucket is None else bucket, **flags})
+    # true of every row; written out, since the join would add it to one branch only
+    base = base.filter(F.col("_bucket").isNotNull()).repartition(*keys)
 
     local = Window.partitionBy(*keys).orderBy(*order_cols(time_col, seq_col))
     running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -150,26 +129,18 @@ def sequence_view(
     aggs += [F.sum(f"_c_{n}").alias(f"_bc_{n}") for n in names]
     for c in neighbour_cols:
         aggs += [F.min_by(c, okey).alias(f"_first_{c}"), F.max_by(c, okey).alias(f"_last_{c}")]
-    seconds = _placed(base.groupBy(*keys).agg(*aggs).filter(F.col("_sum").isNotNull()), hours, "_fine", names, neighbour_cols)
-
-    hour_aggs = [F.sum("_bn").alias("_bn")] + [F.sum(f"_bc_{n}").alias(f"_bc_{n}") for n in names]
-    for c in neighbour_cols:  # of the first and the last second of the hour
-        hour_aggs += [F.min_by(f"_first_{c}", "_at").alias(f"_first_{c}"), F.max_by(f"_last_{c}", "_at").alias(f"_last_{c}")]
-    per_hour = _placed(seconds.groupBy(*hours).agg(*hour_aggs), [part], "_coarse", names, neighbour_cols)
-    whole = Window.partitionBy(part)
-    per_hour = per_hour.select(
-        *hours, F.col("_off").alias("_hoff"), F.sum("_bn").over(whole).alias("n_part"),
-        *[F.col(f"_coff_{n}").alias(f"_hcoff_{n}") for n in names],
-        *[F.sum(f"_bc_{n}").over(whole).alias(f"{n}_total") for n in names],
-        *[F.col(f"_b{side}_{c}").alias(f"_h{side}_{c}") for c in neighbour_cols for side in ("prev", "next")],
-    )
-    seconds = seconds.join(per_hour, hours).select(
-        *keys, "_bn", "n_part", (F.col("_hoff") + F.col("_off")).alias("_start"),
-        *[(F.col(f"_hcoff_{n}") + F.col(f"_coff_{n}")).alias(f"_cstart_{n}") for n in names],
-        *[f"{n}_total" for n in names],
-        *[F.when(F.col("_at") == 1, F.col(f"_hprev_{c}")).otherwise(F.col(f"_bprev_{c}")).alias(f"_prev_{c}") for c in neighbour_cols],
-        *[F.when(F.col("_at") == F.col("_of"), F.col(f"_hnext_{c}")).otherwise(F.col(f"_bnext_{c}")).alias(f"_next_{c}") for c in neighbour_cols],
-    )
+    hours = base.groupBy(*keys).agg(*aggs).filter(F.col("_sum").isNotNull())
+
+    w, whole = Window.partitionBy(part).orderBy("_bucket"), Window.partitionBy(part)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    placed = {"_start": F.coalesce(F.sum("_bn").over(before), F.lit(0)), "n_part": F.sum("_bn").over(whole)}
+    for n in names:
+        placed[f"_cstart_{n}"] = F.coalesce(F.sum(f"_bc_{n}").over(before), F.lit(0))
+        placed[f"{n}_total"] = F.sum(f"_bc_{n}").over(whole)
+    for c in neighbour_cols:
+        placed[f"_prev_{c}"] = F.lag(f"_last_{c}").over(w)
+        placed[f"_next_{c}"] = F.lead(f"_first_{c}").over(w)
+    hours = hours.withColumns(placed).select(*keys, "_bn", *placed)
 
     out_cols: dict[str, Column] = {"rn": F.col("_start") + F.col("_lrn")}
     for n in names:
@@ -177,8 +148,8 @@ def sequence_view(
     for c in neighbour_cols:
         out_cols[f"prev_{c}"] = F.when(F.col("_lrn") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_lprev_{c}"))
         out_cols[f"next_{c}"] = F.when(F.col("_lrn") == F.col("_bn"), F.col(f"_next_{c}")).otherwise(F.col(f"_lnext_{c}"))
-    out = x.join(seconds, keys, "inner").withColumns(out_cols)
-    drop = ["_fine", "_coarse", "_lrn", "_bn", "_start"]
+    out = x.join(hours, keys, "inner").withColumns(out_cols)
+    drop = ["_bucket", "_lrn", "_bn", "_start"]
     for n in names:
         drop += [f"_c_{n}", f"_lc_{n}", f"_cstart_{n}"]
     for c in neighbour_cols:

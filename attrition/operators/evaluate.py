@@ -2,10 +2,11 @@
 
 The precision/recall curve needs, for every distinct score t, the positives
 and negatives scored >= t. A global ``Window.orderBy(score)`` would run in a
-single task; instead distinct scores are grouped into buckets between
-quantiles of the scores themselves, cumulated inside each bucket in parallel,
-and offset by prefix sums over the bucket table (``BUCKETS`` rows). Exact and
-tie-aware for scores of any range, since the quantiles only deal out the work.
+single task; instead distinct scores are grouped by their leading bits (octave
+and 1/256 of it), cumulated inside each group in parallel, and offset by prefix
+sums over the table of groups. The groups depend on a score alone, so the scored
+input is evaluated once. Exact and tie-aware for scores of any range; scores that
+crowd near 0 spread over octaves.
 """
 
 from __future__ import annotations
@@ -13,7 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Groups of scores in an octave, and the octaves below 1 that a double reaches.
+STEPS, OCTAVES = 256, 1100
+
+
+def score_bucket(x: Column) -> Column:
+    """An order-preserving group of a double: sign, power of two, and step within
+    it. A power that ``log2`` rounds up gives the same group as the one below."""
+    size = F.abs(x)
+    octave = F.floor(F.log2(size)).cast("double")
+    step = (octave + OCTAVES) * STEPS + F.floor(size / F.pow(F.lit(2.0), octave) * STEPS) - STEPS
+    group = F.when(size == 0, F.lit(0.0)).when(size == float("inf"), F.lit(4.0 * OCTAVES * STEPS)).otherwise(step)
+    return F.when(F.isnan(x), F.lit(5 * OCTAVES * STEPS)).otherwise((F.signum(x) * group).cast("long")).cast("long")
 
 
 def _frac(num: Column, den: Column) -> Column:
@@ -42,13 +54,11 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
     )
-    # quantiles of the distinct scores, whatever their range and clusters
-    cuts = counts.select(F.percentile_approx("threshold", [i / BUCKETS for i in range(1, BUCKETS)], 20 * BUCKETS)).scalar()
-    counts = counts.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("threshold")))).drop("_cuts")
+    counts = counts.withColumn("_b", score_bucket(F.col("threshold")))
     inside = Window.partitionBy("_b").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_tp_in", F.sum("pos").over(inside)).withColumn("_fp_in", F.sum("neg").over(inside))
     buckets = counts.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    # windows over the bucket table only (one row per bucket)
+    # windows over the table of groups only (a few thousand rows for scores between 0 and 1)
     above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     buckets = buckets.select(

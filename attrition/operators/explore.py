@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attrition.config import PAGES
 from attrition.functions.expr import browser, day_of_week, floor_days, minutes_between, operating_system
+from attrition.session import checkpoint_dir
 
 
 def _count() -> Column:
@@ -89,28 +90,42 @@ def page_counts(ev: DataFrame) -> DataFrame:
     return ev.filter(F.col("page").isNotNull()).groupBy("page").agg(_count().alias("events"))
 
 
-def levels_of(ev: DataFrame) -> list[str]:
-    """The levels that occur, in order: they name the columns of the pivot."""
-    return [r.level for r in ev.select("level").where(F.col("level").isNotNull()).distinct().orderBy("level").collect()]
+#: Most levels that a pivot names as columns.
+MAX_LEVELS = 1000
+
+
+def page_level_counts(ev: DataFrame) -> DataFrame:
+    """Events per page and level, one row each: the one pass over the log that the
+    pivots need. Checkpointed, as the levels name the columns of the result."""
+    checkpoint_dir(ev.sparkSession)
+    return ev.filter(F.col("page").isNotNull() & F.col("level").isNotNull()).groupBy("page", "level").agg(_count().alias("n")).checkpoint()
+
+
+def _levels(counts: DataFrame) -> list[str]:
+    """The levels that occur, in order; refuses more than ``MAX_LEVELS``."""
+    found = [r.level for r in counts.select("level").distinct().orderBy("level").limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels: pass the ones to show")
+    return found
 
 
 def page_by_level(ev: DataFrame, levels: list[str] | None = None) -> DataFrame:
     """Pivot page x level with zero fill, plus the row total over the levels
-    (default: all that occur in the data). Conditional counts in one aggregate."""
-    levels = levels_of(ev) if levels is None else levels
+    (default: all that occur in the data)."""
+    counts = page_level_counts(ev)
+    levels = _levels(counts) if levels is None else levels
     lv = F.col("level")
     return (
-        ev.filter(F.col("page").isNotNull() & lv.isin(*levels))
+        counts.filter(lv.isin(*levels))
         .groupBy("page")
-        .agg(*[F.count_if(lv == x).alias(x) for x in levels])
+        .agg(*[F.coalesce(F.sum(F.when(lv == x, F.col("n"))), F.lit(0)).alias(x) for x in levels])
         .withColumn("total", sum((F.col(f"`{x}`") for x in levels), F.lit(0)))
     )
 
 
 def page_by_level_pct(ev: DataFrame, levels: list[str] | None = None) -> DataFrame:
-    levels = levels_of(ev) if levels is None else levels
     pv = page_by_level(ev, levels)
-    return pv.select("page", *[(F.col(f"`{x}`") / F.col("total") * 100.0).alias(f"{x}_pct") for x in levels])
+    return pv.select("page", *[(F.col(f"`{x}`") / F.col("total") * 100.0).alias(f"{x}_pct") for x in pv.columns[1:-1]])
 
 
 def sessions_per_user(ev: DataFrame) -> DataFrame:

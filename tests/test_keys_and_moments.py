@@ -89,7 +89,7 @@ def test_correlation_matrix_merges_partitions_and_nulls_constant_columns(spark):
             assert v is not None and abs(v - want) < 1e-9, (x, y, v, want)
 
 
-def test_sequence_view_same_result_for_any_levels(spark):
+def test_sequence_view_same_result_for_any_buckets(spark):
     from attrition.functions.sequence import sequence_view
     from attrition.sources.events import events_from_tables
     from tests.conftest import SF_SMALL
@@ -98,11 +98,11 @@ def test_sequence_view_same_result_for_any_levels(spark):
     cols = ["event_seq", "rn", "n_part", "prev_level", "next_level", "prev_date", "next_date", "len_rn", "len_total"]
     day, hour = F.unix_date("date").cast("long"), F.hour("datetime").cast("long")
 
-    def view(levels):
-        v = sequence_view(ev, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()}, levels=levels)
+    def view(bucket):
+        v = sequence_view(ev, "userId", ("level", "date"), counters={"len": F.col("length").isNotNull()}, bucket=bucket)
         return sorted(tuple(r) for r in v.select(*cols).collect())
 
-    usual, coarse, single = view(None), view((day * 24 + hour, day)), view((F.lit(1).cast("long"), F.lit(1).cast("long")))
+    usual, coarse, single = view(None), view(day * 2 + F.floor(hour / 12)), view(F.lit(1).cast("long"))
     assert len(usual) == ev.filter(F.col("userId").isNotNull()).count()
     assert usual == coarse == single
 
@@ -127,6 +127,31 @@ def test_a_user_with_half_the_log_and_many_null_times_is_ordered(spark):
     assert [r.next_v for r in got] == [r.v for r in want][1:] + [None]
 
 
+def test_an_event_is_shuffled_once(spark):
+    """A user with an event in every second: at most 1.3 records shuffled for an event."""
+    from attrition.functions.sequence import sequence_view
+
+    n = 40_000
+    ev = spark.range(n).select(
+        F.col("id").alias("event_seq"), (F.col("id") % 1).cast("string").alias("userId"), (F.col("id") % 2).alias("level_code"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).alias("datetime"),
+    )
+    frame = sequence_view(ev, "userId", ("level_code",))
+    frame.collect()
+    written, stack = [], [frame._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name, children = node.nodeName(), node.children()
+        if name == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            stack.append(node.plan())
+        stack += [children.apply(i) for i in range(children.size())]
+    assert n <= sum(written) <= 1.3 * n, written
+
+
 def test_churn_reads_the_log_once(spark):
     from attrition.operators.churn import churn_timestamps
     from attrition.sources.events import events_from_tables

@@ -24,9 +24,10 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attrition.llm.common import hash_sample, held_out, map_arrow, raw_texts, slices
+from attrition.llm.common import held_out, map_arrow, raw_texts, slices
 from attrition.llm.ngrams import LETTERS, byte_ngrams
 
 BITS = 12
@@ -74,14 +75,12 @@ def train_bits(x: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 20.0
     return w
 
 
-def fit(texts: list[bytes], labels: list[str], min_gap: float = 0.02) -> Codes:
-    """Classifiers and codewords from labelled texts."""
+def fit(x: np.ndarray, labels: list[str], min_gap: float = 0.02) -> Codes:
+    """Classifiers and codewords from the vectors of labelled texts."""
     languages = sorted(set(labels))
     if not languages:
         return Codes([], np.zeros((0, 1), np.float32), np.zeros((1, 1), np.float32), np.ones(1), min_gap)
-    x, code = np.empty((len(texts), (1 << BITS) + 1), np.float32), codewords(len(languages))
-    for at in range(0, len(texts), 128):
-        x[at : at + 128] = vectors(texts[at : at + 128])
+    code = codewords(len(languages))
     y = code[np.searchsorted(languages, labels)]
     back = np.arange(len(x)) % 5 == 0
     inner = train_bits(x[~back], y[~back], steps=30) if (~back).any() else np.zeros((x.shape[1], y.shape[1]))
@@ -100,21 +99,42 @@ def decode(m: Codes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return loss.argmin(1), np.clip(share, 0, 1), gap < m.min_gap
 
 
-def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: int = 11) -> Codes:
-    """Fits on at most ``max_rows`` documents that may teach and have text and lang."""
-    teach = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    languages = [r.lang for r in teach.select("lang").distinct().orderBy("lang").collect()]
-    ids = [hash_sample(teach.where(F.col("lang") == x), max(1, max_rows // len(languages)), seed) for x in languages]
-    if not ids:
-        return fit([], [], min_gap)
-    chosen = ids[0]
-    for more in ids[1:]:
-        chosen = chosen.unionByName(more)
-    rows = teach.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.text, r.lang))
-    texts, labels = [r.text.encode() for r in rows], [r.lang for r in rows]
+def _packed(texts: DataFrame) -> DataFrame:
+    """doc_id, lang and the vector of each text as half-precision bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, max_rows=256):
+                x = vectors(raw_texts(batch.column("text"))).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], schema=schema)
+
+    return map_arrow(texts.select(F.col("doc_id").cast("long"), "lang", "text"), run, "doc_id long, lang string, x binary")
+
+
+def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: int = 11, max_languages: int = 64) -> Codes:
+    """Fits on at most ``max_rows`` documents that may teach and have text and lang, as
+    many of each language, the ``max_languages`` most frequent ones (ties by name);
+    others are never predicted. The driver receives vectors, no texts."""
+    teach = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    counts = {r.lang: r["count"] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    if not counts:
+        return fit(np.zeros((0, 1), np.float32), [], min_gap)
+    each = max(1, max_rows // len(counts))
+    # a hash lets about 2 * each + 100 rows of a language through, however many it has; the window takes the first
+    odds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (2 * each + 100) / n) * 2**40))])
+    some = teach.where(F.col("lang").isin(list(counts)) & (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2**40)) < F.element_at(odds, F.col("lang"))))
+    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    chosen = some.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= each)
+    # at most max_rows ids
+    rows = _packed(some.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).limit(2 * max_rows).collect()
+    rows.sort(key=lambda r: (r.doc_id * 2654435761 % 2**32, r.x, r.lang))
+    labels = [r.lang for r in rows]
+    x = np.empty((len(rows), (1 << BITS) + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.x, np.float16)
     del rows
-    return fit(texts, labels, min_gap)
+    return fit(x, labels, min_gap)
 
 
 def has_letter(texts: list[bytes]) -> list[bool]:

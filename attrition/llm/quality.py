@@ -10,7 +10,8 @@ compared with all of them by exact blocked cosine products, and its
 Defined results: null and empty texts, having no neighbours, get the labels'
 mean; without any label every score is 0; null labels teach nothing; a doc_id
 labelled twice counts with its smallest label; repeated rows are scored each;
-ties between neighbours go to the smaller doc_id; an empty table gives an empty
+similarities are compared in steps of 2^-16, and ties between neighbours go to the
+smaller doc_id; an empty table gives an empty
 result; labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -29,6 +30,8 @@ from attrition.llm.ngrams import byte_ngrams
 
 BITS = 11
 SIZES = (1, 2, 3)
+#: Steps of a similarity: equal texts tie, whatever the rounding of a product.
+TIE = 1 << 16
 
 
 @dataclass
@@ -42,7 +45,7 @@ class Space:
 @dataclass
 class Model:
     space: Space
-    vectors: np.ndarray  # labelled rows x dimensions, of length 1
+    vectors: np.ndarray  # labelled rows x dimensions, of length 1, by doc_id
     labels: np.ndarray
     n_neighbours: int
     power: float
@@ -91,7 +94,13 @@ def vote(m: Model, z: np.ndarray, block: int = 128) -> np.ndarray:
     out, base, k = np.empty(len(z)), float(m.labels.mean()), min(m.n_neighbours, len(m.labels))
     for at in range(0, len(z), block):
         cosine = z[at : at + block] @ m.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        step = np.rint(cosine * TIE)
+        kth = np.partition(step, -k, axis=1)[:, [-k]]
+        chosen, tied = step > kth, step == kth
+        places = k - chosen.sum(1, keepdims=True)
+        cut = np.flatnonzero(tied.sum(1) > places[:, 0])
+        tied[cut] &= np.cumsum(tied[cut], axis=1) <= places[cut]
+        near = np.nonzero(chosen | tied)[1].reshape(len(cosine), k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** m.power
         total = weight.sum(1)
         out[at : at + block] = np.where(total > 1e-9, (weight * m.labels[near]).sum(1) / np.maximum(total, 1e-9), base)
@@ -120,7 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_fit:
         return Model(Space(np.ones(width, np.float32), np.zeros((width, 1), np.float32)), np.zeros((0, 1), np.float32), y, n_neighbours, power)
     space = fit_space(x[:max_fit].astype(np.float32), min(dimensions, len(x)))
     z = np.vstack([project(space, x[a : a + 1000].astype(np.float32)) for a in range(0, len(x), 1000)])
-    return Model(space, z.astype(np.float32), y, n_neighbours, power)
+    by_id = np.argsort(np.array([r.doc_id for r in rows]), kind="stable")
+    return Model(space, z.astype(np.float32)[by_id], y[by_id], n_neighbours, power)
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

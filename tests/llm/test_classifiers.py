@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +53,7 @@ def test_language_edge_rows(spark, make_docs, docs):
 
 def test_ambiguous_texts_are_flagged(docs):
     rows = docs.where("text is not null").orderBy("doc_id").limit(300).collect()
-    model = language.fit([r.text.encode() for r in rows], [r.lang for r in rows], min_gap=10.0)
+    model = language.fit(language.vectors([r.text.encode() for r in rows]), [r.lang for r in rows], min_gap=10.0)
     assert language.identify(model, [rows[0].text.encode()])[2] == [True]
     assert language.identify(language.Codes(model.languages, model.code, model.weight, model.trust, 0.0), [rows[0].text.encode()])[2] == [False]
 
@@ -117,6 +120,100 @@ def test_score_edge_rows(spark, make_docs, docs, labels):
     assert kept.columns == odd.columns
 
 
+def test_equal_neighbours_are_taken_by_doc_id():
+    """Twenty equal labelled vectors with mixed labels, among others: the first seven vote."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    other = unit(rng.standard_normal((30, 8)))
+    one = unit(rng.standard_normal((1, 8)))
+    place = np.sort(rng.choice(50, 20, replace=False))
+    vectors, labels = np.empty((50, 8)), rng.integers(0, 2, 50).astype(float)
+    vectors[np.setdiff1d(np.arange(50), place)] = other
+    vectors[place] = one
+    m = quality.Model(None, vectors.astype(np.float32), labels, 7, 8.0)
+    assert np.allclose(quality.vote(m, np.repeat(one, 5, 0).astype(np.float32)), labels[place[:7]].mean())
+    m = quality.Model(None, vectors.astype(np.float32), labels, 25, 0.0)  # all twenty and the five nearest others, each with one vote
+    best = np.argsort(-(other @ one[0]))[:5]
+    five = labels[np.setdiff1d(np.arange(50), place)][best]
+    assert (other @ one[0])[best].min() > 0 and np.allclose(quality.vote(m, one.astype(np.float32)), (labels[place].sum() + five.sum()) / 25)
+
+
+def test_quality_vectors_lie_by_doc_id(docs, labels):
+    twice = docs.where("doc_id < 60")
+    copies = twice.unionByName(twice.withColumn("doc_id", F.col("doc_id") + 100_000))
+    known = labels.unionByName(labels.withColumns({"doc_id": F.col("doc_id") + 100_000, "quality": 1 - F.col("quality")}))
+    model = quality.learn(copies, known)
+    ids = sorted(r.doc_id for r in copies.join(known.where("quality IS NOT NULL").select("doc_id").distinct(), "doc_id").select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    want = {r.doc_id: r.quality for r in known.groupBy("doc_id").agg(F.min("quality").alias("quality")).collect()}
+    assert model.labels.tolist() == [want[i] for i in ids]
+
+
+def test_languages_are_decoded_as_by_loops(docs):
+    rows = docs.where("text is not null").orderBy("doc_id").limit(200).collect()
+    texts = [r.text.encode() for r in rows]
+    model = language.fit(language.vectors(texts), [r.lang for r in rows])
+    best, share, flag = language.decode(model, texts[:40])
+    for i, x in enumerate(language.vectors(texts[:40])):
+        losses = []
+        for word in model.code:
+            loss = 0.0
+            for bit, sign in enumerate(word):
+                margin = sum(float(a) * float(b) for a, b in zip(x, model.weight[:, bit], strict=True) if a)
+                loss += float(model.trust[bit]) * math.log1p(math.exp(-sign * margin))
+            losses.append(loss)
+        ranked = sorted(losses)
+        assert best[i] == losses.index(ranked[0]) and flag[i] == (ranked[1] - ranked[0] < model.min_gap)
+        assert abs(share[i] - 1 / sum(math.exp(4 * (ranked[0] - v)) for v in losses)) < 1e-4
+
+
+def test_only_the_most_frequent_languages_are_learned(docs):
+    model = language.learn(docs, max_languages=2)
+    counts = {r.lang: r.n for r in docs.where("text is not null and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert len(model.languages) == 2 and "en" in model.languages and set(model.languages) <= set(counts)
+
+
+def risk(zp, zu, prior):
+    """The non-negative risk, written out; and the part that its step follows."""
+    loss = lambda z, y: math.log1p(math.exp(-y * z))
+    positive = prior * sum(loss(z, 1) for z in zp) / len(zp)
+    negative = sum(loss(z, -1) for z in zu) / len(zu) - prior * sum(loss(z, -1) for z in zp) / len(zp)
+    return -negative if negative < 0 else positive + negative
+
+
+@pytest.mark.parametrize("high,low,prior", [(-1.0, 1.0, 0.1), (3.0, -4.0, 0.4), (0.0, 0.0, 0.25)])
+def test_slopes_are_the_differences_of_the_risk(high, low, prior):
+    rng = np.random.default_rng(8)
+    zp, zu = high + rng.normal(0, 0.3, 5), low + rng.normal(0, 0.3, 9)
+    up, un = toxicity.nn_slopes(zp, zu, prior)
+    for z, slope in ((zp, up), (zu, un)):
+        for i in range(len(z)):
+            z[i] += 1e-5
+            above = risk(zp, zu, prior)
+            z[i] -= 2e-5
+            below = risk(zp, zu, prior)
+            z[i] += 1e-5
+            assert abs((above - below) / 2e-5 - slope[i]) < 1e-6
+
+
+def test_toxicity_scores_equal_a_loop_over_words(docs, labels):
+    from attrition.llm.common import mix, span_hashes
+    from attrition.llm.ngrams import LETTERS
+
+    model = toxicity.learn(docs, labels)
+    texts = [(t or "").encode() for t in ODD_TEXTS] + [r.text.encode() for r in docs.where("text is not null").orderBy("doc_id").limit(40).collect()]
+
+    def column(data, salt=0):
+        code = span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+        return int((mix(code + np.uint64(2)) if salt else code)[0] >> np.uint64(64 - toxicity.BITS))
+
+    want = []
+    for t in texts:
+        words = t.translate(LETTERS).split()
+        z = sum(float(model.weight[column(w)]) + (float(model.weight[column(w[:4], 2)]) if len(w) > 4 else 0.0) for w in words)
+        want.append(1 / (1 + math.exp(-(z / math.sqrt(max(len(words), 1)) + model.bias))))
+    assert np.abs(toxicity.scores(model, texts) - np.array(want)).max() < 1e-5
+
+
 def test_nnpu_steps_back_where_the_negative_risk_is_below_zero():
     up, un = toxicity.nn_slopes(np.full(4, 5.0), np.full(4, -5.0), 0.4)
     assert (up > 0).all() and (un < 0).all()

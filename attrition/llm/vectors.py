@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def is_usable() -> Column:
+    """Whether a vector has components, all of them finite numbers and not all zero."""
+    e, top = F.col("embedding"), 1.7976931348623157e308
+    fine = F.forall(e, lambda x: F.coalesce(F.abs(x.cast("double")) <= top, F.lit(False)))
+    return F.coalesce(e.isNotNull() & fine & F.exists(e, lambda x: x != 0), F.lit(False))
+
+
 def one_per_id(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding): rows that repeat a vec_id count once, with their
-    smallest vector; null vec_ids take no part."""
-    return vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+    """(vec_id, embedding): rows that repeat a vec_id count once, with the smallest
+    usable vector if there is one, else the smallest; null vec_ids take no part."""
+    chosen = F.coalesce(F.min(F.when(is_usable(), F.col("embedding"))), F.min("embedding"))
+    return vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(chosen.alias("embedding"))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows whose vector has components, all of them finite numbers and not all zero."""
-    e, top = F.col("embedding"), 1.7976931348623157e308
-    fine = F.forall(e, lambda x: F.coalesce(F.abs(x.cast("double")) <= top, F.lit(False)))
-    return vectors.where(e.isNotNull() & fine & F.exists(e, lambda x: x != 0))
+    """Rows whose vector is usable."""
+    return vectors.where(is_usable())
 
 
 def number_type(vectors: DataFrame) -> str:

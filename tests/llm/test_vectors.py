@@ -86,8 +86,38 @@ def test_every_near_pair_is_within_the_budget_of_some_part():
 
 def test_vantage_search_equals_brute_force(make_vectors):
     vectors, con = make_vectors(clustered(seed=5))
-    r = compare(vantage.search(vectors, F.col("vec_id") % 20 == 0, shard_rows=64, block_rows=4), con, vantage.SEARCH_SQL)
-    assert r["values_match"], r
+    for shard_rows in (64, 9, 1000):
+        r = compare(vantage.search(vectors, F.col("vec_id") % 20 == 0, shard_rows=shard_rows), con, vantage.SEARCH_SQL)
+        assert r["values_match"], r
+
+
+def test_vantage_search_of_several_lengths_and_unusable_vectors_of_an_id(make_vectors):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(3 + i % 2).tolist()) for i in range(90)]
+    vectors, con = make_vectors(rows + [(20, [0.0, 0.0, 0.0]), (40, None), (3, [float("nan")] * 3)], "double")
+    sql = vantage.SEARCH_SQL.replace("vec_id % 20 = 0", "vec_id % 20 = 0 AND len(q.e) = len(c.e)").replace("q.vec_id <> c.vec_id", "q.vec_id <> c.vec_id AND len(q.e) = len(c.e)")
+    for shard_rows in (8, 1000):
+        r = compare(vantage.search(vectors, F.col("vec_id") % 20 == 0, k=7, shard_rows=shard_rows), con, sql.replace("rank <= 20", "rank <= 7"))
+        assert r["values_match"] and r["spark_rows"] == 35, r
+
+
+def test_a_query_skips_cells_that_its_bound_closes():
+    """Far clusters: a query is open to few cells, and its best points all lie in those."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 6)) * 10
+    x = centres[np.arange(2000) % 40] + rng.standard_normal((2000, 6)) * 0.05
+    c = vantage.Cells(np.zeros((0, 7)), float((x**2).sum(1).max()))
+    c.points = c.raised(x[:40])
+    d = c.distances(c.raised(x))
+    cell = d.argmin(1)
+    own = d[np.arange(2000), cell]
+    c.shards, c.lo, c.hi = np.ones(40, int), *(np.array([f(own[cell == i]) for i in range(40)]) for f in (min, max))
+    score = np.sort(x[::20] @ x.T, axis=1)[:, -20]
+    open_ = c.open(x[::20], score, 1.0)
+    for i, q in enumerate(x[::20]):
+        assert open_[i, cell[x @ q >= score[i]]].all()
+    assert open_.mean() < 0.5
+    assert c.open(x[::20], np.full(100, -np.inf), 1.0).all()
 
 
 def test_vantage_ties_small_tables_and_empty(make_vectors):

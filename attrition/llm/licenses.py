@@ -1,8 +1,10 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
 Every text is a row of overlapping blocks of ``BLOCK`` words, ``STRIDE`` words
-apart. A block matches a template when it holds at least ``threshold`` of the
-template's distinct words. The templates' words are ordered by how many
+apart (both grow with a caller's longest template, so that a copy always lies whole
+in some block). A block matches a template when it holds at least ``threshold`` of
+the template's distinct words, the deciding ones (``DECIDING``) all among them: a
+short notice without its name says nothing. The templates' words are ordered by how many
 documents hold them (rarest first, counted over the whole table); a block is a
 candidate for a template only if it holds a word of the template's prefix in
 that order (prefix filter), has enough template words at all (length filter),
@@ -44,6 +46,18 @@ TEMPLATES = {
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights-reserved": "all rights reserved",
 }
+DECIDING = {
+    "apache-notice": "apache",
+    "bsd-terms": "redistribution source binary",
+    "cc-by-nc-notice": "cc by nc",
+    "cc-by-notice": "creative commons attribution",
+    "gpl-notice": "gnu general public",
+    "gpl-terms": "gnu general public",
+    "mit-notice": "mit",
+    "mit-terms": "permission free charge",
+    "mpl-notice": "mozilla",
+    "rights-reserved": "all rights reserved",
+}
 
 
 def words(text: Column) -> Column:
@@ -100,20 +114,23 @@ def template_matches(docs: DataFrame, threshold: float = 0.8, templates: dict[st
     need = {name: math.ceil(threshold * len(s) - 1e-9) for name, s in sets.items()}
     prefix_rows = [(t, name, p, len(s), need[name]) for name, s in sets.items() for p, t in enumerate(s[: len(s) - need[name] + 1])]
     prefix = spark.createDataFrame(prefix_rows, "token string, label string, place int, size int, need int")
-    whole = spark.createDataFrame([(name, s) for name, s in sets.items()], "label string, tokens_of_template array<string>")
+    deciding = {name: sorted(set(DECIDING.get(name, "").split()) & set(s)) for name, s in sets.items()}
+    whole = spark.createDataFrame([(name, s, deciding[name]) for name, s in sets.items()], "label string, tokens_of_template array<string>, deciding array<string>")
+    stride = max([STRIDE, *(len(text.split()) for text in templates.values())])
+    length = max(BLOCK, 2 * stride)
     starters = F.lit(sorted({r[0] for r in prefix_rows}))
 
     w = F.col("words")
     hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(starters, x), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array((i / STRIDE).cast("int"), F.greatest((i / STRIDE).cast("int") - 1, F.lit(0))))))
-    tokens = F.transform(blocks, lambda b: F.struct(b.alias("block"), F.array_intersect(F.lit(order), F.slice(w, b * STRIDE + 1, BLOCK)).alias("tokens")))
+    blocks = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array((i / stride).cast("int"), F.greatest((i / stride).cast("int") - 1, F.lit(0))))))
+    tokens = F.transform(blocks, lambda b: F.struct(b.alias("block"), F.array_intersect(F.lit(order), F.slice(w, b * stride + 1, length)).alias("tokens")))
     found = _parsed(docs).where(F.arrays_overlap(w, starters)).select("doc_id", "row_key", F.explode(tokens).alias("b")).select("doc_id", "row_key", "b.*")
     probe = found.select("*", F.posexplode("tokens").alias("at", "token")).join(F.broadcast(prefix), "token")
     long_enough = F.size("tokens") >= F.col("need")
     reachable = F.least(F.col("size") - F.col("place"), F.size("tokens") - F.col("at")) + F.least("place", "at") >= F.col("need")
     candidates = probe.where(long_enough & reachable).select("doc_id", "row_key", "block", "tokens", "label", "size", "need").distinct()
     shared = F.size(F.array_intersect("tokens", "tokens_of_template"))
-    verified = candidates.join(F.broadcast(whole), "label").where(shared >= F.col("need"))
+    verified = candidates.join(F.broadcast(whole), "label").where((shared >= F.col("need")) & (F.size(F.array_except("deciding", "tokens")) == 0))
     return verified.select("doc_id", "row_key", "block", "label", (shared / F.col("size")).alias("containment"))
 
 
@@ -135,7 +152,7 @@ def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    templates = ", ".join(f"('{n}', {quoted(sorted(set(t.split())))})" for n, t in TEMPLATES.items())
+    templates = ", ".join(f"('{n}', {quoted(sorted(set(t.split())))}, {quoted(DECIDING.get(n, '').split())}::VARCHAR[])" for n, t in TEMPLATES.items())
     phrases = ", ".join(f"('{v}', {quoted(p.split())})" for p, v in PHRASES.items())
     return rf"""
 WITH parsed AS (
@@ -145,10 +162,10 @@ WITH parsed AS (
 phrases(label, p) AS (VALUES {phrases}),
 places AS (SELECT r, label, i FROM (SELECT r, w, unnest(range(len(w))) AS i FROM parsed), phrases WHERE w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY r),
-templates(label, t) AS (VALUES {templates}),
+templates(label, t, deciding) AS (VALUES {templates}),
 blocks AS (SELECT r, w[b * {STRIDE} + 1 : b * {STRIDE} + {BLOCK}] AS block FROM (SELECT r, w, unnest(range((len(w) + {STRIDE - 1}) // {STRIDE})) AS b FROM parsed)),
 matched AS (SELECT r, label, max(len(list_intersect(t, block)) / len(t)) AS best FROM blocks, templates
-            WHERE len(list_intersect(t, block)) >= ceil(0.8 * len(t) - 1e-9) GROUP BY r, label),
+            WHERE len(list_intersect(t, block)) >= ceil(0.8 * len(t) - 1e-9) AND list_has_all(block, deciding) GROUP BY r, label),
 method AS (SELECT r, list(label) AS more, max(best) AS best FROM matched GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

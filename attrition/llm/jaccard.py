@@ -15,14 +15,15 @@ under *every* total order of the tokens, so several orders are intersected:
   before a pair is verified exactly.
 
 Only components are wanted, so the classes of a token are gathered about one of
-them, its hub: whoever shares a prefix token shares a hub. Each hub's classes
-are dealt out in tiles of bounded size; a tile links the classes to the hub
-first and merges them, and then looks only at pairs that are not yet in one
-component, by length, by an exact lower bound on the symmetric difference (xor
-of parity bitmaps) and by the further orders, before it verifies them. What
-leaves a tile is a spanning forest of its links, so no link between components
-is lost and no group is expanded into all its pairs. Heavy tokens need no
-count, so they are split into grains.
+them, its hub: whoever shares a prefix token shares a hub. Each class is compared
+with its hub first, in a join salted by the class; those similar to the hub are
+one component. Only the rest still has pairs to prove, among itself and with the
+linked ones; they are dealt out in tiles of bounded size, where pairs not yet in
+one component are looked at by length, by an exact lower bound on the symmetric
+difference (xor of parity bitmaps) and by the further orders, before they are
+verified. What leaves a tile is a spanning forest of its links, so no link between
+components is lost and no group is expanded into all its pairs. Heavy tokens need
+no count, so they are split into grains.
 
 Defined results: null text and text without words has no set (n_shingles 0,
 its own component); rows that repeat a doc_id are separate documents; a null
@@ -32,7 +33,7 @@ alone); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ ORDERS = 2
 BROADCAST_ROWS = 1 << 20
 #: Classes of a hub that meet those of another tile, and grains into which a heavy token is split.
 TILE, SALTS = 512, 1 << 20
+#: Parts of a hub's classes, each with a copy of the hub's set.
+HUB_SALTS = 64
 _MULTIPLIERS = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -204,29 +207,24 @@ def _close(parity: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray
     return ok
 
 
-def links_of_tile(sets: list[np.ndarray], hub: int, pairs: tuple[np.ndarray, np.ndarray], percent: int, step: int = 1 << 18) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs: those with the hub first, then the given ones."""
-    label, links = np.arange(len(sets)), []
+def links_of_tile(sets: list[np.ndarray], label: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], percent: int, step: int = 1 << 18) -> list[tuple[int, int]]:
+    """A spanning forest of the similar ones of the given pairs; sets of one label count as linked already."""
+    label, links = label.copy(), []
     n = np.array([len(s) for s in sets])
-
-    def visit(a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            if label[i] != label[j] and _linked(sets[i], sets[j], percent):
-                links.append((i, j))
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
-
-    near = np.flatnonzero((100 * n >= percent * n[hub]) & (100 * n[hub] >= percent * n))
-    visit(np.full(len(near), hub), near)
     parity: list[np.ndarray] = []
     for at in range(0, len(pairs[0]), step):
         a, b = (x[at : at + step] for x in pairs)
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
-        if len(a):
-            parity = parity or [parity_bits(s) for s in sets]
-            close = _close(parity, n, a, b, percent)
-            visit(a[close], b[close])
+        if not len(a):
+            continue
+        parity = parity or [parity_bits(s) for s in sets]
+        close = _close(parity, n, a, b, percent)
+        for i, j in zip(a[close].tolist(), b[close].tolist(), strict=True):
+            if label[i] != label[j] and _linked(sets[i], sets[j], percent):
+                links.append((i, j))
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
     return links
 
 
@@ -237,22 +235,22 @@ def _tiles(percent: int):
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         tile = np.stack([rows.column(c).to_numpy() for c in key], 1)
-        sig, own = rows.column("sig").to_numpy(), rows.column("own").to_numpy()
+        sig, own, linked = (rows.column(c).to_numpy() for c in ("sig", "own", "linked"))
         tokens = rows.column("tokens").to_pylist()
         first = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(1))).tolist()
         found = []
         for a, b in zip(first, [*first[1:], len(sig)], strict=True):
-            hub, row, col = tile[a]
+            _, row, col = tile[a]
             there, at = np.unique(sig[a:b], return_index=True)  # a class may have come from several tasks
-            sets = [np.frombuffer(tokens[a + k], np.uint64) for k in at]
-            hubs = np.flatnonzero(there == hub)
-            if len(sets) < 2 or not len(hubs):
+            if len(there) < 2:
                 continue
+            sets = [np.frombuffer(tokens[a + k], np.uint64) for k in at]
             i, j = np.triu_indices(len(sets), 1)
             if row != col:
                 across = own[a + at[i]] != own[a + at[j]]
                 i, j = i[across], j[across]
-            found += [(there[x], there[y]) for x, y in links_of_tile(sets, int(hubs[0]), (i, j), percent)]
+            label = np.where(linked[a + at], len(at), np.arange(len(at)))  # those linked with the hub are one
+            found += [(there[x], there[y]) for x, y in links_of_tile(sets, label, (i, j), percent)]
         return _batch(schema, *(zip(*found, strict=True) if found else ([], [])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +272,49 @@ def _tiles(percent: int):
     return run
 
 
-def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the classes of each hub, from rows (hub, sig)."""
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rows = members.join(size, "hub").withColumn("own", F.when(F.col("sig") == F.col("hub"), -1).otherwise(F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int")))
-    chunks = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # the hub goes to every tile, another class to those of its chunk
-    cells = F.flatten(F.transform(chunks, lambda i: F.transform(F.sequence(i, F.col("tiles") - 1), lambda j: F.struct(i.alias("row"), j.alias("col")))))
-    mine = F.transform(chunks, lambda k: F.struct(F.least("own", k).alias("row"), F.greatest("own", k).alias("col")))
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("own") < 0, cells).otherwise(mine)))
-    rows = rows.select("hub", "sig", "own", "tile.row", "tile.col").join(sets, "sig")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _with_hub(percent: int):
+    """(hub, sig, salt, linked): whether the two sets of a row are similar."""
+    schema = pa.schema([("hub", pa.int64()), ("sig", pa.int64()), ("salt", pa.int32()), ("linked", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("tokens").to_pylist(), batch.column("hub_tokens").to_pylist(), strict=True)
+            sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+            linked = [100 * len(x) >= percent * len(y) and 100 * len(y) >= percent * len(x) and _linked(x, y, percent) for x, y in sets]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "sig", "salt")), pa.array(linked, pa.bool_())], schema=schema)
+
+    return run
+
+
+def hub_links(members: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of each hub, from rows (hub, sig); ``sets_of``
+    gives the sets of the classes asked for.
+
+    First every class is compared with its hub, by rows salted with the class. Those
+    linked with the hub are one component; only the others (open) still have pairs to
+    prove, with each other and with the linked ones. These pairs are dealt to tiles of
+    at most two chunks of classes."""
+    salt = F.pmod(F.xxhash64("sig"), F.lit(HUB_SALTS)).cast("int")
+    members = members.where("sig <> hub").withColumn("salt", salt)
+    hubs = members.select("hub", "salt").distinct()
+    hubs = hubs.join(sets_of(hubs.select(F.col("hub").alias("sig"))).select(F.col("sig").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
+    pairs = members.join(sets_of(members.select("sig")), "sig").join(hubs, ["hub", "salt"])
+    told = map_arrow(pairs.select("hub", "sig", "salt", "tokens", "hub_tokens"), _with_hub(percent), "hub long, sig long, salt int, linked boolean").distinct().checkpoint()
+
+    # counts of a hub from at most HUB_SALTS rows
+    whole = W.partitionBy("hub")
+    size = told.groupBy("hub", "salt").agg(F.count_if(~F.col("linked")).alias("open"), F.count_if("linked").alias("closed"))
+    size = size.select("hub", "salt", F.sum("open").over(whole).alias("open"), F.sum("closed").over(whole).alias("closed")).where("open > 0 and open + closed > 1")
+    size = size.select("hub", "salt", *[F.ceil(F.col(c) / TILE).cast("int").alias(c) for c in ("open", "closed")])
+    chunk = lambda n: F.pmod(F.xxhash64("sig", F.lit(1)), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = told.join(size, ["hub", "salt"]).withColumn("own", F.when(F.col("linked"), F.col("open") + chunk("closed")).otherwise(chunk("open")))
+    # an open class meets every chunk, a linked one the open chunks
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("linked"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1)))
+    rows = rows.select("hub", "sig", "linked", "own", F.least("own", "k").alias("row"), F.greatest("own", "k").alias("col")).checkpoint()
+    rows = rows.join(sets_of(rows.select("sig")), "sig")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "hub", "row", "col").sortWithinPartitions("hub", "row", "col")
-    return map_arrow(dealt, _tiles(percent), "a long, b long")
+    return told.where("linked").select(F.col("hub").alias("a"), F.col("sig").alias("b")).unionByName(map_arrow(dealt, _tiles(percent), "a long, b long"))
 
 
 def _grouped(docs: DataFrame, percent: int, extra: float) -> tuple[DataFrame, DataFrame]:
@@ -317,11 +345,16 @@ def _grouped(docs: DataFrame, percent: int, extra: float) -> tuple[DataFrame, Da
     hubs = posts.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last")
     members = posts.join(hubs, "token").select("hub", "sig").distinct().checkpoint()
     wanted = classes.join(members.select("sig").distinct(), "sig").select("rep", "rep_key", "sig").checkpoint()
-    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled to the rows wanted
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("sig", "text")
-    sets = map_arrow(texts, _sets, "sig long, tokens binary")
-    groups = components(hub_links(members, sets, percent)).withColumnRenamed("node", "sig")
+    few = wanted.count() <= BROADCAST_ROWS
+
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        """(sig, tokens) of the classes, made anew from their texts: less to do than to keep them."""
+        asked = wanted.join(sigs.distinct(), "sig")
+        asked = F.broadcast(asked) if few else asked  # else the texts are shuffled to the rows wanted
+        texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("sig", "text")
+        return map_arrow(texts, _sets, "sig long, tokens binary")
+
+    groups = components(hub_links(members, sets_of, percent)).withColumnRenamed("node", "sig")
 
     named = classes.join(groups, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     return summary, named

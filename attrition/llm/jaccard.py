@@ -297,8 +297,8 @@ def hub_links(members: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("sig"), F.lit(HUB_SALTS)).cast("int")
     members = members.where("sig <> hub").withColumn("salt", salt)
     hubs = members.select("hub", "salt").distinct()
-    hubs = hubs.join(sets_of(hubs.select(F.col("hub").alias("sig"))).select(F.col("sig").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
-    pairs = members.join(sets_of(members.select("sig")), "sig").join(hubs, ["hub", "salt"])
+    hubs = hubs.join(sets_of(hubs.select(F.col("hub").alias("sig"))).select(F.col("sig").alias("hub"), F.col("tokens").alias("hub_tokens")).hint("merge"), "hub")
+    pairs = members.join(sets_of(members.select("sig")), "sig").join(hubs.hint("merge"), ["hub", "salt"])
     told = map_arrow(pairs.select("hub", "sig", "salt", "tokens", "hub_tokens"), _with_hub(percent), "hub long, sig long, salt int, linked boolean").distinct().checkpoint()
 
     # counts of a hub from at most HUB_SALTS rows
@@ -352,7 +352,7 @@ def _grouped(docs: DataFrame, percent: int, extra: float) -> tuple[DataFrame, Da
         asked = wanted.join(sigs.distinct(), "sig")
         asked = F.broadcast(asked) if few else asked  # else the texts are shuffled to the rows wanted
         texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("row_key") == F.col("rep_key"))).select("sig", "text")
-        return map_arrow(texts, _sets, "sig long, tokens binary")
+        return map_arrow(texts, _sets, "sig long, tokens binary").hint("merge")  # sets are shuffled, never broadcast, at any size
 
     groups = components(hub_links(members, sets_of, percent)).withColumnRenamed("node", "sig")
 

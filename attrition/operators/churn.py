@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from attrition.config import CHURN_PAGE, SUBSCRIBE_PAGE, WEEKDAY_NAMES
 from attrition.functions.expr import DAY_MICROS, floor_days
-from attrition.functions.sequence import global_rank, order_cols, order_key, sequence_view, tagged_order_key
+from attrition.functions.keyset import in_key_set, key_set
+from attrition.functions.sequence import global_rank, hour_of, order_cols, order_key, sequence_view, tagged_order_key
 
 
 ORDER_INPUT = ("event_seq", "userId", "datetime")
@@ -67,22 +68,75 @@ CHURN_EVENT_COLUMNS = ["event_seq", "datetime", "userId", "sessionId", "page", "
                        "auth", "status", "location", "gender"]
 
 
-def churn_events(ev: DataFrame) -> DataFrame:
+def churn_candidates(ev: DataFrame) -> DataFrame:
+    """The churn events with all columns of ``ev``, found from the
+    ``Submit Downgrade`` rows instead of numbering the whole log:
+
+    1. only events in the same (user, hour) as a candidate are shuffled, and a
+       window there gives the candidate its neighbours; a candidate whose
+       neighbour there contradicts churn goes;
+    2. a candidate at the edge of its hour takes its neighbour from the first and
+       last level of the user's other hours. Only users with such a candidate
+       send these, one row an hour and input partition.
+
+    The log is read once to find the candidates, once for each step (narrow
+    columns) and shuffled in small part (``functions.keyset`` drops the rest
+    before). No user's events meet in one task beyond an hour of them."""
+    keys = ["userId", "_bucket"]
+    log = ev.filter(F.col("userId").isNotNull()).withColumns({"_bucket": hour_of("datetime", "event_seq"), "_code": level_code()})
+    candidate = F.col("page") == CHURN_PAGE
+    near = in_key_set(log, keys, key_set(log.filter(candidate), keys))
+
+    w = Window.partitionBy(*keys).orderBy(*order_cols())
+    seen = near.withColumns({
+        "_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull(),
+        "_prev": F.lag("_code").over(w), "_next": F.lead("_code").over(w),
+    }).filter(candidate)
+    seen = seen.filter((F.col("_first") | (F.col("_prev") == 1)) & (F.col("_last") | (F.col("_next") == 0)))
+
+    edge = key_set(seen.filter(F.col("_first") | F.col("_last")), ["userId"])
+    okey, user = tagged_order_key(F.lit(0)), Window.partitionBy("userId").orderBy("_bucket")
+    hours = in_key_set(log.select(*ORDER_INPUT, "page", "_bucket", "_code"), ["userId"], edge).groupBy(*keys).agg(
+        F.min_by("_code", okey).alias("_head"), F.max_by("_code", okey).alias("_tail"), F.max(F.coalesce(candidate, F.lit(False))).alias("_asked")
+    )
+    hours = hours.withColumns({"_before": F.lag("_tail").over(user), "_after": F.lead("_head").over(user)}).filter("_asked")
+    out = seen.join(hours.select(*keys, "_before", "_after"), keys, "left")
+    prev = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev"))
+    following = F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))
+    return out.filter((prev == 1) & (following == 0)).select(*ev.columns)
+
+
+#: From this estimated size of the input on, neighbours are looked up for the candidates only.
+LARGE_LOG_BYTES = 32 * 2**20
+
+
+def is_large(ev: DataFrame, limit: int | None = None) -> bool:
+    """Whether Spark's own estimate of the input (the one it picks joins by) reaches ``limit``."""
+    size = int(str(ev._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size >= (LARGE_LOG_BYTES if limit is None else limit)
+
+
+def churn_events(ev: DataFrame, limit: int | None = None) -> DataFrame:
     """The churn events with their display columns (``location`` only when
-    the event frame carries it)."""
-    cols = [c for c in CHURN_EVENT_COLUMNS if c in ev.columns or c in ("prev_level", "next_level")]
-    return with_level_neighbours(ev).filter(is_churn()).select(*cols)
+    the event frame carries it).
 
+    A log of ``limit`` estimated bytes (default ``LARGE_LOG_BYTES``) and more goes by
+    ``churn_candidates``, whose extra scans save nearly all of the shuffle; a smaller
+    one is numbered in one scan. The rows are the same. By definition a churn event's
+    neighbours are ``paid`` and ``free``; ``assert_churn_meaning`` looks at them."""
+    x = ev.select([c for c in ev.columns if c in NEIGHBOUR_INPUT])
+    if is_large(x, limit):
+        found = churn_candidates(x).withColumns({"prev_level": F.lit("paid"), "next_level": F.lit("free")})
+    else:
+        found = with_level_neighbours(x).filter(is_churn())
+    return found.select([c for c in CHURN_EVENT_COLUMNS if c in found.columns])
 
-def churn_timestamps(ev: DataFrame) -> DataFrame:
-    """First churn time per user: ``userId, churn_ts, churn_date``."""
-    return (
-        with_level_code_neighbours(ev.select(*ORDER_INPUT, "page", "level"))
-        .filter(is_churn_coded())
-        .groupBy("userId")
-        .agg(F.min("datetime").alias("churn_ts"))
-        .withColumn("churn_date", F.to_date("churn_ts"))
-    )
+
+def churn_timestamps(ev: DataFrame, limit: int | None = None) -> DataFrame:
+    """First churn time per user: ``userId, churn_ts, churn_date`` (by either way of ``churn_events``)."""
+    x = ev.select(*ORDER_INPUT, "page", "level")
+    found = churn_candidates(x) if is_large(x, limit) else with_level_code_neighbours(x).filter(is_churn_coded())
+    return found.groupBy("userId").agg(F.min("datetime").alias("churn_ts")).withColumn("churn_date", F.to_date("churn_ts"))
 
 
 def churn_summary(ev: DataFrame) -> DataFrame:
@@ -293,7 +347,10 @@ def session_timeline(ev: DataFrame, k: int = 10, palette: int = 20) -> DataFrame
 
 
 def assert_churn_meaning(ev: DataFrame) -> DataFrame:
-    """Churn events whose neighbours contradict the definition (must be 0)."""
-    ce = churn_events(ev)
-    bad = (F.col("prev_level") != "paid") | (F.col("next_level") != "free") | F.col("prev_level").isNull() | F.col("next_level").isNull()
-    return ce.agg(F.count(F.lit(1)).alias("churn_events"), F.count_if(bad).alias("violations"))
+    """Churn events whose neighbours, looked up anew in the numbered log,
+    contradict the definition (must be 0)."""
+    found = churn_events(ev).select("event_seq", "userId")
+    looked_up = with_level_neighbours(ev).select("event_seq", "userId", "prev_level", "next_level")
+    ce = found.join(looked_up, ["event_seq", "userId"], "left")
+    good = (F.col("prev_level") == "paid") & (F.col("next_level") == "free")
+    return ce.agg(F.count(F.lit(1)).alias("churn_events"), F.count_if(~F.coalesce(good, F.lit(False))).alias("violations"))

@@ -21,11 +21,12 @@ from attrition.operators import evaluate as E
 from attrition.operators.split import stratified_split
 from attrition.plans.boost import predict_proba
 from attrition.plans.catalog import ev_keep, register
-from attrition.plans.features import asof_features, user_day_features
+from attrition.plans.features import asof_features, asof_features_stored, user_day_features
 from attrition.plans.scoring import filter_user_asof, requests_from_events, score_requests
 from attrition.plans.training import assemble_vector, training_job
 from attrition.session import run_dir
 from attrition.sources import bundle as B
+from attrition.sources.user_days import append_user_days
 
 P = Params()
 
@@ -188,6 +189,28 @@ def _asof(s, d):
     return asof_features(ev, requests_from_events(ev), P)
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _user_days(s, d) -> str:
+    """The tables' user-days, stored once per application in two batches of days."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _STORES:
+        ev, folder = ev_keep(s, d), run_dir(s, "user-days")
+        half = ev.agg((F.min(F.unix_date("date")) + F.max(F.unix_date("date"))) / 2).first()[0]
+        later = F.coalesce(F.unix_date("date") > F.lit(half), F.lit(False))
+        append_user_days(ev.filter(~later), folder, "first")
+        append_user_days(ev.filter(later), folder, "second")
+        _STORES[key] = folder
+    return _STORES[key]
+
+
+@register("asof_features_stored")
+def _asof_stored(s, d):
+    """``asof_features`` from stored user-days."""
+    return asof_features_stored(s, _user_days(s, d), requests_from_events(ev_keep(s, d)), P)
+
+
 @register("filter_user_asof")
 def _visible(s, d):
     ev = ev_keep(s, d)

@@ -16,7 +16,7 @@ Two spine policies share the same code:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrition.config import CORE_COLUMNS, LABEL, Params, feature_names
@@ -24,6 +24,7 @@ from attrition.functions.expr import cyclical, day_of_week, safe_div
 from attrition.functions.sequence import key_tag
 from attrition.operators.churn import churn_timestamps
 from attrition.operators.daily import daily_aggregates_with_dims, densify, window_sums
+from attrition.sources.user_days import BUCKETS, bucket_of, read_user_days
 
 
 def _c(name: str) -> Column:
@@ -36,13 +37,16 @@ def daily_table(ev: DataFrame) -> DataFrame:
     return daily_aggregates_with_dims(ev)
 
 
-def dense_daily(ev: DataFrame, policy: str = "train", ends: DataFrame | None = None, churn_ts: DataFrame | None = None) -> DataFrame:
+def dense_daily(
+    ev: DataFrame | None, policy: str = "train", ends: DataFrame | None = None, churn_ts: DataFrame | None = None, days: DataFrame | None = None
+) -> DataFrame:
     """Dense user-day rows with core counts, entropy, churn and static dims.
 
-    ``ends`` (policy ``asof``): ``userId, end_date``. User-level values are
+    ``ends`` (policy ``asof``): ``userId, end_date``. ``days``: the user-days, if they
+    needn't be made from ``ev``. User-level values are
     window aggregates over the user's active days (already partitioned by
     user for the gap filling), not a separate aggregate + join."""
-    days = daily_table(ev)
+    days = daily_table(ev) if days is None else days
     fill = CORE_COLUMNS + ["artist_entropy_day"]
     user = Window.partitionBy("userId")
     if policy == "train":
@@ -153,17 +157,39 @@ def asof_features(ev: DataFrame, requests: DataFrame, params: Params = Params())
     ``user_id, date, status, <48 features>``; ``status`` is ``ok``,
     ``unknown_user`` or ``no_activity`` (no event on or before the day), with
     null features for the last two."""
-    req = requests.select(
-        F.col("user_id"), F.col("date").cast("timestamp_ntz").alias("date"),
-        F.to_date(F.col("date").cast("timestamp_ntz")).alias("_day"),
-    )
-    ends = req.groupBy(F.col("user_id").alias("userId")).agg(F.max("_day").alias("end_date"))
+    req, ends = _asked(requests)
     asked = ev.join(ends, "userId")
     # later events can't be seen by any request: they go before anything is aggregated
     evr = asked.filter(F.col("date") <= F.col("end_date")).drop("end_date")
-    feat = feature_matrix(derive_features(dense_daily(evr, "asof", ends=ends), params), params)
+    return _answer(req, dense_daily(evr, "asof", ends=ends), asked, params)
+
+
+def asof_features_stored(spark: SparkSession, folder: str, requests: DataFrame, params: Params = Params(), buckets: int = BUCKETS) -> DataFrame:
+    """``asof_features`` from the user-days in ``folder`` (``sources.user_days``): reads
+    the asked users' buckets, their features up to the last asked day, and no events.
+
+    The driver learns the buckets that are asked for (at most ``buckets`` numbers) and
+    the last day; they become partition filters of the scan."""
+    req, ends = _asked(requests)
+    wanted = ends.agg(F.collect_set(bucket_of("userId", buckets)).alias("b"), F.max("end_date").alias("last")).first()
+    stored = read_user_days(spark, folder, buckets).filter(F.col("bucket").isin(wanted["b"])).drop("bucket")
+    seen = stored.filter(F.col("date") <= F.lit(wanted["last"]).cast("date")).join(ends, "userId")
+    seen = seen.filter(F.col("date") <= F.col("end_date")).drop("end_date")
+    return _answer(req, dense_daily(None, "asof", ends=ends, days=seen), stored, params)
+
+
+def _asked(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests with their day, and each user's last asked day."""
+    day = F.col("date").cast("timestamp_ntz")
+    req = requests.select(F.col("user_id"), day.alias("date"), F.to_date(day).alias("_day"))
+    return req, req.groupBy(F.col("user_id").alias("userId")).agg(F.max("_day").alias("end_date"))
+
+
+def _answer(req: DataFrame, dense: DataFrame, known: DataFrame, params: Params) -> DataFrame:
+    """A row for each request from the dense user-days; users in ``known`` occur in the log."""
+    feat = feature_matrix(derive_features(dense, params), params)
     feat = feat.withColumnRenamed("userId", "_u").withColumnRenamed("date", "_day").drop(LABEL)
-    known = asked.select(F.col("userId").alias("_k")).distinct()
+    known = known.select(F.col("userId").alias("_k")).distinct()
     out = req.join(feat, (req["user_id"] == feat["_u"]) & (req["_day"] == feat["_day"]), "left").drop(feat["_day"])
     out = out.join(known, out["user_id"] == known["_k"], "left")
     status = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,10 +56,22 @@ def score_requests(ev: DataFrame, requests: DataFrame, bundle, params=None) -> D
     a ``status`` and null probability instead of an error."""
     from attrition.config import Params
     from attrition.plans.features import asof_features
+
+    return score_features(asof_features(ev, requests, params or Params()), bundle)
+
+
+def score_requests_stored(spark: SparkSession, folder: str, requests: DataFrame, bundle, params=None) -> DataFrame:
+    """``score_requests`` from stored user-days (``asof_features_stored``)."""
+    from attrition.config import Params
+    from attrition.plans.features import asof_features_stored
+
+    return score_features(asof_features_stored(spark, folder, requests, params or Params()), bundle)
+
+
+def score_features(feat: DataFrame, bundle) -> DataFrame:
+    """The scores of as-of features ``user_id, date, status, ...``."""
     from attrition.plans.boost import predict_proba
 
-    params = params or Params()
-    feat = asof_features(ev, requests, params)
     x = reindex_columns(feat, ["user_id", "date", "status"] + bundle.features, fill=0.0)
     x = x.fillna(0.0, subset=bundle.features)
     ok = F.col("status") == "ok"

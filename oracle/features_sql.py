@@ -269,8 +269,7 @@ cte(
     ["aspine", "daily", "ent", "aday"],
 )
 feature_ctes("a", "adense")
-query(
-    "asof_features",
+ASOF = (
     f"""SELECT r.user_id, r.date,
        CASE WHEN k.userId IS NULL THEN 'unknown_user' WHEN f.userId IS NULL THEN 'no_activity' ELSE 'ok' END AS status,
        {dbl(FEATURES, 'f')}
@@ -279,3 +278,5 @@ LEFT JOIN afeat f ON f.userId = r.user_id AND f.date = CAST(r.date AS DATE)
 LEFT JOIN (SELECT DISTINCT userId FROM ev WHERE userId IS NOT NULL) k ON k.userId = r.user_id""",
     ["req", "afeat", "ev"],
 )
+query("asof_features", *ASOF)
+query("asof_features_stored", *ASOF)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrition.sources.user_days import BUCKETS
+
 
 def reindex_columns(df: DataFrame, columns: list[str], fill: float = 0.0) -> DataFrame:
     """Project onto ``columns`` in that order; a column ``df`` lacks is
@@ -60,12 +62,12 @@ def score_requests(ev: DataFrame, requests: DataFrame, bundle, params=None) -> D
     return score_features(asof_features(ev, requests, params or Params()), bundle)
 
 
-def score_requests_stored(spark: SparkSession, folder: str, requests: DataFrame, bundle, params=None) -> DataFrame:
+def score_requests_stored(spark: SparkSession, folder: str, requests: DataFrame, bundle, params=None, buckets: int = BUCKETS) -> DataFrame:
     """``score_requests`` from stored user-days (``asof_features_stored``)."""
     from attrition.config import Params
     from attrition.plans.features import asof_features_stored
 
-    return score_features(asof_features_stored(spark, folder, requests, params or Params()), bundle)
+    return score_features(asof_features_stored(spark, folder, requests, params or Params(), buckets), bundle)
 
 
 def score_features(feat: DataFrame, bundle) -> DataFrame:

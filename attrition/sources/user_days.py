@@ -5,7 +5,8 @@ Layout: ``<folder>/buckets=<n>/batch=<name>/date=<day>/bucket=<b>/*.parquet``, a
 per active user-day (``plans.features.daily_table``). A batch holds whole days; events
 without a time make rows with a null date, which only tell that a user is known. A
 batch is written beside its place and renamed into it last, so a job that dies leaves
-nothing that is read, and the same batch may be appended again."""
+nothing half written that is read. The same batch may be appended again (if the job dies
+while it replaces the old one, once more)."""
 
 from __future__ import annotations
 

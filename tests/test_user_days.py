@@ -5,9 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from attrition.config import Params
 from attrition.plans.features import asof_features, asof_features_stored
-from attrition.plans.scoring import requests_from_events
+from attrition.plans.scoring import requests_from_events, score_requests, score_requests_stored
+from attrition.plans.training import training_job
 from attrition.session import Storage
+from attrition.sources.bundle import load_model_bundle
 from attrition.sources.events import events_from_tables, load_events
 from attrition.sources.user_days import append_user_days, batches, bucket_of, read_user_days
 from tests.conftest import BASE_MS, DAY, HOUR, SF_SMALL, event
@@ -103,3 +106,10 @@ def test_undated_events_unknown_users_no_requests_and_an_empty_store(spark, json
     assert got == sorted((tuple(r) for r in asof_features(ev, asked).collect()), key=key)
     assert {r[0]: r[2] for r in got if r[1]} == {"1": "ok", "2": "no_activity", "3": "unknown_user", None: "unknown_user", "": "ok"}
     assert asof_features_stored(spark, path, asked.limit(0)).collect() == []
+
+
+def test_scores_equal_those_from_the_log(spark, log, folder, tmp_path):
+    training_job(spark, log, str(tmp_path), Params(rounds=3)).collect()
+    bundle, asked = load_model_bundle(spark, f"{tmp_path}/bundle"), requests_from_events(log)
+    got = rows(score_requests_stored(spark, folder, asked, bundle, buckets=4))
+    assert got == rows(score_requests(log, asked, bundle)) and any(r[2] is not None for r in got)

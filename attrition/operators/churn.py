@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrition.config import CHURN_PAGE, SUBSCRIBE_PAGE, WEEKDAY_NAMES
+from attrition.functions.bitset import bit_sets, count_sets
 from attrition.functions.expr import DAY_MICROS, floor_days
 from attrition.functions.keyset import in_key_set, key_set
 from attrition.functions.sequence import global_rank, hour_of, order_cols, order_key, sequence_view, tagged_order_key
@@ -211,7 +212,8 @@ def resubscribe_summary(resub: DataFrame) -> DataFrame:
 
 
 def _active_by(ev: DataFrame, key: Column, name: str) -> DataFrame:
-    return ev.filter(key.isNotNull()).groupBy(key.alias(name)).agg(F.count_distinct("userId").alias("active_users"))
+    users = ev.filter(key.isNotNull()).select(key.alias(name), "userId")
+    return count_sets(bit_sets(users, [name], "userId"), [name], "active_users")
 
 
 def _churned_by(churn_ts: DataFrame, key: Column, name: str) -> DataFrame:

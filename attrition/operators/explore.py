@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrition.config import PAGES
+from attrition.functions.bitset import bit_sets, count_sets
 from attrition.functions.expr import browser, day_of_week, floor_days, minutes_between, operating_system
 from attrition.session import checkpoint_dir
 
@@ -33,7 +34,8 @@ def total_unique_users(ev: DataFrame) -> DataFrame:
 
 
 def _distinct_by(ev: DataFrame, key: Column, name: str, what: str, alias: str) -> DataFrame:
-    return ev.filter(key.isNotNull()).groupBy(key.alias(name)).agg(F.count_distinct(what).alias(alias))
+    sets = bit_sets(ev.filter(key.isNotNull()).select(key.alias(name), what), [name], what)
+    return count_sets(sets, [name], alias)
 
 
 def active_users_per_day(ev: DataFrame) -> DataFrame:

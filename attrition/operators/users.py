@@ -1,9 +1,9 @@
 """The per-user table and its correlations.
 
-``user_features`` is one ``groupBy(userId)`` over the events plus two
-position statistics that need each user's event order (computed with the
-bucketed sequence numbering of ``functions.sequence``, so a hot user is not
-one task). All per-user tables are keyed and partitioned by ``userId``, so
+``user_features`` is one ``groupBy(userId)`` over the events, distinct counts
+from merged bit sets (``functions.bitset``) and two position statistics that
+need each user's event order (computed with the bucketed sequence numbering of
+``functions.sequence``, so a hot user is not one task). All per-user tables are keyed and partitioned by ``userId``, so
 the final joins are co-partitioned.
 """
 
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrition.config import BROWSER_PATTERN, OS_PATTERN
+from attrition.config import BROWSER_PATTERN, OS_PATTERN, PAGES
+from attrition.functions.bitset import bit_of, known_bit, merge_sets, row_size, word_of
 from attrition.functions.expr import floor_days, gender_code, token_bit
 from attrition.functions.sequence import key_tag, sequence_view, tagged_order_key
 
@@ -74,13 +75,45 @@ def position_halves(ev: DataFrame) -> DataFrame:
     return agg.select("userId", F.when(ok, (F.col("_r2") - F.col("_r1")) / F.col("_r1")).alias("activity_change_rate"))
 
 
+def user_distincts(ev: DataFrame) -> DataFrame:
+    """``userId, total_sessions, unique_pages, unique_user_agents`` (longs, nulls not
+    counted) per non-null user.
+
+    Events are first reduced, before any shuffle, to one row for each (user, word of
+    session ids, agent), with bits for sessions and known pages; a page outside the
+    list has a row of its own. Only these rows are dealt out by what they count, where
+    three distinct counts side by side would copy every event four times."""
+    i = F.col("sessionId").cast("long")
+    known = known_bit("page", PAGES)
+    reduced = (
+        ev.filter(F.col("userId").isNotNull())
+        .select("userId", "userAgent", word_of(i).alias("_word"), bit_of(i).alias("_session"), known.alias("_page"),
+                F.when(known.isNull(), F.col("page")).alias("_other_page"))
+        .groupBy("userId", "_word", "userAgent", "_other_page")
+        .agg(F.bit_or("_session").alias("_session"), F.bit_or("_page").alias("_page"))
+    )
+
+    def counted(kind: int, word: Column, other: Column, mask: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), word.alias("_word"), other.alias("_other"), mask.alias("_mask"))
+
+    no_id, no_text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    rows = F.array(
+        counted(0, F.col("_word"), no_text, F.col("_session")),
+        counted(1, no_id, F.col("_other_page"), F.col("_page")),
+        counted(2, no_id, F.col("userAgent"), no_id),
+    )
+    sets = merge_sets(reduced.select("userId", F.inline(rows)), ["userId", "_kind"])
+    names = ["total_sessions", "unique_pages", "unique_user_agents"]
+    return sets.groupBy("userId").agg(*[F.sum(F.when(F.col("_kind") == k, row_size())).alias(n) for k, n in enumerate(names)])
+
+
 def user_features(ev: DataFrame) -> DataFrame:
     """22 columns per non-null user (all doubles), ``userId`` first.
 
     One skew-safe sequence view of the user's events (positions, previous /
     next level and date, running count of non-null lengths) feeds one
     ``groupBy(userId)`` that computes every column, the first churn time
-    included."""
+    included, but for the distinct counts (``user_distincts``)."""
     from attrition.operators.churn import is_churn_coded as is_churn
     from attrition.operators.churn import with_level_code_neighbours
 
@@ -104,14 +137,11 @@ def user_features(ev: DataFrame) -> DataFrame:
         F.min("datetime").alias("_first"),
         F.max("datetime").alias("_last"),
         F.count(F.lit(1)).alias("total_events"),
-        F.count_distinct("sessionId").alias("total_sessions"),
-        F.count_distinct("page").alias("unique_pages"),
         F.count_if(new_day).alias("unique_days_active"),
         F.sum("length").alias("total_hearing_time"),
         F.avg("length").alias("mean_hearing_time"),
         F.var_samp("length").alias("hearing_time_variance"),
-        F.count_distinct("userAgent").alias("unique_user_agents"),
-        # a handful of tokens each: bits instead of two more distinct counts
+        # a handful of tokens each: bits instead of distinct counts
         F.bit_count(F.bit_or(token_bit("userAgent", BROWSER_PATTERN))).alias("unique_browsers"),
         F.bit_count(F.bit_or(token_bit("userAgent", OS_PATTERN))).alias("unique_os"),
         F.avg(F.hour("datetime")).alias("avg_hour_active"),
@@ -135,7 +165,7 @@ def user_features(ev: DataFrame) -> DataFrame:
     r2 = F.try_divide(F.col("_c2").cast("double"), F.col("_d2"))
     thirds_ok = (F.col("_nl") >= 3) & (F.col("_start") != 0)
     halves_ok = (F.col("_n") >= 4) & (r1 != 0)
-    x = base.withColumn("_end_ts", dataset_end)
+    x = base.join(user_distincts(users), "userId").withColumn("_end_ts", dataset_end)
     # most frequent weekday, lowest on ties: the greatest of count * 8 + (7 - day)
     wd_key = F.greatest(*[F.col(f"_wd{d}") * F.lit(8) + F.lit(7 - d) for d in range(7)])
     most_common_day = F.when(wd_key >= F.lit(8), F.lit(7) - F.pmod(wd_key, F.lit(8)))

@@ -123,11 +123,18 @@ def log_loss(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, table: Bins, features: np.ndarray, n_open: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of a block for each open node (``slot`` is its place, -1: none) and bin of the features."""
+    """Sums of a block for each open node (``slot`` is its place, -1: none) and bin of the features.
+    One feature after the other, so that the places of its bins stay in the cache."""
     rows = np.flatnonzero(slot >= 0)
-    at = bins[np.ix_(features, rows)] + (table.first[features][:, None] + slot[rows].astype(np.int64) * table.total)
-    at, size, k = at.ravel(), n_open * table.total, len(features)
-    return tuple(np.bincount(at, np.tile(v[rows], k), size).astype(np.int64).reshape(n_open, -1) for v in (g, h))
+    place, g, h = slot[rows].astype(np.int64), g[rows], h[rows]
+    G, H = np.zeros((n_open, table.total), np.int64), np.zeros((n_open, table.total), np.int64)
+    for f in features:
+        size, here = int(table.sizes[f]), slice(table.first[f], table.first[f] + table.sizes[f])
+        at = place * size
+        at += bins[f].take(rows)
+        G[:, here] = np.bincount(at, g, n_open * size).reshape(n_open, size)
+        H[:, here] = np.bincount(at, h, n_open * size).reshape(n_open, size)
+    return G, H
 
 
 def best_splits(G: np.ndarray, H: np.ndarray, table: Bins, features: np.ndarray, p: Params, scale: float) -> Iterator[tuple]:
@@ -153,7 +160,8 @@ def best_splits(G: np.ndarray, H: np.ndarray, table: Bins, features: np.ndarray,
 
 def grow(histograms: Callable, table: Bins, features: np.ndarray, p: Params, scale: float) -> Tree:
     """A tree from ``histograms(tree, open_nodes)``, which sums over the rows at the
-    open nodes of the tree so far."""
+    open nodes of the tree so far. A node whose Hessian isn't enough for two leaves
+    can't be split and is never open (but for the root)."""
     nodes = [[-1, 0, 0.0, 0, 0.0, 0.0]]
     weigh = lambda g, h: -p.learning_rate * (g / scale) / (h / scale + p.reg_lambda)
     open_, depth = [0], 0
@@ -175,7 +183,7 @@ def grow(histograms: Callable, table: Bins, features: np.ndarray, p: Params, sca
             left = len(nodes)
             nodes[node] = [f, b, float(table.cuts[f][b]), left, 0.0, gain]
             nodes += [[-1, 0, 0.0, 0, weigh(*s), 0.0] for s in ((lg, lh), (g - lg, h - lh))]
-            further += [left, left + 1]
+            further += [left + i for i, share in enumerate((lh, h - lh)) if share >= 2 * p.min_child_weight * scale]
         open_, depth = further, depth + 1
     return tree()
 

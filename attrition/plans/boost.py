@@ -40,6 +40,8 @@ from attrition.session import Storage, reach_workers
 ROWS_PER_TASK = 50_000
 ROUNDS_PER_JOB = 100
 ROUNDS_PER_STATE = 10
+#: Tasks whose histograms the driver may receive one by one: at most depth 6, 48 x 256 bins and 16 bytes a bin, 6 MB each.
+DIRECT_TASKS = 16
 #: Largest model that scoring broadcasts.
 MODEL_BYTES = 1 << 28
 
@@ -172,7 +174,7 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, trees = shared.value
-        held = list(blocks_of(batches, len(fit.bins.cuts)))
+        held = list(joined(blocks_of(batches, len(fit.bins.cuts))))
         for b in held:
             for t in trees:
                 b.margin += t.values(b.bins)
@@ -186,20 +188,20 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
             def histograms(tree, open_):
                 # rows go down one level at a time; of two siblings the one with fewer rows is summed, the other is the rest
                 place = np.full(len(tree.feature), -1, np.int32)
+                pairs = {int(tree.left[q]): q for q in kept if tree.feature[q] >= 0 and {int(tree.left[q]), int(tree.left[q]) + 1} & set(open_)}
                 if kept:
                     for i, b in enumerate(held):
                         node[i] = tree.step(node[i], b.bins)
                     rows = sum(np.bincount(n[s], minlength=len(tree.feature)) for n, s in zip(node, seen, strict=True))
-                    todo = [a if rows[a] <= rows[a + 1] else a + 1 for a in open_[::2]]
+                    todo = [a if rows[a] <= rows[a + 1] else a + 1 for a in pairs]
                 else:
                     todo = open_
                 place[todo] = np.arange(len(todo))
                 parts = [histogram(b.bins, np.where(s, place[n], -1), *v, fit.bins, columns, len(todo)) for b, s, n, v in zip(held, seen, node, gh, strict=True)]
                 got = dict(zip(todo, zip(sum(p[0] for p in parts), sum(p[1] for p in parts), strict=True), strict=True))
-                parent = {int(tree.left[q]): q for q in kept if tree.feature[q] >= 0}
-                for a in open_[::2] if kept else ():
+                for a, q in pairs.items():
                     done, rest = (a, a + 1) if a in got else (a + 1, a)
-                    got[rest] = tuple(kept[parent[a]][j] - got[done][j] for j in (0, 1))
+                    got[rest] = tuple(kept[q][j] - got[done][j] for j in (0, 1))
                 kept.clear()
                 kept.update(got)
                 return tuple(np.stack([got[n][j] for n in open_]) for j in (0, 1))
@@ -214,17 +216,34 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
     return blocks.coalesce(1).mapInArrow(run, NODE_COLUMNS)
 
 
+def joined(blocks: Iterator[Block]) -> Iterator[Block]:
+    """The blocks as few larger ones, of at most ``BLOCK_ROWS`` rows."""
+
+    def one():
+        return Block(*(np.concatenate([getattr(b, c) for b in some], axis=-1) for c in ("keys", "y", "train", "bins", "margin")))
+
+    some: list[Block] = []
+    for b in blocks:
+        if some and sum(len(x.keys) for x in some) + len(b.keys) > BLOCK_ROWS:
+            yield one()
+            some = []
+        some.append(b)
+    if some:
+        yield one()
+
+
 def level_sums(blocks: DataFrame, fit: Fit, since: list[Tree], round_: int, tree: Tree, open_: list[int]) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Histograms of the open nodes over all tasks, and the losses before this round."""
+    """Histograms of the open nodes over all tasks, and the losses before this round. Up to
+    ``DIRECT_TASKS`` tasks send theirs to the driver; those of more are added up by Spark first."""
     shared = blocks.sparkSession.sparkContext.broadcast((fit, since, tree))
-    whole = 1 << 20
+    whole, shape = 1 << 20, (len(open_), fit.bins.total)
+    size = shape[0] * shape[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_a_task(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         fit, since, tree = shared.value
-        size = len(open_) * fit.bins.total
         columns, loss = fit.columns(round_), np.zeros(2)
         G, H = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in blocks_of(batches, len(fit.bins.cuts)):
+        for b in joined(blocks_of(batches, len(fit.bins.cuts))):
             for t in since:
                 b.margin += t.values(b.bins)
             if len(tree.feature) == 1:
@@ -233,17 +252,31 @@ def level_sums(blocks: DataFrame, fit: Fit, since: list[Tree], round_: int, tree
                 g, h = fit.sums(b, round_, tree, open_, columns)
                 G += g.ravel()
                 H += h.ravel()
-        at = np.flatnonzero(H)
-        slots = np.append(at, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(G[at], int(loss[0] * whole))), pa.array(np.append(H[at], int(loss[1] * whole)))], names=["slot", "g", "h"])
-
-    rows = blocks.mapInArrow(run, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        return G, H, [int(x * whole) for x in loss]
+
+    def to_driver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h, loss = of_a_task(batches)
+        yield pa.RecordBatch.from_pylist([{"g": g.tobytes(), "h": h.tobytes(), "train": loss[0], "validation": loss[1]}])
+
+    def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h, loss = of_a_task(batches)
+        at = np.flatnonzero(h)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(g[at], loss[0])), pa.array(np.append(h[at], loss[1]))], names=["slot", "g", "h"])
+
+    G, H, loss = np.zeros(size, np.int64), np.zeros(size, np.int64), [0, 0]
+    if fit.n_train + fit.n_validation <= DIRECT_TASKS * ROWS_PER_TASK:
+        for r in blocks.coalesce(DIRECT_TASKS).mapInArrow(to_driver, "g binary, h binary, train long, validation long").collect():
+            G += np.frombuffer(r["g"], np.int64)
+            H += np.frombuffer(r["h"], np.int64)
+            loss = [loss[0] + r["train"], loss[1] + r["validation"]]
+    else:
+        rows = blocks.mapInArrow(by_slot, "slot long, g long, h long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        slot, g, h = (rows[c].to_numpy(np.int64) for c in ("slot", "g", "h"))
+        at = slot >= 0
+        G[slot[at]], H[slot[at]] = g[at], h[at]
+        loss = [g[~at].sum(), h[~at].sum()]
     shared.unpersist()
-    slot, g, h = (rows[c].to_numpy(np.int64) for c in ("slot", "g", "h"))
-    G, H = np.zeros(len(open_) * fit.bins.total, np.int64), np.zeros(len(open_) * fit.bins.total, np.int64)
-    at = slot >= 0
-    G[slot[at]], H[slot[at]] = g[at], h[at]
-    return G.reshape(len(open_), fit.bins.total), H.reshape(len(open_), fit.bins.total), (g[~at].sum() / whole, h[~at].sum() / whole)
+    return G.reshape(shape), H.reshape(shape), (loss[0] / whole, loss[1] / whole)
 
 
 def rounds_by_level(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tuple[list[Tree], list[tuple]]:

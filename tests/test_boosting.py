@@ -170,3 +170,26 @@ def test_a_torn_bundle_is_refused_by_name(spark, table, tmp_path):
 def test_run_folders(spark):
     assert run_dir(spark, "x", "/shared/mine/") == "/shared/mine"
     assert run_dir(spark, "x").startswith(checkpoint_dir(spark)) and run_dir(spark, "x") != run_dir(spark, "x")
+
+
+
+@pytest.mark.parametrize("direct", [1, 16])
+def test_histograms_sent_or_added_up_by_spark(table, tmp_path, monkeypatch, direct):
+    one = fitted(table, Params(**{**P.__dict__, "rounds": 3}), tmp_path / "one")
+    monkeypatch.setattr(boost, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boost, "DIRECT_TASKS", direct)
+    many = fitted(table, Params(**{**P.__dict__, "rounds": 3}), tmp_path / "many")
+    assert same(one.trees, many.trees)
+    assert np.abs(np.array(one.losses) - np.array(many.losses)).max() < 1e-6
+
+
+def test_nodes_too_light_for_two_leaves_are_not_summed():
+    """Left: a Hessian of 3, too little for two leaves of 2; right: 9, enough."""
+    bins, asked = K.Bins([np.array([0.0, 1.0])]), []
+
+    def sums(tree, open_):
+        asked.append(list(open_))
+        return np.array([[-30, 20, 20]] * len(open_)), np.array([[30, 50, 40]] * len(open_))
+
+    tree = K.grow(sums, bins, np.array([0]), Params(max_depth=2, min_child_weight=2.0), 10.0)
+    assert tree.left[0] == 1 and asked == [[0], [2]]

@@ -160,7 +160,13 @@ def best_splits(G: np.ndarray, H: np.ndarray, table: Bins, features: np.ndarray,
 
 def grow(histograms: Callable, table: Bins, features: np.ndarray, p: Params, scale: float) -> Tree:
     """A tree from ``histograms(tree, open_nodes)``, which sums over the rows at the
-    open nodes of the tree so far. A node whose Hessian isn't enough for two leaves
+    open nodes of the tree so far."""
+    return grow_by(lambda tree, open_: best_splits(*histograms(tree, open_), table, features, p, scale), table, p, scale)
+
+
+def grow_by(splits: Callable, table: Bins, p: Params, scale: float) -> Tree:
+    """A tree from ``splits(tree, open_nodes)``, which has for each open node what
+    ``best_splits`` gives. A node whose Hessian isn't enough for two leaves
     can't be split and is never open (but for the root)."""
     nodes = [[-1, 0, 0.0, 0, 0.0, 0.0]]
     weigh = lambda g, h: -p.learning_rate * (g / scale) / (h / scale + p.reg_lambda)
@@ -171,9 +177,8 @@ def grow(histograms: Callable, table: Bins, features: np.ndarray, p: Params, sca
         return Tree(np.array(f, np.int32), np.array(b, np.int32), np.array(c, float), np.array(left, np.int32), np.array(value, float), np.array(gain, float))
 
     while open_ and depth < p.max_depth:
-        G, H = histograms(tree(), open_)
         further = []
-        for node, (gain, at, (g, h), (lg, lh)) in zip(open_, best_splits(G, H, table, features, p, scale), strict=True):
+        for node, (gain, at, (g, h), (lg, lh)) in zip(open_, splits(tree(), open_), strict=True):
             if node == 0:
                 nodes[0][4] = weigh(g, h)
             if not gain > max(p.gamma, 1e-6):

@@ -3,14 +3,23 @@
 The feature table is binned once: quantile cuts of each feature from one
 aggregate, then blocks of rows with one byte a value, written to the run's folder.
 
-* A table of more than ``ROWS_PER_TASK`` rows grows each tree level by level. A
-  job for each level: every task sums its blocks' histograms, Spark adds them up,
+* A table of more than ``ROWS_PER_TASK`` rows is spread over the tasks of a barrier
+  stage, which runs ``ROUNDS_PER_STATE`` rounds. Every task keeps its rows; for each
+  level it sums their histograms and deals them to its peers by feature
+  (``plans/peers.py``). A task adds up its share of the features, picks the best
+  splits among them and tells them to all; the best of these is the split. No task
+  sees another's rows, and none goes to the driver. Margins are written back with the
+  blocks at the end of a stretch.
+* Where such a stage can't run (``together``: no fixed number of slots, storage that
+  Python can't reach, more than ``MOST_TOGETHER`` tasks of ``HELD_ROWS`` rows), there is
+  a job for each level: every task sums its blocks' histograms, Spark adds them up,
   and the driver, which receives one row for each open node and bin (bounded by
   depth, features and bins, whatever the rows), picks the splits. Margins are
-  written back with the blocks every ``ROUNDS_PER_STATE`` rounds, so a job replays
-  few trees.
+  written back every ``REPLAYED_ROUNDS`` rounds, so a job replays few trees.
 * A smaller table is one task's work anyway: there is nothing to add up, so a job
-  runs ``ROUNDS_PER_JOB`` rounds. Same kernels and, as sums are exact, same trees.
+  runs ``ROUNDS_PER_JOB`` rounds.
+
+All three have the same kernels and, as sums are exact, the same trees.
 
 Each stretch of rounds is a folder of nodes with Spark's completion marker. A fit
 called again with the same folder, parameters and rows goes on after the last one;
@@ -21,6 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -32,14 +43,22 @@ from pyspark.sql import functions as F
 
 from attrition.config import Params
 from attrition.operators.boosting import (
-    BLOCK_ROWS, NODE_COLUMNS, Bins, Forest, Tree, fixed_point, gradients, grow, histogram, log_loss,
+    BLOCK_ROWS, NODE_COLUMNS, Bins, Forest, Tree, best_splits, fixed_point, gradients, grow, grow_by, histogram, log_loss,
     sampled_features, sampled_rows, trees_of,
 )
+from attrition.plans.peers import Peers, shared as reachable
 from attrition.session import Storage, reach_workers
 
 ROWS_PER_TASK = 50_000
 ROUNDS_PER_JOB = 100
-ROUNDS_PER_STATE = 10
+ROUNDS_PER_STATE = 250
+#: With a job for each level: trees that a job replays at most.
+REPLAYED_ROUNDS = 10
+#: Rows of a block as written: small, so that blocks can be dealt evenly.
+STORED_ROWS = 1 << 11
+#: Tasks of a barrier stage, and rows that one of them holds, at most.
+MOST_TOGETHER = 64
+HELD_ROWS = 1 << 21
 #: Tasks whose histograms the driver may receive one by one: at most depth 6, 48 x 256 bins and 16 bytes a bin, 6 MB each.
 DIRECT_TASKS = 16
 #: Largest model that scoring broadcasts.
@@ -115,8 +134,8 @@ def write_binned(table: DataFrame, features: list[str], label: str, bins: Bins,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(a, BLOCK_ROWS)
+            for a in range(0, whole.num_rows, STORED_ROWS):
+                batch = whole.slice(a, STORED_ROWS)
                 x = np.stack([batch.column(f"f{i}").to_numpy(zero_copy_only=False) for i in range(len(bins.cuts))], axis=1)
                 flag = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()  # noqa: B023, E731
                 row = {"keys": batch.column("key").to_numpy().astype(np.int64).tobytes(), "label": flag("label"), "train": flag("train"), "bins": bins.bin(x).tobytes(), "margin": None}
@@ -139,6 +158,8 @@ class Fit:
     scale: float
     n_train: int
     n_validation: int
+    tasks: int = 0  # of a barrier stage, 0: a job for each level
+    meet: str = ""  # URI of the folder where those tasks meet
 
     def columns(self, round_: int) -> np.ndarray:
         return sampled_features(len(self.bins.cuts), round_, self.p)
@@ -279,8 +300,91 @@ def level_sums(blocks: DataFrame, fit: Fit, since: list[Tree], round_: int, tree
     return G.reshape(shape), H.reshape(shape), (loss[0] / whole, loss[1] / whole)
 
 
+def together(spark: SparkSession, rows: int, wanted: int, storage: Storage, folder: str) -> tuple[int, str]:
+    """How many tasks can run the rounds in one barrier stage (0: none), and the URI of the folder where they meet."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true" or conf.get("spark.default.parallelism", None):
+        return 0, ""
+    tasks = min(wanted, MOST_TOGETHER, sc.defaultParallelism // int(conf.get("spark.task.cpus", "1")))
+    meet = storage.make(folder)
+    return (tasks, meet) if tasks > 1 and rows <= tasks * HELD_ROWS and reachable(meet) else (0, "")
+
+
+def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tuple[list[Tree], list[tuple]]:
+    """Trees of the rounds before..stop from one barrier stage, whose tasks each keep a part of the rows."""
+    spark, meet = blocks.sparkSession, f"{fit.meet}/{uuid.uuid4().hex}"
+    shared = spark.sparkContext.broadcast(fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, peers = shared.value, Peers(meet)
+        held = list(joined(blocks_of(batches, len(fit.bins.cuts))))
+        frames = []
+        for r in range(before, stop):
+            columns = fit.columns(r)
+            shares = np.array_split(columns, peers.n)
+            mine = shares[peers.me]
+            part = Bins([fit.bins.cuts[f] for f in mine]) if len(mine) else None
+            places = [np.concatenate([np.arange(fit.bins.first[f], fit.bins.first[f] + fit.bins.sizes[f]) for f in s]) if len(s) else np.zeros(0, int) for s in shares]
+            seen = [b.train & sampled_rows(b.keys, r, fit.p) for b in held]
+            gh = [gradients(b.margin, b.y, fit.spw, fit.scale) for b in held]
+            node = [np.zeros(len(b.keys), np.int32) for b in held]
+            kept, weight = {}, {}
+
+            def splits(tree, open_):
+                # as in one task: of two siblings the lighter one is summed, the other is what it leaves of their parent
+                place = np.full(len(tree.feature), -1, np.int32)
+                parents = {int(tree.left[q]): q for q in kept if tree.feature[q] >= 0 and {int(tree.left[q]), int(tree.left[q]) + 1} & set(open_)}
+                if kept:
+                    for i, b in enumerate(held):
+                        node[i] = tree.step(node[i], b.bins)
+                todo = [a if weight[q][1] <= weight[q][0] - weight[q][1] else a + 1 for a, q in parents.items()] if kept else open_
+                place[todo] = np.arange(len(todo))
+                G, H = (np.zeros((len(todo), fit.bins.total), np.int64) for _ in range(2))
+                for b, s, n, v in zip(held, seen, node, gh, strict=True):
+                    g, h = histogram(b.bins, np.where(s, place[n], -1), *v, fit.bins, columns, len(todo))
+                    G += g
+                    H += h
+                sums = sum(np.frombuffer(x, np.int64) for x in peers.deal([np.stack([G[:, at], H[:, at]]).tobytes() for at in places])).reshape(2, len(todo), -1)
+                got = {q: sums[:, i] for i, q in enumerate(todo)}
+                for a, q in parents.items():
+                    done, rest = (a, a + 1) if a in got else (a + 1, a)
+                    got[rest] = kept[q] - got[done]
+                kept.clear()
+                kept.update(got)
+                best = []
+                if len(mine):
+                    G, H = np.stack([got[q] for q in open_], axis=1)
+                    for gain, at, whole, left in best_splits(G, H, part, np.arange(len(mine)), fit.p, fit.scale):
+                        f = part.feature[at]
+                        best.append((gain, int(fit.bins.first[mine[f]] + at - part.first[f]), whole, left))
+                said = [x for x in map(pickle.loads, peers.tell(pickle.dumps(best))) if x]
+                # of equal gains the first, and tasks have their features in order
+                chosen = [max((x[i] for x in said), key=lambda x: x[0]) for i in range(len(open_))]
+                weight.clear()
+                weight.update({q: (whole[1], left[1]) for q, (_, _, whole, left) in zip(open_, chosen, strict=True)})
+                return chosen
+
+            tree = grow_by(splits, fit.bins, fit.p, fit.scale)
+            for b, n in zip(held, node, strict=True):
+                while (tree.feature[n] >= 0).any():
+                    n = tree.step(n, b.bins)
+                b.margin += tree.value[n]
+            frames += [*([tree.frame(r)] if peers.me == 0 else []), loss_row(r, fit.losses(held))]
+        yield from _table(frames).to_batches()
+
+    # the shuffle behind it lets Spark run the stage again if a task is lost
+    rows = blocks.repartition(fit.tasks).mapInArrow(run, NODE_COLUMNS, barrier=True).repartition(1).toPandas()
+    shared.unpersist()
+    Storage(spark, meet).delete(meet)
+    losses = rows[rows["node"] == LOSS].groupby("round", sort=True)[["value", "gain"]].sum()
+    return trees_of(rows[rows["node"] != LOSS]), [fit.mean(*x) for x in losses.to_numpy().tolist()]
+
+
 def rounds_by_level(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tuple[list[Tree], list[tuple]]:
-    """Trees of the rounds before..stop, a job for each level; blocks carry the margins of the rounds before."""
+    """Trees of the rounds before..stop, grown level by level; blocks carry the margins of the rounds before."""
+    if fit.tasks:
+        return rounds_together(blocks, fit, before, stop)
     since, losses, root = [], [], Tree(*(np.array([x]) for x in (-1, 0, 0.0, 0, 0.0, 0.0)))
     for r in range(before, stop):
         columns = fit.columns(r)
@@ -338,7 +442,8 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
     tasks = max(1, -(-(n_train + n_validation) // ROWS_PER_TASK))
     if not storage.written(f"{folder}/binned"):
         write_binned(table.coalesce(1) if tasks == 1 else table, features, label, bins, key_cols, f"{folder}/binned")
-    fit = Fit(bins, params, float(spw), fixed_point(n_train, spw), n_train, n_validation)
+    slots = together(spark, n_train + n_validation, tasks, storage, f"{folder}/meet") if tasks > 1 else (0, "")
+    fit = Fit(bins, params, float(spw), fixed_point(n_train, spw), n_train, n_validation, *slots)
 
     stretches = [x for x in storage.names(f"{folder}/trees") if storage.written(f"{folder}/trees/{x}")]
     rounds = int(stretches[-1]) if stretches else 0
@@ -361,7 +466,7 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
             rounds_in_a_task(blocks, fit, trees, stop).write.mode("overwrite").parquet(f"{folder}/trees/{stop:06d}")
             trees += take(f"{stop:06d}")
         else:
-            stop = min(params.rounds, rounds + ROUNDS_PER_STATE)
+            stop = min(params.rounds, rounds + (ROUNDS_PER_STATE if fit.tasks else min(ROUNDS_PER_STATE, REPLAYED_ROUNDS)))
             state = spark.read.schema(schema).parquet(f"{folder}/state/{rounds:06d}") if rounds else blocks
             since, loss = rounds_by_level(state, fit, rounds, stop)
             with_margins(state, fit, since).write.mode("overwrite").parquet(f"{folder}/state/{stop:06d}")

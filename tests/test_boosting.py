@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark import BarrierTaskContext
 
 from attrition.config import Params
 from attrition.operators import boosting as K
@@ -193,3 +194,66 @@ def test_nodes_too_light_for_two_leaves_are_not_summed():
 
     tree = K.grow(sums, bins, np.array([0]), Params(max_depth=2, min_child_weight=2.0), 10.0)
     assert tree.left[0] == 1 and asked == [[0], [2]]
+
+
+def jobs_of(spark, name, run):
+    """Result of a function and the number of Spark jobs that it ran."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_more_rounds_are_no_more_jobs(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(boost, "ROWS_PER_TASK", 100)
+    fit = lambda n: fitted(table, Params(**{**P.__dict__, "rounds": n}), tmp_path / str(n))
+    few, a = jobs_of(spark, f"few-{tmp_path}", lambda: fit(2))
+    many, b = jobs_of(spark, f"many-{tmp_path}", lambda: fit(12))
+    assert same(many.trees[:2], few.trees) and len(many.trees) == 12 and 0 < b <= a + 2
+
+
+@pytest.mark.parametrize("tasks", [2, 3, 5])
+def test_tasks_that_meet_grow_the_trees_of_one_task_and_of_jobs(table, tmp_path, monkeypatch, tasks):
+    one = fitted(table, P, tmp_path / "one")
+    monkeypatch.setattr(boost, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boost, "MOST_TOGETHER", tasks)
+    met = fitted(table, P, tmp_path / "met")
+    monkeypatch.setattr(boost, "MOST_TOGETHER", 1)
+    jobs = fitted(table, P, tmp_path / "jobs")
+    for other in (met, jobs):
+        assert same(one.trees, other.trees)
+        assert np.abs(np.array(one.losses) - np.array(other.losses)).max() < 1e-6
+    left = [name for d, dirs, files in os.walk(tmp_path / "met") if os.path.basename(os.path.dirname(d)) == "meet" or os.path.basename(d) == "meet" for name in dirs + files]
+    assert not left, left
+
+
+class Failing(boost.Fit):
+    """Task 2 fails once, in its fourth round."""
+
+    def losses(self, blocks):
+        self.calls = getattr(self, "calls", 0) + 1
+        lost = self.meet.removeprefix("file:") + "-lost"
+        if self.calls == 4 and BarrierTaskContext.get().partitionId() == 2 and not os.path.exists(lost):
+            open(lost, "w").close()
+            raise RuntimeError("lost")
+        return super().losses(blocks)
+
+
+def test_a_lost_task_runs_the_stage_again(table, tmp_path, monkeypatch):
+    one = fitted(table, P, tmp_path / "one")
+    monkeypatch.setattr(boost, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boost, "Fit", Failing)
+    again = fitted(table, P, tmp_path / "again")
+    assert list((tmp_path / "again").glob("*/meet-lost")) and same(one.trees, again.trees)
+    assert np.abs(np.array(one.losses) - np.array(again.losses)).max() < 1e-6
+
+
+def test_no_barrier_stage_without_slots_or_storage(spark, tmp_path, monkeypatch):
+    storage, ask = boost.Storage(spark, str(tmp_path)), lambda rows, tasks: boost.together(spark, rows, tasks, storage, str(tmp_path / "meet"))
+    slots = spark.sparkContext.defaultParallelism
+    assert ask(1000, slots + 100)[0] == (min(slots, boost.MOST_TOGETHER) if slots > 1 else 0)
+    assert ask(1000, 1)[0] == 0 and ask(10**12, 8)[0] == 0
+    assert not boost.reachable("viewfs://store/in") and not boost.reachable(f"file://{tmp_path}/missing")
+    monkeypatch.setattr(boost, "reachable", lambda folder: False)
+    assert ask(1000, 8) == (0, "")

@@ -14,7 +14,7 @@ sides score more than the node, it needs a gain above ``gamma`` and a Hessian of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,26 +39,32 @@ class Tree:
     value: np.ndarray
     gain: np.ndarray
 
-    def step(self, node: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        """Node of each row one level further down; ``bins`` is features x rows."""
-        f = self.feature[node]
-        at = np.flatnonzero(f >= 0)
-        out = node.copy()
-        out[at] = self.left[node[at]] + (bins[f[at], at] > self.bin[node[at]])
-        return out
+    def down(self, node: np.ndarray, bins: np.ndarray, among: Iterable[int] | None = None) -> np.ndarray:
+        """Moves rows, in place, from the nodes ``among`` (all that are split, else) to their
+        children; ``bins`` is features x rows. Children come after their parents, so all
+        nodes in order lead to the leaves. Comparing whole columns costs less than looking
+        each row's feature up."""
+        kind = node.dtype.type
+        for q in np.flatnonzero(self.feature >= 0).tolist() if among is None else among:
+            further = (bins[int(self.feature[q])] > int(self.bin[q])) + kind(int(self.left[q]) - q)
+            further *= node == kind(q)
+            node += further
+        return node
 
     def values(self, bins: np.ndarray) -> np.ndarray:
         """Value of the leaf that each row falls into."""
-        node = np.zeros(bins.shape[1], np.int32)
-        while (self.feature[node] >= 0).any():
-            node = self.step(node, bins)
-        return self.value[node]
+        return self.value.take(self.down(roots(bins.shape[1], len(self.feature)), bins))
 
     def frame(self, round_: int) -> pd.DataFrame:
         n = np.arange(len(self.feature), dtype=np.int32)
         return pd.DataFrame({"round": np.full(len(n), round_, np.int32), "node": n, **self.__dict__})
 
 
+def roots(n_rows: int, n_nodes: int) -> np.ndarray:
+    """The root for each row, in the smallest type that numbers the nodes."""
+    return np.zeros(n_rows, np.min_scalar_type(max(n_nodes - 1, 0)))
+
+
 def trees_of(nodes: pd.DataFrame) -> list[Tree]:
     """Trees from their nodes' rows, in order of rounds."""
     nodes = nodes.sort_values(["round", "node"])
@@ -137,6 +143,74 @@ def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray,
     return G, H
 
 
+class Packed:
+    """Bins of a block (features x rows), of which features that occur in few combinations
+    share one code: a sum for each code, folded to the features' bins, is one pass over the
+    rows for all of them. Sums are whole numbers below 2^53, so folding is exact. Which
+    features share a code is found on the block's own rows and changes no result."""
+
+    CODES = 256  # of one group at most: a byte a row
+    LOOKED_AT = 4096  # rows that pick the groups; all rows are counted after
+
+    def __init__(self, bins: np.ndarray, table: Bins):
+        self.table, self.groups = table, []
+        few = bins[:, :: max(1, bins.shape[1] // self.LOOKED_AT)]
+        left = list(range(len(bins)))
+        while left:
+            members, tried = [left.pop(0)], None
+            for f in list(left):
+                got = self._joint(few[members[0]] if tried is None else tried, few[f], int(table.sizes[f]))
+                if got is not None:
+                    tried = got[0]
+                    members.append(f)
+                    left.remove(f)
+            codes, of = bins[members[0]], [np.arange(table.sizes[members[0]])]
+            for i, f in enumerate(members[1:], 1):
+                got = self._joint(codes, bins[f], int(table.sizes[f]))
+                if got is None:  # more combinations in all rows than in those looked at
+                    left[:0] = members[i:]
+                    members = members[:i]
+                    break
+                codes, pairs = got
+                of = [o[pairs // table.sizes[f]] for o in of] + [pairs % table.sizes[f]]
+            n = len(of[0])
+            fold = np.zeros((n, int(table.sizes[members].sum())))
+            start = 0
+            for f, o in zip(members, of, strict=True):
+                fold[np.arange(n), start + o] = 1
+                start += int(table.sizes[f])
+            places = np.concatenate([np.arange(table.first[f], table.first[f] + table.sizes[f]) for f in members])
+            self.groups.append((members, codes, n, places, fold))
+
+    def _joint(self, codes: np.ndarray, more: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """One code for each pair that occurs, and the pairs; None if there are too many."""
+        pair = codes.astype(np.int64) * size + more
+        there = np.bincount(pair) > 0
+        pairs = np.flatnonzero(there)
+        if len(pairs) > self.CODES:
+            return None
+        return (np.cumsum(there) - 1).astype(np.uint8).take(pair), pairs
+
+    def histogram(self, slot: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, n_open: int) -> tuple[np.ndarray, np.ndarray]:
+        """As the function ``histogram``, with sums of features beside the asked ones."""
+        rows = np.flatnonzero(slot >= 0)
+        place, g, h = slot.take(rows).astype(np.int64), g.take(rows), h.take(rows)
+        G, H = (np.zeros((n_open, self.table.total), np.int64) for _ in range(2))
+        asked = set(features.tolist())
+        for members, codes, n, places, fold in self.groups:
+            if asked.isdisjoint(members):
+                continue
+            at = place * n
+            at += codes.take(rows)
+            for to, v in ((G, g), (H, h)):
+                sums = np.bincount(at, v, n_open * n).reshape(n_open, n)
+                if len(members) == 1:
+                    to[:, places[0] : places[0] + n] = sums
+                else:
+                    to[:, places] = sums @ fold
+        return G, H
+
+
 def best_splits(G: np.ndarray, H: np.ndarray, table: Bins, features: np.ndarray, p: Params, scale: float) -> Iterator[tuple]:
     """For each open node (gain, place of the split's bin, sums of node and left side); equal gains: the first place."""
     one = slice(table.first[features[0]], table.first[features[0]] + table.sizes[features[0]])
@@ -194,35 +268,28 @@ def grow_by(splits: Callable, table: Bins, p: Params, scale: float) -> Tree:
 
 
 class Forest:
-    """All trees in flat arrays, for scoring: leaves lead to themselves, so that every
-    row takes the same number of steps in every tree."""
+    """All trees for scoring. A value is binned once by the cuts that the trees have of its
+    feature; then a tree's comparisons run over whole columns of bins."""
 
-    def __init__(self, trees: list[Tree], max_depth: int):
-        sizes = [len(t.feature) for t in trees]
-        self.roots = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int32) if trees else np.zeros(0, np.int32)
+    def __init__(self, trees: list[Tree], n_features: int):
         join = lambda c: np.concatenate([getattr(t, c) for t in trees]) if trees else np.zeros(0)
-        feature = join("feature").astype(np.int32)
-        leaf, place = feature < 0, np.arange(len(feature), dtype=np.int32)
-        self.feature = np.where(leaf, 0, feature)
-        self.cut = np.where(leaf, np.inf, join("cut"))
-        self.left = np.where(leaf, place, join("left").astype(np.int32) + np.repeat(self.roots, sizes))
-        self.value = join("value")
-        self.depth = max_depth
+        feature, cut = join("feature"), join("cut")
+        self.cuts = [np.unique(cut[feature == f]) for f in range(n_features)]
+        self.kind = np.min_scalar_type(max(map(len, self.cuts), default=0))
+        self.trees = []
+        for t in trees:
+            bin_ = np.array([np.searchsorted(self.cuts[f], c) if f >= 0 else 0 for f, c in zip(t.feature.tolist(), t.cut.tolist(), strict=True)], np.int32)
+            self.trees.append(Tree(t.feature, bin_, t.cut, t.left, t.value, t.gain))
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.roots, self.feature, self.cut, self.left, self.value))
+        return sum(c.nbytes for c in self.cuts) + sum(x.nbytes for t in self.trees for x in t.__dict__.values())
 
-    def margins(self, x: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
-        """Sum of the leaves of rows x features, for slices of rows with all trees at once."""
-        x = np.nan_to_num(x, nan=0.0)
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Sum of the leaves of rows x features; a missing value counts as 0."""
+        x = np.where(np.isnan(x), 0.0, x)
+        bins = np.stack([np.searchsorted(c, x[:, f], side="left").astype(self.kind) for f, c in enumerate(self.cuts)]) if self.cuts else np.zeros((0, len(x)), np.uint8)
         out = np.zeros(len(x))
-        step = max(1, cells // max(1, len(self.roots)))
-        for a in range(0, len(x), step):
-            part = x[a : a + step]
-            row = np.arange(len(part))[:, None]
-            node = np.broadcast_to(self.roots, (len(part), len(self.roots)))
-            for _ in range(self.depth):
-                node = self.left[node] + (part[row, self.feature[node]] > self.cut[node])
-            out[a : a + step] = self.value[node].sum(1)
+        for t in self.trees:
+            out += t.values(bins)
         return out

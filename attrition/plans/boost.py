@@ -32,7 +32,7 @@ import hashlib
 import json
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from attrition.config import Params
 from attrition.operators.boosting import (
-    BLOCK_ROWS, NODE_COLUMNS, Bins, Forest, Tree, best_splits, fixed_point, gradients, grow, grow_by, histogram, log_loss,
-    sampled_features, sampled_rows, trees_of,
+    BLOCK_ROWS, NODE_COLUMNS, Bins, Forest, Packed, Tree, best_splits, fixed_point, gradients, grow, grow_by, histogram, log_loss,
+    roots, sampled_features, sampled_rows, trees_of,
 )
 from attrition.plans.peers import Peers, shared as reachable
 from attrition.session import Storage, reach_workers
@@ -67,6 +67,8 @@ MODEL_BYTES = 1 << 28
 _BLOCK = pa.schema([("keys", pa.binary()), ("label", pa.binary()), ("train", pa.binary()), ("bins", pa.binary()), ("margin", pa.binary())])
 _BLOCK_DDL = "keys binary, label binary, train binary, bins binary, margin binary"
 _NODES = pa.schema([("round", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("cut", pa.float64()), ("left", pa.int32()), ("value", pa.float64()), ("gain", pa.float64())])
+#: What the tasks of a barrier stage leave: nodes, and their rows as blocks with margins.
+_MET = pa.schema([*_NODES, *_BLOCK])
 #: In a stretch's table, ``node`` of the row with the mean log loss of the training (value) and validation part (gain).
 LOSS = -1
 
@@ -109,6 +111,12 @@ class Block:
     margin: np.ndarray
 
 
+    def row(self, start: int, end: int) -> dict:
+        """Some of the rows as they are stored."""
+        part = {"keys": self.keys, "label": self.y, "train": self.train.astype(np.uint8), "bins": self.bins, "margin": self.margin}
+        return {c: v[..., start:end].tobytes() for c, v in part.items()}
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[Block]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -124,7 +132,7 @@ def _number(c: str):
 
 def feature_cuts(rows: DataFrame, features: list[str], max_bins: int) -> Bins:
     """Quantile cuts of each feature in one aggregate; values of the table, distinct."""
-    shares = [i / max_bins for i in range(1, max_bins)]
+    shares = F.array(*[F.lit(i / max_bins) for i in range(1, max_bins)])  # once: 48 lists of literals took 13 s to build
     got = rows.agg(*[F.percentile_approx(_number(f), shares, 50 * max_bins).alias(f"c{i}") for i, f in enumerate(features)]).first()
     return Bins([np.array(c if c is not None else [0.0]) for c in got])
 
@@ -160,6 +168,7 @@ class Fit:
     n_validation: int
     tasks: int = 0  # of a barrier stage, 0: a job for each level
     meet: str = ""  # URI of the folder where those tasks meet
+    state: str = ""  # folder of the blocks with margins after each stretch
 
     def columns(self, round_: int) -> np.ndarray:
         return sampled_features(len(self.bins.cuts), round_, self.p)
@@ -174,13 +183,15 @@ class Fit:
         """A block's histograms of the rows that the round sees, at the open nodes."""
         place = np.full(len(tree.feature), -1, np.int32)
         place[open_] = np.arange(len(open_))
-        node = np.zeros(len(b.keys), np.int32)
-        while (tree.feature[node] >= 0).any():
-            node = tree.step(node, b.bins)
+        node = tree.down(roots(len(b.keys), len(tree.feature)), b.bins)
         seen = b.train & sampled_rows(b.keys, round_, self.p)
         return histogram(b.bins, np.where(seen, place[node], -1), *gradients(b.margin, b.y, self.spw, self.scale), self.bins, columns, len(open_))
 
 
+def split_of(tree: Tree, nodes: Iterable[int]) -> list[int]:
+    return [q for q in nodes if tree.feature[q] >= 0]
+
+
 def loss_row(round_: int, losses: tuple) -> pd.DataFrame:
     return pd.DataFrame([(round_, LOSS, -1, 0, 0.0, 0, *losses, )], columns=_NODES.names)
 
@@ -199,11 +210,12 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
         for b in held:
             for t in trees:
                 b.margin += t.values(b.bins)
+        packed = [Packed(b.bins, fit.bins) for b in held]
         for r in range(len(trees), stop):
             columns = fit.columns(r)
             seen = [b.train & sampled_rows(b.keys, r, fit.p) for b in held]
             gh = [gradients(b.margin, b.y, fit.spw, fit.scale) for b in held]
-            node = [np.zeros(len(b.keys), np.int32) for b in held]
+            node = [roots(len(b.keys), 2 ** (fit.p.max_depth + 1)) for b in held]
             kept = {}
 
             def histograms(tree, open_):
@@ -211,14 +223,14 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
                 place = np.full(len(tree.feature), -1, np.int32)
                 pairs = {int(tree.left[q]): q for q in kept if tree.feature[q] >= 0 and {int(tree.left[q]), int(tree.left[q]) + 1} & set(open_)}
                 if kept:
-                    for i, b in enumerate(held):
-                        node[i] = tree.step(node[i], b.bins)
+                    for b, n in zip(held, node, strict=True):
+                        tree.down(n, b.bins, split_of(tree, kept))
                     rows = sum(np.bincount(n[s], minlength=len(tree.feature)) for n, s in zip(node, seen, strict=True))
                     todo = [a if rows[a] <= rows[a + 1] else a + 1 for a in pairs]
                 else:
                     todo = open_
                 place[todo] = np.arange(len(todo))
-                parts = [histogram(b.bins, np.where(s, place[n], -1), *v, fit.bins, columns, len(todo)) for b, s, n, v in zip(held, seen, node, gh, strict=True)]
+                parts = [b.histogram(np.where(s, place.take(n), -1), *v, columns, len(todo)) for b, s, n, v in zip(packed, seen, node, gh, strict=True)]
                 got = dict(zip(todo, zip(sum(p[0] for p in parts), sum(p[1] for p in parts), strict=True), strict=True))
                 for a, q in pairs.items():
                     done, rest = (a, a + 1) if a in got else (a + 1, a)
@@ -229,9 +241,7 @@ def rounds_in_a_task(blocks: DataFrame, fit: Fit, trees: list[Tree], stop: int)
 
             tree = grow(histograms, fit.bins, columns, fit.p, fit.scale)
             for b, n in zip(held, node, strict=True):
-                while (tree.feature[n] >= 0).any():
-                    n = tree.step(n, b.bins)
-                b.margin += tree.value[n]
+                b.margin += tree.value.take(tree.down(n, b.bins, split_of(tree, kept)))
             yield from _table([tree.frame(r), loss_row(r, fit.mean(*fit.losses(held)))]).to_batches()
 
     return blocks.coalesce(1).mapInArrow(run, NODE_COLUMNS)
@@ -319,7 +329,7 @@ def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, peers = shared.value, Peers(meet)
         held = list(joined(blocks_of(batches, len(fit.bins.cuts))))
-        frames = []
+        packed, frames = [Packed(b.bins, fit.bins) for b in held], []
         for r in range(before, stop):
             columns = fit.columns(r)
             shares = np.array_split(columns, peers.n)
@@ -328,21 +338,20 @@ def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tupl
             places = [np.concatenate([np.arange(fit.bins.first[f], fit.bins.first[f] + fit.bins.sizes[f]) for f in s]) if len(s) else np.zeros(0, int) for s in shares]
             seen = [b.train & sampled_rows(b.keys, r, fit.p) for b in held]
             gh = [gradients(b.margin, b.y, fit.spw, fit.scale) for b in held]
-            node = [np.zeros(len(b.keys), np.int32) for b in held]
+            node = [roots(len(b.keys), 2 ** (fit.p.max_depth + 1)) for b in held]
             kept, weight = {}, {}
 
             def splits(tree, open_):
                 # as in one task: of two siblings the lighter one is summed, the other is what it leaves of their parent
                 place = np.full(len(tree.feature), -1, np.int32)
                 parents = {int(tree.left[q]): q for q in kept if tree.feature[q] >= 0 and {int(tree.left[q]), int(tree.left[q]) + 1} & set(open_)}
-                if kept:
-                    for i, b in enumerate(held):
-                        node[i] = tree.step(node[i], b.bins)
+                for b, n in zip(held, node, strict=True):
+                    tree.down(n, b.bins, split_of(tree, kept))
                 todo = [a if weight[q][1] <= weight[q][0] - weight[q][1] else a + 1 for a, q in parents.items()] if kept else open_
                 place[todo] = np.arange(len(todo))
                 G, H = (np.zeros((len(todo), fit.bins.total), np.int64) for _ in range(2))
-                for b, s, n, v in zip(held, seen, node, gh, strict=True):
-                    g, h = histogram(b.bins, np.where(s, place[n], -1), *v, fit.bins, columns, len(todo))
+                for b, s, n, v in zip(packed, seen, node, gh, strict=True):
+                    g, h = b.histogram(np.where(s, place.take(n), -1), *v, columns, len(todo))
                     G += g
                     H += h
                 sums = sum(np.frombuffer(x, np.int64) for x in peers.deal([np.stack([G[:, at], H[:, at]]).tobytes() for at in places])).reshape(2, len(todo), -1)
@@ -367,16 +376,21 @@ def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tupl
 
             tree = grow_by(splits, fit.bins, fit.p, fit.scale)
             for b, n in zip(held, node, strict=True):
-                while (tree.feature[n] >= 0).any():
-                    n = tree.step(n, b.bins)
-                b.margin += tree.value[n]
+                b.margin += tree.value.take(tree.down(n, b.bins, split_of(tree, kept)))
             frames += [*([tree.frame(r)] if peers.me == 0 else []), loss_row(r, fit.losses(held))]
-        yield from _table(frames).to_batches()
+        for batch in _table(frames).to_batches():
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, f.type) for f in _BLOCK)], schema=_MET)
+        if stop < fit.p.rounds:  # the next stretch starts from these
+            for b in held:
+                for a in range(0, len(b.keys), STORED_ROWS):
+                    yield pa.RecordBatch.from_pylist([b.row(a, a + STORED_ROWS)], schema=_MET)
 
     # the shuffle behind it lets Spark run the stage again if a task is lost
-    rows = blocks.repartition(fit.tasks).mapInArrow(run, NODE_COLUMNS, barrier=True).repartition(1).toPandas()
+    met = blocks.repartition(fit.tasks).mapInArrow(run, f"{NODE_COLUMNS}, {_BLOCK_DDL}", barrier=True)
+    met.repartition(fit.tasks).write.mode("overwrite").parquet(f"{fit.state}/{stop:06d}")
     shared.unpersist()
     Storage(spark, meet).delete(meet)
+    rows = spark.read.schema(NODE_COLUMNS).parquet(f"{fit.state}/{stop:06d}").where(F.col("node").isNotNull()).toPandas()
     losses = rows[rows["node"] == LOSS].groupby("round", sort=True)[["value", "gain"]].sum()
     return trees_of(rows[rows["node"] != LOSS]), [fit.mean(*x) for x in losses.to_numpy().tolist()]
 
@@ -437,13 +451,13 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
     folder = f"{folder}/{key}"
     if not storage.written(f"{folder}/cuts"):
         bins = feature_cuts(table.where(F.col("split") == "train"), features, params.max_bins)
-        spark.createDataFrame([(json.dumps([c.tolist() for c in bins.cuts]),)], "cuts string").coalesce(1).write.mode("overwrite").json(f"{folder}/cuts")
+        spark.range(1).select(F.lit(json.dumps([c.tolist() for c in bins.cuts])).alias("cuts")).coalesce(1).write.mode("overwrite").json(f"{folder}/cuts")
     bins = Bins([np.array(c) for c in json.loads(spark.read.schema("cuts string").json(f"{folder}/cuts").first()["cuts"])])
     tasks = max(1, -(-(n_train + n_validation) // ROWS_PER_TASK))
     if not storage.written(f"{folder}/binned"):
         write_binned(table.coalesce(1) if tasks == 1 else table, features, label, bins, key_cols, f"{folder}/binned")
-    slots = together(spark, n_train + n_validation, tasks, storage, f"{folder}/meet") if tasks > 1 else (0, "")
-    fit = Fit(bins, params, float(spw), fixed_point(n_train, spw), n_train, n_validation, *slots)
+    slots = together(spark, n_train + n_validation, 2 * tasks, storage, f"{folder}/meet") if tasks > 1 else (0, "")
+    fit = Fit(bins, params, float(spw), fixed_point(n_train, spw), n_train, n_validation, *slots, state=f"{folder}/state")
 
     stretches = [x for x in storage.names(f"{folder}/trees") if storage.written(f"{folder}/trees/{x}")]
     rounds = int(stretches[-1]) if stretches else 0
@@ -467,14 +481,15 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
             trees += take(f"{stop:06d}")
         else:
             stop = min(params.rounds, rounds + (ROUNDS_PER_STATE if fit.tasks else min(ROUNDS_PER_STATE, REPLAYED_ROUNDS)))
-            state = spark.read.schema(schema).parquet(f"{folder}/state/{rounds:06d}") if rounds else blocks
+            state = spark.read.schema(schema).parquet(f"{fit.state}/{rounds:06d}").where(F.col("keys").isNotNull()) if rounds else blocks
             since, loss = rounds_by_level(state, fit, rounds, stop)
-            with_margins(state, fit, since).write.mode("overwrite").parquet(f"{folder}/state/{stop:06d}")
+            if not fit.tasks and stop < params.rounds:
+                with_margins(state, fit, since).write.mode("overwrite").parquet(f"{fit.state}/{stop:06d}")
             frames = [x for r, (t, pair) in enumerate(zip(since, loss, strict=True), rounds) for x in (t.frame(r), loss_row(r, pair))]
             spark.createDataFrame(_table(frames)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/trees/{stop:06d}")
-            for old in storage.names(f"{folder}/state"):
+            for old in storage.names(fit.state):
                 if int(old) < stop:
-                    storage.delete(f"{folder}/state/{old}")
+                    storage.delete(f"{fit.state}/{old}")
             trees += take(f"{stop:06d}")
         rounds = stop
     return Model(features, trees, params.max_depth, losses)
@@ -482,7 +497,7 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
 
 def predict_proba(model: Model, df: DataFrame) -> DataFrame:
     """Adds ``probability`` = P(class 1): all trees for whole Arrow batches, level by level."""
-    forest = Forest(model.trees, model.max_depth)
+    forest = Forest(model.trees, len(model.features))
     if forest.nbytes > MODEL_BYTES:
         raise ValueError(f"a model of {forest.nbytes} bytes is more than is broadcast ({MODEL_BYTES})")
     reach_workers(df.sparkSession)

@@ -50,7 +50,7 @@ class Peers:
                     return f.read_at(int(ends[self.me]) - start, 8 * self.n + start)
             except FileNotFoundError:
                 time.sleep(wait)
-                wait = min(2 * wait, 0.004)
+                wait = min(2 * wait, 0.0008)
 
     def deal(self, parts: list[bytes]) -> list[bytes]:
         """Sends ``parts[j]`` to task j; returns what each task had for this one."""

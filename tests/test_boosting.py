@@ -257,3 +257,38 @@ def test_no_barrier_stage_without_slots_or_storage(spark, tmp_path, monkeypatch)
     assert not boost.reachable("viewfs://store/in") and not boost.reachable(f"file://{tmp_path}/missing")
     monkeypatch.setattr(boost, "reachable", lambda folder: False)
     assert ask(1000, 8) == (0, "")
+
+
+def test_shared_codes_give_the_plain_sums():
+    """Features that follow from others, rare combinations that a look at few rows misses, and one of 256 bins."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    a, wide = rng.integers(0, 7, n), rng.integers(0, 256, n)
+    rare = np.where(rng.random(n) < 0.02, rng.integers(0, 200, n), 0)
+    columns = np.stack([a, a % 3, wide, rare, rng.integers(0, 4, n), (a + 1) % 7, np.roll(rare, 1)]).astype(np.uint8)
+    table = K.Bins([np.arange(c.max()) for c in columns])
+    packed = K.Packed(columns, table)
+    assert sorted(f for members, *_ in packed.groups for f in members) == list(range(7))
+    assert len(packed.groups) < 7 and max(n for _, _, n, *_ in packed.groups) <= 256
+    slot, g, h = rng.integers(-1, 3, n), rng.integers(-(2**38), 2**38, n).astype(float), rng.integers(0, 2**38, n).astype(float)
+    for asked in (np.arange(7), np.array([1, 2, 6])):
+        there = np.isin(table.feature, asked)
+        for got, want in zip(packed.histogram(slot, g, h, asked, 3), K.histogram(columns, slot, g, h, table, asked, 3), strict=True):
+            assert (got[:, there] == want[:, there]).all()
+    assert K.Packed(columns[:, :0], table).histogram(slot[:0], g[:0], h[:0], np.arange(7), 2)[0].sum() == 0
+
+
+def test_tasks_that_meet_leave_their_margins(table, tmp_path, monkeypatch):
+    one = fitted(table, P, tmp_path / "one")
+    monkeypatch.setattr(boost, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(boost, "ROUNDS_PER_STATE", 5)
+    monkeypatch.setattr(boost, "with_margins", None)  # trees aren't replayed
+    assert same(one.trees, fitted(table, P, tmp_path / "met").trees)
+
+
+def test_cuts_share_one_list_of_literals(table, monkeypatch):
+    calls, lit = [], boost.F.lit
+    monkeypatch.setattr(boost.F, "lit", lambda x: calls.append(x) or lit(x))
+    bins = boost.feature_cuts(table, FEATURES, 32)
+    assert sum(x in [i / 32 for i in range(1, 32)] for x in calls if isinstance(x, float)) == 31
+    assert [len(c) for c in bins.cuts][0] == 6 and len(bins.cuts[3]) == 1

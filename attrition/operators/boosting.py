@@ -125,7 +125,8 @@ def gradients(margin: np.ndarray, y: np.ndarray, spw: float, scale: float) -> tu
 
 def log_loss(margin: np.ndarray, y: np.ndarray) -> float:
     """Sum of the unweighted log losses of rows."""
-    return float(np.logaddexp(0, np.where(y > 0, -margin, margin)).sum())
+    x = np.where(y > 0, -margin, margin)
+    return float((np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))).sum())
 
 
 def histogram(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, table: Bins, features: np.ndarray, n_open: int) -> tuple[np.ndarray, np.ndarray]:

@@ -329,7 +329,8 @@ def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, peers = shared.value, Peers(meet)
         held = list(joined(blocks_of(batches, len(fit.bins.cuts))))
-        packed, frames = [Packed(b.bins, fit.bins) for b in held], []
+        packed = [Packed(b.bins, fit.bins) for b in held]
+        grown, losses = [], []
         for r in range(before, stop):
             columns = fit.columns(r)
             shares = np.array_split(columns, peers.n)
@@ -377,8 +378,10 @@ def rounds_together(blocks: DataFrame, fit: Fit, before: int, stop: int) -> tupl
             tree = grow_by(splits, fit.bins, fit.p, fit.scale)
             for b, n in zip(held, node, strict=True):
                 b.margin += tree.value.take(tree.down(n, b.bins, split_of(tree, kept)))
-            frames += [*([tree.frame(r)] if peers.me == 0 else []), loss_row(r, fit.losses(held))]
-        for batch in _table(frames).to_batches():
+            grown.append((r, tree))
+            losses.append((r, fit.losses(held)))
+        frames = [t.frame(r) for r, t in grown] if peers.me == 0 else []  # at the end: here the others don't wait for it
+        for batch in _table(frames + [loss_row(*x) for x in losses]).to_batches():
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, f.type) for f in _BLOCK)], schema=_MET)
         if stop < fit.p.rounds:  # the next stretch starts from these
             for b in held:
@@ -433,7 +436,7 @@ def with_margins(blocks: DataFrame, fit: Fit, since: list[Tree]) -> DataFrame:
 
 def fit_key(table: DataFrame, features: list[str], label: str, spw: float, params: Params, key_cols: tuple[str, ...]) -> tuple[str, int, int]:
     """What the fit depends on as a hash, and the rows of both parts."""
-    content = F.xxhash64(*key_cols, label, "split", *[F.round(_number(f), 6) for f in features])
+    content = F.xxhash64(*key_cols, label, "split", *[F.rint(_number(f) * 1e6) + F.lit(0.0) for f in features])
     train = F.col("split") == "train"
     r = table.agg(F.sum(content.cast("decimal(38,0)")).alias("sum"), F.count_if(train).alias("n"), F.count_if(~train).alias("v")).first()
     said = json.dumps([asdict(params), features, label, spw, str(r["sum"]), r["n"], r["v"]])
@@ -490,7 +493,8 @@ def train_gbt(table: DataFrame, features: list[str], label: str, spw: float, par
             for old in storage.names(fit.state):
                 if int(old) < stop:
                     storage.delete(f"{fit.state}/{old}")
-            trees += take(f"{stop:06d}")
+            trees += since
+            losses += loss
         rounds = stop
     return Model(features, trees, params.max_depth, losses)
 

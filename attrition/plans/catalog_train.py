@@ -24,7 +24,7 @@ from attrition.plans.catalog import ev_keep, register
 from attrition.plans.features import asof_features, asof_features_stored, user_day_features
 from attrition.plans.scoring import filter_user_asof, requests_from_events, score_requests
 from attrition.plans.training import assemble_vector, training_job
-from attrition.session import run_dir
+from attrition.session import local_rows, run_dir
 from attrition.sources import bundle as B
 from attrition.sources.user_days import append_user_days
 
@@ -109,7 +109,7 @@ def _assemble(s, d):
 def _train_gbt(s, d):
     """Feature importances of the fitted boosted trees, with the feature's non-zero rows."""
     model = _bundle(s, d).model
-    return s.createDataFrame(model.importances(), "feature string, importance double").join(_feature_sums(s, d), "feature")
+    return local_rows(s, model.importances(), "feature string, importance double").join(_feature_sums(s, d), "feature")
 
 
 @register("predict_proba")

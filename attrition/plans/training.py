@@ -15,7 +15,7 @@ from attrition.operators import evaluate as E
 from attrition.operators.split import stratified_split, time_split
 from attrition.plans.boost import predict_proba, train_gbt
 from attrition.plans.features import user_day_features
-from attrition.session import checkpoint_dir
+from attrition.session import checkpoint_dir, local_rows
 from attrition.sources import bundle as B
 
 
@@ -104,4 +104,4 @@ def report_frame(spark: SparkSession, report: dict) -> DataFrame:
     counts = {"n_rows", "n_train_rows", "n_validation_rows", "n_features", "rounds"} | {f"{p}_{c}" for p in ("val", "train") for c in ("tp", "fp", "tn", "fn")}
     fields = ", ".join(f"{k} {'long' if k in counts else 'double'}" for k in report)
     row = tuple(None if v is None else (int(v) if k in counts else float(v)) for k, v in report.items())
-    return spark.createDataFrame([row], fields)
+    return local_rows(spark, [row], fields)

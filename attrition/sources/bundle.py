@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrition.plans.boost import Model, read_nodes
-from attrition.session import Storage
+from attrition.session import Storage, local_rows
 
 
 @dataclass
@@ -33,11 +33,12 @@ class Bundle:
 PARTS = ("nodes", "threshold", "features")
 
 
-def _checksums(spark: SparkSession, path: str, part: str) -> dict[str, list]:
-    """Length and SHA-256 of each data file of a part."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{part}")
-    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).collect()
-    return {r["name"]: [r["length"], r["sha256"]] for r in rows}
+def _checksums(spark: SparkSession, path: str) -> dict[str, dict[str, list]]:
+    """Length and SHA-256 of each data file of each part."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{path}/{part}" for part in PARTS])
+    place = F.split("path", "/")
+    rows = files.select(F.element_at(place, -2).alias("part"), F.element_at(place, -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).collect()
+    return {part: {r["name"]: [r["length"], r["sha256"]] for r in rows if r["part"] == part} for part in PARTS}
 
 
 def save_model_bundle(spark: SparkSession, path: str, model: Model, threshold: float, features: list[str]) -> None:
@@ -45,11 +46,11 @@ def save_model_bundle(spark: SparkSession, path: str, model: Model, threshold: f
     storage = Storage(spark, path)
     storage.delete(f"{path}/manifest")
     model.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    spark.createDataFrame([(float(threshold),)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/threshold")
-    spark.createDataFrame([(json.dumps(list(features)),)], "features string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
-    manifest = {"n_features": len(features), "rounds": len(model.trees), "max_depth": model.max_depth, "files": {p: _checksums(spark, path, p) for p in PARTS}}
+    local_rows(spark, [(float(threshold),)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/threshold")
+    local_rows(spark, [(json.dumps(list(features)),)], "features string").coalesce(1).write.mode("overwrite").json(f"{path}/features")
+    manifest = {"n_features": len(features), "rounds": len(model.trees), "max_depth": model.max_depth, "files": _checksums(spark, path)}
     draft = f"{path}/manifest-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(draft)
+    local_rows(spark, [(json.dumps(manifest),)], "manifest string").coalesce(1).write.text(draft)
     storage.rename(draft, f"{path}/manifest")
 
 
@@ -59,8 +60,9 @@ def load_model_bundle(spark: SparkSession, path: str) -> Bundle:
         if not storage.exists(f"{path}/{part}"):
             raise FileNotFoundError(f"{path}/{part}")
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    found = _checksums(spark, path)
     for part in PARTS:
-        if _checksums(spark, path, part) != manifest["files"][part]:
+        if found[part] != manifest["files"][part]:
             raise ValueError(f"{path}/{part} isn't what the manifest says")
     thr = spark.read.schema("threshold double").json(f"{path}/threshold").first()["threshold"]
     feats = json.loads(spark.read.schema("features string").json(f"{path}/features").first()["features"])
@@ -72,13 +74,13 @@ def bundle_table(spark: SparkSession, bundle: Bundle) -> DataFrame:
     """The bundle's threshold and ordered feature list as rows
     (``position, feature, threshold``)."""
     rows = [(i, f, bundle.threshold) for i, f in enumerate(bundle.features)]
-    return spark.createDataFrame(rows, "position int, feature string, threshold double")
+    return local_rows(spark, rows, "position int, feature string, threshold double")
 
 
 def save_run_metadata(spark: SparkSession, path: str, metrics: dict) -> DataFrame:
     """Write a metrics dict as a one-row JSON table (timestamped)."""
     record = {"saved_at": time.strftime("%Y%m%d-%H%M%S"), **{k: v for k, v in metrics.items()}}
-    df = spark.createDataFrame([(json.dumps(record, default=str),)], "metadata string")
+    df = local_rows(spark, [(json.dumps(record, default=str),)], "metadata string")
     df.coalesce(1).write.mode("overwrite").json(path)
     return df
 
@@ -100,7 +102,7 @@ def log_run(spark: SparkSession, path: str, params: dict, metrics: dict, run_id:
     run_id = run_id or uuid.uuid4().hex
     rows = [(run_id, "param", k, json.dumps(v, default=str)) for k, v in params.items()]
     rows += [(run_id, "metric", k, json.dumps(v, default=str)) for k, v in metrics.items()]
-    df = spark.createDataFrame(rows, "run_id string, kind string, key string, value string").select(
+    df = local_rows(spark, rows, "run_id string, kind string, key string, value string").coalesce(1).select(
         "run_id", F.current_timestamp().alias("logged_at"), "kind", "key", "value"
     )
     df.write.mode("append").parquet(path)

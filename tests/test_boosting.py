@@ -292,3 +292,20 @@ def test_cuts_share_one_list_of_literals(table, monkeypatch):
     bins = boost.feature_cuts(table, FEATURES, 32)
     assert sum(x in [i / 32 for i in range(1, 32)] for x in calls if isinstance(x, float)) == 31
     assert [len(c) for c in bins.cuts][0] == 6 and len(bins.cuts[3]) == 1
+
+
+def test_small_tables_of_the_driver_start_no_python(spark, tmp_path):
+    df = B.local_rows(spark, [(1, "a", None, 2), (2, None, 0.5, 3)], "n int, a b string, x double, y long")
+    assert df.dtypes == [("n", "int"), ("a b", "string"), ("x", "double"), ("y", "bigint")]
+    assert [tuple(r) for r in df.collect()] == [(1, "a", None, 2), (2, None, 0.5, 3)]
+    for made in (df, B.save_run_metadata(spark, str(tmp_path / "m"), {"a": 1}), B.bundle_table(spark, B.Bundle(None, 0.5, ["f", "g"]))):
+        assert "LocalTableScan" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fit_key_ignores_the_last_digits(spark):
+    rows = [(i, i % 2, "train", x) for i, x in enumerate([0.1 + 0.2, -0.0, None, 5e8, float(2**60)])]
+    keys = []
+    for shift in (0.0, 1e-13, 0.01):
+        df = spark.createDataFrame([(i, y, s, x if x is None else x + shift) for i, y, s, x in rows], "id long, y int, split string, a double")
+        keys.append(boost.fit_key(df, ["a"], "y", 1.0, P, ("id",)))
+    assert keys[0] == keys[1] != keys[2] and keys[0][1:] == (5, 0)

@@ -5,9 +5,10 @@ a seeded rotation the coordinates are split into low-dimensional blocks; if
 every block's squared distance exceeded its share of that budget (in proportion
 to its dimensions), so would the whole. So each pair lies within the budget in
 some block. Each block is range-joined on a grid over its first coordinates: a
-vector is at home in one cell and is sent, as a candidate, to the cells it could
-reach. A pair found in several blocks is handled in the first of them only, and
-verified exactly, in double precision, where it is found.
+vector is at home in one cell and is sent, as a candidate, to those cells it could
+reach that are not before its own, so that of two vectors one is sent to the other.
+A pair found in several blocks is handled in the first of them only, and verified
+exactly, in double precision, where it is found.
 
 Equal vectors are one class throughout and are never paired. Links are counted
 where they are found and folded into counts and labels slice by slice; only
@@ -36,9 +37,9 @@ from attrition.llm.common import map_arrow, use_checkpoints
 from attrition.llm.components import components
 from attrition.llm.vectors import matrix, number_type, one_per_id, usable
 
-BLOCK_DIMENSIONS, GRID_DIMENSIONS = 8, 2
-#: More than what rounding can change in a squared distance, of doubles and of the 32-bit floats of the first test.
-ROUNDING, ROUGH = 1e-9, 1e-5
+BLOCK_DIMENSIONS, GRID_DIMENSIONS = 16, 2
+#: More than what rounding can change in a squared distance, of doubles and (a part of it for each dimension) of the 32-bit floats of the first tests.
+ROUNDING, ROUGH, ROUGH_PART = 1e-9, 1e-5, 1e-6
 _CELLS = "length int, part int, cell long, home boolean, rep long, n long, vector binary"
 
 
@@ -47,16 +48,19 @@ def rotation(length: int, seed: int = 17) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((length, length)))[0]
 
 
-def unit_and_turned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_and_turned(x: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """The vectors at length 1, and those rotated. Column by column, so that a vector
-    gets the same bits in every task, whatever other vectors are there."""
-    norm2 = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        norm2 += x[:, j] ** 2
-    unit = x / np.sqrt(norm2)[:, None]
-    turned, r = np.zeros_like(unit), rotation(x.shape[1])
-    for j in range(x.shape[1]):
-        turned += unit[:, j : j + 1] * r[j]
+    gets the same bits in every task, whatever other vectors are there; a few rows at
+    a time, which stay in the processor's cache."""
+    unit, turned, r = np.empty_like(x), np.zeros_like(x), rotation(x.shape[1])
+    for at in range(0, len(x), step):
+        own, out = x[at : at + step], turned[at : at + step]
+        norm2 = np.zeros(len(own))
+        for j in range(x.shape[1]):
+            norm2 += own[:, j] ** 2
+        unit[at : at + step] = own = own / np.sqrt(norm2)[:, None]
+        for j in range(x.shape[1]):
+            out += own[:, j : j + 1] * r[j]
     return unit, turned
 
 
@@ -69,6 +73,18 @@ def budgets(length: int, cosine: float) -> np.ndarray:
     return np.array([(2 - 2 * cosine) * (s.stop - s.start) / length + ROUNDING for s in parts(length)])
 
 
+def grid(y: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell, in whole steps, of points and of the lower and upper corner of what they reach,
+    at most one cell further. The last steps differ by one at most, whatever the rounding."""
+    y, radius = y[:, :GRID_DIMENSIONS], float(np.sqrt(budget))
+    width = 2 * radius * (1 + ROUNDING)
+    return tuple(np.floor((y + d) / width).astype(np.int64) for d in (0, -radius, radius))
+
+
+def cell_code(steps: np.ndarray) -> np.ndarray:
+    return (steps + (1 << 15)) @ (1 << 16) ** np.arange(steps.shape[1], dtype=np.int64)
+
+
 def _cells(kind: str, cosine: float):
     types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
     schema = pa.schema([(n.split()[0], t) for n, t in zip(_CELLS.split(", "), types, strict=True)])
@@ -79,17 +95,13 @@ def _cells(kind: str, cosine: float):
         _, turned = unit_and_turned(x)
         raw = np.array(raw, object)
         for k, (s, budget) in enumerate(zip(parts(length), budgets(length, cosine), strict=True)):
-            y = turned[:, s][:, :GRID_DIMENSIONS]
-            radius = float(np.sqrt(budget))
-            width = 2 * radius
-            at = np.floor(y / width).astype(np.int64)
-            low, high = np.floor((y - radius) / width).astype(np.int64), np.floor((y + radius) / width).astype(np.int64)
-            code = lambda c: (c + (1 << 15)) @ (1 << 16) ** np.arange(c.shape[1], dtype=np.int64)
-            cells, who, home = [code(at)], [np.arange(len(rep))], [np.ones(len(rep), bool)]
-            for shift in np.ndindex(*(2,) * y.shape[1]):
-                corner = np.where(np.array(shift), high, low)
-                reached = ((np.array(shift) == 0) | (high > low)).all(1)
-                cells.append(code(corner)[reached])
+            at, low, high = grid(turned[:, s], budget)
+            own = cell_code(at)
+            cells, who, home = [own], [np.arange(len(rep))], [np.ones(len(rep), bool)]
+            for shift in np.ndindex(*(2,) * at.shape[1]):
+                corner = cell_code(np.where(np.array(shift), high, low))
+                reached = ((np.array(shift) == 0) | (high > low)).all(1) & (corner >= own)
+                cells.append(corner[reached])
                 who.append(np.flatnonzero(reached))
                 home.append(np.zeros(reached.sum(), bool))
             cell, i, is_home = (np.concatenate(a) for a in (cells, who, home))
@@ -123,36 +135,43 @@ def smallest_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def join_tile(part: int, cosine: float, h: tuple, c: tuple, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def join_tile(part: int, cosine: float, h: tuple, c: tuple, rows: int = 256, cols: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs (home, candidate) that link and for which this part is the first within its budget,
-    in slices of bounded size. h and c hold (rep, vectors)."""
+    in slices of bounded size; of two vectors the one of the later cell, or of the larger rep in a
+    cell, is the home. h and c hold (rep, vectors)."""
     (rep_h, x_h), (rep_c, x_c) = h, c
     (unit_h, t_h), (unit_c, t_c) = unit_and_turned(x_h), unit_and_turned(x_c)
     all_parts, limit = parts(t_h.shape[1]), budgets(t_h.shape[1], cosine)
-    s = all_parts[part]
+    s, rough = all_parts[part], ROUGH + ROUGH_PART * t_h.shape[1]
     y_h, y_c = t_h[:, s], t_c[:, s]
+    cell_h, cell_c = (cell_code(grid(y, limit[part])[0]) for y in (y_h, y_c))
     lead = min(GRID_DIMENSIONS, y_h.shape[1] - 1)
     order_h, order_c = np.argsort(y_h[:, lead]), np.argsort(y_c[:, lead])
     line = y_c[order_c, lead]
-    wide_h = np.hstack([-2 * y_h, (y_h**2).sum(1, keepdims=True), np.ones((len(y_h), 1))]).astype(np.float32)
-    wide_c = np.hstack([y_c, np.ones((len(y_c), 1)), (y_c**2).sum(1, keepdims=True)]).astype(np.float32)
+    wide_h = np.hstack([-2 * y_h, (y_h**2).sum(1, keepdims=True), np.ones((len(y_h), 1))]).astype(np.float32)[order_h]
+    wide_c = np.hstack([y_c, np.ones((len(y_c), 1)), (y_c**2).sum(1, keepdims=True)]).astype(np.float32)[order_c]
+    short_h, short_c = t_h.astype(np.float32), t_c.astype(np.float32)
     radius = float(np.sqrt(limit[part])) + 1e-6
-    for at in range(0, len(order_h), step):
-        rows = order_h[at : at + step]
-        a, b = np.searchsorted(line, [y_h[rows[0], lead] - radius, y_h[rows[-1], lead] + radius + 1e-6])
-        cols = order_c[a:b]
-        near = np.flatnonzero(wide_h[rows] @ wide_c[cols].T <= limit[part] + ROUGH)
-        for lo in range(0, len(near), 1 << 16):
-            i, j = np.divmod(near[lo : lo + (1 << 16)], len(cols))
-            i, j = rows[i], cols[j]
-            apart = rep_h[i] != rep_c[j]
-            p, q = i[apart], j[apart]
-            gap = (t_h[p] - t_c[q]) ** 2
-            within = np.add.reduceat(gap, [x.start for x in all_parts], axis=1) <= limit
-            mine = within[:, part] & ~within[:, :part].any(1)
-            p, q = p[mine], q[mine]
-            link = np.einsum("ij,ij->i", unit_h[p], unit_c[q]) >= cosine
-            yield p[link], q[link]
+    for at in range(0, len(order_h), rows):
+        own = order_h[at : at + rows]
+        a, b = np.searchsorted(line, [y_h[own[0], lead] - radius, y_h[own[-1], lead] + radius + 1e-6])
+        for lo in range(a, b, cols):
+            hi = min(lo + cols, b)
+            i, j = np.divmod(np.flatnonzero(wide_h[at : at + rows] @ wide_c[lo:hi].T <= limit[part] + rough), hi - lo)
+            i, j = own[i], order_c[lo + j]
+            later = (cell_h[i] > cell_c[j]) | ((cell_h[i] == cell_c[j]) & (rep_h[i] > rep_c[j]))
+            i, j = i[later], j[later]
+            for k in range(0, len(i), 1 << 14):
+                p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                likely = np.einsum("ij,ij->i", short_h[p], short_c[q]) >= cosine - rough
+                p, q = p[likely], q[likely]
+                gap = (t_h[p] - t_c[q]) ** 2
+                within = np.add.reduceat(gap, [x.start for x in all_parts], axis=1) <= limit
+                mine = within[:, part] & ~within[:, :part].any(1)
+                p, q = p[mine], q[mine]
+                link = np.einsum("ij,ij->i", unit_h[p], unit_c[q]) >= cosine
+                if link.any():
+                    yield p[link], q[link]
 
 
 def _tiles(kind: str, cosine: float):
@@ -163,10 +182,11 @@ def _tiles(kind: str, cosine: float):
         if home.any() and not home.all():
             x = matrix(group.vector, kind)
             names, at = np.unique(np.concatenate([reps[home], reps[~home]]), return_inverse=True)
-            at_h, at_c, n_c = at[: home.sum()], at[home.sum() :], n[~home]
+            at_h, at_c, n_h, n_c = at[: home.sum()], at[home.sum() :], n[home], n[~home]
             links, label = np.zeros(len(names), np.int64), np.arange(len(names))
             for i, j in join_tile(int(key[1]), cosine, (reps[home], x[home]), (reps[~home], x[~home])):
-                links += np.bincount(at_h[i], n_c[j], minlength=len(names)).astype(np.int64)
+                np.add.at(links, at_h[i], n_c[j])
+                np.add.at(links, at_c[j], n_h[i])
                 a, b = label[at_h[i]], label[at_c[j]]
                 if (a != b).any():
                     label = smallest_labels(a[a != b], b[a != b], len(names))[label]

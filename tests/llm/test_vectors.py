@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,26 @@ def test_every_near_pair_is_within_the_budget_of_some_part():
         assert near.any() and within[near].any(1).all()
 
 
+def test_two_vectors_meet_once_and_few_copies_are_sent():
+    """Over all cells and parts each linked pair comes from one place; a vector goes only to cells that aren't before its own."""
+    rng = np.random.default_rng(9)
+    n, length = 600, 64
+    x = np.repeat(rng.standard_normal((60, length)), 10, axis=0) + rng.standard_normal((n, length)) * 0.2
+    rep = rng.permutation(n) + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.ones(n, np.int64)), pa.array(x.tolist())], names=["rep", "n", "embedding"])
+    sent = pa.Table.from_batches(list(pigeonhole._cells("<f8", 0.9)([batch]))).to_pandas()
+    met = []
+    for (_, part, _), g in sent.groupby(["length", "part", "cell"]):
+        if g.home.nunique() < 2:
+            continue
+        h, c = ((s.rep.to_numpy(), pigeonhole.matrix(s.vector, "<f8")) for s in (g[g.home], g[~g.home]))
+        met += [(h[0][a], c[0][b]) for i, j in pigeonhole.join_tile(int(part), 0.9, h, c) for a, b in zip(i, j, strict=True)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    assert len(i) and sorted(tuple(sorted(p)) for p in met) == sorted(tuple(sorted(p)) for p in zip(rep[i], rep[j], strict=True))
+    assert len(sent) <= 20 * n
+
+
 def test_vantage_search_equals_brute_force(make_vectors):
     vectors, con = make_vectors(clustered(seed=5))
     for shard_rows in (64, 9, 1000):

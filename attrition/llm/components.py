@@ -19,10 +19,18 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
-        out = linked.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
+        # the smallest neighbour would only be linked to itself; its row links the node
+        out = linked.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
     return out.where("u <> v").distinct()
 
 
+def _both_ways(pairs: DataFrame, *names: str) -> DataFrame:
+    """Each pair (u, v) and its reverse, from one pass over the pairs: a union would start twice the tasks."""
+    u, v = names
+    turned = [F.struct(F.col(a).alias(u), F.col(b).alias(v)) for a, b in (("u", "v"), ("v", "u"))]
+    return pairs.select(F.inline(F.array(*turned)))
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return r.n, r.s
@@ -37,7 +45,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (state := _state(now)) != before and state[0]:
         before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = _star(_star(both, large=True), large=False).checkpoint()
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        now = _star(_star(_both_ways(now, "u", "v"), large=True), large=False).checkpoint()
+    # every pair now has the smallest node of its component as v
+    return _both_ways(now, "node", "other").select("node", F.least("node", "other").alias("component")).distinct()

@@ -329,7 +329,7 @@ def _grouped(docs: DataFrame, percent: int, extra: float) -> tuple[DataFrame, Da
     )
     total = summary.agg(F.sum("n")).first()[0] or 0
     frequent = seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") * HEAVY_PART > total)
-    heavy = np.sort(np.array([r.token for r in frequent.select("token").collect()], np.int64).astype(np.uint64))  # at most HEAVY_PART
+    heavy = np.sort(frequent.select("token").toArrow().column("token").to_numpy().astype(np.uint64))  # at most HEAVY_PART, 8 bytes each
 
     postings = map_arrow(docs, _postings(percent, extra, spark.sparkContext.broadcast(heavy)), "token long, salt int, sig long")
     # a window's group is a token that isn't heavy, or a grain of a heavy one, so about the 2**-20th part of all at most

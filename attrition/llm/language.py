@@ -17,6 +17,7 @@ inputs of a prediction.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -62,9 +63,12 @@ def vectors(texts: list[bytes]) -> np.ndarray:
     return np.hstack([x, np.ones((len(x), 1), np.float32)])
 
 
-def train_bits(x: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 20.0, decay: float = 1e-5) -> np.ndarray:
-    """One logistic classifier per column of y (+-1), both signs weighing the same, by Nesterov steps."""
-    share = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(0), 1), 0.5 / np.maximum((y < 0).sum(0), 1)).astype(np.float32)
+def train_bits(x: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 20.0, decay: float = 1e-5, left_out: np.ndarray | None = None) -> np.ndarray:
+    """One logistic classifier per column of y (+-1), both signs weighing the same, by Nesterov
+    steps; rows left out weigh nothing (a copy of x without them would double the memory)."""
+    used = np.ones((len(y), 1), bool) if left_out is None else ~left_out[:, None]
+    share = np.where(y > 0, 0.5 / np.maximum(((y > 0) & used).sum(0), 1), 0.5 / np.maximum(((y < 0) & used).sum(0), 1))
+    share = (share * used).astype(np.float32)
     w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     v = w.copy()
     for k in range(steps):
@@ -83,8 +87,8 @@ def fit(x: np.ndarray, labels: list[str], min_gap: float = 0.02) -> Codes:
     code = codewords(len(languages))
     y = code[np.searchsorted(languages, labels)]
     back = np.arange(len(x)) % 5 == 0
-    inner = train_bits(x[~back], y[~back], steps=30) if (~back).any() else np.zeros((x.shape[1], y.shape[1]))
-    right = (x[back] @ inner * y[back] > 0).mean(0)
+    inner = train_bits(x, y, steps=30, left_out=back) if (~back).any() else np.zeros((x.shape[1], y.shape[1]))
+    right = ((x @ inner)[back] * y[back] > 0).mean(0)
     trust = np.maximum(2 * right - 1, 0.05)
     return Codes(languages, code, train_bits(x, y), trust / trust.sum(), min_gap)
 
@@ -100,14 +104,14 @@ def decode(m: Codes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """doc_id, lang and the vector of each text as half-precision bytes."""
+    """doc_id, lang and the vector of each text as half-precision bytes, compressed."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, max_rows=256):
                 x = vectors(raw_texts(batch.column("text"))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], schema=schema)
 
     return map_arrow(texts.select(F.col("doc_id").cast("long"), "lang", "text"), run, "doc_id long, lang string, x binary")
 
@@ -132,7 +136,7 @@ def learn(docs: DataFrame, max_rows: int = 4000, min_gap: float = 0.02, seed: in
     labels = [r.lang for r in rows]
     x = np.empty((len(rows), (1 << BITS) + 1), np.float32)
     for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r.x, np.float16)
+        x[i] = np.frombuffer(zlib.decompress(r.x), np.float16)
     del rows
     return fit(x, labels, min_gap)
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -224,3 +225,18 @@ def test_nnpu_steps_back_where_the_negative_risk_is_below_zero():
 def test_texts_stay_where_no_language_can_be_learned(make_docs):
     docs, _, _ = make_docs([(1, "a clean text"), (2, "123 ..."), (3, None), (4, "\u7684 \u6587 \u5b57"), (5, "")])
     assert sorted(r.doc_id for r in language.keep_identified(docs, language.learn(docs)).collect()) == [1, 4]
+
+
+def test_language_fit_holds_its_vectors_once(spark):
+    """The driver gets vectors in a fraction of their bytes, and the fit makes no copy of them."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["the", "and", "der", "und", "les", "des", "house", "baum"], 60)) for _ in range(400)]
+    got = language._packed(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()
+    whole = 2 * ((1 << language.BITS) + 1)
+    assert len(got) == 400 and max(len(r.x) for r in got) < whole / 4
+    x = language.vectors([t.encode() for t in texts])
+    tracemalloc.start()
+    language.fit(x, ["ab"[i % 2] for i in range(400)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 2, (peak, x.nbytes)

@@ -211,3 +211,11 @@ def test_queries_match_sql_on_the_small_table(spark):
     for name, sql in catalog.oracle_queries().items():
         r = compare(catalog.queries()[name](spark, SF), con, sql)
         assert r["columns_match"] and r["values_match"], (name, r)
+
+
+def test_components_start_no_second_set_of_tasks(spark):
+    """Pairs and their reverse come from one pass; a union reads them twice, in as many tasks again."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (80, 85), (70, 70)], "a long, b long")
+    out = components.components(edges)
+    assert dict(out.collect()) == {i: 0 for i in range(41)} | {i: 80 for i in (80, 85, 90)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
